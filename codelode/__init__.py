@@ -1,0 +1 @@
+"""Source repositories as data: a code-analytics engine on Spark DataFrames."""
