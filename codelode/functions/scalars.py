@@ -208,7 +208,7 @@ def estimated_tokens(text: Column | str) -> Column:
 
 def format_bytes(n: Column | str) -> Column:
     v = col(n).cast("double")
-    unit = lambda k, u: F.concat(F.format_string("%.2f", v / k), F.lit(u))
+    unit = lambda k, u: F.concat(two_places(v / k), F.lit(u))
     return F.when(v < 1024, F.concat(col(n).cast("long").cast("string"), F.lit(" B"))).when(v < 1024**2, unit(1024, " KB")).when(v < 1024**3, unit(1024**2, " MB")).otherwise(unit(1024**3, " GB"))
 
 
@@ -231,8 +231,13 @@ def task_name(name: Column | str) -> Column:
     return F.coalesce(lookup(c, S.TASK_NAMES), F.when(F.startswith(c, F.lit("Ingest Branch: ")), F.concat(F.lit("Ingesting Branch: "), F.substring(c, 16, 1 << 30))), c)
 
 
+def two_places(x: Column) -> Column:
+    """Two decimal places, ties to even as in Python."""
+    return F.replace(F.format_number(x, 2), F.lit(","), F.lit(""))
+
+
 def percent(x: Column | str) -> Column:
-    return F.format_string("%.2f%%", col(x) * 100)
+    return F.concat(two_places(col(x) * 100), F.lit("%"))
 
 
 def file_name_safe(name: Column | str) -> Column:
