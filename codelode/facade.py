@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codelode import schemas as S
 from codelode.functions import scalars as X
 from codelode.operators import chunking, graph, parse, partitioning, search, stats, store
+from codelode.session import cut
 from codelode.sources import files as file_source
 from codelode.sources import git
 
@@ -38,7 +39,7 @@ class Analysis:
             if old_nodes is not None:
                 kept = found.join(fresh.select("relative_path"), "relative_path", "left_anti").select("relative_path")
                 nodes = nodes.unionByName(old_nodes.select(*nodes.columns).join(kept, "relative_path", "left_semi"))
-            nodes = nodes.cache()
+            nodes = cut(nodes)  # what it reads is about to be replaced
             n = fresh.count()
             made = chunking.chunks(nodes, found)
             text = made.join(found.select("repo_id", "branch", "relative_path", "content"), ["repo_id", "branch", "relative_path"])
@@ -49,7 +50,7 @@ class Analysis:
             rows = found.join(parts, "relative_path").join(counts, "relative_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
             calls = parse.calls_of(nodes)
             edges = graph.call_edges(calls, nodes).cache()
-            edges.count(), chunks.count(), nodes.count()
+            edges.count(), chunks.count()
             rows.select(*[c.split()[0] for c in S.FILES.split(", ")]).cache().count()
             self.store.replace("blobs", blobs)
             for entity, frame in (("chunks", chunks), ("edges", edges), ("files", rows.select(*[c.split()[0] for c in S.FILES.split(", ")])), ("nodes", nodes)):

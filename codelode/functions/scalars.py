@@ -304,7 +304,8 @@ def unit(a: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def literal_vector(values: Sequence[float]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
+from codelode.session import cut
 
 KEY = ["repo_id", "branch"]
 
@@ -88,10 +89,12 @@ def call_hierarchy(edges: DataFrame, roots: DataFrame, depth: int = 3, callers:
     source, target = ("callee", "caller") if callers else ("caller", "callee")
     step = edges.select(*KEY, F.col(source).alias("node_id"), F.col(target).alias("next"))
     level = roots.select(*KEY, F.col("node_id").alias("root"), "node_id", F.lit(0).alias("level"))
-    seen = level
+    level = seen = cut(level)
     for i in range(1, depth + 1):
         reached = level.join(step, [*KEY, "node_id"]).select(*KEY, "root", F.col("next").alias("node_id"), F.lit(i).alias("level")).distinct()
-        level = reached.join(seen, [*KEY, "root", "node_id"], "left_anti")
+        level = cut(reached.join(seen, [*KEY, "root", "node_id"], "left_anti"))
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen
 
@@ -112,10 +115,12 @@ def tree_paths(nodes: DataFrame, depth: int = 20) -> DataFrame:
     known = n.select(*KEY, F.col("node_id").alias("parent_id"))
     level = n.where("parent_id is null").unionByName(n.where("parent_id is not null").join(known, [*KEY, "parent_id"], "left_anti").select(*KEY, "node_id", "parent_id", "name"))
     level = level.select(*KEY, "node_id", F.lit(0).alias("level"), F.coalesce("name", F.lit("")).alias("path"))
-    out = level
+    out = level = cut(level)
     for i in range(1, depth + 1):
         up = level.select(*KEY, F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = n.join(up, [*KEY, "parent_id"]).select(*KEY, "node_id", F.lit(i).alias("level"), F.concat_ws("/", "above", F.coalesce("name", F.lit(""))).alias("path"))
+        level = cut(n.join(up, [*KEY, "parent_id"]).select(*KEY, "node_id", F.lit(i).alias("level"), F.concat_ws("/", "above", F.coalesce("name", F.lit(""))).alias("path")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 

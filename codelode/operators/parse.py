@@ -73,11 +73,11 @@ def parse_python(text: str) -> list[Node]:
 
 _BRACES = {
     "java": (
-        ("class_declaration", re.compile(r"\bclass\s+(\w+)[^{;()]*\{")),
+        ("class_declaration", re.compile(r"(?:\b(?:public|protected|private|abstract|final|static)\s+)*\bclass\s+(\w+)[^{;()]*\{")),
         ("constructor_declaration", re.compile(r"^[ \t]*(?:public|protected|private)\s+([A-Z]\w*)\s*\([^)]*\)[^{;]*\{", re.M)),
         ("method_declaration", re.compile(r"^[ \t]*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)*[\w<>\[\], .]+?\s+(\w+)\s*\([^)]*\)\s*(?:throws[\w\s,.]+)?\{", re.M)),
     ),
-    "javascript": (("class_declaration", re.compile(r"\bclass\s+(\w+)[^{;()]*\{")), ("function_declaration", re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)\s*\{"))),
+    "javascript": (("class_declaration", re.compile(r"(?:\bexport\s+(?:default\s+)?)?\bclass\s+(\w+)[^{;()]*\{")), ("function_declaration", re.compile(r"(?:\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)\s*\{"))),
     "typescript": (
         ("class_declaration", re.compile(r"\bclass\s+(\w+)[^{;()]*\{")),
         ("interface_declaration", re.compile(r"\binterface\s+(\w+)[^{;()]*\{")),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "codelode", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,3 +22,12 @@ def build(app: str = "codelode", master: str | None = None, **conf: str) -> Spar
         "spark.driver.memory": "8g",
     } | conf
     return SparkSession.builder.appName(app).master(master or f"local[{cores}]").config(map=settings).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, so that plans of repeated steps stay small. It is kept in the session's
+    checkpoint folder; a local one is set only where the session has none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codelode-"))
+    return df.checkpoint()
