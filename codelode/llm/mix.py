@@ -124,6 +124,7 @@ def mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_w
     replaced. Null texts have no words; documents without words are given as often as others of
     their source. Null sources are a source of their own, the last. Rows that repeat a doc_id are
     given equally often. The same input gives the same result. An empty table gives an empty one.
+    Documents are given whole, so a source of few large documents may miss its target by part of one.
     """
     spark = prepare(docs.sparkSession)
     docs = with_columns_dropped(docs, *ADDED)
@@ -142,9 +143,10 @@ def mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_w
     def shards_of(source: pd.Series, copies: pd.Series, drawn: pd.Series) -> pd.Series:
         out = [np.zeros(0, np.int32)] * len(source)
         own = begins.value
-        for key, at in source.isna().groupby(source.where(source.notna(), None), dropna=False).groups.items():
-            edges, (n, a, c) = own[None if pd.isna(key) else key]
-            rows = np.asarray(at)
+        codes, keys = pd.factorize(source, use_na_sentinel=True)  # -1 for null
+        for code in np.unique(codes):
+            edges, (n, a, c) = own[None if code < 0 else keys[code]]
+            rows = np.flatnonzero(codes == code)
             k = copies.to_numpy()[rows]
             of = np.repeat(rows, k)
             copy = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)

@@ -44,9 +44,10 @@ def whole(vectors: list, width: int, scale: float) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of whole numbers, as int64 where they fit."""
-    if a.size and b.size and np.sqrt((a * a).sum(1).max()) * np.sqrt((b * b).sum(1).max()) * np.sqrt(a.shape[1]) >= 2**52:
-        return (a.astype(object).round().astype(int).astype(object) @ b.T.astype(object)).astype(np.int64) if np.abs(a).max() < 2**62 and np.abs(b).max() < 2**62 else np.array([[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a], dtype=object)
+    """Exact inner products of rows of whole numbers; as int64, or as Python's integers where doubles are too short."""
+    if a.size and b.size and np.sqrt((a * a).sum(1).max() * (b * b).sum(1).max() * a.shape[1]) >= 2**52:
+        own, other = ([[int(x) for x in row] for row in m] for m in (a, b))
+        return np.array([[sum(x * y for x, y in zip(p, q, strict=True)) for q in other] for p in own], dtype=object)
     return np.rint(a @ b.T).astype(np.int64)
 
 
