@@ -13,6 +13,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,8 +144,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_of(model: Model, spark):
     """The score as a column function of a text column."""
-    import pandas as pd
-
     shared = prepare(spark).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
