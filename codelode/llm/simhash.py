@@ -56,8 +56,8 @@ def majority(h: np.ndarray, bits: int) -> np.ndarray:
     """bits / 64 words whose bits are set in over half of the hashes. Words after the first scatter the hash anew."""
     n = bits // 64
     out = np.zeros(bits, np.int64)
-    for i in range(0, len(h), 4096):
-        part = h[i : i + 4096]
+    for i in range(0, len(h), 255):  # so many bits of a place fit a byte
+        part = h[i : i + 255]
         wide = np.empty((len(part), n), np.uint64)
         wide[:, 0] = part
         for j in range(1, n):
@@ -65,7 +65,7 @@ def majority(h: np.ndarray, bits: int) -> np.ndarray:
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             wide[:, j] = x ^ (x >> np.uint64(31))
-        out += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
     return np.packbits(2 * out > len(h), bitorder="little").view("<u8")
 
 
@@ -322,7 +322,7 @@ def labelled(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFr
 
 
 #: For documents of a similarity: bits of a fingerprint.
-WIDE = 512
+WIDE = 2048
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -334,7 +334,7 @@ def radius_of(similarity: float, bits: int) -> int:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = WIDE) -> DataFrame:
     """doc_id and component_id of documents linked by the similarity of their sets of shingles.
 
-    Prints of many bits estimate the similarity: with 512 bits to about 0.04 near 0.8. Texts with the
+    Prints of many bits estimate the similarity, near 0.8 with a standard error of 0.02 at 2048 bits. Texts with the
     same set of shingles always link. Rows without a doc_id link nothing and have no component.
     """
     prepare(docs.sparkSession)
