@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """The model for labels (doc_id, toxic) of docs (doc_id, text), fitted on at most so many labelled rows.
 
     Labels of ids that docs lacks are ignored. Without any usable label, or with one class alone, all
-    scores are the smoothed share of that class.
+    scores are the smoothed share of toxic labels, 0.25 if there are none.
     """
     spark = prepare(docs.sparkSession)
     rows = as_text(docs).join(F.broadcast(sample(labels, "toxic", most)), "doc_id").select("label", "text")
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     n0, n1 = (int(whole[k].iloc[0]) if len(whole) else 0 for k in ("n0", "n1"))
     table = table[table["bucket"] >= 0]
     if not n0 or not n1 or not len(table):
-        share = (n1 + 0.5) / (n0 + n1 + 1)
+        share = (n1 + 0.5) / (n0 + n1 + 2)
         return Model(number, np.zeros(0), float(np.log(share / (1 - share))))
     p, q = table["n1"].to_numpy() + SMOOTHING, table["n0"].to_numpy() + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())

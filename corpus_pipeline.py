@@ -44,7 +44,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row per copy, dealt to shards and shuffled in them."""
-    return mix.emit(mix.mix(docs), docs.columns).drop("shard")
+    own = {c: f"_own_{i}" if c.lower() in (*mix.ADDED, "shard", "copy") else c for i, c in enumerate(docs.columns)}
+    rows = docs.withColumnsRenamed(own)
+    return mix.emit(mix.mix(rows), rows.columns).drop("shard").withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_toxicity_on_odd_rows(spark):
     got = {r.doc_id: r.score for r in scores.collect()}
     assert scores.count() == d.count() and got[102] > 0.5 and got[1] > 0.5 and got[0] < 0.5 and got[100] == got[101] < 0.5
     none = toxicity.fit(d, labels.limit(0))
-    assert {r.score for r in toxicity.score(d, none).collect()} == {0.5}
+    assert {round(r.score, 9) for r in toxicity.score(d, none).collect()} == {0.25}
     assert toxicity.score(d.limit(0), none).count() == 0
     one = toxicity.fit(d, labels.where("toxic = 1"))
     assert min(r.score for r in toxicity.score(d, one).collect()) > 0.9

@@ -67,3 +67,22 @@ def test_run(spark, sf):
     rows = queries.QUERIES["pipeline"](spark, sf)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, queries.QUERIES["pipeline"](spark, sf).collect()))
+
+
+def test_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, None, None, None, 1), (1, None, None, None, 1), (None, "a b c", "en", "s", None), (2, "", "en", None, 2), (3, "word " * 20_000, None, "s", 3), (4, "word " * 20_000, None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long")
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        got = Counter(map(tuple, out.collect()))
+        if name != "encode":
+            assert out.columns == docs.columns and set(got) <= set(rows)
+        want = {"toxicity": 6, "quality": 6, "near_dedup": 3, "encode": 6}
+        assert name not in want or sum(got.values()) == want[name], name
+    kept = {r.doc_id for r in dict(p.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert kept == {None, 1, 3}
