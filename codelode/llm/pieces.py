@@ -7,7 +7,10 @@ worker encodes each distinct piece once and turns a block of texts into ids by n
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -16,12 +19,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 #: Pieces that a worker keeps at most; the table starts anew beyond it (results don't change).
 MAX_PIECES = 400_000
 #: Characters of text per block.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -37,9 +39,40 @@ def byte_alphabet() -> list[str]:
     return out
 
 
-#: Characters outside the scripts for which Python's tables and the library's are known to agree. Texts
-#: that hold one are normalised and split by the library itself.
-UNUSUAL = re.compile("[^\\x00-\u024f\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
+#: Ranges of characters of the scripts for which Python's tables and the library's are known to agree.
+#: Texts that hold any other are normalised and split by the library itself.
+USUAL = "\x00-\u012f\u0131-\u017f\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3008-\u3020\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f"
+UNUSUAL = re.compile(f"[^{USUAL}]")
+WHITE = "\t-\r \x85\xa0"
+
+
+@functools.cache
+def usual(kind: str) -> str:
+    """Ranges of the usual letters (L), numbers (N) or other characters that aren't white space (O)."""
+    def of(c: str) -> str:
+        return k if (k := unicodedata.category(c)[0]) in "LN" else "S" if re.match(f"[{WHITE}]", c) else "O"
+
+    codes = [c for a, z in re.findall("(.)-(.)", USUAL, re.S) for c in range(ord(a), ord(z) + 1) if of(chr(c)) == kind]
+    out, at = [], 0
+    for i, c in enumerate(codes):
+        if i + 1 == len(codes) or codes[i + 1] != c + 1:
+            out.append(f"\\U{codes[at]:08x}-\\U{c:08x}")
+            at = i + 1
+    return "".join(out)
+
+
+def usual_pattern(source: str) -> re.Pattern:
+    """A tokenizer's pattern for texts of usual characters only, with classes spelled out."""
+    names = ((r"[^\s\p{L}\p{N}]", "<O>"), (r"[\p{L}]", "<L>"), (r"[\p{N}]", "<N>"), (r"\p{L}", "<L>"), (r"\p{N}", "<N>"), (r"\s", "<S>"), (r"\S", "<T>"))
+    for old, new in names:
+        source = source.replace(old, new)
+    parts = source.split("|")
+    if re.search(r"\\p|\\[sSwW]|\[", source):
+        raise ValueError(f"pattern not supported: {source}")
+    # alternatives that begin with a letter or a blank come first: the most frequent, and no other begins so
+    parts = [p for p in parts if "<L>" in p] + [p for p in parts if "<L>" not in p]
+    classes = {"L": f"[{usual('L')}]", "N": f"[{usual('N')}]", "O": f"[{usual('O')}]", "S": f"[{WHITE}]", "T": f"[^{WHITE}]"}
+    return re.compile(re.sub("<(.)>", lambda m: classes[m[1]], "|".join(parts)))
 
 
 class Splitter:
@@ -47,7 +80,7 @@ class Splitter:
 
     def __init__(self, spec: dict):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.at_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         steps = spec.get("normalizer")
         steps = [] if steps is None else steps.get("normalizers", [steps])
         self.kinds = [s["type"] for s in steps]
@@ -61,7 +94,7 @@ class Splitter:
             self.source = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         else:
             raise ValueError(f"pre-tokenizer not supported: {parts[0]['type']}")
-        self.pattern = regex.compile(self.source)
+        self.pattern = usual_pattern(self.source)
 
     @functools.cached_property
     def _library(self):
@@ -115,15 +148,15 @@ class PieceTable:
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts, end to end, and how many each text has."""
-        known, get = len(self.index), self.index.__getitem__
-        parts = []
+        known, number = len(self.index), self.index.__getitem__
+        parts = [np.zeros(0, np.int32)]
         for t in texts:
             p = self.split(t)
-            parts.append(np.fromiter(map(get, p), np.int32, len(p)))
-        new = list(self.index)[known:] if len(self.index) > known else []
+            parts.append(np.fromiter(map(number, p), np.int32, len(p)))
+        new = list(itertools.islice(self.index, known, None))
         if new:
             self._add(new)
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.array([len(p) for p in parts], np.int64)
+        return np.concatenate(parts), np.array([len(p) for p in parts[1:]], np.int64)
 
     def _add(self, new: list[str]) -> None:
         plain = [i for i, p in enumerate(new) if p[:1] != "\0" or p[1:] not in self.split.special]
@@ -176,24 +209,32 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class LibraryPieces:
-    """Encodes pieces with the tokenizers library: the file's model without its normaliser and pattern."""
+    """Encodes pieces with the tokenizers library: the file's model without its normaliser and pattern.
+
+    Many pieces are one pretokenized input; where each ends follows from the bytes that tokens stand for.
+    """
 
     def __init__(self, spec: dict):
         from tokenizers import Tokenizer
 
         bare = dict(spec, normalizer=None, truncation=None, padding=None, post_processor=None, added_tokens=[], pre_tokenizer={"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False})
         self.tokenizer = Tokenizer.from_str(json.dumps(bare))
-        self.at_once = 4096
+        self.at_once, self.together = 32_768, 512
+        vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token.removesuffix(suffix))
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[int] = []
-        lens: list[int] = []
+        flat, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(pieces), self.at_once):
-            for e in self.tokenizer.encode_batch_fast(pieces[i : i + self.at_once], add_special_tokens=False):
-                x = e.ids
-                ids += x
-                lens.append(len(x))
-        return np.array(ids, np.int32), np.array(lens, np.int64)
+            part = pieces[i : i + self.at_once]
+            found = self.tokenizer.encode_batch_fast([part[j : j + self.together] for j in range(0, len(part), self.together)], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array([x for e in found for x in e.ids], np.int32)
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in part]), side="left") + 1
+            flat.append(ids)
+            lens.append(np.diff(ends, prepend=0))
+        return np.concatenate(flat), np.concatenate(lens)
 
 
 _TABLES: dict = {}
@@ -229,3 +270,11 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = B
             part = batch.slice(at, end - at)
             yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
             at = end
+    release()
+
+
+def release() -> None:
+    """Gives memory that a task has freed back to the system; workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
