@@ -4,7 +4,7 @@ Texts are described by numbers of their shape (kinds of characters, lengths and
 each cut into ranges that hold equal shares of the unlabelled texts. A linear model over the ranges
 minimises the non-negative unbiased risk: with g the model, l the logistic loss and pi the share of
 good texts, pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]). Positives are trusted labels, unlabelled
-texts a sample of all documents, and pi is estimated from how often labelled texts are good.
+texts a sample of all documents, and pi is estimated from below by how often labelled texts are good.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.common import as_text, prepare
-from codelode.llm.labelled import MOST_LABELLED, sample, sigmoid
+from codelode.llm.labelled import MOST_LABELLED, lowest, sample, sigmoid
 from codelode.llm.pieces import blocks
 
 #: Unlabelled documents that are used at most: those with the smallest hash of doc_id.
@@ -109,14 +109,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_unla
     """The model for labels (doc_id, quality) of docs (doc_id, text), fitted on bounded samples.
 
     Only labels of 1 are used as examples; labels of 0 count in the estimate of the prior alone.
-    Without positives or documents every score is the estimated prior.
+    Without positives or documents every score is the share of good labels, 0.5 if there are none.
     """
     spark = prepare(docs.sparkSession)
     texts = as_text(docs)
     known = sample(labels, "quality", most)
     good, n = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    prior = (good + 1) / (n + 2)
-    ids = texts.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_unlabelled).collect()
+    share = (good + 1) / (n + 2)
+    # the lower end of the share's confidence interval: too high a prior leaves no risk to the negatives
+    prior = max(share - 2 * (share * (1 - share) / (n + 2)) ** 0.5, share / 2)
+    ids = lowest(texts.select("doc_id").where("doc_id is not null"), most_unlabelled, "doc_id").collect()
     drawn = spark.createDataFrame([(r[0], 2) for r in ids], "doc_id long, label int").distinct()
     # both samples are bounded by their parameters
     wanted = known.where("label = 1").unionByName(drawn).withColumn("kind", F.col("label").cast("long")).select("doc_id", "kind")
@@ -125,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_unla
     x = np.array([r[1:] for r in rows]).reshape(-1, len(SHAPE))
     kind = np.array([r[0] for r in rows])
     if not (kind == 1).any() or not (kind == 2).any():
-        return Model(np.zeros((BINS - 1, len(SHAPE))), np.zeros((len(SHAPE), BINS)), float(np.log(prior / (1 - prior))), prior)
+        return Model(np.zeros((BINS - 1, len(SHAPE))), np.zeros((len(SHAPE), BINS)), float(np.log(share / (1 - share))), prior)
     return fit_nnpu(x[kind == 1], x[kind == 2], prior)
 
 

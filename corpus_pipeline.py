@@ -14,7 +14,7 @@ from codelode.llm.common import prepare, scratch, table
 from codelode.llm.queries import tokenizer
 
 #: Documents with at least this toxicity, or less than this quality, go.
-TOXIC, GOOD = 0.5, 0.5
+TOXIC, GOOD = 0.5, 0.6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least GOOD, by a classifier fitted on this stage's documents."""
+    """Documents whose quality score is at least GOOD (all, where no labels are known), by a classifier fitted on this stage's documents."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.weights.any():
+        return docs
     return docs.where(quality.score_of(model, spark)("text") >= GOOD)
 
 
