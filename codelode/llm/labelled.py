@@ -15,13 +15,26 @@ def fold(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def lowest(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most so many rows of df: those with the smallest hash of the first key column, ties by key.
+
+    Hashes above what so many rows can be expected to need (half as many again) are left out first,
+    so that tasks don't each send as many rows; where a key repeats, fewer rows may be left.
+    """
+    share = 1.5 * most / max(df.count(), 1)
+    h = F.xxhash64(key[0])
+    if share < 1:
+        df = df.where(h < int(-(2**63) + share * 2**64))
+    return df.orderBy(h, *key).limit(most)
+
+
 def sample(labels: DataFrame, label: str, most: int = MOST_LABELLED) -> DataFrame:
     """At most so many rows (doc_id, label 0 or 1) of labels; rows with a null in either don't count.
 
     Its size is bounded by most, so it may be broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most).collect()
+    rows = lowest(known, most, "doc_id", "label").collect()
     return labels.sparkSession.createDataFrame([tuple(r) for r in rows], "doc_id long, label int")
 
 

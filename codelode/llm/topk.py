@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.common import prepare
+from codelode.llm.labelled import lowest
 
 #: Rows of a group of candidates, of a chunk of it, of a pack of queries, and of the sample for the basis.
 GROUP_ROWS, CHUNK_ROWS, PACK_ROWS, SAMPLE_ROWS = 16_384, 2_048, 1_024, 4_096
@@ -131,7 +132,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> D
     if not n:
         return spark.createDataFrame([], result)
     width = max(width, 1)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").collect()
+    sample = lowest(vectors.select("vec_id", "embedding"), SAMPLE_ROWS, "vec_id").select("embedding").collect()
     own = whole([r[0] for r in sample], width, scale)
     basis = np.linalg.svd(own.T @ own)[0]
     if not np.isfinite(basis).all():
