@@ -10,11 +10,11 @@ A block has as many documents as come to block_tokens ids, one at least.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,32 +23,39 @@ from codelode.llm.pieces import blocks, worker_table
 
 BLOCK = "shard int, block int, n_tokens long, doc_ids array<long>, doc_tokens array<int>, control binary, data binary"
 
-_CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
-#: By control byte: the bytes of each of its four numbers, and of all four.
-LENGTHS = (_CODES + 1).astype(np.int64)
-#: By code: which of the next four bytes count.
-MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+#: By control byte: the bytes of each of its four numbers.
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit numbers."""
-    v = np.ascontiguousarray(values, "<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    width = 2 if not len(values) or values.max() < 1 << 16 else 4  # no number needs more bytes
+    v = np.ascontiguousarray(values, f"<u{width}")
     full = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    full[: len(v)] = code
-    control = (full.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.tobytes(), data.tobytes()
+    code = full[: len(v)]
+    np.add(code, v > 0xFF, out=code, casting="unsafe")
+    used = np.ones((len(v), width), bool)
+    used[:, 1] = v > 0xFF
+    if width == 4:
+        for k, least in ((2, 0xFFFF), (3, 0xFFFFFF)):
+            used[:, k] = v > least
+            code += used[:, k]
+    control = full[0::4] | full[1::4] << 2 | full[2::4] << 4 | full[3::4] << 6
+    return control.tobytes(), v.view(np.uint8)[used.reshape(-1)].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n numbers that pack() wrote."""
-    c = np.frombuffer(control, np.uint8)
-    lens = LENGTHS[c].reshape(-1)[:n]
-    at = np.cumsum(lens) - lens
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    words = np.lib.stride_tricks.as_strided(raw, (max(len(raw) - 3, 0), 4), (1, 1))
-    return np.ascontiguousarray(words[at]).view("<u4").reshape(-1) & MASKS[lens - 1]
+    lens = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    at = np.cumsum(lens, dtype=np.int64) - lens
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[at].astype("<u4")
+    for k in (1, 2, 3):
+        more = np.flatnonzero(lens > k)
+        if not len(more):
+            break
+        out[more] |= raw[at[more] + k].astype("<u4") << (8 * k)
+    return out
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, block_tokens: int = 1 << 20) -> None:
@@ -59,24 +66,37 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, block_token
     folder has no blocks and no ranks.
     """
     spark = prepare(docs.sparkSession)
+    # until they are ranked, ids are held in two bytes where all of them fit
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    plain_type = "<u2" if most < 1 << 16 else "<u4"
+
+    texts_ = as_text(docs)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # where shards begin: quantiles of doc_id, from that column alone
+    at = texts_.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] if shards > 1 else None
+    bounds = np.unique(np.array(at or [], np.int64))
 
     def run(batches):
         table = worker_table(path, "library")
         for part, texts in blocks(batches):
             ids, n = table.encode(texts)
+            # rows without an id come first
+            shard = np.where(np.asarray(part.column(0).is_null()), 0, np.searchsorted(bounds, np.asarray(part.column(0).fill_null(0)), side="right"))
             ends = np.cumsum(n)
-            ids = np.insert(ids, ends, end_id).astype("<u4")
-            offsets = np.concatenate([[0], (ends + np.arange(1, len(n) + 1)) * 4]).astype(np.int32)
+            ids = np.insert(ids, ends, end_id).astype(plain_type)
+            offsets = np.concatenate([[0], (ends + np.arange(1, len(n) + 1)) * ids.itemsize]).astype(np.int32)
             ids_b = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column(0), ids_b], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part.column(0), ids_b], ["shard", "doc_id", "ids"])
 
-    as_text(docs).mapInArrow(run, "doc_id long, ids binary").write.option("compression", "zstd").parquet(plain := scratch(spark, "ids"))
-    ids = spark.read.schema("doc_id long, ids binary").parquet(plain)
+    texts_.mapInArrow(run, "shard int, doc_id long, ids binary").write.option("compression", "zstd").parquet(plain := scratch(spark, "ids"))
+    ids = spark.read.schema("shard int, doc_id long, ids binary").parquet(plain)
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.frombuffer(_bytes(batch.column(0)), "<u4")
+            own = np.frombuffer(_bytes(batch.column(0)), plain_type)
             got = np.bincount(own, minlength=len(total))
             got[: len(total)] += total
             total = got
@@ -93,9 +113,10 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, block_token
     to_rank = spark.sparkContext.broadcast(rank_of)
 
     def write(batches):
-        ranks, shard = to_rank.value, TaskContext.get().partitionId()
+        ranks = to_rank.value
         held: list[tuple[int | None, int, np.ndarray]] = []
         size = block = 0
+        shard = None
 
         def flush():
             nonlocal held, size, block
@@ -106,18 +127,18 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, block_token
             return pa.RecordBatch.from_arrays([pa.array(v, f) for v, f in zip(row, _ARROW, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), "<u4")
-                if held and size + len(own) > block_tokens:
+            for of, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = np.frombuffer(raw.as_buffer(), plain_type)
+                if held and (size + len(own) > block_tokens or of != shard):
                     yield flush()
+                if of != shard:
+                    shard, block = of, 0
                 held.append((doc, len(own), own))
                 size += len(own)
         if held:
             yield flush()
 
-    # ranges of doc_id: even in rows, since doc_ids are near unique; a repeated doc_id's rows keep together
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     ordered.mapInArrow(write, BLOCK).write.parquet(f"{out}/blocks")
 
 
