@@ -75,6 +75,9 @@ def plan(docs: DataFrame, seed: int) -> DataFrame:
     t = t.withColumn("base", base.cast("int")).withColumn("more", F.col("target") - F.col("base") * F.col("source_size"))
     t = t.withColumn("flip", F.col("more") * 2 > F.col("source_size"))
     t = t.withColumn("left", F.when(F.col("flip"), F.col("source_size") - F.col("more")).otherwise(F.col("more"))).drop("more").checkpoint()
+    if t.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    # from here on a row per source may be broadcast: there are few
     shift = HASH_BITS - BUCKET_BITS
     bucket = F.shiftright("u", shift)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -129,9 +132,7 @@ def mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_w
     spark = prepare(docs.sparkSession)
     docs = with_columns_dropped(docs, *ADDED)
     sources = plan(docs, seed)
-    rows = sources.select("source", "source_size", "target").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = sources.select("source", "source_size", "target").collect()  # at most MOST_SOURCES
     blocks = {r["source"]: max(1, math.ceil(r["target"] / block_words)) for r in rows}
     names = sorted(blocks, key=lambda s: (s is None, s))
     shards = max(1, math.ceil(sum(r["target"] for r in rows) / shard_words))
