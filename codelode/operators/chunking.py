@@ -5,6 +5,9 @@ Long pieces are cut into overlapping windows of tokens. A token is what scalars.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +32,31 @@ def token_windows(texts: DataFrame, key: str, text: str, size: int = S.MAX_CHUNK
 
 
 def _cut(pieces: DataFrame, size: int, overlap: int) -> DataFrame:
-    """pieces (…, text, start) with i, part_start, part_end (characters of the file) and token_count for each window."""
-    # what stands before and including each token gives where it begins and ends
-    tokens = F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))
-    p = pieces.withColumn("_tokens", tokens).withColumn("_n", F.size("_tokens"))
-    short = p.where(F.col("_n") <= size).select(*pieces.columns, F.lit(0).alias("i"), F.lit(False).alias("is_split"), F.col("start").alias("part_start"), (F.col("start") + F.length("text")).alias("part_end"), F.col("_n").alias("token_count"))
-    long = p.where(F.col("_n") > size)
-    # offsets of tokens: spaces between them, found by splitting the text at the tokens
-    gaps = F.transform(F.split("text", TOKEN), lambda g: F.length(g))
-    lens = F.transform("_tokens", lambda t: F.length(t))
-    long = long.withColumn("_at", F.aggregate(F.arrays_zip(gaps.alias("g"), F.concat(lens, F.array(F.lit(0))).alias("l")), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["g"] + x["l"]))))
-    w = long.withColumn("w", F.explode(windows(F.col("_n"), size, overlap)))
-    first_len = F.element_at(F.transform("_tokens", lambda t: F.length(t)), F.col("w.first") + 1)
-    begin = F.element_at("_at", F.col("w.first") + 2) - first_len
-    end = F.element_at("_at", F.col("w.last") + 1)
-    parts = w.select(*pieces.columns, F.col("w.i").alias("i"), F.lit(True).alias("is_split"), (F.col("start") + begin).alias("part_start"), (F.col("start") + end).alias("part_end"), (F.col("w.last") - F.col("w.first")).alias("token_count"))
+    """pieces (…, text, start) with i, is_split, part_start, part_end (characters of the file) and token_count for each window."""
+    counted = pieces.withColumn("_n", X.token_count("text").cast("int"))
+    short = counted.where(F.col("_n") <= size).select(*pieces.columns, F.lit(0).alias("i"), F.lit(False).alias("is_split"), F.col("start").alias("part_start"), (F.col("start") + F.length("text")).alias("part_end"), F.col("_n").alias("token_count"))
+    # only long pieces need the places of their tokens; one pass over a text gives them all
+    long = counted.where(F.col("_n") > size).withColumn("w", F.explode(_places(size, overlap)("text")))
+    parts = long.select(*pieces.columns, F.col("w.i").alias("i"), F.lit(True).alias("is_split"), (F.col("start") + F.col("w.begin")).alias("part_start"), (F.col("start") + F.col("w.end")).alias("part_end"), F.col("w.n").alias("token_count"))
     return short.unionByName(parts)
 
 
+def _places(size: int, overlap: int):
+    """array<struct<i, begin, end, n>> of a text's windows, in characters."""
+    token = re.compile(TOKEN)
+
+    @F.pandas_udf("array<struct<i:int,begin:int,end:int,n:int>>")
+    def places(texts: pd.Series) -> pd.Series:
+        def of(text: str) -> list[dict]:
+            at = [m.span() for m in token.finditer(text)]
+            firsts = range(0, max(len(at) - overlap, 1), size - overlap)
+            return [{"i": i, "begin": at[f][0], "end": at[min(f + size, len(at)) - 1][1], "n": min(f + size, len(at)) - f} for i, f in enumerate(firsts) if at]
+
+        return texts.map(of)
+
+    return places
+
+
 def structural_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, overlap: int = S.CHUNK_OVERLAP) -> DataFrame:
     """A chunk per named definition (nested ones too); longer ones as windows, the first of which is the others' parent."""
     kinds = sorted({k for v in S.CHUNK_TYPES.values() for k in v})

@@ -15,6 +15,8 @@ from codelode.functions import scalars as X
 
 #: Vectors of a block; blocks are compared as matrices.
 BLOCK = 2048
+#: Vectors of a group, which a task holds.
+GROUP_ROWS = 16_384
 
 
 def fulltext(files: DataFrame, words: Sequence[str], text: str = "content") -> DataFrame:
@@ -67,12 +69,14 @@ def _blocked(chunks: DataFrame) -> DataFrame:
     return units.mapInPandas(pack, "blk string, ids array<string>, vectors binary")
 
 
-def neighbours(chunks: DataFrame, k: int | None = S.DUPLICATE_TOP_K, least: float = -1.0, groups: int = 16) -> DataFrame:
+def neighbours(chunks: DataFrame, k: int | None = S.DUPLICATE_TOP_K, least: float = -1.0, groups: int | None = None) -> DataFrame:
     """id, other, score: each vector's k nearest others with at least this cosine; all such if k is None.
 
     Exact. Blocks of vectors travel to each of the groups into which the blocks are dealt, and are
-    compared there by matrix products; a task holds one group's block and one that visits.
+    compared there by matrix products; a task holds one group and a block that visits. There are as
+    many groups as keep each at about GROUP_ROWS vectors.
     """
+    groups = groups or max(8, -(-chunks.count() // GROUP_ROWS))
     blocks = _blocked(chunks)
     home = blocks.withColumn("grp", F.pmod(F.xxhash64("blk"), F.lit(groups)).cast("int"))
     guest = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
