@@ -119,11 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_unla
     # the lower end of the share's confidence interval: too high a prior leaves no risk to the negatives
     prior = max(share - 2 * (share * (1 - share) / (n + 2)) ** 0.5, share / 2)
     ids = lowest(texts.select("doc_id").where("doc_id is not null"), most_unlabelled, "doc_id").collect()
-    drawn = spark.createDataFrame([(r[0], 2) for r in ids], "doc_id long, label int").distinct()
-    # both samples are bounded by their parameters
-    wanted = known.where("label = 1").unionByName(drawn).withColumn("kind", F.col("label").cast("long")).select("doc_id", "kind")
-    rows = shapes(texts.join(F.broadcast(wanted), "doc_id").select("kind", "text"), "kind").collect()
-    rows = sorted((r[0], *r[1]) for r in rows)
+    drawn = {r[0] for r in ids}
+    positive = {r[0] for r in known.where("label = 1").collect()}
+    # both samples are bounded by their parameters; of rows that repeat an id one counts
+    wanted = spark.createDataFrame([(i,) for i in sorted(drawn | positive)], "doc_id long")
+    found = shapes(texts.join(F.broadcast(wanted), "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
+    rows = [(1, *r["x"]) for r in found if r["doc_id"] in positive] + [(2, *r["x"]) for r in found if r["doc_id"] in drawn]
     x = np.array([r[1:] for r in rows]).reshape(-1, len(SHAPE))
     kind = np.array([r[0] for r in rows])
     if not (kind == 1).any() or not (kind == 2).any():

@@ -78,7 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     scores are the smoothed share of toxic labels, 0.25 if there are none.
     """
     spark = prepare(docs.sparkSession)
-    rows = as_text(docs).join(F.broadcast(sample(labels, "toxic", most)), "doc_id").select("label", "text")
+    known = as_text(docs).join(F.broadcast(sample(labels, "toxic", most)), "doc_id")
+    rows = known.select("label", "text")
 
     def count(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -116,10 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
             feature, of = present(texts, to_feature.value)
             ends = np.cumsum(np.bincount(of, minlength=len(texts)))
             offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))], ["doc_id", "label", "features"])
 
-    # at most MOST_LABELLED rows of at most MOST_FEATURES numbers; in a fixed order, so that reruns agree
-    got = sorted((r[0], r[1]) for r in rows.mapInArrow(select, "label int, features array<int>").collect())
+    # of rows that repeat an id one counts, so there are at most MOST_LABELLED rows of at most MOST_FEATURES
+    # numbers; they are put in a fixed order, so that reruns agree
+    chosen = known.select("doc_id", "label", "text").mapInArrow(select, "doc_id long, label int, features array<int>")
+    got = sorted((r[0], r[1]) for r in chosen.groupBy("doc_id", "label").agg(F.min("features").alias("features")).select("label", "features").collect())
     index = np.array([f for _, own in got for f in own], np.int64)
     weights, intercept = fit_logistic(index, np.array([len(own) for _, own in got]), np.array([y for y, _ in got], float), scale)
     return Model(number, weights * scale, intercept)
