@@ -25,7 +25,7 @@ def violations(requests: DataFrame, limits: DataFrame) -> DataFrame:
     out = None
     for r in limits.select("period_seconds").distinct().orderBy("period_seconds").collect():  # as many as there are distinct periods
         counted = window_counts(requests, int(r[0]), ["api_key", "model_name"])
-        hit = counted.join(F.broadcast(limits.where(F.col("period_seconds") == r[0])), "model_name").where("in_window > max_requests")
+        hit = counted.join(limits.where(F.col("period_seconds") == r[0]), "model_name").where("in_window > max_requests")
         out = hit if out is None else out.unionByName(hit)
     return out
 
