@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codelode import schemas as S
 from codelode.functions import scalars as X
 from codelode.operators import chunking, graph, parse, partitioning, search, stats, store
-from codelode.session import cut
+from codelode.session import cut, importable
 from codelode.sources import files as file_source
 from codelode.sources import git
 
@@ -19,7 +19,7 @@ class Analysis:
     """Questions over a store of entities. embedder: from texts to a matrix; the default is offline."""
 
     def __init__(self, spark: SparkSession, root: str, embedder=None):
-        self.spark, self.store, self.embedder = spark, store.Store(spark, root), embedder
+        self.spark, self.store, self.embedder = importable(spark), store.Store(spark, root), embedder
 
     # --- ingestion --------------------------------------------------------------------------------
 
