@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from codelode.session import importable
 
 
-
 class Tables:
     """The tables of a folder, and what they stand for."""
 
