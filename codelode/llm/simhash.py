@@ -6,7 +6,8 @@ fingerprints lie in cells such that any two that may link share a cell or lie in
 * within a radius of 4 of 64 bits, of six blocks of bits at least two are equal, so a cell is a choice
   of two blocks and their bits, and no link is lost;
 * for a similarity of shingle sets, a cell is a range of set sizes: sets whose sizes differ by more
-  than the similarity allows can't be that similar.
+  than the similarity allows can't be that similar. What prints link here are candidates, and the sets
+  of each group of candidates are compared exactly.
 
 Within cells, fingerprints in the order of their population count form tiles. Tiles are compared by
 numpy's exclusive-or and bit count; pairs of tiles whose population counts differ beyond the radius
@@ -16,6 +17,7 @@ of copies makes as many rows as it has fingerprints, not as it has pairs.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -321,28 +323,135 @@ def labelled(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFr
     return prints.join(of_node, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
-#: For documents of a similarity: bits of a fingerprint.
-WIDE = 2048
+#: For documents of a similarity: bits of a fingerprint, deviations by which prints of similar sets may differ beyond the
+#: mean (odds of a lost link under 1e-8), sets up to which size count as small, and bytes of sets that a part holds.
+WIDE, DEVIATIONS, SMALL, PART_BYTES = 2048, 6, 24, 8 << 20
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Bits by which prints of sets with this similarity (shared of all shingles) are expected to differ."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(bits * math.acos(cosine) / math.pi)
+def differing(a: int, b: int, shared: int) -> float:
+    """Odds that a bit differs in the prints of sets of a and b hashes that share so many."""
+
+    def odds(n):
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    def over(n):  # odds that over half of n are set, by how many of the shared ones are
+        rest = odds(n - shared)
+        return np.array([rest[max(0, n // 2 + 1 - k) :].sum() for k in range(shared + 1)])
+
+    x, y = over(a), over(b)
+    return float((odds(shared) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@functools.cache
+def radius_of(similarity: float, bits: int, least: int, most: int) -> int:
+    """Bits by which prints of sets with this similarity, of least to most hashes the larger one, differ at most."""
+    p = 0.0
+    for a in range(least, most + 1):
+        for b in range(max(1, math.ceil(similarity * a - 1e-9)), a + 1):
+            shared = math.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+            if shared <= b and shared < a:
+                p = max(p, differing(a, b, shared))
+    return round(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_sets(docs: DataFrame, words: int, bits: int = 0) -> DataFrame:
+    """doc_id, node (a digest of the set of shingle hashes), n (its size), and print, or without bits the sorted set."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for part, texts in blocks(batches):
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+            nodes = [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64) for h in sets]
+            data = [(majority(h, bits) if bits else h).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "node", "n", "print" if bits else "set"])
+
+    return as_text(docs).mapInArrow(run, f"doc_id long, node long, n long, {'print' if bits else 'set'} binary")
+
+
+def similar(a: list[tuple[int, bytes]], b: list[tuple[int, bytes]], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that connect all sets (node, sorted hashes) of a with those of b whose similarity is at least this one; exact."""
+    nodes, inverse = np.unique(np.array([x for x, _ in a] + [x for x, _ in b], np.int64), return_inverse=True)
+    ia, ib = inverse[: len(a)], inverse[len(a) :]
+    hashes, codes = np.unique(np.concatenate([np.frombuffer(h, "<u8") for _, h in [*a, *b]]), return_inverse=True)
+    n = np.array([len(h) // 8 for _, h in [*a, *b]])
+    ends = np.cumsum(n)
+    of = codes.astype(np.int32)
+    place = [of[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    na, nb = n[: len(a)], n[len(a) :]
+    label = np.arange(len(nodes))
+    mine = np.zeros(len(hashes), bool)
+    for i in range(len(a)):
+        # sets that are connected already, or whose sizes tell, need no comparison
+        js = np.flatnonzero((label[ib] != label[ia[i]]) & (np.minimum(nb, na[i]) >= similarity * np.maximum(nb, na[i]) - 1e-9) & (nb > 0))
+        if not len(js):
+            continue
+        mine[place[i]] = True
+        shared = np.add.reduceat(mine[np.concatenate([place[len(a) + j] for j in js])], np.cumsum(nb[js]) - nb[js], dtype=np.int64)
+        mine[place[i]] = False
+        for j in js[shared * (1 + similarity) >= similarity * (na[i] + nb[js]) - 1e-9]:
+            x, y = label[ia[i]], label[ib[j]]
+            if x != y:
+                yield int(nodes[ia[i]]), int(nodes[ib[j]])
+                label[label == y] = x
+
+
+def confirmed(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all sets (root, cell, node, n, set) of a root with at least this similarity; exact.
+
+    Sets of a root and size cell are dealt into parts of bounded size by hash, and parts of the same or
+    neighbouring cells meet in pairs.
+    """
+    sizes = sets.groupBy("root", "cell").agg(F.ceil(F.sum(8 * F.col("n") + 64) / PART_BYTES).alias("parts"))
+    dealt = sets.join(sizes, ["root", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
+    parts = sizes.select("root", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    others = parts.select("root", F.col("cell").alias("cell2"), F.col("part").alias("part2"))
+    pairs = parts.join(others, "root").where("cell2 = cell + 1 or cell2 = cell and part2 >= part")
+    first = dealt.join(pairs, ["root", "cell", "part"]).select("root", "cell", "part", "cell2", "part2", F.lit(0).alias("kind"), "node", "set")
+    theirs = dealt.select("root", F.col("cell").alias("cell2"), F.col("part").alias("part2"), "node", "set")
+    second = theirs.join(pairs.where("cell <> cell2 or part <> part2"), ["root", "cell2", "part2"]).select("root", "cell", "part", "cell2", "part2", F.lit(1).alias("kind"), "node", "set")
+
+    def compare(batches):
+        out, now, held = _Out(), None, ([], [])
+        for batch in itertools.chain(batches, [None]):
+            for r in batch.to_pylist() if batch is not None else [None]:
+                key = r and tuple(r[k] for k in keys)
+                if key != now:
+                    if now is not None:
+                        a, b = held
+                        out.add(similar(a, a if now[1:3] == now[3:] else b, similarity) if a and (b or now[1:3] == now[3:]) else ())
+                        for x in out.rows():
+                            yield x.select(["a", "b"])
+                    now, held = key, ([], [])
+                if r:
+                    held[r["kind"]].append((r["node"], r["set"]))
+        for x in out.rows(last=True):
+            yield x.select(["a", "b"])
+
+    keys = ["root", "cell", "part", "cell2", "part2"]
+    met = first.union(second).repartition(*keys).sortWithinPartitions(*keys)
+    return met.mapInArrow(compare, "a array<long>, b array<long>").select(F.inline(F.arrays_zip("a", "b")))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = WIDE) -> DataFrame:
     """doc_id and component_id of documents linked by the similarity of their sets of shingles.
 
-    Prints of many bits estimate the similarity, near 0.8 with a standard error of 0.02 at 2048 bits. Texts with the
-    same set of shingles always link. Rows without a doc_id link nothing and have no component.
+    Prints of many bits find candidates at a radius that sets of the similarity keep to; groups of candidates are then
+    compared by their sets, so that links are exact. Rows without a doc_id link nothing and have no component.
     """
     prepare(docs.sparkSession)
-    prints = fingerprints(docs, words, bits, repeats=False).withColumn("node", F.xxhash64("print", "n")).checkpoint()
+    prints = shingle_sets(docs, words, bits).checkpoint()
     distinct = prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("n").alias("n"))
-    size_class = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + 1e-9)).otherwise(-9)
-    rows = distinct.select(size_class.cast("long").alias("cell"), _population("print", bits).alias("pc"), "node", "print")
-    roots = components(links(rows, radius_of(similarity, bits), bits, neighbours=1, direct=False))
+    size_class = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + 1e-9)).otherwise(-9).cast("long")
+    rows = distinct.select(size_class.alias("cell"), _population("print", bits).alias("pc"), "node", "print", "n")
+    # in prints of small sets bits differ oftener: they have a radius of their own
+    small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") >= similarity * (SMALL + 1) - 1e-9)
+    near_small = links(small, radius_of(similarity, bits, 1, SMALL), bits, neighbours=1, direct=False)
+    near_large = links(large, radius_of(similarity, bits, SMALL + 1, 4 * SMALL), bits, neighbours=1, direct=False)
+    candidates = components(near_small.union(near_large)).checkpoint()
+    wanted = distinct.join(candidates, "node").select("node", "least", size_class.alias("cell"), "root").checkpoint()
+    texts = docs.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = shingle_sets(texts, words).join(wanted, "node").groupBy("node", "root", "cell").agg(F.first("n").alias("n"), F.first("set").alias("set")).checkpoint()
+    roots = components(confirmed(sets, similarity))
     return labelled(prints.select("doc_id", "node"), distinct, roots).select("doc_id", "component_id")
 
 

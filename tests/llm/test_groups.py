@@ -119,6 +119,34 @@ def test_similar_groups(spark):
     assert all(got[i] == i for i in range(30)) and got[301] == 300 and got[400] == 400 and got[None] is None
 
 
+def test_similar_groups_are_exact(spark):
+    """Sets at the edge of the similarity, small ones above all, against exact Jaccard similarities."""
+    rng = random.Random(9)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for a, b, shared in [(6, 7, 6), (5, 6, 5), (4, 5, 4), (12, 15, 12), (16, 19, 16), (20, 25, 20), (6, 8, 6), (4, 6, 4), (45, 50, 42), (24, 26, 22), (450, 450, 400), (450, 450, 399), (3, 4, 3)]:
+        for _ in range(8):
+            t = new(shared + 4)  # so many shingles, which both texts share
+            texts += [" ".join(t + new(a - shared)), " ".join(t + new(b - shared))]
+    sets = [frozenset(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    exact = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 10 * len(a & b) >= 8 * len(a | b)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(d).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), exact)
+
+
+def test_candidates_are_confirmed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_BYTES", 2000)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(45, 61)], rng.integers(0, 2**63, rng.integers(0, 7), dtype=np.uint64)])) for _ in range(80)]
+    rows = [(1, int(np.floor(np.log(len(h)) / np.log(1.25) + 1e-9)), i, len(h), h.tobytes()) for i, h in enumerate(sets)]
+    found = [tuple(r) for r in simhash.confirmed(spark.createDataFrame(rows, "root long, cell long, node long, n long, set binary"), 0.8).collect()]
+    like = lambda i, j: 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))
+    assert found and all(like(a, b) for a, b in found)
+    assert roots(80, found) == roots(80, [(i, j) for i in range(80) for j in range(i) if like(i, j)])
+
+
 # --- top-k ----------------------------------------------------------------------------------------
 
 
