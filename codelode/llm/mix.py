@@ -9,8 +9,10 @@ met exactly and shards are alike. A source's blocks are permuted, each shard tak
 the permutation, and a shard's rows are shuffled among themselves.
 
 The documents that are given once more are those first in the order of a hash whose sizes fit into
-what is left, and then, to come near the target, a few more chosen by size. Cuts are found from
-histograms of the hash, so no task holds a source.
+what is left, and then, to come near the target, a few more chosen by size. Where documents still fit,
+as behind a very long one, rounds go on in the order of the hash over those of at most half the gap,
+which halves each time, until nothing fits. Cuts are found from histograms of the hash, so no task
+holds a source.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BLOCK_WORDS, SHARD_WORDS, BUCKET_BITS, FILLERS = 50_000, 8_000_000, 12, 4
 #: Sources are entries of a mixing plan. Their rows are broadcast and the tree's counts (sources x shards) are held by the driver, up to this many.
 MOST_SOURCES = 100_000
 HASH_BITS = 60
+RULES = "array<struct<most:bigint,cut:bigint>>"
 ADDED = ("size", "source_size", "target", "taken", "copies", "shards", "drawn")
 
 
@@ -62,9 +65,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, seed: int) -> DataFrame:
-    """Per source: source, source_size, target, base (copies of every document), flip, cut and fill.
+    """Per source: source, source_size, target, base (copies of every document), flip, cut, fill and _rules.
 
-    A document is chosen if its drawn number is at most cut, or in fill. Chosen documents are given
+    A document is chosen if its drawn number is at most cut, or in fill, or if one of _rules holds (size at most
+    most, drawn number at most cut). Chosen documents are given
     once more; where more than half are to be, flip is true and those not chosen are.
     """
     u = docs.select("source", drawn(F.col("doc_id"), seed).alias("u"), words(F.col("text")).alias("size"))
@@ -78,29 +82,66 @@ def plan(docs: DataFrame, seed: int) -> DataFrame:
     if t.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     # from here on a row per source may be broadcast: there are few
+    cut = prefix(units, t.select("source", "left")).checkpoint()
+    # a few of each size, largest first, where they fit
+    size_class = F.length(F.bin("size"))
+    more = units.join(F.broadcast(cut), units["source"].eqNullSafe(cut["source"])).where("u > cut and size > 0 and size <= gap").select(units["source"], "u", "size", "gap")
+    rank = F.row_number().over(Window.partitionBy("source", size_class).orderBy("u"))
+    more = more.withColumn("rank", rank).where(F.col("rank") <= FILLERS).groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("minus"), "u"))).alias("some"))
+    step = lambda acc, x: F.when(acc["gap"] + x["minus"] >= 0, F.struct((acc["gap"] + x["minus"]).alias("gap"), F.concat(acc["fill"], F.array(x["u"])).alias("fill"))).otherwise(acc)
+    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast("array<bigint>").alias("fill"))
+    fill = more.withColumn("end", F.aggregate("some", start, step)).select("source", "end.fill", F.col("end.gap").alias("rest"))
+    out = t.join(cut.select(cut["source"].alias("c"), "cut", "gap"), t["source"].eqNullSafe(F.col("c")), "left").join(fill.select(fill["source"].alias("f"), "fill", "rest"), t["source"].eqNullSafe(F.col("f")), "left")
+    out = out.select("source", "source_size", "target", "base", "flip", F.coalesce("rest", "gap", F.lit(0.0)).alias("gap"), F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("fill", F.array().cast("array<bigint>")).alias("fill"), F.array().cast(RULES).alias("_rules"))
+    return filled(units, out.checkpoint()).drop("gap")
+
+
+def prefix(units: DataFrame, room: DataFrame) -> DataFrame:
+    """source, cut, gap: up to which u the sizes of units (source, u, size) fit into left of room (source, left), and
+    what is left then. Sources whose units all fit have no row."""
     shift = HASH_BITS - BUCKET_BITS
     bucket = F.shiftright("u", shift)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     by_bucket = units.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
     sums = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     by_bucket = by_bucket.withColumn("upto", F.sum("size").over(sums))  # at most 2^BUCKET_BITS rows of a source
-    b = by_bucket.join(F.broadcast(t.select("source", "left")), same(by_bucket, t)).where(F.col("upto") > F.col("left")).groupBy(by_bucket["source"], "left").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("edge"))
+    b = by_bucket.join(F.broadcast(room), same(by_bucket, room)).where(F.col("upto") > F.col("left")).groupBy(by_bucket["source"], "left").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("edge"))
     edge = b.select("source", "left", "edge.*").checkpoint()
     # documents of the one bucket of each source in which the cut lies
     at_edge = units.join(F.broadcast(edge), same(units, edge) & (bucket == F.col("bucket"))).select(units["source"], "u", "size", "left", "bucket", "before")
     run = at_edge.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
     fits = F.col("upto") <= F.col("left")
-    cut = run.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("u"))), F.shiftleft(F.first("bucket"), shift) - 1).alias("cut"), (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before"))).alias("gap")).checkpoint()
-    # what is still missing is less than one document: a few of each size, largest first, where they fit
-    size_class = F.length(F.bin("size"))
-    more = units.join(F.broadcast(cut), same(units, cut)).where("u > cut and size > 0 and size <= gap").select(units["source"], "u", "size", "gap")
-    rank = F.row_number().over(Window.partitionBy("source", size_class).orderBy("u"))
-    more = more.withColumn("rank", rank).where(F.col("rank") <= FILLERS).groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("minus"), "u"))).alias("some"))
-    step = lambda acc, x: F.when(acc["gap"] + x["minus"] >= 0, F.struct((acc["gap"] + x["minus"]).alias("gap"), F.concat(acc["fill"], F.array(x["u"])).alias("fill"))).otherwise(acc)
-    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast("array<bigint>").alias("fill"))
-    fill = more.select("source", F.aggregate("some", start, step)["fill"].alias("fill"))
-    out = t.join(cut.select(cut["source"].alias("c"), "cut"), t["source"].eqNullSafe(F.col("c")), "left").join(fill.select(fill["source"].alias("f"), "fill"), t["source"].eqNullSafe(F.col("f")), "left")
-    return out.select("source", "source_size", "target", "base", "flip", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("fill", F.array().cast("array<bigint>")).alias("fill")).checkpoint()
+    return run.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("u"))), F.shiftleft(F.first("bucket"), shift) - 1).alias("cut"), (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before"))).alias("gap"))
+
+
+def chosen(u: Column, size: Column) -> Column:
+    """Whether a plan's cut, fill or _rules choose the document; size is that of all rows with its u."""
+    by_rule = F.exists("_rules", lambda r: (size > 0) & (size <= r["most"]) & (u <= r["cut"]))
+    return (u <= F.col("cut")) | F.array_contains("fill", u) | by_rule
+
+
+def filled(units: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with documents added to _rules and fill until none that isn't chosen fits a source's gap.
+
+    A round goes on in the order of u over documents of at most half the gap: it stops with less than half
+    the gap left, or has taken them all, and then one larger document can fit at most.
+    """
+    while True:
+        still = units.join(F.broadcast(plan.withColumnRenamed("source", "_source")), units["source"].eqNullSafe(F.col("_source")))
+        still = still.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~chosen(F.col("u"), F.col("size"))).select("source", "u", "size", "gap")
+        half = F.col("size") * 2 <= F.col("gap")
+        per = still.groupBy("source").agg(F.first("gap").alias("left"), F.sum(F.when(half, F.col("size"))).alias("all"), F.max(F.when(~half, F.struct("size", (-F.col("u")).alias("minus")))).alias("one")).checkpoint()
+        if not per.head(1):
+            return plan
+        cut = prefix(still.where(half), per.where("all is not null").select("source", "left")).select(F.col("source").alias("_c"), F.col("cut").alias("_cut"), F.col("gap").alias("_gap")).checkpoint()
+        new = per.join(cut, per["source"].eqNullSafe(F.col("_c")), "left").drop("_c").withColumnRenamed("source", "_s")
+        out = plan.join(new, plan["source"].eqNullSafe(F.col("_s")), "left")
+        small, large = F.col("all").isNotNull(), F.col("all").isNull() & F.col("one").isNotNull()
+        rule = F.struct(F.floor(F.col("gap") / 2).alias("most"), F.coalesce("_cut", F.lit((1 << HASH_BITS) - 1)).alias("cut"))
+        rest = F.when(small, F.coalesce("_gap", F.col("gap") - F.col("all"))).when(large, F.col("gap") - F.col("one.size")).otherwise(F.col("gap"))
+        fill = F.when(large, F.concat("fill", F.array(-F.col("one.minus")))).otherwise(F.col("fill"))
+        rules = F.when(small, F.concat("_rules", F.array(rule).cast(RULES))).otherwise(F.col("_rules"))
+        plan = out.select("source", "source_size", "target", "base", "flip", rest.alias("gap"), "cut", fill.alias("fill"), rules.alias("_rules")).checkpoint()
 
 
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -159,13 +200,20 @@ def mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_w
         return pd.Series(out)
 
     # one small row per source: at most MOST_SOURCES
-    s = sources.select(F.col("source").alias("_source"), "source_size", "target", "base", "flip", "cut", "fill")
+    s = sources.select(F.col("source").alias("_source"), "source_size", "target", "base", "flip", "cut", "fill", "_rules")
     d = docs.withColumn("size", words(F.col("text"))).withColumn("drawn", drawn(F.col("doc_id"), seed))
     d = d.join(F.broadcast(s), d["source"].eqNullSafe(F.col("_source")))
-    chosen = (F.col("drawn") <= F.col("cut")) | F.array_contains("fill", F.col("drawn"))
-    d = d.withColumn("copies", F.col("base") + (chosen != F.col("flip")).cast("int"))
+    unit = F.col("size")
+    if sources.where(F.size("_rules") > 0).head(1):
+        # rules go by the size of all rows that repeat a doc_id
+        own = docs.select(F.col("source").alias("_of"), drawn(F.col("doc_id"), seed).alias("_u"), words(F.col("text")).alias("_size"))
+        repeated = own.groupBy("_of", "_u").agg(F.sum("_size").alias("_unit"), F.count("*").alias("_n")).where("_n > 1").drop("_n").checkpoint()
+        if repeated.head(1):
+            d = d.join(repeated, d["source"].eqNullSafe(F.col("_of")) & (F.col("drawn") == F.col("_u")), "left").drop("_of", "_u")
+            unit = F.coalesce("_unit", "size")
+    d = d.withColumn("copies", F.col("base") + (chosen(F.col("drawn"), unit) != F.col("flip")).cast("int"))
     d = d.withColumn("taken", F.col("copies") * F.col("size")).withColumn("shards", shards_of("source", "copies", "drawn"))
-    return d.drop("_source", "base", "flip", "cut", "fill")
+    return d.drop("_source", "base", "flip", "cut", "fill", "_rules", "_unit")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
