@@ -315,6 +315,34 @@ def test_copies_are_found_cropped_edited_and_turned(spark):
     assert media.copies(d.limit(0)).count() == 0
 
 
+def test_small_images_have_points_and_equal_ones_link(spark):
+    rng = np.random.default_rng(12)
+    small = [rng.integers(0, 200, (h, 64)).astype(np.float32) for h in (1, 2, 5, 9, 14)]
+    one = [np.full((h, 3), 9, np.float32) for h in (1, 2)]  # without any corner
+    images = [encoded for a in small + one for encoded in (media.encode(a), png(a.astype(np.uint8)))] + [None, None, b"no", b"no"]
+    edited = small[4].copy()
+    edited[3, 20] = 255
+    images.append(media.encode(edited))
+    d = spark.createDataFrame(list(enumerate(images)), "image_id long, image binary")
+    got = {r.image_id: r for r in media.copies(d).collect()}
+    assert [got[i].component_id for i in range(19)] == [i // 2 * 2 for i in range(14)] + [14, 15, 16, 17, 8]
+    assert all(got[i].n_points > 0 for i in range(10)) and all(got[i].n_links == 1 for i in (0, 1, 12, 13))
+
+
+def brute_equal_pages(rows):
+    least = {}
+    for i, page in sorted(rows):
+        least.setdefault(media.drawn(page or "").tobytes(), i)
+    return {i: least[media.drawn(page or "").tobytes()] for i, page in rows}
+
+
+def test_equal_pages_share_a_component(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").cast("long"), "html")
+    twice = pages.union(pages.select(F.col("page_id") + 1_000_000, "html"))
+    got = {r.image_id: r.component_id for r in media.copies(media.page_images(twice)).collect()}
+    assert all(got[i] == got[b] for i, b in brute_equal_pages([tuple(r) for r in twice.collect()]).items())
+
+
 def test_pages_are_drawn_whole():
     x = media.drawn("<head><title>no</title></head><p>" + "ab " * 100 + "</p><script>x</script><p>&eacute;</p>")
     assert x.shape == (6, 64) and media.drawn("").shape == (1, 64)
