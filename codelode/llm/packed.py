@@ -15,6 +15,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from codelode.llm.pieces import blocks, worker_table
 
 BLOCK = "shard int, block int, n_tokens long, doc_ids array<long>, doc_tokens array<int>, control binary, data binary"
 
+#: Ids of a shard at most on average, and at least where there are fewer shards than shuffle partitions.
+SHARD_IDS, LEAST_IDS = 1 << 26, 1 << 20
+
 #: By control byte: the bytes of each of its four numbers.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
@@ -61,9 +67,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, block_tokens: int = 1 << 20) -> None:
     """Encode every whole text, append end_id to each, and write the format to the folder out.
 
-    Null texts are empty and hold end_id alone. Rows are ordered by doc_id, nulls first, then by
-    their ids; repeated rows are all written. Other columns are ignored. Of an empty table the
-    folder has no blocks and no ranks.
+    Null texts are empty and hold end_id alone. Rows are ordered by doc_id, nulls first, rows that
+    share one by a hash of their ids; repeated rows are all written. Shards are ranges of that order, so
+    the rows of one doc_id, or those without any, may fill many. Other columns are ignored. Of an
+    empty table the folder has no blocks and no ranks.
     """
     spark = prepare(docs.sparkSession)
     # until they are ranked, ids are held in two bytes where all of them fit
@@ -72,79 +79,86 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 0, block_token
     most = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
     plain_type = "<u2" if most < 1 << 16 else "<u4"
 
-    texts_ = as_text(docs)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # where shards begin: quantiles of doc_id, from that column alone
-    at = texts_.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10_000)).first()[0] if shards > 1 else None
-    bounds = np.unique(np.array(at or [], np.int64))
-
     def run(batches):
-        table = worker_table(path, "library")
+        """A row per document, and last one that says in met how often each id was met."""
+        table, task, seq = worker_table(path, "library"), TaskContext.get().partitionId(), 0
+        met = np.zeros(most + 1, np.int64)
         for part, texts in blocks(batches):
             ids, n = table.encode(texts)
-            # rows without an id come first
-            shard = np.where(np.asarray(part.column(0).is_null()), 0, np.searchsorted(bounds, np.asarray(part.column(0).fill_null(0)), side="right"))
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, end_id).astype(plain_type)
+            met += np.bincount(ids, minlength=most + 1)
             offsets = np.concatenate([[0], (ends + np.arange(1, len(n) + 1)) * ids.itemsize]).astype(np.int32)
-            ids_b = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part.column(0), ids_b], ["shard", "doc_id", "ids"])
-
-    texts_.mapInArrow(run, "shard int, doc_id long, ids binary").write.option("compression", "zstd").parquet(plain := scratch(spark, "ids"))
-    ids = spark.read.schema("shard int, doc_id long, ids binary").parquet(plain)
+            raw = ids.tobytes()
+            tie = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+            own = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            place = (task << 40) + seq + np.arange(len(n))
+            seq += len(n)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tie), pa.array(place), own, pa.nulls(len(n), pa.binary())], _SCRATCH_NAMES)
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([met.astype("<i8").tobytes()], pa.binary())], _SCRATCH_NAMES)
+
+    as_text(docs).mapInArrow(run, SCRATCH).write.option("compression", "zstd").parquet(plain := scratch(spark, "ids"))
+    stored = spark.read.schema(SCRATCH).parquet(plain)
 
     def count(batches):
-        total = np.zeros(0, np.int64)
+        total = np.zeros(most + 1, np.int64)
         for batch in batches:
-            own = np.frombuffer(_bytes(batch.column(0)), plain_type)
-            got = np.bincount(own, minlength=len(total))
-            got[: len(total)] += total
-            total = got
+            for raw in batch.column(0):
+                total += np.frombuffer(raw.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
     # one row per id of the vocabulary: bounded, whatever the input
-    counts = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = stored.select("met").where("met is not null").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1)
     ranked.select("rank", "id", "n").coalesce(1).write.parquet(f"{out}/ranks")
-    table = spark.read.parquet(f"{out}/ranks").select("rank", "id").toPandas()
-    rank_of = np.zeros(int(table["id"].max()) + 1 if len(table) else 1, "<u4")
+    table = spark.read.parquet(f"{out}/ranks").select("rank", "id", "n").toPandas()
+    rank_of = np.zeros(most + 1, "<u4")
     rank_of[table["id"]] = table["rank"]
     to_rank = spark.sparkContext.broadcast(rank_of)
+    total = int(table["n"].sum())
+    shards = max(total // SHARD_IDS, min(total // LEAST_IDS, int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1
 
     def write(batches):
-        ranks = to_rank.value
-        held: list[tuple[int | None, int, np.ndarray]] = []
-        size = block = 0
-        shard = None
+        ranks, shard, block = to_rank.value, TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        size = 0
 
         def flush():
             nonlocal held, size, block
-            all_ids = np.concatenate([x[2] for x in held])
-            control, data = pack(ranks[all_ids])
-            row = [[shard], [block], [len(all_ids)], [[x[0] for x in held]], [[x[1] for x in held]], [control], [data]]
+            docs_, lens = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype(np.int32)
+            control, data = pack(ranks[np.concatenate([x[2] for x in held])])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            row = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([size]), one(docs_), one(pa.array(lens)), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
             held, size, block = [], 0, block + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, f) for v, f in zip(row, _ARROW, strict=True)], names=[x.split()[0] for x in BLOCK.split(", ")])
+            return pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
-            for of, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = np.frombuffer(raw.as_buffer(), plain_type)
-                if held and (size + len(own) > block_tokens or of != shard):
-                    yield flush()
-                if of != shard:
-                    shard, block = of, 0
-                held.append((doc, len(own), own))
-                size += len(own)
+            column = batch.column(1)
+            n = np.asarray(pc.binary_length(column)).astype(np.int64) // np.dtype(plain_type).itemsize
+            flat, ends, at = np.frombuffer(_bytes(column), plain_type), np.cumsum(n), 0
+            while at < len(n):
+                before = int(ends[at - 1]) if at else 0
+                end = int(np.searchsorted(ends, before + block_tokens - size, side="right"))
+                if end <= at:
+                    if held:
+                        yield flush()
+                        continue
+                    end = at + 1
+                held.append((batch.column(0).slice(at, end - at), n[at:end], flat[before : ends[end - 1]]))
+                size += int(ends[end - 1]) - before
+                at = end
         if held:
             yield flush()
 
-    ordered = ids.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    ordered.mapInArrow(write, BLOCK).write.parquet(f"{out}/blocks")
-
-
-_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    key = ["doc_id", "tie", "place"]
+    ordered = stored.where("met is null").select(*key, "ids").repartitionByRange(shards, *key).sortWithinPartitions(*key)
+    ordered.select("doc_id", "ids").mapInArrow(write, BLOCK).write.parquet(f"{out}/blocks")
 
 
+SCRATCH = "doc_id long, tie long, place long, ids binary, met binary"
+_SCRATCH_NAMES = [x.split()[0] for x in SCRATCH.split(", ")]
 def _bytes(column: pa.Array) -> memoryview:
     """The bytes of all values of a binary column, end to end."""
     if not len(column):
@@ -181,35 +195,26 @@ def _read(spark: SparkSession, out: str, digests: bool) -> DataFrame:
     before = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")
     starts = sizes.withColumn("within", before).join(shards, "shard").select("shard", "block", (F.col("base") + F.col("within")).alias("at"))
 
+    names = "ids_crc32" if digests else "ids"
+
     def run(batches):
         ids_of_rank = ids_of.value
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = ids_of_rank[unpack(row["control"], row["data"], row["n_tokens"])].astype("<u4")
-                n = np.array(row["doc_tokens"], np.int64)
+            for i in range(batch.num_rows):
+                shard, block, n_tokens, doc_ids, doc_tokens, control, data = (batch.column(k)[i] for k in range(7))
+                ids = ids_of_rank[unpack(control.as_buffer(), data.as_buffer(), n_tokens.as_py())]
+                n = np.asarray(doc_tokens.values).astype(np.int64)
                 ends = np.cumsum(n)
                 if digests:
-                    raw = ids.tobytes()
+                    raw = memoryview(ids).cast("B")
                     last = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], pa.int64())
                 else:
                     last = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(ends - n), pa.array(n), last], ["doc_id", "start", "n_tokens", names])
+                k = len(n)
+                place = [pa.array(np.full(k, x.as_py(), np.int32)) for x in (shard, block)]
+                yield pa.RecordBatch.from_arrays([*place, doc_ids.values, pa.array(ends - n), pa.array(n), last], ["shard", "block", "doc_id", "start", "n_tokens", names])
 
-    names = "ids_crc32" if digests else "ids"
     found = stored.select("shard", "block", "n_tokens", "doc_ids", "doc_tokens", "control", "data")
     # documents are given their place in the block first, so that only (shard, block) has to be joined
-    by_doc = found.mapInArrow(_with_place(run), f"shard int, block int, doc_id long, start long, n_tokens long, {names} {'long' if digests else 'array<int>'}")
+    by_doc = found.mapInArrow(run, f"shard int, block int, doc_id long, start long, n_tokens long, {names} {'long' if digests else 'array<int>'}")
     return by_doc.join(starts, ["shard", "block"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", names)
-
-
-def _with_place(run):
-    def placed(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                shard, block = one.column(0)[0].as_py(), one.column(1)[0].as_py()
-                for got in run([one]):
-                    n = got.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([block] * n, pa.int32()), *got.columns], ["shard", "block", *got.schema.names])
-
-    return placed

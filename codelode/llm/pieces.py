@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps at most; the table starts anew beyond it (results don't change).
-MAX_PIECES = 400_000
+MAX_PIECES = 700_000
 #: Characters of text per block.
 BLOCK_CHARS = 6_000_000
 

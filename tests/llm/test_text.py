@@ -185,3 +185,17 @@ def test_queries_over_whole_tables(spark, sf, both):
         want.add((k, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
         at += len(x)
     assert {tuple(r) for r in queries.QUERIES["op9_packed_ids"](spark, sf).collect()} == want
+
+
+def test_rows_of_one_id_fill_many_shards(spark, both, tmp_path, monkeypatch):
+    monkeypatch.setattr(packed, "SHARD_IDS", 200)
+    rows = [(7, f"word {i} of one document") for i in range(300)] + [(None, f"no id {i}") for i in range(100)] + [(i, "few") for i in range(5)] + [(7, "again")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    packed.write_ids(d, queries.tokenizer(FILES[1]), f"{tmp_path}/p", block_tokens=50)
+    got = sorted(packed.read_ids(spark, f"{tmp_path}/p").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 100 + [0, 1, 2, 3, 4] + [7] * 340
+    lib = both[FILES[1]][0]
+    assert sorted(map(str, ((r.doc_id, r.ids) for r in got))) == sorted(map(str, ((i, lib.encode(t, add_special_tokens=False).ids + [0]) for i, t in rows)))
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    shards = spark.read.parquet(f"{tmp_path}/p/blocks").where("exists(doc_ids, x -> x = 7)").select("shard").distinct().count()
+    assert shards > 4
