@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> SparkSession:
     """Let executors import this package and make sure that checkpoint() has a folder.
 
-    The folder is the cluster's own (spark.checkpoint.dir); a local temporary one is set only where
-    the session has none, as in tests.
+    The folder is the cluster's own (spark.checkpoint.dir). A session of one machine that has none gets a
+    temporary one; on a cluster that is an error, since executors elsewhere couldn't read it.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -37,11 +37,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    return (
-        spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.checkpoint.dir", None)
-        or tempfile.mkdtemp(prefix="codelode-")
-    )
+    if folder := spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="codelode-")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,6 +49,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a few numbers that may be broadcast, some megabytes of memory.
+MOST_BROADCAST = 100_000
+
+
+def within(df: DataFrame, n: int) -> DataFrame:
+    """df, whose n rows are narrow, to be broadcast if they are few; beyond that the optimizer chooses the join and splits hot keys."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
+
+
 def with_columns_dropped(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that would clash with those an operator adds."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])

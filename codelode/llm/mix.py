@@ -1,164 +1,186 @@
 """Mixing sources to target weights.
 
-Sources share a total number of words by weight; a source gives each of its documents as many whole
-times as its target holds all of them, and some documents once more for what is left. Copies are
-dealt by hash into blocks of about equal size within their source. How many blocks of each source an
-output shard gets comes from a splitting tree: a node that stands for some shards draws the counts of
-its left half from the multivariate hypergeometric distribution of its own counts, so that quotas are
-met exactly and shards are alike. A source's blocks are permuted, each shard takes the next blocks of
-the permutation, and a shard's rows are shuffled among themselves.
-
-The documents that are given once more are those first in the order of a hash whose sizes fit into
-what is left, and then, to come near the target, a few more chosen by size. Where documents still fit,
-as behind a very long one, rounds go on in the order of the hash over those of at most half the gap,
-which halves each time, until nothing fits. Cuts are found from histograms of the hash, so no task
-holds a source.
+Sources share a total number of words by weight. The documents of a source are dealt by hash into
+blocks; a block is drawn as a whole, once in each pass over its source. As many passes draw all blocks
+as the target holds whole ones, and for what is left the last pass draws blocks in a random order, leaving
+out those that no longer fit. So each source has an exact quota of blocks, whose words come near its target.
+
+A splitting tree deals the quotas to output shards: a node that stands for some shards draws the counts
+of its left half from the multivariate hypergeometric distribution of its own counts, down to single
+shards. The draws of a source are permuted, and each shard takes the next of them, as many as its leaf
+says; which documents are taken, how often and where follows from the blocks that the shards hold. Last,
+a shard's rows are shuffled among themselves.
+
+No task and no driver holds a source: the order of blocks is cut from a histogram of at most
+BUCKETS x 64 cells, the tree's leaves are computed by ranges of shards, and blocks meet them in a join.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.llm.common import prepare, with_columns_dropped
+from codelode.llm.common import prepare, with_columns_dropped, within
 
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Words per block and per output shard; bits of the hash that a histogram of it has; documents per size class that may fill a gap.
-BLOCK_WORDS, SHARD_WORDS, BUCKET_BITS, FILLERS = 50_000, 8_000_000, 12, 4
-#: Sources are entries of a mixing plan. Their rows are broadcast and the tree's counts (sources x shards) are held by the driver, up to this many.
-MOST_SOURCES = 100_000
-HASH_BITS = 60
-RULES = "array<struct<most:bigint,cut:bigint>>"
+#: Words of a block and of an output shard, and blocks of a small source.
+BLOCK_WORDS, SHARD_WORDS, LEAST_BLOCKS = 50_000, 8_000_000, 512
+#: Blocks of one pass at most, by words and by sources each; blocks grow beyond it, since the distribution is drawn below 10^9.
+MOST_BLOCKS = 160_000_000
+#: Parts of a source's order of blocks, and colours of the tree; of more sources, some share a colour.
+BUCKETS, COLOURS = 4096, 65_536
 ADDED = ("size", "source_size", "target", "taken", "copies", "shards", "drawn")
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
-def drawn(doc_id: Column, seed: int) -> Column:
-    """A number of HASH_BITS bits from the document's id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    """Runs without ASCII white space. Each becomes one letter, so no list of them is made."""
+    runs = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "w")
+    return F.coalesce(F.length(F.translate(runs, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target from source and size: a row per source.
+    """source, turn (its place in order), source_size, target from source and size: a row per source.
 
     Sources in the order of code points, null last, weigh WEIGHTS by turns. A target stops at MOST
     times the source's size; what is above goes to the others by weight until none is above.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     # one row per source from here on
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(WEIGHTS)
-    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), turn.cast("int") + 1)).withColumn("most", MOST * F.col("source_size"))
+    s = s.withColumn("turn", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("turn") % len(WEIGHTS)).cast("int") + 1)).withColumn("most", MOST * F.col("source_size"))
     order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     upto, rest, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(upto), F.lit(0))) / F.sum("weight").over(rest))
     # sources that reach their limit come first; the first that doesn't has the level of all others
     level = F.first(F.when(F.col("most") > F.col("weight") * F.col("level"), F.col("level")), ignorenulls=True).over(every)
     target = F.coalesce(F.least(F.col("most").cast("double"), F.col("weight") * level), F.col("most").cast("double"))
-    return s.select("source", "source_size", target.alias("target"))
+    return s.select("source", F.col("turn").cast("long").alias("turn"), "source_size", target.alias("target"))
 
 
-def plan(docs: DataFrame, seed: int) -> DataFrame:
-    """Per source: source, source_size, target, base (copies of every document), flip, cut, fill and _rules.
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with size (words) and drawn, a hash of doc_id and text; columns of docs with the added names are replaced."""
+    docs = with_columns_dropped(docs, *ADDED)
+    return docs.withColumn("size", words(F.col("text"))).withColumn("drawn", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
 
-    A document is chosen if its drawn number is at most cut, or in fill, or if one of _rules holds (size at most
-    most, drawn number at most cut). Chosen documents are given
-    once more; where more than half are to be, flip is true and those not chosen are.
-    """
-    u = docs.select("source", drawn(F.col("doc_id"), seed).alias("u"), words(F.col("text")).alias("size"))
-    # rows with the same number (repeated doc_ids) are given together
-    units = u.groupBy("source", "u").agg(F.sum("size").alias("size")).checkpoint()
-    t = targets(units)
-    base = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(F.lit(0))
-    t = t.withColumn("base", base.cast("int")).withColumn("more", F.col("target") - F.col("base") * F.col("source_size"))
-    t = t.withColumn("flip", F.col("more") * 2 > F.col("source_size"))
-    t = t.withColumn("left", F.when(F.col("flip"), F.col("source_size") - F.col("more")).otherwise(F.col("more"))).drop("more").checkpoint()
-    if t.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    # from here on a row per source may be broadcast: there are few
-    cut = prefix(units, t.select("source", "left")).checkpoint()
-    # a few of each size, largest first, where they fit
-    size_class = F.length(F.bin("size"))
-    more = units.join(F.broadcast(cut), units["source"].eqNullSafe(cut["source"])).where("u > cut and size > 0 and size <= gap").select(units["source"], "u", "size", "gap")
-    rank = F.row_number().over(Window.partitionBy("source", size_class).orderBy("u"))
-    more = more.withColumn("rank", rank).where(F.col("rank") <= FILLERS).groupBy("source", "gap").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("minus"), "u"))).alias("some"))
-    step = lambda acc, x: F.when(acc["gap"] + x["minus"] >= 0, F.struct((acc["gap"] + x["minus"]).alias("gap"), F.concat(acc["fill"], F.array(x["u"])).alias("fill"))).otherwise(acc)
-    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast("array<bigint>").alias("fill"))
-    fill = more.withColumn("end", F.aggregate("some", start, step)).select("source", "end.fill", F.col("end.gap").alias("rest"))
-    out = t.join(cut.select(cut["source"].alias("c"), "cut", "gap"), t["source"].eqNullSafe(F.col("c")), "left").join(fill.select(fill["source"].alias("f"), "fill", "rest"), t["source"].eqNullSafe(F.col("f")), "left")
-    out = out.select("source", "source_size", "target", "base", "flip", F.coalesce("rest", "gap", F.lit(0.0)).alias("gap"), F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("fill", F.array().cast("array<bigint>")).alias("fill"), F.array().cast(RULES).alias("_rules"))
-    return filled(units, out.checkpoint()).drop("gap")
-
-
-def prefix(units: DataFrame, room: DataFrame) -> DataFrame:
-    """source, cut, gap: up to which u the sizes of units (source, u, size) fit into left of room (source, left), and
-    what is left then. Sources whose units all fit have no row."""
-    shift = HASH_BITS - BUCKET_BITS
-    bucket = F.shiftright("u", shift)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    by_bucket = units.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-    sums = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    by_bucket = by_bucket.withColumn("upto", F.sum("size").over(sums))  # at most 2^BUCKET_BITS rows of a source
-    b = by_bucket.join(F.broadcast(room), same(by_bucket, room)).where(F.col("upto") > F.col("left")).groupBy(by_bucket["source"], "left").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("edge"))
-    edge = b.select("source", "left", "edge.*").checkpoint()
-    # documents of the one bucket of each source in which the cut lies
-    at_edge = units.join(F.broadcast(edge), same(units, edge) & (bucket == F.col("bucket"))).select(units["source"], "u", "size", "left", "bucket", "before")
-    run = at_edge.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto") <= F.col("left")
-    return run.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("u"))), F.shiftleft(F.first("bucket"), shift) - 1).alias("cut"), (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before"))).alias("gap"))
-
-
-def chosen(u: Column, size: Column) -> Column:
-    """Whether a plan's cut, fill or _rules choose the document; size is that of all rows with its u."""
-    by_rule = F.exists("_rules", lambda r: (size > 0) & (size <= r["most"]) & (u <= r["cut"]))
-    return (u <= F.col("cut")) | F.array_contains("fill", u) | by_rule
-
-
-def filled(units: DataFrame, plan: DataFrame) -> DataFrame:
-    """plan with documents added to _rules and fill until none that isn't chosen fits a source's gap.
-
-    A round goes on in the order of u over documents of at most half the gap: it stops with less than half
-    the gap left, or has taken them all, and then one larger document can fit at most.
+
+def passes(cells: pd.DataFrame) -> pd.DataFrame:
+    """The plan of one source from its cells (bucket, size_class, words, n blocks) in order: base passes that take
+    every block, and the cells that the last pass takes, each where it fits into what is left of the target."""
+    c = cells.sort_values(["bucket", "size_class"], kind="stable").reset_index(drop=True)
+    size, target = int(c["source_size"].iloc[0]), float(c["target"].iloc[0])
+    base = min(int(target // size), MOST) if size else 0
+    left = target - base * size if base < MOST else 0.0
+    more = np.zeros(len(c), bool)
+    for i, w in enumerate(c["words"].tolist()):
+        if 0 < w <= left:
+            more[i], left = True, left - w
+    n = c["n"].to_numpy(np.int64)
+    chosen = np.where(more, n, 0)
+    total = base * int(n.sum())
+    c["base"], c["more"], c["draws"] = base, more, total + int(chosen.sum())
+    c["of_pass"], c["first"], c["first_more"] = int(n.sum()), np.cumsum(n) - n, total + np.cumsum(chosen) - chosen
+    return c[PLAN_NAMES]
+
+
+PLAN = "turn long, bucket int, size_class int, base int, more boolean, draws long, of_pass long, first long, first_more long"
+PLAN_NAMES = [x.split()[0] for x in PLAN.split(", ")]
+
+
+def leaves(quotas: np.ndarray, shards: int, seed: int, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of shards lo to hi - 1: the shard, the colours that it has, where its draws of each begin, and how many they are.
+
+    A node's draw depends on its own range of shards alone, so every task finds the same tree, and only
+    the nodes on the way to its shards are visited.
     """
-    while True:
-        still = units.join(F.broadcast(plan.withColumnRenamed("source", "_source")), units["source"].eqNullSafe(F.col("_source")))
-        still = still.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~chosen(F.col("u"), F.col("size"))).select("source", "u", "size", "gap")
-        half = F.col("size") * 2 <= F.col("gap")
-        per = still.groupBy("source").agg(F.first("gap").alias("left"), F.sum(F.when(half, F.col("size"))).alias("all"), F.max(F.when(~half, F.struct("size", (-F.col("u")).alias("minus")))).alias("one")).checkpoint()
-        if not per.head(1):
-            return plan
-        cut = prefix(still.where(half), per.where("all is not null").select("source", "left")).select(F.col("source").alias("_c"), F.col("cut").alias("_cut"), F.col("gap").alias("_gap")).checkpoint()
-        new = per.join(cut, per["source"].eqNullSafe(F.col("_c")), "left").drop("_c").withColumnRenamed("source", "_s")
-        out = plan.join(new, plan["source"].eqNullSafe(F.col("_s")), "left")
-        small, large = F.col("all").isNotNull(), F.col("all").isNull() & F.col("one").isNotNull()
-        rule = F.struct(F.floor(F.col("gap") / 2).alias("most"), F.coalesce("_cut", F.lit((1 << HASH_BITS) - 1)).alias("cut"))
-        rest = F.when(small, F.coalesce("_gap", F.col("gap") - F.col("all"))).when(large, F.col("gap") - F.col("one.size")).otherwise(F.col("gap"))
-        fill = F.when(large, F.concat("fill", F.array(-F.col("one.minus")))).otherwise(F.col("fill"))
-        rules = F.when(small, F.concat("_rules", F.array(rule).cast(RULES))).otherwise(F.col("_rules"))
-        plan = out.select("source", "source_size", "target", "base", "flip", rest.alias("gap"), "cut", fill.alias("fill"), rules.alias("_rules")).checkpoint()
-
-
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source (columns) that lie before each shard, and at last all: shards + 1 rows."""
-    out = np.zeros((shards + 1, len(quotas)), np.int64)
-
-    def split(a: int, b: int, own: np.ndarray) -> None:
-        out[b] = out[a] + own
-        if b - a > 1:
-            middle = (a + b) // 2
-            rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, a, b])))
-            left = rng.multivariate_hypergeometric(own, int(own.sum()) * (middle - a) // (b - a), method="marginals")
-            split(a, middle, left)
-            split(middle, b, own - left)
-
-    split(0, shards, np.asarray(quotas, np.int64))
-    return out
+    nonzero = np.flatnonzero(quotas)
+    stack = [(0, shards, nonzero, np.zeros(len(nonzero), np.int64), np.asarray(quotas, np.int64)[nonzero])]
+    while stack:
+        a, b, colours, begin, own = stack.pop()
+        if b <= lo or a >= hi:
+            continue
+        if b - a == 1:
+            yield a, colours, begin, own
+            continue
+        middle = (a + b) // 2
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, a, b])))
+        left = rng.multivariate_hypergeometric(own, int(own.sum()) * (middle - a) // (b - a), method="marginals") if len(own) else own
+        right = own - left
+        x, y = left > 0, right > 0
+        stack.append((middle, b, colours[y], (begin + left)[y], right[y]))
+        stack.append((a, middle, colours[x], begin[x], left[x]))
+
+
+def permutation(n: int, seed: int) -> tuple[int, int]:
+    """a and c of the permutation x -> (a x + c) mod n."""
+    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, n])))
+    a = int(rng.integers(1, n + 1))
+    while math.gcd(a, n) > 1:
+        a += 1
+    return a, int(rng.integers(0, n))
+
+
+def draw(rows: DataFrame, seed: int, block_words: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """From rows (source, size, drawn): sources (source, turn, source_size, target, blocks), and turn, block and
+    shards of the blocks that are drawn, a shard per draw."""
+    spark = rows.sparkSession
+    t = targets(rows.groupBy("source", F.pmod("drawn", F.lit(64)).alias("part")).agg(F.sum("size").alias("size"))).checkpoint()
+    n_sources, total, wanted = t.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    by = max(block_words, -(-total // MOST_BLOCKS))
+    least = max(1, min(LEAST_BLOCKS, MOST_BLOCKS // max(n_sources, 1)))
+    sources = t.withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / by), F.lit(least)).cast("long"))
+
+    of = in_blocks(rows.select("source", "size", "drawn"), sources, n_sources).withColumnsRenamed({"_turn": "turn", "_block": "block"})
+    order = F.xxhash64(F.lit(seed), "turn", "block")
+    blocks = of.groupBy("turn", "block").agg(F.sum("size").alias("words"))
+    blocks = blocks.withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 52).cast("int")).withColumn("size_class", F.length(F.bin("words"))).checkpoint()
+    cell = ["turn", "bucket", "size_class"]
+    cells = blocks.groupBy(*cell).agg(F.sum("words").alias("words"), F.count("*").alias("n")).join(within(sources.select("turn", "source_size", "target"), n_sources), "turn")
+    plan = cells.groupBy("turn").applyInPandas(passes, PLAN).checkpoint()
+
+    # the draws of sources that share a colour follow one another
+    colour = F.pmod("turn", F.lit(COLOURS))
+    drawn = plan.groupBy("turn").agg(F.max("draws").alias("draws")).withColumn("colour", colour)
+    drawn = drawn.withColumn("offset", F.sum("draws").over(Window.partitionBy("colour").orderBy("turn")) - F.col("draws"))
+    quotas = np.zeros(min(COLOURS, max(n_sources, 1)), np.int64)
+    for r in drawn.groupBy("colour").agg(F.sum("draws").alias("draws")).collect():  # at most COLOURS rows
+        quotas[r["colour"]] = r["draws"]
+    turned = [(i, int(q), *permutation(int(q), seed + i)) for i, q in enumerate(quotas) if q]
+    turned = spark.createDataFrame(turned, "colour long, all long, a long, c long")  # at most COLOURS rows
+
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("order", "block")) - 1
+    each = blocks.withColumn("rank", rank).join(plan, cell).join(within(drawn.select("turn", "colour", "offset"), n_sources), "turn")
+    each = each.where("base > 0 or more").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("base") + F.col("more").cast("int") - 1)))
+    place = F.col("offset") + F.col("rank") + F.when(F.col("pass") < F.col("base"), F.col("pass") * F.col("of_pass") + F.col("first")).otherwise(F.col("first_more"))
+    each = each.select("turn", "block", "colour", place.alias("place")).join(F.broadcast(turned), "colour")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    each = each.select("turn", "block", "colour", ((wide("a") * wide("place") + wide("c")) % wide("all")).cast("long").alias("place"))
+
+    shards = max(1, math.ceil(wanted / shard_words))
+    tasks = min(shards, max(1, spark.sparkContext.defaultParallelism, shards // 4096))
+
+    def deal(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for shard, colours, begin, own in leaves(quotas, shards, seed, int(ids.min()), int(ids.max()) + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard, np.int32)), pa.array(colours.astype(np.int64)), pa.array(begin), pa.array(own)], ["shard", "colour", "begin", "n"])
+
+    leaf = spark.range(0, shards, 1, tasks).mapInArrow(deal, "shard int, colour long, begin long, n long")
+    taken = leaf.select("shard", "colour", F.explode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("place"))
+    held = each.join(taken, ["colour", "place"]).groupBy("turn", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # at most MOST draws of a block
+    return sources, held.checkpoint()
+
+
+def in_blocks(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+    """rows (source, drawn, ...) with source_size, target, _turn and _block."""
+    s = within(sources.withColumnsRenamed({"source": "_source", "turn": "_turn", "blocks": "_blocks"}), n_sources)
+    met = rows.join(s, rows["source"].eqNullSafe(F.col("_source")))
+    return met.withColumn("_block", F.pmod("drawn", "_blocks")).drop("_source", "_blocks")
 
 
 def mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -166,74 +188,26 @@ def mix(docs: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_w
 
     One row per row of docs, its other columns kept; columns of docs with the added names are
     replaced. Null texts have no words; documents without words are given as often as others of
-    their source. Null sources are a source of their own, the last. Rows that repeat a doc_id are
-    given equally often. The same input gives the same result. An empty table gives an empty one.
-    Documents are given whole, so a source of few large documents may miss its target by part of one.
+    their block. Null sources are a source of their own, the last. Rows that repeat both doc_id and text
+    are given equally often. The same input gives the same result. An empty table gives an empty one.
+    Blocks are given whole, so a source misses its target by less than the smallest block, or cell of its
+    order, that was not given; a source of few large documents may miss it by part of one.
     """
-    spark = prepare(docs.sparkSession)
-    docs = with_columns_dropped(docs, *ADDED)
-    sources = plan(docs, seed)
-    rows = sources.select("source", "source_size", "target").collect()  # at most MOST_SOURCES
-    blocks = {r["source"]: max(1, math.ceil(r["target"] / block_words)) for r in rows}
-    names = sorted(blocks, key=lambda s: (s is None, s))
-    shards = max(1, math.ceil(sum(r["target"] for r in rows) / shard_words))
-    before = splitting_tree(np.array([blocks[s] for s in names] or [1]), shards, seed)
-    # where each source's blocks begin in each shard: sources x shards numbers
-    begins = spark.sparkContext.broadcast({s: (before[:, i], permutation(blocks[s], seed + i)) for i, s in enumerate(names)})
-
-    @F.pandas_udf("array<int>")
-    def shards_of(source: pd.Series, copies: pd.Series, drawn: pd.Series) -> pd.Series:
-        out = [np.zeros(0, np.int32)] * len(source)
-        own = begins.value
-        codes, keys = pd.factorize(source, use_na_sentinel=True)  # -1 for null
-        for code in np.unique(codes):
-            edges, (n, a, c) = own[None if code < 0 else keys[code]]
-            rows = np.flatnonzero(codes == code)
-            k = copies.to_numpy()[rows]
-            of = np.repeat(rows, k)
-            copy = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
-            block = mixed(drawn.to_numpy(np.uint64)[of] + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)
-            place = (block.astype(object) * a + c) % n if n > 2**31 else (block.astype(np.int64) * a + c) % n
-            shard = (np.searchsorted(edges, place.astype(np.int64), side="right") - 1).astype(np.int32)
-            for r, part in zip(rows, np.split(shard, np.cumsum(k)[:-1]), strict=True):
-                out[r] = part
-        return pd.Series(out)
-
-    # one small row per source: at most MOST_SOURCES
-    s = sources.select(F.col("source").alias("_source"), "source_size", "target", "base", "flip", "cut", "fill", "_rules")
-    d = docs.withColumn("size", words(F.col("text"))).withColumn("drawn", drawn(F.col("doc_id"), seed))
-    d = d.join(F.broadcast(s), d["source"].eqNullSafe(F.col("_source")))
-    unit = F.col("size")
-    if sources.where(F.size("_rules") > 0).head(1):
-        # rules go by the size of all rows that repeat a doc_id
-        own = docs.select(F.col("source").alias("_of"), drawn(F.col("doc_id"), seed).alias("_u"), words(F.col("text")).alias("_size"))
-        repeated = own.groupBy("_of", "_u").agg(F.sum("_size").alias("_unit"), F.count("*").alias("_n")).where("_n > 1").drop("_n").checkpoint()
-        if repeated.head(1):
-            d = d.join(repeated, d["source"].eqNullSafe(F.col("_of")) & (F.col("drawn") == F.col("_u")), "left").drop("_of", "_u")
-            unit = F.coalesce("_unit", "size")
-    d = d.withColumn("copies", F.col("base") + (chosen(F.col("drawn"), unit) != F.col("flip")).cast("int"))
-    d = d.withColumn("taken", F.col("copies") * F.col("size")).withColumn("shards", shards_of("source", "copies", "drawn"))
-    return d.drop("_source", "base", "flip", "cut", "fill", "_rules", "_unit")
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Scatters 64-bit numbers (the finisher of a well-known generator)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def permutation(n: int, seed: int) -> tuple[int, int, int]:
-    """n, a and c of the permutation x -> (a x + c) mod n of the blocks."""
-    rng = np.random.Generator(np.random.Philox(seed))
-    a = int(rng.integers(1, n + 1))
-    while math.gcd(a, n) > 1:
-        a += 1
-    return n, a, int(rng.integers(0, n))
+    prepare(docs.sparkSession)
+    return mix_measured(measured(docs), seed, block_words, shard_words)
+
+
+def mix_measured(rows: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """mix() for rows that measured() made."""
+    sources, held = draw(rows, seed, block_words, shard_words)
+    d = in_blocks(rows, sources, sources.count())
+    h = within(held.withColumnsRenamed({"turn": "_turn", "block": "_block"}), held.count())
+    d = d.join(h, ["_turn", "_block"], "left")
+    d = d.withColumn("shards", F.coalesce("shards", F.array().cast("array<int>"))).withColumn("copies", F.size("shards"))
+    return d.withColumn("taken", F.col("copies") * F.col("size")).drop("_turn", "_block")
 
 
 def emit(mixed_docs: DataFrame, columns: list[str], seed: int = 42) -> DataFrame:
     """The mix itself: each copy a row with the given columns and shard, dealt by shard, each shard in random order."""
-    rows = mixed_docs.select(*columns, "drawn", F.posexplode("shards").alias("copy", "shard"))
-    order = F.xxhash64("drawn", "copy", F.lit(seed))
-    return rows.repartition("shard").sortWithinPartitions("shard", order).select(*columns, "shard")
+    rows = mixed_docs.select(*columns, F.col("drawn").alias("_drawn"), F.posexplode("shards").alias("_copy", "shard"))
+    return rows.repartition("shard").sortWithinPartitions("shard", F.xxhash64("_drawn", "_copy", F.lit(seed))).select(*columns, "shard")

@@ -54,13 +54,20 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    """Texts are read once; the mix is made of narrow rows, and taken counts the copies that its shards hold."""
+    prepare(spark)
+    docs = mix.measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = docs.select("doc_id", "source", "size", "drawn", F.monotonically_increasing_id().alias("row")).checkpoint()
+    mixed = mix.mix_measured(rows)
+    held = mix.emit(mixed, ["row", "size"]).groupBy("row").agg(F.sum("size").alias("taken"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    of = mixed.select("row", "doc_id", "size", "source_size", "target").join(held, "row", "left")
+    return of.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
-def mix_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What op7_mix takes, without its shards, which SQL can't draw."""
-    return op7_mix(spark, sf_dir).drop("shards")
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7_mix: each source's size and target."""
+    docs = table(spark, sf_dir, "documents")
+    return mix.targets(docs.select("source", mix.words(F.col("text")).alias("size"))).select("source", "source_size", "target")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, pipeline, mix_taken)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, pipeline, mix_targets)}
 
 SAID = "<|im_end|><|im_start|>assistant ok"
 ORACLE_SQL: dict[str, str] = {
@@ -107,21 +114,9 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
-    "mix_taken": r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS u FROM documents),
+    "mix_targets": r"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT *, 3 * source_size AS most, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
-l AS (SELECT *, row_number() OVER w AS i, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s WINDOW w AS (ORDER BY most / weight, source NULLS LAST)),
-t AS (SELECT source, source_size, coalesce(least(most::DOUBLE, weight * (SELECT arg_min(level, i) FROM l WHERE most > weight * level)), most::DOUBLE) AS target FROM l),
-b AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS base FROM t),
-m AS (SELECT *, (target - base * source_size) * 2 > source_size AS flip, CASE WHEN (target - base * source_size) * 2 > source_size THEN source_size - (target - base * source_size) ELSE target - base * source_size END AS room FROM b),
-n AS (SELECT source, u, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source, u),
-p AS (SELECT n.*, m.room, sum(n.size) OVER (PARTITION BY n.source ORDER BY n.u) <= m.room AS fits, sum(n.size) OVER (PARTITION BY n.source ORDER BY n.u) AS upto FROM n JOIN m ON n.source IS NOT DISTINCT FROM m.source),
-g AS (SELECT source, any_value(room) - coalesce(max(upto) FILTER (fits), 0) AS gap FROM p GROUP BY source),
-k AS (SELECT p.source, p.u, p.size, row_number() OVER (PARTITION BY p.source, length(bin(p.size)) ORDER BY p.u) AS r FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND p.size > 0 AND p.size <= gap),
-c AS (SELECT source, u, size, row_number() OVER (PARTITION BY source ORDER BY size DESC, u) AS i FROM k WHERE r <= 4),
-f AS (SELECT source, CAST(0 AS BIGINT) AS i, gap, CAST(NULL AS BIGINT) AS u, false AS took FROM g
-  UNION ALL SELECT f.source, c.i, CASE WHEN f.gap >= c.size THEN f.gap - c.size ELSE f.gap END, c.u, f.gap >= c.size FROM f JOIN c ON c.source IS NOT DISTINCT FROM f.source AND c.i = f.i + 1),
-h AS (SELECT p.source, p.u, p.fits OR EXISTS (SELECT 1 FROM f WHERE f.took AND f.u = p.u AND f.source IS NOT DISTINCT FROM p.source) AS chosen FROM p)
-SELECT d.doc_id, d.size, m.source_size, m.target, (m.base + CASE WHEN h.chosen <> m.flip THEN 1 ELSE 0 END) * d.size AS taken
-FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source JOIN h ON h.source IS NOT DISTINCT FROM d.source AND h.u = d.u""",
+l AS (SELECT *, row_number() OVER w AS i, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s WINDOW w AS (ORDER BY most / weight, source NULLS LAST))
+SELECT source, source_size, coalesce(least(most::DOUBLE, weight * (SELECT arg_min(level, i) FROM l WHERE most > weight * level)), most::DOUBLE) AS target FROM l""",
 }

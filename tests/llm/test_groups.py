@@ -213,7 +213,7 @@ def test_mix(spark):
     want = brute_targets(sizes)
     m = mix.mix(d, block_words=200, shard_words=2000).cache()
     got = m.collect()
-    assert len(got) == len(rows) and m.columns == ["doc_id", "source", "text", "size", "source_size", "drawn", "copies", "taken", "shards", "target"] or set(mix.ADDED) < set(m.columns)
+    assert len(got) == len(rows) and set(m.columns) == {"doc_id", "source", "text", *mix.ADDED}
     taken = Counter()
     for r in got:
         assert r["size"] == len((r.text or "").split()) and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
@@ -233,35 +233,114 @@ def test_mix(spark):
     assert mix.mix(d.limit(0)).count() == 0
 
 
+def brute_draw(rows, targets, names, block_words, shard_words, least, seed=42):
+    """Shards of each (source, drawn), by a plain walk: quotas, the whole tree, permuted draws."""
+    from pyspark.sql.types import LongType
+
+    blocks, held = {}, {}
+    for source, size, u, order in rows:
+        blocks.setdefault((names.index(source), u), [0, order, source])[0] += size
+    draws = {}
+    for t, source in enumerate(names):
+        own = sorted((o >> 52, w.bit_length() or 1, o, b, w) for (turn, b), (w, o, _) in blocks.items() if turn == t)
+        size = sum(x[4] for x in own)
+        base = min(int(targets[source] // size), 3) if size else 0
+        left = targets[source] - base * size if base < 3 else 0
+        by_cell = Counter()
+        for k, c, _, _, w in own:
+            by_cell[k, c] += w
+        more = set()
+        for cell in sorted(by_cell):
+            if 0 < by_cell[cell] <= left:
+                more.add(cell)
+                left -= by_cell[cell]
+        signed = lambda o: o - 2**64 if o >= 2**63 else o
+        own.sort(key=lambda x: (x[0], x[1], signed(x[2]), x[3]))
+        draws[t] = [x[3] for x in own] * base + [x[3] for x in own if x[:2] in more]
+    quotas = np.array([len(draws[t]) for t in range(len(names))])
+    shards = max(1, -(-int(np.ceil(sum(targets.values()))) // shard_words))
+
+    def split(a, b, own, begin):
+        if b - a == 1:
+            for t, n in enumerate(own):
+                q = len(draws[t])
+                if n:
+                    x, c = mix.permutation(q, seed + t)
+                    for d, block in enumerate(draws[t]):
+                        if begin[t] <= (x * d + c) % q < begin[t] + n:
+                            held.setdefault((t, block), []).append(a)
+            return
+        m = (a + b) // 2
+        some = np.flatnonzero(own)
+        left = np.zeros_like(own)
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, a, b])))
+        left[some] = rng.multivariate_hypergeometric(own[some], int(own.sum()) * (m - a) // (b - a), method="marginals")
+        split(a, m, left, begin)
+        split(m, b, own - left, begin + left)
+
+    split(0, shards, quotas, np.zeros_like(quotas))
+    return held
+
+
+def test_draws_equal_brute_force(spark):
+    d, rows = mixed_docs(spark)
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, s))
+    got = mix.mix(d, block_words=200, shard_words=2000).collect()
+    targets = {r.source: r.target for r in got}
+    blocks = {s: max(-(-sum(r["size"] for r in got if r.source == s) // 200), mix.LEAST_BLOCKS) for s in names}
+    keyed = [(names.index(r.source), r.drawn % blocks[r.source]) for r in got]
+    hashes = spark.createDataFrame(sorted(set(keyed)), "turn long, block long").select("turn", "block", F.xxhash64(F.lit(42), "turn", "block").alias("h")).collect()
+    order = {(r.turn, r.block): r.h % 2**64 for r in hashes}
+    held = brute_draw([(r.source, r["size"], k[1], order[k]) for r, k in zip(got, keyed, strict=True)], targets, names, 200, 2000, mix.LEAST_BLOCKS)
+    assert [r.shards for r in got] == [sorted(held.get(k, [])) for k in keyed]
+    assert any(len(r.shards) > 1 for r in got) and any(not r.shards for r in got)
+
+
+def test_sources_that_share_a_colour(spark, monkeypatch):
+    monkeypatch.setattr(mix, "COLOURS", 2)
+    monkeypatch.setattr("codelode.llm.common.MOST_BROADCAST", 0)
+    d, rows = mixed_docs(spark)
+    got = mix.mix(d, block_words=200, shard_words=2000).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken == len(r.shards) * r["size"] <= 3 * r["size"]
+    assert all(abs(taken[s] - t) <= max(5, 0.02 * t) for s, t in target.items()) and len(target) > 6
+
+
 def test_mix_fills_the_gap_behind_long_documents(spark):
     rng = random.Random(8)
     rows = [(i, s, " ".join(["w"] * rng.randint(20, 100))) for s in "abc" for i in range(ord(s) * 1000, ord(s) * 1000 + 300)]
     rows += [(n, s, " ".join(["w"] * 20_000)) for n, s in enumerate("aaabbbccc")]
-    rows += [r for r in rows[:300:3] for _ in range(2)]  # repeated ids are given together
-    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = mix.mix(d).collect()
+    rows += [r for r in rows[:300:3] for _ in range(2)]  # repeated rows are given together
+    got = mix.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
     for s in "abc":
         own = [r for r in got if r.source == s]
-        copies, size = {}, Counter()
+        copies = {}
         for r in own:
             assert copies.setdefault(r.doc_id, r.copies) == r.copies
-            size[r.doc_id] += r.size
-        base, off = min(copies.values()), own[0].target - sum(r.taken for r in own)
-        more = own[0].target - own[0].target // own[0].source_size * own[0].source_size
-        flip = more * 2 > own[0].source_size
-        # nothing that could be given once more (or, where the rest is chosen, once less) fits what is missing
-        could = [size[k] for k, c in copies.items() if c == base + flip]
-        assert abs(off) < min(could)
+        off = own[0].target - sum(r.taken for r in own)
+        # nothing that could be given once more fits what is missing
+        block = Counter()
+        for r in own:
+            block[r.drawn % mix.LEAST_BLOCKS] += r["size"] if r.copies == min(copies.values()) else 0
+        assert 0 <= off < min(w for w in block.values() if w)
 
 
-def test_splitting_tree_meets_quotas():
+def test_tree_meets_quotas():
     quotas = np.array([1000, 300, 7, 0])
-    t = mix.splitting_tree(quotas, 13, 1)
-    per = np.diff(t, axis=0)
-    assert (per >= 0).all() and (per.sum(0) == quotas).all() and per.sum(1).max() - per.sum(1).min() <= 4
-    assert (t == mix.splitting_tree(quotas, 13, 1)).all() and abs(per[:, 0] - 1000 / 13).max() < 30
+    t = list(mix.leaves(quotas, 13, 1, 0, 13))
+    per, begins = np.zeros((13, 4), int), np.zeros(4, int)
+    for shard, colours, begin, own in t:
+        assert (begin == begins[colours]).all() and (own > 0).all()
+        per[shard, colours] = own
+        begins[colours] += own
+    assert (per.sum(0) == quotas).all() and per.sum(1).max() - per.sum(1).min() <= 4 and abs(per[:, 0] - 1000 / 13).max() < 30
+    part = list(mix.leaves(quotas, 13, 1, 4, 9))
+    assert str(part) == str(t[4:9])
     for n in (1, 2, 97, 100):
-        _, a, c = mix.permutation(n, 3)
+        a, c = mix.permutation(n, 3)
         assert sorted((a * x + c) % n for x in range(n)) == list(range(n))
 
 
