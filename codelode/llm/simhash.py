@@ -3,11 +3,12 @@
 A fingerprint's bit is set where over half of a text's shingles have it set in their hash. Distinct
 fingerprints lie in cells such that any two that may link share a cell or lie in neighbouring ones:
 
-* within a radius of 4 of 64 bits, of six blocks of bits at least two are equal, so a cell is a choice
-  of two blocks and their bits, and no link is lost;
-* for a similarity of shingle sets, a cell is a range of set sizes: sets whose sizes differ by more
-  than the similarity allows can't be that similar. What prints link here are candidates, and the sets
-  of each group of candidates are compared exactly.
+* within a radius of r of 64 bits, of r + k blocks of bits at least k are equal, so a cell is a choice
+  of k blocks and their bits, and no link is lost; k grows with the number of prints, so that cells don't;
+* for a similarity of shingle sets, a cell is a band of least values of the set under random hashes, which
+  sets share with the odds of their similarity each; with BANDS bands of BAND_ROWS the odds that a pair at 0.8
+  shares none are under 2e-5. What prints link here are candidates, and the sets of each group of
+  candidates are compared exactly.
 
 Within cells, fingerprints in the order of their population count form tiles. Tiles are compared by
 numpy's exclusive-or and bit count; pairs of tiles whose population counts differ beyond the radius
@@ -35,8 +36,8 @@ from codelode.llm.pieces import blocks
 
 #: Fingerprints of a tile, tiles of a group, rows of a sub-tile, and runs that are compared by shifts.
 TILE, GROUP, ROWS, SHORT = 4096, 8, 256, 24
-#: Bits of the six blocks of a 64-bit fingerprint.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Widest radius of 64-bit prints, and how many prints a cell may hold by chance.
+WIDEST, CELL_PRINTS = 4, 16
 SEED = 42
 TILES = "cell long, part int, seq int, low int, high int, nodes binary, prints binary, a array<long>, b array<long>"
 
@@ -100,21 +101,10 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Which rows of a lie within the radius of which rows of b."""
     if a.shape[1] == 1:
         return np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= radius
-    # the first 128 bits tell most pairs apart: no pair within the radius differs by far more than its share there
-    first = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
-    hit = first <= radius
-    i, j = np.nonzero(hit & (first <= _share(radius, a.shape[1])))
-    hit[:] = False
-    for k in range(0, len(i), 1 << 16):
-        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-        hit[x, y] = np.bitwise_count(a[x] ^ b[y]).sum(1, dtype=np.int64) <= radius
-    return hit
-
-
-def _share(radius: int, words: int) -> float:
-    """Bits that differ among the first 128 if radius of all do: the mean and five deviations."""
-    p = radius / (64 * words)
-    return 128 * p + 5 * math.sqrt(128 * p * (1 - p))
+    differ = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16)
+    for k in range(1, a.shape[1]):
+        differ += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return differ <= radius
 
 
 def forest(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -205,10 +195,11 @@ def cells_searched(rows: DataFrame, radius: int, width: int, direct: bool) -> Da
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(cell)]])
             done = ends[-1] if batch is None else starts[-1]  # the last cell may go on
             if direct:
+                pc = counts(prints)
                 short = (ends - starts <= SHORT) & (ends <= done) & (cell[starts] != hot if hot is not None else True)
                 size = np.repeat(np.where(short, ends - starts, 0), ends - starts)
                 for d in range(1, int(size.max(initial=0))):
-                    at = np.flatnonzero((size[:-d] > d) & (cell[:-d] == cell[d:]))
+                    at = np.flatnonzero((size[:-d] > d) & (cell[:-d] == cell[d:]) & (pc[d:] - pc[:-d] <= radius))
                     at = at[np.bitwise_count(prints[at] ^ prints[at + d]).sum(1, dtype=np.int64) <= radius]
                     out.add(zip(node[at].tolist(), node[at + d].tolist(), strict=True))
                 yield from out.rows()
@@ -235,9 +226,8 @@ def cells_searched(rows: DataFrame, radius: int, width: int, direct: bool) -> Da
     return rows.select("cell", "node", "print").mapInArrow(run, TILES)
 
 
-def links(rows: DataFrame, radius: int, bits: int, neighbours: int = 0, direct: bool = True) -> DataFrame:
-    """a, b: links that connect all rows (cell, pc, node, print) within the radius that share a cell,
-    or whose cells' numbers differ by at most neighbours."""
+def links(rows: DataFrame, radius: int, bits: int, direct: bool = True) -> DataFrame:
+    """a, b: links that connect all rows (cell, pc, node, print) within the radius that share a cell."""
     width = bits // 64
     if direct:
         dealt = rows.repartition("cell").sortWithinPartitions("cell", "pc", "node")
@@ -249,8 +239,8 @@ def links(rows: DataFrame, radius: int, bits: int, neighbours: int = 0, direct:
     tiles = first.where("a is null").select("cell", "part", "seq", "low", "high", "nodes", "prints", F.expr(f"seq div {GROUP}").cast("int").alias("grp"))
     # a row per group of tiles: its range of population counts
     groups = tiles.groupBy("cell", "part", "grp").agg(F.min("low").alias("g_low"), F.max("high").alias("g_high")).select(F.col("cell").alias("g_cell"), F.col("part").alias("g_part"), F.col("grp").alias("g_grp"), "g_low", "g_high")
-    reach = groups.withColumn("cell", F.explode(F.sequence("g_cell", F.col("g_cell") + neighbours)))
-    earlier = (F.col("g_cell") < F.col("cell")) | (F.struct("g_part", "g_grp") <= F.struct("part", "grp"))
+    reach = groups.withColumn("cell", F.col("g_cell"))
+    earlier = F.struct("g_part", "g_grp") <= F.struct("part", "grp")
     meets = tiles.join(reach, "cell").where(earlier & (F.col("low") - F.col("g_high") <= radius) & (F.col("g_low") - F.col("high") <= radius))
     guests = meets.select("g_cell", "g_part", "g_grp", F.lit(1).alias("kind"), "cell", "part", "seq", "nodes", "prints")
     own = tiles.select(F.col("cell").alias("g_cell"), F.col("part").alias("g_part"), F.col("grp").alias("g_grp"), F.lit(0).alias("kind"), "cell", "part", "seq", "nodes", "prints")
@@ -281,27 +271,46 @@ def links(rows: DataFrame, radius: int, bits: int, neighbours: int = 0, direct:
     return found.union(more)
 
 
-def block_cells(node) -> list:
-    """Of a 64-bit print as a long: a number for each choice of two blocks and their bits."""
-    shifts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = [F.shiftrightunsigned(node, s).bitwiseAND((1 << b) - 1) for s, b in zip(shifts, BLOCKS, strict=True)]
-    return [F.lit(k << 22) + F.shiftleft(block[i], 11) + block[j] for k, (i, j) in enumerate(itertools.combinations(range(len(BLOCKS)), 2))]
+def blocks_for(n: int, radius: int) -> int:
+    """How many blocks of n distinct prints must be equal, so that a cell has a few prints by chance: cells get finer as n grows."""
+    k = 2
+    while n > CELL_PRINTS << (64 * k // (radius + k)) and k < 8:
+        k += 1
+    return k
+
+
+def block_cells(node, radius: int, equal: int) -> list:
+    """Of a 64-bit print as a long: a number for each choice of so many of radius + equal blocks, and their bits.
+
+    Prints that differ in at most radius bits have as many equal blocks, so they share a cell.
+    """
+    n = radius + equal
+    size = [64 // n + (i < 64 % n) for i in range(n)]
+    block = [F.shiftrightunsigned(node, sum(size[:i])).bitwiseAND((1 << size[i]) - 1) for i in range(n)]
+    wide, out = sum(sorted(size)[-equal:]), []
+    for k, some in enumerate(itertools.combinations(range(n), equal)):
+        cell = F.lit(k).cast("long")
+        for i in some:
+            cell = F.shiftleft(cell, size[i]).bitwiseOR(block[i])
+        # all choices take the same number of bits, so that numbers of different ones differ
+        out.append(F.shiftleft(cell, wide - sum(size[i] for i in some)))
+    return out
 
 
 def grouped(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links).
 
-    64-bit fingerprints link at radius or fewer differing bits; a radius over 4 is an error, since
-    cells would lose links. One row per row of docs; rows that repeat a doc_id each have their own
+    64-bit fingerprints link at radius or fewer differing bits; a radius over WIDEST is an error. One row per row of docs; rows that repeat a doc_id each have their own
     fingerprint. Rows without a doc_id link nothing and have no component.
     """
-    if radius > len(BLOCKS) - 2:
-        raise ValueError(f"radius must be at most {len(BLOCKS) - 2}")
+    if radius > WIDEST:
+        raise ValueError(f"radius must be at most {WIDEST}")
     prepare(docs.sparkSession)
     # a 64-bit print is its own node number
     prints = fingerprints(docs, words).select("doc_id", "print", _as_long("print").alias("node")).checkpoint()
-    distinct = prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"))
-    cells = distinct.select("node", "print", F.bit_count("node").alias("pc"), F.explode(F.array(*block_cells(F.col("node")))).alias("cell"))
+    distinct = prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print")).checkpoint()
+    equal = blocks_for(distinct.count(), radius)
+    cells = distinct.select("node", "print", F.bit_count("node").alias("pc"), F.explode(F.array(*block_cells(F.col("node"), radius, equal))).alias("cell"))
     roots = components(links(cells, radius, 64))
     return labelled(prints, distinct, roots).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -316,16 +325,39 @@ def _as_long(column: str):
 
 
 def labelled(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """prints (doc_id, node) with component_id, from distinct (node, least doc_id) and roots (node, root)."""
+    """prints (doc_id, node) with component_id and root, from distinct (node, least doc_id) and roots (node, root)."""
     linked = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = linked.join(least, "root").select("node", "component_id")
+    of_node = linked.join(least, "root").select("node", "root", "component_id")
     return prints.join(of_node, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 #: For documents of a similarity: bits of a fingerprint, deviations by which prints of similar sets may differ beyond the
 #: mean (odds of a lost link under 1e-8), sets up to which size count as small, and bytes of sets that a part holds.
-WIDE, DEVIATIONS, SMALL, PART_BYTES = 2048, 6, 24, 8 << 20
+WIDE, DEVIATIONS, SMALL, PART_BYTES = 128, 6, 24, 8 << 20
+#: Bands of a set, and least values of each.
+BANDS, BAND_ROWS = 28, 5
+
+
+@functools.cache
+def _hashers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    odd = rng.integers(0, 2**31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return odd, rng.integers(0, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A cell per band from a set of hashes; none of an empty one."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    odd, weights = _hashers()
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(odd), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(short), 256):
+        np.minimum(least, (short[i : i + 256, None] * odd).min(0), out=least)
+    x = (least.reshape(BANDS, BAND_ROWS) * weights).sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
 def differing(a: int, b: int, shared: int) -> float:
@@ -354,18 +386,25 @@ def radius_of(similarity: float, bits: int, least: int, most: int) -> int:
     return round(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
 
+def text_digest(text: str):
+    """A number that tells a doc_id's texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def shingle_sets(docs: DataFrame, words: int, bits: int = 0) -> DataFrame:
-    """doc_id, node (a digest of the set of shingle hashes), n (its size), and print, or without bits the sorted set."""
+    """doc_id, digest (of the text), node (a digest of the set of shingle hashes), n (its size), and print and bands, or without bits the sorted set."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for part, texts in blocks(batches):
             sets = [np.unique(shingle_hashes(t, words)) for t in texts]
             nodes = [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64) for h in sets]
-            data = [(majority(h, bits) if bits else h).tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "node", "n", "print" if bits else "set"])
+            data = [pa.array([(majority(h, bits) if bits else h).tobytes() for h in sets], pa.binary())]
+            if bits:
+                data.append(pa.array([bands(h) for h in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), *data], ["doc_id", "digest", "node", "n", *(["print", "bands"] if bits else ["set"])])
 
-    return as_text(docs).mapInArrow(run, f"doc_id long, node long, n long, {'print' if bits else 'set'} binary")
+    return as_text(docs).withColumn("digest", text_digest("text")).mapInArrow(run, f"doc_id long, digest long, node long, n long, {'print binary, bands array<long>' if bits else 'set binary'}")
 
 
 def similar(a: list[tuple[int, bytes]], b: list[tuple[int, bytes]], similarity: float) -> Iterator[tuple[int, int]]:
@@ -433,26 +472,28 @@ def confirmed(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = WIDE) -> DataFrame:
-    """doc_id and component_id of documents linked by the similarity of their sets of shingles.
+    """doc_id, digest, root and component_id of documents linked by the similarity of their sets of shingles.
 
-    Prints of many bits find candidates at a radius that sets of the similarity keep to; groups of candidates are then
-    compared by their sets, so that links are exact. Rows without a doc_id link nothing and have no component.
+    Groups may share the least doc_id where rows with different texts do; their roots differ.
+
+    Prints find candidates in cells of bands at a radius that sets of the similarity keep to; groups of candidates are
+    then compared by their sets, so that links are exact. Rows without a doc_id link nothing and have no component.
     """
     prepare(docs.sparkSession)
     prints = shingle_sets(docs, words, bits).checkpoint()
-    distinct = prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("n").alias("n"))
-    size_class = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + 1e-9)).otherwise(-9).cast("long")
-    rows = distinct.select(size_class.alias("cell"), _population("print", bits).alias("pc"), "node", "print", "n")
+    distinct = prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("bands").alias("bands"), F.first("n").alias("n")).checkpoint()
+    rows = distinct.select(F.explode("bands").alias("cell"), _population("print", bits).alias("pc"), "node", "print", "n")
     # in prints of small sets bits differ oftener: they have a radius of their own
     small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") >= similarity * (SMALL + 1) - 1e-9)
-    near_small = links(small, radius_of(similarity, bits, 1, SMALL), bits, neighbours=1, direct=False)
-    near_large = links(large, radius_of(similarity, bits, SMALL + 1, 4 * SMALL), bits, neighbours=1, direct=False)
+    near_small = links(small, radius_of(similarity, bits, 1, SMALL), bits)
+    near_large = links(large, radius_of(similarity, bits, SMALL + 1, 4 * SMALL), bits)
     candidates = components(near_small.union(near_large)).checkpoint()
+    size_class = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + 1e-9)).otherwise(-9).cast("long")
     wanted = distinct.join(candidates, "node").select("node", "least", size_class.alias("cell"), "root").checkpoint()
     texts = docs.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = shingle_sets(texts, words).join(wanted, "node").groupBy("node", "root", "cell").agg(F.first("n").alias("n"), F.first("set").alias("set")).checkpoint()
     roots = components(confirmed(sets, similarity))
-    return labelled(prints.select("doc_id", "node"), distinct, roots).select("doc_id", "component_id")
+    return labelled(prints.select("doc_id", "digest", "node"), distinct, roots).select("doc_id", "digest", "root", "component_id")
 
 
 def _population(column: str, bits: int):

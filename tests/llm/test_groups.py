@@ -99,11 +99,46 @@ def _with_small_tiles(d, direct):
 
     cloudpickle.register_pickle_by_value(simhash)
     try:
-        return simhash.links(d, 4, 64, 0, direct).collect()
+        return simhash.links(d, 4, 64, direct).collect()
     finally:
         cloudpickle.unregister_pickle_by_value(simhash)
 
 
+@pytest.mark.parametrize("equal", [2, 3, 4, 6])
+def test_near_prints_share_a_cell(spark, equal):
+    rng = np.random.default_rng(equal)
+    pairs = []
+    for _ in range(200):
+        x = int(rng.integers(0, 2**64, dtype=np.uint64))
+        y = x
+        for b in rng.choice(64, 4, replace=False).tolist():
+            y ^= 1 << b
+        pairs.append(tuple(v - 2**64 if v >= 2**63 else v for v in (x, y)))
+    d = spark.createDataFrame(pairs, "x long, y long")
+    cells = lambda c: F.array(*simhash.block_cells(F.col(c), 4, equal))
+    got = d.select(F.arrays_overlap(cells("x"), cells("y")).alias("met"), F.size(F.array_distinct(cells("x"))).alias("n")).collect()
+    assert all(r.met for r in got) and {r.n for r in got} == {len(simhash.block_cells(F.col("x"), 4, equal))}
+    assert [simhash.blocks_for(n, 4) for n in (10, 10**9, 10**11)] == [2, 3, 5]
+
+
+def test_no_prefilter_loses_a_near_pair():
+    a = np.zeros((1, 32), np.uint64)
+    b = a.copy()
+    b[0, :2] = np.uint64(2**60 - 1)  # 120 of 2048 bits, all among the first 128
+    assert simhash.near(a, b, 310).all() and not simhash.near(a, b, 119).any()
+
+
+def test_bands_find_similar_sets():
+    """Recall of the bands alone at a similarity of 0.8, over many pairs."""
+    rng = np.random.default_rng(11)
+    missed = 0
+    for n in (5, 10, 45, 300) * 100:
+        shared, own = rng.integers(0, 2**63, n * 8 // 10, dtype=np.uint64), n - n * 8 // 10
+        a = np.concatenate([shared, rng.integers(0, 2**63, own, dtype=np.uint64)])
+        missed += not np.intersect1d(simhash.bands(a), simhash.bands(shared)).size
+    assert missed == 0
+
+
 def test_similar_groups(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(2000)]

@@ -86,3 +86,28 @@ def test_odd_tables(spark, tmp_path):
         assert name not in want or sum(got.values()) == want[name], name
     kept = {r.doc_id for r in dict(p.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()}
     assert kept == {None, 1, 3}
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "the first text of number one"), (1, "quite another text of number one"), (1, "the first text of number one"), (2, long), (3, long + " more"), (3, "clean words of number three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(map(tuple, dict(p.STAGES)["near_dedup"](spark, docs, str(tmp_path)).collect()))
+    assert kept == Counter([rows[0], rows[1], rows[3], rows[5]])
+
+
+def test_near_dedup_equals_brute_force(stages, spark):
+    s = dict(stages)
+    shingles = lambda t: frozenset(zip(*[t.lower().split()[i:] for i in range(5)], strict=False)) or frozenset([tuple(t.lower().split())])
+    before = {r.doc_id: shingles(r.text) for r in s["quality"].collect()}
+    ids_ = sorted(before)
+    of = {i: i for i in ids_}
+    for n, i in enumerate(ids_):
+        for j in ids_[:n]:
+            if 10 * len(before[i] & before[j]) >= 8 * len(before[i] | before[j]):
+                a, b = of[i], of[j]
+                if a != b:
+                    of = {k: min(a, b) if v in (a, b) else v for k, v in of.items()}
+    assert set(ids(s["near_dedup"])) == {i for i in ids_ if of[i] == i}
