@@ -18,7 +18,10 @@ TOXIC, GOOD = 0.5, 0.6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC, by a classifier fitted on this stage's labelled documents."""
+    """Documents whose toxicity score is below TOXIC, by a classifier fitted on this stage's labelled documents.
+
+    A null text counts as empty; repeated rows stay or go together. Without labels of both kinds nothing goes.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score_of(model, spark)("text") < TOXIC)
 
@@ -32,27 +35,38 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least doc_id."""
-    found = simhash.similar_groups(docs, words=5, similarity=0.8).checkpoint()
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least doc_id.
+
+    A null text is an empty one, and texts without words are copies of one another. Rows without a doc_id
+    stay. Rows that share a doc_id are told apart by their texts; of equal rows one stays.
+    """
+    found = simhash.similar_groups(docs, words=5, similarity=0.8).where("doc_id is not null").checkpoint()
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("stays"))
+    gone = found.join(stays, "root").where(F.struct("doc_id", "digest") != F.col("stays")).select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text")).distinct()
+    own = F.col("doc_id").cast("long"), simhash.text_digest("text")
+    kept = docs.join(gone, (own[0] == F.col("_gone")) & (own[1] == F.col("_text")), "left_anti")
+    again = found.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_again")).distinct()
     if not again.head(1):
         return kept
-    # rows that repeat a doc_id: one of each stays
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+    # rows that repeat doc_id and text: one of each stays
+    repeats = F.col("doc_id").cast("long") == F.col("_again")
+    once = kept.join(again, repeats, "left_semi").withColumn("_text", own[1]).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.join(again, repeats, "left_anti").unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row per copy, dealt to shards and shuffled in them."""
+    """The mix of sources: a row per copy, dealt to shards and shuffled in them.
+
+    Null sources are a source of their own, and documents without words belong to it or to their source
+    like others. Columns of docs with names that the mix uses keep their values.
+    """
     own = {c: f"_own_{i}" if c.lower() in (*mix.ADDED, "shard", "copy") else c for i, c in enumerate(docs.columns)}
     rows = docs.withColumnsRenamed(own)
     return mix.emit(mix.mix(rows), rows.columns).drop("shard").withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's number of tokens, and digests of its ids and of the text decoded from them."""
+    """Each row's number of tokens, and digests of its ids and of the text decoded from them; null texts are empty."""
     return bpe.round_trip(docs, tokenizer("word_bpe_49k.json"))
 
 
