@@ -16,16 +16,22 @@ def fold(doc_id, modulus: int):
 
 
 def lowest(df: DataFrame, most: int, *key: str) -> DataFrame:
-    """At most so many rows of df: those with the smallest hash of the first key column, ties by key.
+    """At most so many rows of df, one per key: those with the smallest hash of the first key column, ties by key.
 
-    Hashes above what so many rows can be expected to need (half as many again) are left out first,
-    so that tasks don't each send as many rows; where a key repeats, fewer rows may be left.
+    Other columns are the least of a key's rows. Hashes above what so many distinct first keys can be expected to
+    need (half as many again) are left out first, so that tasks don't each send as many rows; should too few be
+    left, twice the share is tried, up to all.
     """
-    share = 1.5 * most / max(df.count(), 1)
     h = F.xxhash64(key[0])
-    if share < 1:
-        df = df.where(h < int(-(2**63) + share * 2**64))
-    return df.orderBy(h, *key).limit(most)
+    rest = [F.min(c).alias(c) for c in df.columns if c not in key]
+    one = lambda d: d.groupBy(*key).agg(*rest) if rest else d.select(*key).distinct()
+    share = 1.5 * most / max(df.agg(F.approx_count_distinct(key[0], 0.02)).first()[0], 1)
+    while share < 1:
+        part = one(df.where(h < int(-(2**63) + share * 2**64)))
+        if part.count() >= most:
+            return part.select(*df.columns).orderBy(h, *key).limit(most)
+        share *= 2
+    return one(df).select(*df.columns).orderBy(h, *key).limit(most)
 
 
 def sample(labels: DataFrame, label: str, most: int = MOST_LABELLED) -> DataFrame:

@@ -1,10 +1,15 @@
 """A quality classifier learned from positives and unlabelled text.
 
 Texts are described by numbers of their shape (kinds of characters, lengths and repetition of words),
-each cut into ranges that hold equal shares of the unlabelled texts. A linear model over the ranges
-minimises the non-negative unbiased risk: with g the model, l the logistic loss and pi the share of
-good texts, pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]). Positives are trusted labels, unlabelled
-texts a sample of all documents, and pi is estimated from below by how often labelled texts are good.
+each cut into ranges that hold equal shares of all documents. A linear model over the ranges minimises
+the non-negative unbiased risk: with g the model, l the logistic loss and pi the share of good texts,
+pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)]). Positives are trusted labels, unlabelled texts are all
+documents: each step of Newton's method is one pass over their ranges, a byte each. Sums are whole numbers
+(shares of 2^-20), so they don't depend on the order of tasks, and reruns agree.
+
+The class prior pi is estimated from the same two: a naive Bayes score, learned from half of the positives, ranks
+texts; where it is high unlabelled texts are nearly all good, so that the share of all texts above a threshold,
+divided by that of the other half, is near pi. The threshold is the one with the least upper bound.
 """
 
 from __future__ import annotations
@@ -19,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.common import as_text, prepare
-from codelode.llm.labelled import MOST_LABELLED, lowest, sample, sigmoid
+from codelode.llm.labelled import MOST_LABELLED, sample, sigmoid
 from codelode.llm.pieces import blocks
 
-#: Unlabelled documents that are used at most: those with the smallest hash of doc_id.
-MOST_UNLABELLED = 20_000
-BINS, STEPS, RATE, PENALTY = 16, 400, 0.1, 1e-4
+#: Ranges of a number, steps of Newton's method, halvings of the factor, penalty of weights, parts of one in sums, and
+#: thresholds tried for the prior.
+BINS, STEPS, HALVINGS, PENALTY, PARTS, THRESHOLDS = 16, 30, 7, 0.008, 1 << 20, 200
 CHARS = 2_000_000
 SHAPE = ("log_words", "word_length", "upper", "digits", "marks", "runs_of_marks", "bars", "shouts", "stops", "distinct", "commonest", "adjacent", "short", "lines")
 
@@ -69,28 +74,116 @@ class Model:
         return sigmoid(g)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimises the non-negative risk by full-batch steps, from zero, so reruns agree."""
-    k = unlabelled.shape[1]
-    edges = np.quantile(unlabelled, np.arange(1, BINS) / BINS, axis=0)
-    code = lambda x: np.stack([np.searchsorted(edges[:, i], x[:, i], side="right") + i * BINS for i in range(k)], 1)
-    cp, cu = code(positive), code(unlabelled)
-    w, b = np.zeros(k * BINS), 0.0
-    m, v = np.zeros(k * BINS + 1), np.zeros(k * BINS + 1)
-    slope = lambda c, g: np.concatenate([np.bincount(c.reshape(-1), np.repeat(g, k), k * BINS), [g.sum()]])
-    for step in range(1, STEPS + 1):
-        gp, gu = w[cp].sum(1) + b, w[cu].sum(1) + b
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        rest = slope(cu, sigmoid(gu) / len(gu)) - prior * slope(cp, sigmoid(gp) / len(gp))
+def coded(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The range of each number (columns), counted through all of them."""
+    return np.stack([np.searchsorted(edges[:, i], x[:, i], side="right") + i * BINS for i in range(edges.shape[1])], 1) if len(x) else np.zeros((0, edges.shape[1]), np.int64)
+
+
+def sums(code: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Over rows: the loss of taking them for good, its slope and its curvature by weight, in parts of one."""
+    loss, slope, curve = 0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for i in range(0, len(code), 4096):
+        own = code[i : i + 4096]
+        one = np.zeros((len(own), len(w)))
+        one[np.arange(len(own))[:, None], own] = 1
+        one[:, -1] = 1
+        g = w[own].sum(1) + w[-1]
+        p = sigmoid(g)
+        loss += int(np.rint(np.logaddexp(0, g) * PARTS).sum())
+        slope += np.rint(p * PARTS) @ one
+        curve += one.T @ (np.rint(p * (1 - p) * PARTS)[:, None] * one)
+    return loss, slope, curve
+
+
+def minimised(over_all, n: int, positive: np.ndarray, k: int, prior: float) -> np.ndarray:
+    """Weights, the last being the intercept, from the codes of positives and over_all(w), which gives sums() of all n texts.
+
+    At the minimum of the clipped risk either the risk of the negatives isn't below zero, or it is zero and counts by a
+    factor below one, the slope of the clipping there. For a given factor the risk is convex; the factor is found by halving.
+    """
+    one = np.zeros((len(positive), k * BINS + 1))
+    one[np.arange(len(positive))[:, None], positive] = 1
+    one[:, -1] = 1
+    ones = one.mean(0)
+
+    def lowest_risk(factor: float, w: np.ndarray) -> tuple[np.ndarray, float]:
+        best, least, negative, halved, own = w, np.inf, 0.0, 0, prior * (1 - factor)
+        for _ in range(STEPS):
+            loss, slope, curve = over_all(w)
+            g = one @ w
+            p = sigmoid(g)
+            # with the logistic loss l(g) - l(-g) = -g, so that part of the positives counts by the mean of their ranges
+            risk = factor * (loss / PARTS / n - prior * ones @ w) + own * np.logaddexp(0, -g).mean() + PENALTY / 2 * w @ w
+            if risk > least + 1e-9:  # a step too far
+                if halved == 5:
+                    break
+                w, halved = (w + best) / 2, halved + 1
+                continue
+            best, least, halved = w, risk, 0
+            negative = loss / PARTS / n - prior * np.logaddexp(0, g).mean()
+            down = factor * (slope / PARTS / n - prior * ones) + own * one.T @ (p - 1) / len(one) + PENALTY * w
+            if np.abs(down).max() < 1e-4:
+                break
+            bend = factor * curve / PARTS / n + own * one.T @ ((p * (1 - p))[:, None] * one) / len(one)
+            w = w - np.linalg.solve(bend + PENALTY * np.eye(len(w)), down)
+        return best, negative
+
+    w, negative = lowest_risk(1.0, np.zeros(k * BINS + 1))
+    if negative >= 0:
+        return w
+    low, high, kept = 0.0, 1.0, w
+    for _ in range(HALVINGS):
+        w, negative = lowest_risk((low + high) / 2, w)
         if negative >= 0:
-            grad = prior * slope(cp, (sigmoid(gp) - 1) / len(gp)) + rest
-        else:  # the risk of the negatives must not fall below zero: step back
-            grad = -rest
-        grad[:-1] += PENALTY * w
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) * (1 - step / (STEPS + 1))
-        w, b = w - move[:-1], b - float(move[-1])
-    return Model(edges, w.reshape(k, BINS), b, prior)
+            low, kept = (low + high) / 2, w
+            if negative < 0.002:
+                break
+        else:
+            high = (low + high) / 2
+    return kept
+
+
+def ranked(positive: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each half of the positives, a naive Bayes score by range that is learned from the other half (log ratios of
+    smoothed shares in positives and in all texts), the half's own scores, and thresholds among them."""
+    out = []
+    for i in (0, 1):
+        fit, own = (positive[i::2], positive[1 - i :: 2]) if len(positive) > 1 else (positive, positive)
+        p, q = np.bincount(fit.reshape(-1), minlength=len(counts)) + 1.0, counts + 1.0
+        v = np.log(p / p.sum()) - np.log(q / q.sum())
+        scores = v[own].sum(1)
+        out.append((v, scores, np.unique(np.quantile(scores, np.arange(THRESHOLDS) / THRESHOLDS, method="inverted_cdf"))))
+    return out
+
+
+def above(code: np.ndarray, halves: list) -> np.ndarray:
+    """How many rows reach each threshold of each half, end to end."""
+    return np.concatenate([(v[code].sum(1)[:, None] >= t).sum(0) for v, _, t in halves])
+
+
+def prior_of(halves: list, reached: np.ndarray, n: int) -> float:
+    """The prior from how many of all n texts reach the thresholds: the mean over halves, each less a deviation."""
+    out, at = [], 0
+    for _, scores, thresholds in halves:
+        share, of_all = (scores[:, None] >= thresholds).mean(0), reached[at : at + len(thresholds)] / n
+        at += len(thresholds)
+        slack = np.sqrt(np.log(40) / 2) * (n**-0.5 + len(scores) ** -0.5)
+        best = np.argmin((of_all + 1.01 * slack) / share)
+        p, u = share[best], of_all[best]
+        out.append(u / p - np.sqrt(max(u * (1 - u), 0) / n + (u / p) ** 2 * p * (1 - p) / len(scores)) / p)
+    return float(np.clip(np.mean(out), 0.01, 0.99))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """The model for numbers in memory; fit() does the same over a table. Without a prior it is estimated."""
+    k = unlabelled.shape[1]
+    edges = np.quantile(unlabelled, np.arange(1, BINS) / BINS, axis=0, method="inverted_cdf")
+    cp, cu = coded(positive, edges), coded(unlabelled, edges)
+    if prior is None:
+        halves = ranked(cp, np.bincount(cu.reshape(-1), minlength=k * BINS))
+        prior = prior_of(halves, above(cu, halves), len(cu))
+    w = minimised(lambda x: sums(cu, x), len(cu), cp, k, prior)
+    return Model(edges, w[:-1].reshape(k, BINS), float(w[-1]), prior)
 
 
 def shapes(df: DataFrame, key: str) -> DataFrame:
@@ -98,51 +191,114 @@ def shapes(df: DataFrame, key: str) -> DataFrame:
 
     def run(batches):
         for part, texts in blocks(batches, chars=CHARS):
-            x = np.array([shape(t) for t in texts])
+            x = np.array([shape(t) for t in texts]).reshape(-1, len(SHAPE))
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(SHAPE)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.reshape(-1)))], [key, "x"])
 
     return df.select(key, "text").mapInArrow(run, f"{key} long, x array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED) -> Model:
-    """The model for labels (doc_id, quality) of docs (doc_id, text), fitted on bounded samples.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
+    """The model for labels (doc_id, quality) of docs (doc_id, text); see fit_shapes."""
+    prepare(docs.sparkSession)
+    return fit_shapes(shapes(as_text(docs), "doc_id").checkpoint(), labels, most)
+
 
-    Only labels of 1 are used as examples; labels of 0 count in the estimate of the prior alone.
-    Without positives or documents every score is the share of good labels, 0.5 if there are none.
+def fit_shapes(shaped: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
+    """The model for labels (doc_id, quality) of shaped (doc_id, x), which holds all documents.
+
+    Positives are at most so many labels of 1, one row for each id; labels of 0 aren't examples. Without positives or
+    documents every score is the share of good labels, 0.5 if there are none.
     """
-    spark = prepare(docs.sparkSession)
-    texts = as_text(docs)
     known = sample(labels, "quality", most)
-    good, n = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
-    share = (good + 1) / (n + 2)
-    # the lower end of the share's confidence interval: too high a prior leaves no risk to the negatives
-    prior = max(share - 2 * (share * (1 - share) / (n + 2)) ** 0.5, share / 2)
-    ids = lowest(texts.select("doc_id").where("doc_id is not null"), most_unlabelled, "doc_id").collect()
-    drawn = {r[0] for r in ids}
-    positive = {r[0] for r in known.where("label = 1").collect()}
-    # both samples are bounded by their parameters; of rows that repeat an id one counts
-    wanted = spark.createDataFrame([(i,) for i in sorted(drawn | positive)], "doc_id long")
-    found = shapes(texts.join(F.broadcast(wanted), "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
-    rows = [(1, *r["x"]) for r in found if r["doc_id"] in positive] + [(2, *r["x"]) for r in found if r["doc_id"] in drawn]
-    x = np.array([r[1:] for r in rows]).reshape(-1, len(SHAPE))
-    kind = np.array([r[0] for r in rows])
-    if not (kind == 1).any() or not (kind == 2).any():
-        return Model(np.zeros((BINS - 1, len(SHAPE))), np.zeros((len(SHAPE), BINS)), float(np.log(share / (1 - share))), prior)
-    return fit_nnpu(x[kind == 1], x[kind == 2], prior)
+    good, n_labels = known.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    # at most so many rows
+    own = shaped.join(F.broadcast(known.where("label = 1")), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    x = np.array([r["x"] for r in sorted(own)]).reshape(-1, len(SHAPE))
+    k = len(SHAPE)
+    cuts = [i / BINS for i in range(1, BINS)]
+    n, *found = shaped.agg(F.count("*"), *[F.percentile_approx(F.col("x")[i], cuts, 10_000) for i in range(k)]).first()
+    if not len(x) or not n:
+        share = (good + 1) / (n_labels + 2)
+        return Model(np.zeros((BINS - 1, k)), np.zeros((k, BINS)), float(np.log(share / (1 - share))), share)
+    edges = np.array(found).T
+    codes = _codes(shaped, edges).checkpoint()
+    positive = coded(x, edges)
+
+    count = np.zeros(k * BINS, np.int64)
+    for r in _totals(codes, lambda c: [(i, 0, n) for i, n in enumerate(np.bincount(c.reshape(-1), minlength=k * BINS).tolist()) if n]):
+        count[r["i"]] = r["v"]
+    halves = ranked(positive, count)
+    reached = np.zeros(sum(len(t) for _, _, t in halves), np.int64)
+    for r in _totals(codes, lambda c: [(i, 0, n) for i, n in enumerate(above(c, halves).tolist())]):
+        reached[r["i"]] = r["v"]
+    prior = prior_of(halves, reached, n)
+
+    def over_all(w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        def rows(c):
+            loss, slope, curve = sums(c, w)
+            i, j = np.nonzero(np.triu(curve))
+            return [(-1, 0, loss), *((a, -1, int(s)) for a, s in enumerate(slope)), *zip(i.tolist(), j.tolist(), curve[i, j].astype(np.int64).tolist(), strict=True)]
+
+        loss, slope, curve = 0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for r in _totals(codes, rows):  # as many rows as the curvature has entries
+            if r["i"] < 0:
+                loss = r["v"]
+            elif r["j"] < 0:
+                slope[r["i"]] = r["v"]
+            else:
+                curve[r["i"], r["j"]] = curve[r["j"], r["i"]] = r["v"]
+        return loss, slope, curve
+
+    w = minimised(over_all, n, positive, k, prior)
+    return Model(edges, w[:-1].reshape(k, BINS), float(w[-1]), prior)
+
+
+def _codes(shaped: DataFrame, edges: np.ndarray) -> DataFrame:
+    """The ranges of each row's numbers, a byte each."""
+
+    def run(batches):
+        for batch in batches:
+            c = coded(_numbers(batch.column(0)), edges).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in c], pa.binary())], ["codes"])
+
+    return shaped.select("x").mapInArrow(run, "codes binary")
+
+
+def _totals(codes: DataFrame, rows) -> list:
+    """Sums by i and j of the numbers v that rows, a function of codes, gives for each batch."""
+    k = len(SHAPE)
+
+    def run(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            c = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, k).astype(np.int64)
+            for i, j, v in rows(c):
+                total[i, j] += v
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in total], pa.int32()), pa.array([x[1] for x in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["i", "j", "v"])
+
+    return codes.mapInArrow(run, "i int, j int, v long").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(-1, len(SHAPE))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every whole text, one row per row of docs; null texts count as empty."""
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)
+    prepare(docs.sparkSession)
+    return score_shapes(shapes(as_text(docs), "doc_id"), model)
+
+
+def score_shapes(shaped: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of rows (doc_id, x)."""
+    shared = shaped.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part, texts in blocks(batches, chars=CHARS):
-            x = np.array([shape(t) for t in texts]).reshape(-1, len(SHAPE))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(x))], ["doc_id", "score"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(_numbers(batch.column(1))))], ["doc_id", "score"])
 
-    return as_text(docs).mapInArrow(run, "doc_id long, score double")
+    return shaped.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
 def score_of(model: Model, spark):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import bpe, chat, counts, media, mix, packed, quality, simhash, topk, toxicity
-from codelode.llm.common import prepare, scratch, table
+from codelode.llm.common import as_text, prepare, scratch, table
 from codelode.llm.labelled import fold
 
 
@@ -33,10 +33,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id have no fold and are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +72,13 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are read once. Rows without a doc_id have no fold and are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
-    scored = quality.score(docs, model)
-    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    prepare(spark)
+    shaped = quality.shapes(as_text(docs), "doc_id").checkpoint()
+    model = quality.fit_shapes(shaped, labels.where(fold(F.col("doc_id"), 4) != 2))
+    scored = quality.score_shapes(shaped, model)
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,9 +56,10 @@ def test_quality_on_odd_rows(spark):
     scores = quality.score(d, m)
     got = {r.doc_id: r.score for r in scores.collect()}
     assert scores.count() == d.count() and got[0] > got[1] and 0 < m.prior < 1
+    assert {round(r.score, 3) for r in quality.score(d, quality.fit(d.limit(0), labels)).collect()} == {round(33 / 65, 3)}
     none = quality.fit(d, labels.limit(0))
     assert {r.score for r in quality.score(d, none).collect()} == {0.5}
-    assert quality.score(d.limit(0), m).count() == 0 and quality.fit(d.limit(0), labels).prior == m.prior
+    assert quality.score(d.limit(0), m).count() == 0
     col = {r[0]: r[1] for r in d.where("doc_id is not null").select("doc_id", quality.score_of(m, spark)("text")).collect()}
     assert col[100] == pytest.approx(got[100])
 
@@ -84,3 +85,77 @@ def test_logistic_regression():
     index, counts, y = np.array([0, 0, 1, 1]), np.array([1, 1, 1, 1]), np.array([1.0, 1, 0, 0])
     w, b = labelled.fit_logistic(index, counts, y, np.ones(2))
     assert w[0] + b > 1 and w[1] + b < -1
+
+
+def test_the_sample_counts_keys_not_rows(spark):
+    d = spark.createDataFrame([(7, 1)] * 1990 + [(i, i) for i in range(100, 110)], "doc_id long, x long")
+    assert {tuple(r) for r in labelled.lowest(d, 20, "doc_id").collect()} == {(7, 1), *((i, i) for i in range(100, 110))}
+    assert labelled.lowest(d, 5, "doc_id").count() == 5
+    every = spark.range(60_000).select(F.col("id").alias("doc_id"))
+    order = [r[0] for r in every.orderBy(F.xxhash64("doc_id")).limit(50).collect()]
+    assert [r[0] for r in labelled.lowest(every.unionAll(every), 50, "doc_id").collect()] == order
+
+
+def test_quality_over_a_table_equals_the_fit_in_memory(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    labels = spark.read.parquet(f"{SF1}/labels.parquet")
+    m = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    x = {k: quality.shape(t) for k, t in texts.items()}
+    good = sorted(r.doc_id for r in labels.where("quality = 1").collect())
+    own = quality.fit_nnpu(np.array([x[k] for k in good]), np.array(list(x.values())))
+    assert np.allclose(m.edges, own.edges) and m.prior == pytest.approx(own.prior, abs=1e-9)
+    assert np.allclose(m.score(np.array(list(x.values()))), own.score(np.array(list(x.values()))), atol=1e-6)
+    share = labels.agg(F.avg("quality")).first()[0]
+    assert abs(m.prior - share) < 0.08
+
+
+def test_the_minimum_is_one(spark):
+    """No small change of the weights lowers the non-negative risk."""
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(0.7, 0.6, (400, 3)), rng.normal(-0.7, 0.6, (150, 3))
+    p, u = good[:200], np.concatenate([good[200:], bad])
+    m = quality.fit_nnpu(p, u, 0.45)
+    cp, cu = quality.coded(p, m.edges), quality.coded(u, m.edges)
+
+    def risk(w):
+        gp, gu = w[cp].sum(1) + w[-1], w[cu].sum(1) + w[-1]
+        return 0.45 * np.logaddexp(0, -gp).mean() + max(0, np.logaddexp(0, gu).mean() - 0.45 * np.logaddexp(0, gp).mean()) + quality.PENALTY / 2 * w @ w
+
+    w = np.append(m.weights.reshape(-1), m.intercept)
+    assert all(risk(w + rng.normal(0, 0.01, len(w))) >= risk(w) - 1e-6 for _ in range(200))
+
+
+def brute_grams(text):
+    """Buckets of a text's n-grams, character by character."""
+    t, out = [ord(c) for c in text.lower()], set()
+    for n in toxicity.ORDERS:
+        for i in range(len(t) - n + 1):
+            h = 0
+            for c in t[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+            out.add(((h ^ (h >> 29)) * (0xBF58476D1CE4E5B9 + 2 * n) % 2**64) >> (64 - toxicity.BITS))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Counts, ratios and the choice of features from sets of n-grams; the regression by its slope, which is near zero."""
+    d, labels = small(spark)
+    m = toxicity.fit(d, labels)
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None}
+    rows = [(brute_grams(r.text or ""), label[r.doc_id]) for r in d.collect() if r.doc_id in label]
+    n = {b: [sum(b in g for g, y in rows if y == k) for k in (0, 1)] for b in set().union(*(g for g, _ in rows))}
+    n = {b: c for b, c in n.items() if sum(c) >= toxicity.LEAST_ROWS}
+    p, q = (sum(c[k] + 1 for c in n.values()) for k in (1, 0))
+    ratio = {b: np.log((c[1] + 1) / p) - np.log((c[0] + 1) / q) for b, c in n.items()}
+    assert len(n) <= toxicity.MOST_FEATURES and {b for b in range(1 << toxicity.BITS) if m.number[b] >= 0} == set(n)
+    x = np.array([[ratio[b] * (b in g) for b in sorted(n)] for g, _ in rows])
+    scale = np.array([ratio[b] for b in sorted(n)])
+    w = np.divide(m.weights, scale, out=np.zeros_like(scale), where=scale != 0)
+    y = np.array([k for _, k in rows])
+    off = labelled.sigmoid(x @ w + m.intercept) - y
+    assert np.abs(x.T @ off / len(y) + 1e-3 * w).max() < 5e-3 and abs(off.mean()) < 0.02  # the intercept settles last
+    got = {r.doc_id: r.score for r in toxicity.score(d, m).collect() if r.doc_id is not None}
+    for r in d.where("doc_id > 1").collect():
+        want = m.intercept + sum(w[i] * ratio[b] for i, b in enumerate(sorted(n)) if b in brute_grams(r.text or ""))
+        assert got[r.doc_id] == pytest.approx(labelled.sigmoid(np.array(want)), abs=1e-9)
