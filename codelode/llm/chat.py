@@ -3,8 +3,8 @@
 A log holds events of conversations: a message opens a message at its turn, a delta appends to the
 message that is open there, an edit replaces what it holds so far, and a regeneration drops what it
 holds so that later deltas fill it anew. fold() makes the final messages, render() one segment of
-formatted text for each; a conversation's text is its segments in order. Messages are folded and
-rendered by (conversation, turn), so that a long conversation spreads over tasks.
+formatted text for each; a conversation's text is its segments in order. A log is partitioned by
+conversation and, so that a long one spreads over tasks, by turn within it: events act on their own turn alone.
 """
 
 from __future__ import annotations
@@ -23,10 +23,28 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 KINDS = ("message", "delta", "edit", "regenerate")
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """A message event per row of conversations (conv_id, turn, role, text); other columns are ignored."""
-    turn = F.col("turn").cast("long")
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("seq"), F.lit("message").alias("kind"), turn.alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+def as_events(conversations: DataFrame, pieces: int = 4) -> DataFrame:
+    """The log that a session would leave of conversations (conv_id, turn, role, text); other columns are ignored.
+
+    A row is a message that opens empty and whose text streams in as so many deltas. By a hash of the row, a third
+    of them stream a draft first and are regenerated, and a third end with another text that an edit sets right.
+    Events of equal turns follow one another by row, in the order of role and text. Null texts and roles stay null.
+    """
+    turn, text = F.col("turn").cast("long"), F.col("text").cast("string")
+    own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), F.col("role").cast("string").alias("role"), text.alias("text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(3))
+    step = F.greatest(F.ceil(F.length("text") / pieces), F.lit(1)).cast("int")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    none = F.lit(None).cast("string")
+    deltas = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: event("delta", F.substring(F.col("text"), i * step + 1, step)))
+    draft = F.array(event("delta", F.reverse("text")), event("delta", F.lit(" ...")), event("regenerate", none))
+    late = F.array(event("delta", F.lit(" and so on")), event("edit", F.col("text")))
+    nothing = F.array().cast("array<struct<kind:string,text:string>>")
+    log = F.concat(F.array(event("message", none)), F.when(way == 1, draft).otherwise(nothing), deltas, F.when(way == 2, late).otherwise(nothing))
+    rows = own.withColumn("nth", nth).select("conv_id", "turn", "role", "nth", F.posexplode(log).alias("i", "event"))
+    seq = F.shiftleft(F.coalesce("turn", F.lit(-1)), 24) + F.col("nth") * 16 + F.col("i")
+    return rows.select("conv_id", seq.alias("seq"), "event.kind", "turn", "role", "event.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -40,13 +58,16 @@ def fold(events: DataFrame) -> DataFrame:
     kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     kind = F.when(kind > 0, kind).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), F.coalesce("kind", F.lit("null")))))
     e = events.select("conv_id", "turn", "seq", kind.cast("int").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    parts = e.withColumn("part", F.count(F.when(F.col("kind") == 1, 1)).over(w))
-    grouped = parts.groupBy("conv_id", "turn", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))
-    # what counts is the last event that isn't a delta, and the deltas after it
-    resets = F.transform("log", lambda x, i: F.when(x["kind"] != 2, i + 1).otherwise(1))
-    kept = F.slice("log", F.array_max(resets), F.size("log"))
-    return grouped.select("conv_id", "turn", "part", F.element_at("log", 1)["role"].alias("role"), F.array_join(F.transform(kept, lambda x: x["text"]), "").alias("text"))
+    order = ["seq", "kind", "role", "text"]
+    w = Window.partitionBy("conv_id", "turn").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = e.withColumn("part", F.count(F.when(F.col("kind") == 1, 1)).over(w)).withColumn("place", F.row_number().over(w))
+    # what counts is the last event of a part that isn't a delta, and the deltas after it; the rest goes before rows are gathered
+    part = Window.partitionBy("conv_id", "turn", "part")
+    opened = parts.withColumn("role", F.first("role").over(part.orderBy("place")))
+    reset = F.max(F.when(F.col("kind") != 2, 1)).over(part.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1))
+    live = opened.withColumn("reset", reset).where("reset is null")
+    grouped = live.groupBy("conv_id", "turn", "part").agg(F.first("role").alias("role"), F.sort_array(F.collect_list(F.struct("place", "text"))).alias("log"))
+    return grouped.select("conv_id", "turn", "part", "role", F.array_join(F.transform("log", lambda x: x["text"]), "").alias("text"))
 
 
 def escape_text(c: Column) -> Column:

@@ -7,7 +7,8 @@ of all those with the longest vectors, skips each chunk whose longest vector can
 them, and each candidate whose partial sum and bound can't. What is left is computed exactly.
 
 The basis only decides how much is skipped, so a bounded sample is enough for it.
-Queries travel to each group of candidates in packs; a task holds one group and one pack.
+Queries travel in packs to the groups of candidates whose longest vector can still reach what the query
+has; since groups are by length, these are the first ones. A task holds one group and one pack.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from codelode.llm.labelled import lowest
 GROUP_ROWS, CHUNK_ROWS, PACK_ROWS, SAMPLE_ROWS = 16_384, 2_048, 1_024, 4_096
 #: Leading coordinates that are summed first.
 LEADING = 16
-PACK = "grp int, kind int, seq int, n int, ids binary, vectors binary, longest double"
+PACK = "grp int, kind int, seq long, n int, ids binary, vectors binary, longest double"
 
 
 def usable(df: DataFrame, scale: float) -> DataFrame:
@@ -61,6 +62,20 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+#: The range of a long.
+LOW, HIGH = -(2**63), 2**63 - 1
+
+
+def beyond(score: int) -> bytes | None:
+    """What orders scores that lie outside the range of a long, or at its ends; None for others."""
+    return (int(score) + 2**512).to_bytes(66, "big") if not LOW < score < HIGH else None
+
+
+def slack(length: np.ndarray, longest: float) -> np.ndarray:
+    """How far rounding may have put a product of vectors of these lengths."""
+    return 1e-9 * length * longest + 1e-6
+
+
 class Group:
     """Candidates in memory: chunks by descending length, each with its rotated leading part."""
 
@@ -83,12 +98,12 @@ class Group:
         least = least.copy()
         open_ = np.arange(len(ids))
         for cids, crows, longest, clead, crest in self.chunks:
-            slack = 1e-9 * length * longest + 1e-6  # for rounding
-            open_ = open_[(length * longest + slack >= least)[open_]]
+            spare = slack(length, longest)
+            open_ = open_[(length * longest + spare >= least)[open_]]
             if not len(open_):
                 break
             bound = lead[open_] @ clead.T + np.outer(rest[open_], crest)
-            bound += slack[open_, None]
+            bound += spare[open_, None]
             near = bound >= least[open_, None]
             some = np.flatnonzero(near.any(1))
             cols = np.flatnonzero(near[some].any(0))
@@ -123,7 +138,9 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> D
     queries is true; rows with a query's own vec_id are no candidates for it. Rows whose vec_id or
     embedding is null, or whose embedding holds a null or non-finite number, take no part. Shorter
     vectors count as padded with zeros. Of a query's repeated rows the least vector counts; repeated
-    candidates are each ranked. An empty table gives an empty result; other columns are ignored.
+    candidates are each ranked. Products are exact and ranked as they are, however large; a score outside the
+    range of a long is given as the end of that range. An empty table gives an empty result; other columns
+    are ignored.
     """
     spark = prepare(df.sparkSession)
     vectors = usable(df, scale)
@@ -138,30 +155,36 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> D
     if not np.isfinite(basis).all():
         basis = np.eye(width)
 
-    def pack(kind):
-        def run(batches):
-            task, seq = TaskContext.get().partitionId(), 0
-            for batch in batches:
-                rows = whole(batch.column(1).to_pylist(), width, scale)
-                ids = np.asarray(batch.column(0))
-                for i in range(0, len(ids), PACK_ROWS):
-                    part, mine = rows[i : i + PACK_ROWS], ids[i : i + PACK_ROWS]
-                    longest = float(np.sqrt((part * part).sum(1).max()))
-                    values = [task if kind == 0 else -1, kind, seq, len(mine), mine.astype("<i8").tobytes(), part.astype("<f8").tobytes(), longest]
-                    seq += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS, strict=True)], _NAMES)
-
-        return run
+    def pack(batches):
+        task = TaskContext.get().partitionId()
+        for seq, (ids, rows) in enumerate(_packed(batches, width, scale)):
+            yield _pack(task, 0, seq, ids, rows)
 
     groups = -(-n // GROUP_ROWS)
     by_length = vectors.repartitionByRange(groups, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
-    candidates = by_length.select("vec_id", "embedding").mapInArrow(pack(0), PACK).checkpoint()
-    # numbers of groups, and the one pack that begins with the longest vector: both bounded
-    numbers = [r[0] for r in candidates.select("grp").distinct().collect()]
+    candidates = by_length.select("vec_id", "embedding").mapInArrow(pack, PACK).checkpoint()
+    # a number for each group, of GROUP_ROWS rows, and the one pack that begins with the longest vector, whose size is bounded
+    found = candidates.groupBy("grp").agg(F.max("longest").alias("longest")).orderBy(F.desc("longest"), "grp").collect()
+    numbers, reach = np.array([r["grp"] for r in found], np.int32), np.array([r["longest"] for r in found])
     head = unpacked(candidates.orderBy(F.desc("longest"), "grp", "seq").limit(1).collect()[0], width)
+    bounds = spark.sparkContext.broadcast((numbers, reach, head))
     asked = df.where(queries).select("vec_id", "embedding")
     asked = usable(asked, scale).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    packs = asked.select("vec_id", "embedding").mapInArrow(pack(1), PACK).withColumn("grp", F.explode(F.lit(numbers).cast("array<int>")))
+
+    def send(batches):
+        """A pack of queries for each group that some of them need."""
+        numbers, reach, head = bounds.value
+        task, seq = TaskContext.get().partitionId(), 0
+        for ids, rows in _packed(batches, width, scale):
+            least, length = first_least(ids, rows, head, k), np.sqrt((rows * rows).sum(1))
+            for group, longest in zip(numbers.tolist(), reach.tolist(), strict=True):
+                near = length * longest + slack(length, longest) >= least
+                if not near.any():
+                    break
+                yield _pack(group, 1, (task << 20) + seq, ids[near], rows[near])
+            seq += 1
+
+    packs = asked.select("vec_id", "embedding").mapInArrow(send, PACK)
 
     def search(batches):
         group, held, now = None, [], None
@@ -178,14 +201,27 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> D
                 found = list(group.search(ids, rows, first_least(ids, rows, head, k), k, basis))
                 if found:
                     q, c, s = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array([min(max(x, LOW), HIGH) for x in s], pa.int64()), pa.array(list(map(beyond, s)), pa.binary())], ["query_id", "vec_id", "score", "beyond"])
 
-    dealt = candidates.unionByName(packs).repartition(max(len(numbers), 1), "grp").sortWithinPartitions("grp", "kind", "seq")
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    dealt = candidates.unionByName(packs).repartition(len(numbers), "grp").sortWithinPartitions("grp", "kind", "seq")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long, beyond binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _packed(batches, width: int, scale: float):
+    """ids and rows of at most PACK_ROWS vectors at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PACK_ROWS):
+            part = batch.slice(i, PACK_ROWS)
+            yield np.asarray(part.column(0)), whole(part.column(1).to_pylist(), width, scale)
+
+
+def _pack(group: int, kind: int, seq: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    values = [group, kind, seq, len(ids), ids.astype("<i8").tobytes(), rows.astype("<f8").tobytes(), float(np.sqrt((rows * rows).sum(1).max()))]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS, strict=True)], _NAMES)
+
+
 def first_least(ids: np.ndarray, rows: np.ndarray, head: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
     """For each query, the k-th highest product with the longest vectors; minus infinity if there are fewer."""
     scores = products(rows, head[1]).astype(float)
@@ -199,5 +235,5 @@ def unpacked(row, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], "<f8").reshape(-1, width)
 
 
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64()]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64()]
 _NAMES = [x.split()[0] for x in PACK.split(", ")]

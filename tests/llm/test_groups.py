@@ -210,6 +210,27 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_with_values_beyond_a_long(spark):
+    rows = [(0, [1e9, 1e9]), (1, [1e9, 1.0]), (2, [2e9, 3.0]), (3, [-1e9, 0.0]), (4, [-3e38, 1.0]), (5, [3e38, 0.5]), (6, [0.1, 0.2]), (50, [1.0, 2.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in d.collect()]
+    exact = lambda v: [int(np.floor(x * 256)) for x in v]
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(exact(dict(rows)[q]), exact(v), strict=True)), i) for i, v in rows if i != q)
+        want += [(q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0, k=9).collect()) == want
+
+
+def test_queries_reach_only_groups_that_matter(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_ROWS", 300)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.standard_normal(6) * (20 if i < 400 else 0.01)).tolist()) for i in range(3000)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, r.embedding) for r in d.collect()]
+    assert {tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0).collect()} == brute_topk(rows, 5)
+
+
 def test_large_products_are_exact():
     a = np.array([[2.0**40 + 1, 3.0]])
     assert topk.products(a, a)[0][0] == (2**40 + 1) ** 2 + 9

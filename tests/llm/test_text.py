@@ -199,3 +199,32 @@ def test_rows_of_one_id_fill_many_shards(spark, both, tmp_path, monkeypatch):
     assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
     shards = spark.read.parquet(f"{tmp_path}/p/blocks").where("exists(doc_ids, x -> x = 7)").select("shard").distinct().count()
     assert shards > 4
+
+
+def brute_fold(events):
+    """Messages by (conversation, turn, part), one event after another."""
+    order = {k: i for i, k in enumerate(chat.KINDS)}
+    out, part = {}, {}
+    for conv, seq, kind, turn, role, text in sorted(events, key=lambda e: (e[0], e[3], e[1] is not None, e[1] or 0, order[e[2]], e[4] or "", e[5] or "")):
+        if kind == "message":
+            part[conv, turn] = part.get((conv, turn), 0) + 1
+        key = (conv, turn, part.get((conv, turn), 0))
+        m = out.setdefault(key, [role or "", ""])
+        m[1] = m[1] + (text or "") if kind == "delta" else text or ""
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_fold_equals_brute_force(spark):
+    rng = random.Random(3)
+    e = [(rng.randrange(3), rng.choice([None, *range(40)]), rng.choice(chat.KINDS), rng.randrange(4), rng.choice(["user", "assistant", None]), rng.choice(["a", "b ", "", None])) for _ in range(400)]
+    got = {(r.conv_id, r.turn, r.part): (r.role, r.text) for r in chat.fold(spark.createDataFrame(e, chat.EVENTS)).collect()}
+    assert got == brute_fold(e)
+
+
+def test_conversations_become_logs_with_drafts_and_edits(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    log = chat.as_events(rows).cache()
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert kinds["message"] == rows.count() and kinds["edit"] > 0 and kinds["regenerate"] > 0 and kinds["delta"] >= 4 * rows.count()
+    want = sorted((r.conv_id, r.turn, r.role, r.text) for r in rows.collect())
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.fold(log).collect()) == want
