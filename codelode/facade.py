@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
-from codelode.operators import chunking, graph, parse, partitioning, search, stats, store
+from codelode.operators import chunking, graph, parse, partitioning, search, stats, store, tasks
 from codelode.session import cut, importable
 from codelode.sources import files as file_source
 from codelode.sources import git
@@ -29,6 +29,7 @@ class Analysis:
         With incremental, nodes of files whose content is as known stay as they are.
         """
         found = file_source.file_rows(file_source.scan(self.spark, folder, repo_id, branch)).cache()
+        held = [found]
         try:
             parts = partitioning.partition_map(found.select("relative_path", "size"), repo_uuid)
             blobs = file_source.blobs(found)
@@ -50,14 +51,73 @@ class Analysis:
             rows = found.join(parts, "relative_path").join(counts, "relative_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
             calls = parse.calls_of(nodes)
             edges = graph.call_edges(calls, nodes).cache()
-            edges.count(), chunks.count()
-            rows.select(*[c.split()[0] for c in S.FILES.split(", ")]).cache().count()
-            self.store.replace("blobs", blobs)
-            for entity, frame in (("chunks", chunks), ("edges", edges), ("files", rows.select(*[c.split()[0] for c in S.FILES.split(", ")])), ("nodes", nodes)):
-                self.store.replace(entity, frame)
+            rows = rows.select(*[c.split()[0] for c in S.FILES.split(", ")]).cache()
+            held += [chunks, edges, rows]
+            edges.count(), chunks.count(), rows.count()  # what they read is about to be replaced
+            # a branch that has lost its last row of an entity must not keep the old ones
+            for entity, frame in (("blobs", blobs), ("chunks", chunks), ("edges", edges), ("files", rows), ("nodes", nodes)):
+                self.store.replace(entity, frame, repo_id, branch)
             return {"files_parsed": n}
         finally:
-            self.spark.catalog.clearCache()
+            for frame in held:
+                frame.unpersist()
+
+    # --- repositories, tasks and usage ------------------------------------------------------------
+
+    def add_repository(self, path: str, name: str | None = None, git_remote: str | None = None, active_branch: str = "main") -> int:
+        """The id of the repository at a path, which is added if it isn't known."""
+        import time
+        import uuid
+
+        known = self.list_repositories().where(F.col("path") == path).select("repo_id").head(1)
+        if known:
+            return known[0][0]
+        one = [(time.time_ns(), str(uuid.uuid4()), path, name or path.rstrip("/").rsplit("/", 1)[-1], git_remote, active_branch)]
+        rows = self.spark.createDataFrame(one, "repo_id long, uuid string, path string, name string, git_remote string, active_branch string")
+        rows = rows.withColumn("created_at", F.current_timestamp()).withColumn("last_scanned", F.lit(None).cast("timestamp"))
+        self.store.append("repositories", rows.select(*[c.split()[0] for c in S.REPOSITORIES.split(", ")]))
+        return one[0][0]
+
+    def list_repositories(self) -> DataFrame:
+        """Repositories by name."""
+        return self._log("repositories", S.REPOSITORIES).orderBy("name", "repo_id")
+
+    def start_task(self, repo_id: int, name: str, created_by: str = "user", parent_id: int | None = None) -> int:
+        """Logs that a task began, and returns its id."""
+        import time
+
+        task_id = time.time_ns()
+        about = {"repo_id": str(repo_id), "name": name, "created_by": created_by} | ({"parent_id": str(parent_id)} if parent_id is not None else {})
+        self.store.append("task_log", tasks.event(self.spark, task_id, "running", None, 0.0, about))
+        return task_id
+
+    def update_task(self, task_id: int, message: str | None = None, progress: float | None = None, details: dict[str, str] | None = None) -> None:
+        self.store.append("task_log", tasks.event(self.spark, task_id, None, message, progress, details))
+
+    def complete_task(self, task_id: int, error: str | None = None) -> None:
+        self.store.append("task_log", tasks.event(self.spark, task_id, "failed" if error else "completed", error, None, None))
+
+    def get_tasks(self) -> DataFrame:
+        """All tasks with their state, from the log."""
+        own = lambda k, kind: F.col("details")[k].cast(kind).alias(k)
+        return tasks.task_state(self._log("task_log", tasks.LOG)).select("*", own("repo_id", "long"), own("parent_id", "long"), own("name", "string"), own("created_by", "string"))
+
+    def get_task_history(self, repo_id: int, offset: int = 0, limit: int = 20) -> DataFrame:
+        return tasks.history(self.get_tasks(), repo_id, offset, limit)
+
+    def get_latest_task(self, repo_id: int) -> DataFrame:
+        return tasks.latest_task(self.get_tasks().where(F.col("repo_id") == repo_id))
+
+    def get_usage_statistics(self, billing: DataFrame) -> DataFrame:
+        """One row: repositories, files and lines analysed, and the totals of billing."""
+        files = self._log("files", S.FILES)
+        return stats.usage_statistics(self.list_repositories(), files, billing)
+
+    def get_database_size(self) -> str:
+        return self.spark.range(1).select(X.format_bytes(F.lit(self.store.size()))).first()[0]
+
+    def _log(self, entity: str, schema: str) -> DataFrame:
+        return self.store.read(entity, schema) if self.store.exists(entity) else self.spark.createDataFrame([], schema)
 
     def _known(self, entity: str, repo_id: int, branch: str) -> DataFrame | None:
         if not self.store.exists(entity):
@@ -77,7 +137,10 @@ class Analysis:
         return graph.dead_code(self.of("nodes", repo_id, branch), self.of("edges", repo_id, branch), S.OUTLINE_TYPES if strict_types else S.DEFINITION_TYPES)
 
     def find_duplicate_code(self, repo_id: int, branch: str, similarity_threshold: float = S.DUPLICATE_SIMILARITY, top_k: int | None = S.DUPLICATE_TOP_K) -> DataFrame:
-        return search.duplicate_pairs(self.of("chunks", repo_id, branch), similarity_threshold, top_k)
+        """Pairs of near copies, with the path, lines and content of both."""
+        chunks = self.of("chunks", repo_id, branch)
+        pairs = search.duplicate_pairs(chunks, similarity_threshold, top_k)
+        return search.with_places(pairs, chunks, self.of("files", repo_id, branch), self.of("blobs", repo_id, branch))
 
     def get_code_graph_analysis(self, repo_id: int, branch: str, k: int = 5) -> DataFrame:
         return graph.central_nodes(self.of("nodes", repo_id, branch), self.of("edges", repo_id, branch), k)

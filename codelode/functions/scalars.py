@@ -102,13 +102,18 @@ def line_count(text: Column | str) -> Column:
     return (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + F.when((t != "") & ~F.endswith(t, F.lit("\n")), 1).otherwise(0)).cast("long")
 
 
+def _without_white_space(text: Column) -> Column:
+    return F.translate(text, " \t\n\r\f\x0b", "")
+
+
 def word_count(text: Column | str) -> Column:
-    return F.regexp_count(col(text), F.lit(r"[^ \t\n\r\f\x0B]+"))
+    """Runs without ASCII white space. Each becomes one letter, so no list of them is made."""
+    return F.length(_without_white_space(F.regexp_replace(col(text), r"[^ \t\n\r\f\x0B]+", "w")))
 
 
 def token_count(text: Column | str) -> Column:
-    """The offline tokenizer: runs of letters, digits or _, and every other character that isn't white space."""
-    return F.regexp_count(col(text), F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\x0B]"))
+    """The offline tokenizer: runs of letters, digits or _ (each becomes one letter), and every other character that isn't white space."""
+    return F.length(_without_white_space(F.regexp_replace(col(text), "[A-Za-z0-9_]+", "w")))
 
 
 def slice_content(content: Column | str, start: Column | str, end: Column | str) -> Column:

@@ -31,19 +31,19 @@ def token_windows(texts: DataFrame, key: str, text: str, size: int = S.MAX_CHUNK
     return counted.select(key, F.explode(windows(F.col("_n"), size, overlap)).alias("w")).select(key, "w.i", "w.first", "w.last", (F.col("w.last") - F.col("w.first")).alias("n_tokens"))
 
 
-def _cut(pieces: DataFrame, size: int, overlap: int) -> DataFrame:
+def _cut(pieces: DataFrame, size: int, overlap: int, token: str) -> DataFrame:
     """pieces (…, text, start) with i, is_split, part_start, part_end (characters of the file) and token_count for each window."""
-    counted = pieces.withColumn("_n", X.token_count("text").cast("int"))
+    counted = pieces.withColumn("_n", (X.token_count("text") if token == TOKEN else F.regexp_count("text", F.lit(token))).cast("int"))
     short = counted.where(F.col("_n") <= size).select(*pieces.columns, F.lit(0).alias("i"), F.lit(False).alias("is_split"), F.col("start").alias("part_start"), (F.col("start") + F.length("text")).alias("part_end"), F.col("_n").alias("token_count"))
     # only long pieces need the places of their tokens; one pass over a text gives them all
-    long = counted.where(F.col("_n") > size).withColumn("w", F.explode(_places(size, overlap)("text")))
+    long = counted.where(F.col("_n") > size).withColumn("w", F.explode(_places(size, overlap, token)("text")))
     parts = long.select(*pieces.columns, F.col("w.i").alias("i"), F.lit(True).alias("is_split"), (F.col("start") + F.col("w.begin")).alias("part_start"), (F.col("start") + F.col("w.end")).alias("part_end"), F.col("w.n").alias("token_count"))
     return short.unionByName(parts)
 
 
-def _places(size: int, overlap: int):
+def _places(size: int, overlap: int, pattern: str):
     """array<struct<i, begin, end, n>> of a text's windows, in characters."""
-    token = re.compile(TOKEN)
+    token = re.compile(pattern)
 
     @F.pandas_udf("array<struct<i:int,begin:int,end:int,n:int>>")
     def places(texts: pd.Series) -> pd.Series:
@@ -57,13 +57,23 @@ def _places(size: int, overlap: int):
     return places
 
 
-def structural_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, overlap: int = S.CHUNK_OVERLAP) -> DataFrame:
+def broken(files: DataFrame) -> DataFrame:
+    """files' content with breaks: where its lines end, found once for each file."""
+
+    @F.pandas_udf("array<int>")
+    def breaks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [m.start() for m in re.finditer("\n", t or "")])
+
+    return files.select(*KEY, "content", "blob_hash", breaks("content").alias("breaks"))
+
+
+def structural_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, overlap: int = S.CHUNK_OVERLAP, token: str = TOKEN) -> DataFrame:
     """A chunk per named definition (nested ones too); longer ones as windows, the first of which is the others' parent."""
     kinds = sorted({k for v in S.CHUNK_TYPES.values() for k in v})
     named = nodes.where(F.col("node_type").isin(*kinds) & F.col("name").isNotNull())
-    pieces = named.join(files.select(*KEY, "content", "blob_hash"), KEY)
-    pieces = pieces.select(*KEY, "blob_hash", "node_id", "node_type", "docstring", "complexity", X.slice_content("content", "start_char", "end_char").alias("text"), F.col("start_char").alias("start"), "content").where("text is not null")
-    cut = _cut(pieces, size, overlap)
+    pieces = named.join(broken(files), KEY)
+    pieces = pieces.select(*KEY, "blob_hash", "node_id", "node_type", "docstring", "complexity", X.slice_content("content", "start_char", "end_char").alias("text"), F.col("start_char").alias("start"), "breaks").where("text is not null")
+    cut = _cut(pieces, size, overlap, token)
     base = F.concat(F.col("relative_path"), F.lit(":STRUCT:"), F.col("node_id"))
     score = X.importance("node_type", F.col("docstring").isNotNull(), "complexity", "token_count")
     return _chunk_rows(
@@ -90,16 +100,15 @@ def islands(lines: DataFrame, key: list[str]) -> DataFrame:
     return g.where("_any = 1").drop("_run", "_any")
 
 
-def remainder_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, overlap: int = S.CHUNK_OVERLAP) -> DataFrame:
+def remainder_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, overlap: int = S.CHUNK_OVERLAP, token: str = TOKEN) -> DataFrame:
     """Chunks of the lines that no chunked definition covers."""
-    blocks = uncovered_blocks(nodes, files).join(files.select(*KEY, "content", "blob_hash"), KEY)
-    lines = F.split("content", "\n")
-    before = F.array_join(F.slice(lines, F.lit(1), F.col("first_line") - 1), "\n")
-    text = F.array_join(F.slice(lines, F.col("first_line"), F.col("last_line") - F.col("first_line") + 1), "\n")
-    pieces = blocks.select(*KEY, "blob_hash", "content", text.alias("text"), (F.length(before) + F.when(F.col("first_line") > 1, 1).otherwise(0)).alias("start"))
+    blocks = uncovered_blocks(nodes, files).join(broken(files), KEY)
+    start = F.when(F.col("first_line") > 1, F.col("breaks")[F.col("first_line") - 2] + 1).otherwise(0)
+    end = F.coalesce(F.get("breaks", F.col("last_line") - 1), F.length("content"))
+    pieces = blocks.select(*KEY, "blob_hash", "breaks", F.substring(F.col("content"), start + 1, end - start).alias("text"), start.alias("start"))
     base = F.concat(F.col("relative_path"), F.lit(":REM:"), F.col("start").cast("string"), F.lit("_"))
     return _chunk_rows(
-        _cut(pieces, size, overlap)
+        _cut(pieces, size, overlap, token)
         .withColumn("chunk_id", F.concat(base, F.col("i").cast("string")))
         .withColumn("parent_chunk_id", F.when(F.col("i") > 0, F.concat(base, F.lit("0"))))
         .withColumn("ast_node_ids", F.array().cast("array<string>"))
@@ -108,7 +117,7 @@ def remainder_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK
 
 
 def _chunk_rows(cut: DataFrame) -> DataFrame:
-    line = lambda at: F.regexp_count(F.substring(F.col("content"), F.lit(1), at), F.lit("\n")) + 1
+    line = lambda at: F.size(F.filter("breaks", lambda b: b < at)) + 1
     return cut.select(
         *KEY, "chunk_id", "blob_hash", F.col("part_start").cast("int").alias("start_char"), F.col("part_end").cast("int").alias("end_char"),
         line(F.col("part_start")).cast("int").alias("start_line"), line(F.greatest(F.col("part_end") - 1, F.col("part_start"))).cast("int").alias("end_line"),
@@ -116,6 +125,9 @@ def _chunk_rows(cut: DataFrame) -> DataFrame:
     )
 
 
-def chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, overlap: int = S.CHUNK_OVERLAP) -> DataFrame:
-    """Structural and remainder chunks of files (repo_id, branch, relative_path, content, blob_hash)."""
-    return structural_chunks(nodes, files, size, overlap).unionByName(remainder_chunks(nodes, files, size, overlap))
+def chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, overlap: int = S.CHUNK_OVERLAP, token: str = TOKEN) -> DataFrame:
+    """Structural and remainder chunks of files (repo_id, branch, relative_path, content, blob_hash).
+
+    token is the pattern of a token, whose matches are counted and cut at.
+    """
+    return structural_chunks(nodes, files, size, overlap, token).unionByName(remainder_chunks(nodes, files, size, overlap, token))

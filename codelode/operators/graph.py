@@ -5,6 +5,7 @@ Nodes, calls and edges carry repo_id and branch, which are part of every key.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -106,17 +107,18 @@ def file_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.where("from_file <> to_file").groupBy(*KEY, "from_file", "to_file").agg(F.count("*").alias("calls"))
 
 
-def tree_paths(nodes: DataFrame, depth: int = 20) -> DataFrame:
-    """node_id, level, path (names from the root): the tree that parent_id makes, level by level.
+def tree_paths(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """node_id, level, path (names from the root): the tree that parent_id makes, level by level, down to depth if given.
 
-    Nodes whose parent is missing are roots, as are nodes without a parent.
+    Nodes whose parent is missing are roots, as are nodes without a parent. A node has one parent, so what is reached
+    from the roots has no cycle; nodes on a cycle are reached by none and have no row.
     """
     n = nodes.select(*KEY, "node_id", "parent_id", "name")
     known = n.select(*KEY, F.col("node_id").alias("parent_id"))
     level = n.where("parent_id is null").unionByName(n.where("parent_id is not null").join(known, [*KEY, "parent_id"], "left_anti").select(*KEY, "node_id", "parent_id", "name"))
     level = level.select(*KEY, "node_id", F.lit(0).alias("level"), F.coalesce("name", F.lit("")).alias("path"))
     out = level = cut(level)
-    for i in range(1, depth + 1):
+    for i in itertools.count(1) if depth is None else range(1, depth + 1):
         up = level.select(*KEY, F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
         level = cut(n.join(up, [*KEY, "parent_id"]).select(*KEY, "node_id", F.lit(i).alias("level"), F.concat_ws("/", "above", F.coalesce("name", F.lit(""))).alias("path")))
         if level.isEmpty():

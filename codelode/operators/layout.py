@@ -45,6 +45,12 @@ def word_groups(words: DataFrame, by: list[str] = ["page"]) -> DataFrame:  # noq
     return g.groupBy(*by, "group_no").agg(text.alias("text"), *bounds())
 
 
+def elements(text: DataFrame, images: DataFrame, by: list[str] = ["page"]) -> DataFrame:  # noqa: B006
+    """Text blocks and images of pages as one table with kind and position, from the top and then from the left."""
+    both = text.withColumn("kind", F.lit("text")).unionByName(images.withColumn("kind", F.lit("image")), allowMissingColumns=True)
+    return both.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("y0", "x0", "kind", "block_id")))
+
+
 def bounds() -> list:
     return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
 

@@ -6,27 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def window_counts(requests: DataFrame, period_seconds: int, by: list[str], ts: str = "ts") -> DataFrame:
+def window_counts(requests: DataFrame, period_seconds: float, by: list[str], ts: str = "ts") -> DataFrame:
     """requests with in_window: how many of the same key lie within the period up to each, itself included.
 
     A request exactly one period old has expired.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*by).orderBy(t).rangeBetween(-(period_seconds * 1_000_000 - 1), 0)
+    w = Window.partitionBy(*by).orderBy(t).rangeBetween(-(round(period_seconds * 1_000_000) - 1), 0)
     return requests.withColumn("in_window", F.count("*").over(w))
 
 
 def violations(requests: DataFrame, limits: DataFrame) -> DataFrame:
     """Requests that exceed a limit of their model (model_name, max_requests, period_seconds), one row per limit.
 
-    A limit's period isn't the same for all rows, so the earlier requests are counted from sorted
-    times by key: an ordered array per key and model within a period's reach.
+    Requests are counted in one window per distinct period, in microseconds. Without limits there are no rows.
     """
-    out = None
-    for r in limits.select("period_seconds").distinct().orderBy("period_seconds").collect():  # as many as there are distinct periods
-        counted = window_counts(requests, int(r[0]), ["api_key", "model_name"])
+    out = requests.withColumn("in_window", F.lit(0).cast("long")).join(limits, "model_name").where(F.lit(False))
+    for r in limits.select("period_seconds").distinct().orderBy("period_seconds").collect():  # entries of a configuration
+        counted = window_counts(requests, float(r[0]), ["api_key", "model_name"])
         hit = counted.join(limits.where(F.col("period_seconds") == r[0]), "model_name").where("in_window > max_requests")
-        out = hit if out is None else out.unionByName(hit)
+        out = out.unionByName(hit)
     return out
 
 
@@ -36,6 +35,27 @@ def round_robin(items: DataFrame, order: list[str], n: int) -> DataFrame:
     return items.withColumn("slot", (F.row_number().over(w) - 1) % n)
 
 
+def replay(requests: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    """requests (request_id, model_name, ts) with api_key and admitted_at: the log replayed through the limiter, model by model.
+
+    A model's requests depend on one another, so they are one task's work, in the order of ts and request_id.
+    """
+    import pandas as pd
+
+    of = limits.groupBy("model_name").agg(F.collect_list(F.struct(F.col("max_requests").cast("int").alias("most"), F.col("period_seconds").cast("double").alias("period"))).alias("limits"))
+    rows = requests.select("request_id", "model_name", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")).join(of, "model_name", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "request_id"])
+        own = pdf["limits"].iloc[0]
+        own = [] if own is None else [(x["most"], x["period"]) for x in own]
+        found = admit(pdf["at"].tolist(), own, keys)
+        return pd.DataFrame({"request_id": pdf["request_id"], "model_name": pdf["model_name"], "api_key": [k for k, _ in found], "admitted_at": [t for _, t in found]})
+
+    kind = dict(requests.dtypes)["request_id"]
+    return rows.groupBy("model_name").applyInPandas(run, f"request_id {kind}, model_name string, api_key string, admitted_at double")
+
+
 def admit(pdf, limits: list[tuple[int, float]], keys: list[str]):
     """Replays a log (ts in seconds, ascending) through the limiter: each request gets the first key from
     the current one on that is free; if none is, it waits for the least time plus 0.01 s.

@@ -116,6 +116,14 @@ def duplicate_pairs(chunks: DataFrame, least: float = S.DUPLICATE_SIMILARITY, k:
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "score").groupBy("id_a", "id_b").agg(F.max("score").alias("similarity"))
 
 
+def with_places(pairs: DataFrame, chunks: DataFrame, files: DataFrame, blobs: DataFrame) -> DataFrame:
+    """pairs (id_a, id_b, similarity) with path, lines and content of both chunks."""
+    key = ["repo_id", "branch"]
+    text = chunks.join(files.select(*key, "relative_path", "blob_hash"), [*key, "relative_path", "blob_hash"]).join(blobs, [*key, "blob_hash"])
+    of = lambda s: text.select(F.col("chunk_id").cast("string").alias(f"id_{s}"), F.col("relative_path").alias(f"path_{s}"), F.col("start_line").alias(f"start_line_{s}"), F.col("end_line").alias(f"end_line_{s}"), X.slice_content("content", "start_char", "end_char").alias(f"content_{s}"))
+    return pairs.join(of("a"), "id_a", "left").join(of("b"), "id_b", "left")
+
+
 def duplicate_pairs_lsh(chunks: DataFrame, least: float = S.DUPLICATE_SIMILARITY, tables: int = 8, bits: int = 12, dim: int = 64, seed: int = 1) -> DataFrame:
     """As duplicate_pairs with k=None, by random hyperplanes: near duplicates share a bucket in some table with high probability.
 

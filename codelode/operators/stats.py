@@ -71,6 +71,14 @@ def dominant(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return n.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias("dominant"), F.max("_n").alias("n"))
 
 
+def font_summary(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group: the most frequent font, color and flags, and the mean size; Arial, 12, 0 and 0 where nothing is known."""
+    out = blocks.groupBy(*by).agg(F.avg("size").alias("size"))
+    for c in ("font", "color", "flags"):
+        out = out.join(dominant(blocks, by, c).select(*by, F.col("dominant").alias(c)), by, "left")
+    return out.select(*by, F.coalesce("font", F.lit("Arial")).alias("font"), F.coalesce("size", F.lit(12.0)).alias("size"), F.coalesce("color", F.lit(0)).alias("color"), F.coalesce("flags", F.lit(0)).alias("flags"))
+
+
 def throughput(marks: DataFrame, by: list[str]) -> DataFrame:
     """For each mark (ts, total so far): the rate since the mark before, and since the first."""
     from pyspark.sql import Window

@@ -30,8 +30,10 @@ class Store:
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         return reader.parquet(self.path(entity))
 
-    def replace(self, entity: str, rows: DataFrame) -> None:
-        """Replaces the partitions that rows have; others stay."""
+    def replace(self, entity: str, rows: DataFrame, repo_id: int | None = None, branch: str | None = None) -> None:
+        """Replaces the partitions that rows have; others stay. The named branch's is emptied where rows have none of it."""
+        if repo_id is not None and rows.where((F.col("repo_id") == repo_id) & (F.col("branch") == branch)).isEmpty():
+            self.drop(entity, repo_id, branch)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(self.path(entity))
 
     def drop(self, entity: str, repo_id: int, branch: str | None = None) -> None:
@@ -40,6 +42,17 @@ class Store:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def append(self, entity: str, rows: DataFrame) -> None:
+        """Adds rows of a table that isn't partitioned, such as logs."""
+        rows.write.mode("append").parquet(self.path(entity))
+
+    def size(self) -> int:
+        """Bytes of all entities' files."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The rows to append: of each new key the first by order."""
     from pyspark.sql import Window

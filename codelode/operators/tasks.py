@@ -14,13 +14,17 @@ def task_state(log: DataFrame) -> DataFrame:
     """
     order = F.struct("ts", "seq")
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    events = F.array_sort(F.collect_list(F.struct("ts", "seq", "message", F.map_entries("details").alias("details"))))
-    s = log.groupBy("task_id").agg(latest("status"), latest("message"), latest("progress"), F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"), events.alias("_log"))
-    merged = F.aggregate("_log", F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")), lambda m, e: F.when(e["details"].isNull(), m).otherwise(merge_details(m, F.map_from_entries(e["details"]))))
+    said = F.array_sort(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("ts", "seq", "message"))))
+    s = log.groupBy("task_id").agg(latest("status"), latest("message"), latest("progress"), F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"), said.alias("_said"))
+    # the latest value of each key, aggregated before any map is made
+    keys = log.select("task_id", "ts", "seq", F.explode("details").alias("key", "value")).groupBy("task_id", "key").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    maps = keys.groupBy("task_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_details"))
+    s = s.join(maps, "task_id", "left")
+    merged = F.coalesce("_details", F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))
     ended = F.col("status").isin("completed", "failed")
     return s.select(
         "task_id", "status", "message", F.when(ended, 100.0).otherwise(F.coalesce("progress", F.lit(0.0))).alias("progress"), "started_at",
-        F.when(ended, F.col("updated_at")).alias("completed_at"), merged.alias("details"), F.filter(F.transform("_log", lambda e: e["message"]), lambda m: m.isNotNull()).alias("log_history"),
+        F.when(ended, F.col("updated_at")).alias("completed_at"), merged.alias("details"), F.transform("_said", lambda e: e["message"]).alias("log_history"),
     )
 
 
@@ -41,6 +45,31 @@ def with_children(tasks: DataFrame, parents: DataFrame) -> DataFrame:
     return parents.join(kids, "task_id", "left")
 
 
+def with_grandchildren(tasks: DataFrame, parents: DataFrame) -> DataFrame:
+    """parents with children, each of which has its own, both by when they began."""
+    kids = tasks.where("parent_id is not null").select("task_id", "parent_id", "name", "status", "started_at")
+    grand = F.array_sort(F.collect_list(F.struct("started_at", F.col("task_id").alias("child_id"), "name", "status"))).alias("grandchildren")
+    below = kids.groupBy("parent_id").agg(grand).withColumnRenamed("parent_id", "task_id")
+    own = F.array_sort(F.collect_list(F.struct("started_at", F.col("task_id").alias("child_id"), "name", "status", "grandchildren"))).alias("children")
+    return parents.join(kids.join(below, "task_id", "left").groupBy("parent_id").agg(own).withColumnRenamed("parent_id", "task_id"), "task_id", "left")
+
+
+def details_of(state: DataFrame, task_id, key: str) -> DataFrame:
+    """task_id and value: what a task's details say under a key; no row where they don't."""
+    return state.where(F.col("task_id") == task_id).select("task_id", F.col("details")[key].alias("value")).where("value is not null")
+
+
+def event(spark, task_id: int, status: str | None = None, message: str | None = None, progress: float | None = None, details: dict[str, str] | None = None) -> DataFrame:
+    """One event of a task's log, now; seq orders events of the same time."""
+    import time
+
+    rows = spark.createDataFrame([(task_id, time.time_ns(), status, message, progress, details)], "task_id long, seq long, status string, message string, progress double, details map<string,string>")
+    return rows.withColumn("ts", F.timestamp_micros(F.floor(F.col("seq") / 1000))).select(*[c.split()[0] for c in LOG.split(", ")])
+
+
+LOG = "task_id long, ts timestamp, seq long, status string, message string, progress double, details map<string,string>"
+
+
 def history(tasks: DataFrame, repo_id: int, offset: int = 0, limit: int = 20) -> DataFrame:
     """A page of a repository's root tasks, latest first, with children."""
     if not (0 <= offset and 1 <= limit):

@@ -218,10 +218,20 @@ def uncovered_line_blocks(t: Tables) -> DataFrame:
     return found.select("doc_id", F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"))
 
 
-@query(f"SELECT 'STRUCT:' || doc_id AS chunk_id, CAST({TOKENS.format('text')} AS BIGINT) AS token_count FROM documents UNION ALL SELECT 'REM:' || item_id, CAST({TOKENS.format('text')} AS BIGINT) FROM benchmark")
+@query(rf"""WITH d AS (SELECT {PATH} AS path, doc_id, split_part(text, {NL}, 1) AS head, CASE WHEN contains(text, {NL}) THEN substr(text, strpos(text, {NL}) + 1) END AS rest FROM documents),
+p AS (SELECT path || ':STRUCT:d' || doc_id AS base, true AS struct, CAST({TOKENS.format('head')} AS BIGINT) AS n FROM d
+  UNION ALL SELECT path || ':REM:' || (length(head) + 1) || '_', false, CAST({TOKENS.format('rest')} AS BIGINT) FROM d WHERE trim(rest, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+w AS (SELECT *, unnest(generate_series(0, CASE WHEN n <= 100 THEN 0 ELSE CAST(ceil((n - 100) / 90) AS BIGINT) END)) AS i FROM p)
+SELECT CASE WHEN NOT struct THEN base || i WHEN n > 100 THEN base || '_' || i ELSE base END AS chunk_id, least(i * 90 + 100, n) - i * 90 AS token_count FROM w""")
 def chunk_union(t: Tables) -> DataFrame:
-    make = lambda df, head, key: df.select(F.concat(F.lit(head), F.col(key).cast("string")).alias("chunk_id"), X.token_count("text").cast("long").alias("token_count"))
-    return make(t.raw("documents"), "STRUCT:", "doc_id").unionByName(make(t.raw("benchmark"), "REM:", "item_id"))
+    """Chunks of documents whose first line is a named definition: that line, and the lines that it leaves."""
+    files = t.files().withColumn("blob_hash", X.content_hash("content"))
+    end = F.when(F.instr("content", "\n") > 0, F.instr("content", "\n") - 1).otherwise(F.length("content"))
+    nodes = files.select(
+        "repo_id", "branch", "relative_path", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), F.lit("function_definition").alias("node_type"), F.lit("head").alias("name"),
+        F.lit(None).cast("string").alias("docstring"), F.lit(1).alias("complexity"), F.lit(0).alias("start_char"), end.alias("end_char"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+    )
+    return chunking.chunks(nodes, files, 100, 10).select("chunk_id", F.col("token_count").cast("long").alias("token_count"))
 
 
 @query(f"""SELECT l.doc_id, l.quality, l.toxic, round(least(1.0, greatest(0.0, 0.5 + CASE WHEN quality = 1 THEN 0.2 ELSE 0.1 END + CASE WHEN toxic = 1 THEN 0.3 ELSE 0 END + CASE WHEN {LINES} > 5 THEN 0.15 ELSE 0 END + CASE WHEN {TOKENS.format('text')} < 20 THEN -0.1 WHEN {TOKENS.format('text')} > 200 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS importance FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
@@ -407,6 +417,21 @@ def task_history(t: Tables) -> DataFrame:
     return rows.select("task_id", "repo_id", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("n_children"), first.alias("first_child"))
 
 
+@query("""SELECT o_custkey AS task_id, count(DISTINCT o_orderkey) AS n_children, count(l_orderkey) AS n_grandchildren, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS first_child FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def task_grandchildren(t: Tables) -> DataFrame:
+    """Customers as root tasks, orders as their children, items as those of orders."""
+    o = t.raw("orders").select((F.col("o_orderkey") + 10**9).alias("task_id"), F.col("o_custkey").alias("parent_id"), F.col("o_orderpriority").alias("name"), F.lit("completed").alias("status"), F.col("o_orderdate").alias("started_at"))
+    i = t.raw("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10**10).alias("task_id"), (F.col("l_orderkey") + 10**9).alias("parent_id"), F.lit("item").alias("name"), F.lit("completed").alias("status"), F.col("l_shipdate").alias("started_at"))
+    rows = tasks.with_grandchildren(o.unionByName(i), t.raw("orders").select(F.col("o_custkey").alias("task_id")).distinct())
+    below = F.aggregate("children", F.lit(0).cast("long"), lambda n, c: n + F.coalesce(F.size(c["grandchildren"]), F.lit(0)))
+    return rows.select("task_id", F.size("children").cast("long").alias("n_children"), below.alias("n_grandchildren"), F.col("children")[0]["name"].alias("first_child"))
+
+
+@query(f"WITH e AS ({EVENTS}) SELECT user_id AS task_id, arg_max(CAST(event_id AS VARCHAR), (ts, event_id)) AS value FROM e WHERE user_id = 7 AND event_type = 'view' GROUP BY 1")
+def task_details(t: Tables) -> DataFrame:
+    return tasks.details_of(tasks.task_state(t.task_log()), 7, "view")
+
+
 @query("WITH p AS (SELECT * FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5 OFFSET 2) SELECT o_orderkey AS task_id, o_orderpriority AS name, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_children FROM p")
 def task_history_page(t: Tables) -> DataFrame:
     page = tasks.history(t.tasks(), 7, 2, 5)
@@ -426,6 +451,14 @@ def rate_limit_window(t: Tables) -> DataFrame:
     return ratelimit.window_counts(t.requests(), 3600, ["api_key"]).select("event_id", "in_window", (F.col("in_window") > 2).alias("limited"))
 
 
+@query("""WITH l AS (SELECT * FROM (VALUES ('click', 2, 86400.0), ('click', 1, 0.5), ('view', 3, 604800.25), ('purchase', 1, 172800.0), ('none', 1, 1.0)) AS l(model_name, max_requests, period_seconds)),
+c AS (SELECT event_id, max_requests, CAST(period_seconds AS DOUBLE) AS period_seconds, (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.ts <= a.ts AND epoch_us(b.ts) > epoch_us(a.ts) - period_seconds * 1000000) AS in_window FROM events a JOIN l ON event_type = model_name)
+SELECT event_id, max_requests, period_seconds, in_window FROM c WHERE in_window > max_requests""")
+def rate_limit_violations(t: Tables) -> DataFrame:
+    limits = t.spark.createDataFrame([("click", 2, 86400.0), ("click", 1, 0.5), ("view", 3, 604800.25), ("purchase", 1, 172800.0), ("none", 1, 1.0)], S.RATE_LIMITS)
+    return ratelimit.violations(t.requests(), limits).select("event_id", "max_requests", "period_seconds", "in_window")
+
+
 @query("SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000) AS BIGINT) AS batch FROM orders")
 def fixed_batches(t: Tables) -> DataFrame:
     return file_source.fixed_batches(t.raw("orders").select("o_orderkey"), ["o_orderkey"], 1000).select("o_orderkey", F.col("batch").cast("long").alias("batch"))
@@ -457,13 +490,28 @@ def usage_session(t: Tables) -> DataFrame:
     return _shown(usage.sessions(t.raw("events"), "30 minutes", ["user_id"]), "session_start", "session_end")
 
 
+@query("SELECT min('p' || p_partkey) AS node_id, p_brand AS relative_path, p_size AS start_line FROM part WHERE p_partkey % 3 = 0 GROUP BY 2, 3")
+def nodes_by_id(t: Tables) -> DataFrame:
+    ids = t.definitions().where(F.substring("node_id", 2, 20).cast("long") % 3 == 0).select("node_id")
+    return graph.nodes_by_id(t.definitions(), ids).select("node_id", "relative_path", "start_line")
+
+
+@query(f"SELECT {PATH} AS relative_path, substr(text, 3, 4) AS content FROM documents WHERE length(text) >= 6 UNION ALL SELECT {PATH}, NULL FROM documents WHERE length(text) < 6")
+def node_content(t: Tables) -> DataFrame:
+    files = t.files().withColumn("blob_hash", X.content_hash("content"))
+    nodes = files.select("repo_id", "branch", "relative_path", F.col("relative_path").alias("node_id"), F.lit(2).alias("start_char"), F.lit(6).alias("end_char"))
+    blobs = files.select("repo_id", "branch", "blob_hash", "content").dropDuplicates(["repo_id", "branch", "blob_hash"])
+    return graph.node_content(nodes, files, blobs).select(F.col("node_id").alias("relative_path"), "content")
+
+
 # --- sources and store ----------------------------------------------------------------------------
 
 
-@query("SELECT CASE role WHEN 'user' THEN 'modified' WHEN 'assistant' THEN 'untracked' ELSE 'renamed' END AS kind, CAST(count(*) AS BIGINT) AS n, min('c' || conv_id || '/' || turn) AS first FROM conversations GROUP BY 1")
+@query("WITH c AS (SELECT CASE WHEN role = 'user' THEN ['modified', 'modified', 'modified', 'modified'][turn % 4 + 1] WHEN role = 'assistant' THEN ['untracked', 'new', 'new', 'deleted'][turn % 4 + 1] ELSE 'renamed' END AS kind, 'c' || conv_id || '/' || turn AS path FROM conversations) SELECT kind, CAST(count(*) AS BIGINT) AS n, min(path) AS first FROM c GROUP BY 1")
 def git_status_parse(t: Tables) -> DataFrame:
     path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
-    line = F.when(F.col("role") == "user", F.concat(F.lit(" M "), path)).when(F.col("role") == "assistant", F.concat(F.lit("?? "), path)).otherwise(F.concat(F.lit("R  old -> "), path))
+    code = lambda *some: F.element_at(F.array(*map(F.lit, some)), (F.col("turn") % 4 + 1).cast("int"))
+    line = F.when(F.col("role") == "user", F.concat(code(" M ", "M  ", "MM ", " D "), path)).when(F.col("role") == "assistant", F.concat(code("?? ", "A  ", "AM ", "D  "), path)).otherwise(F.concat(F.lit("R  old -> "), path))
     lines = t.raw("conversations").select(line.alias("line")).union(t.spark.createDataFrame([("UU both",)], "line string"))
     return git.parse_status(lines).groupBy("kind").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
@@ -498,3 +546,25 @@ m AS (SELECT page, arg_max(struct_pack(c := c, r := r, g := g), struct_pack(g :=
 SELECT page, block_id, CASE WHEN m.g > 50 AND m.r > 2 AND n - m.r + 1 >= 2 AND c >= m.c THEN 1 ELSE 0 END AS column_no FROM c JOIN m USING (page)""")
 def page_columns(t: Tables) -> DataFrame:
     return layout.columns(t.text_blocks()).select("page", "block_id", "column_no")
+
+
+@query(f"""WITH b AS ({BLOCKS}), n AS (SELECT *, CASE WHEN x0 - lag(x0 + 40) OVER w <= 20 AND abs(y0 - lag(y0) OVER w) <= 5 THEN 0 ELSE 1 END AS n FROM b WINDOW w AS (PARTITION BY page ORDER BY block_id)),
+g AS (SELECT *, CAST(sum(n) OVER (PARTITION BY page ORDER BY block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no FROM n)
+SELECT page, group_no, string_agg(o_orderstatus, ' ' ORDER BY block_id) AS text, min(x0) AS x0, max(x0 + 40) AS x1, min(y0) AS y0 FROM g JOIN orders ON o_orderkey = block_id GROUP BY page, group_no""")
+def word_groups(t: Tables) -> DataFrame:
+    return layout.word_groups(t.text_blocks()).select("page", "group_no", "text", "x0", "x1", "y0")
+
+
+@query(f"""WITH e AS (SELECT page, block_id, x0, y0, 'text' AS kind FROM ({BLOCKS}) UNION ALL SELECT page, block_id, x0, y0 + 5, 'image' FROM ({BLOCKS}) WHERE block_id % 4 = 0)
+SELECT page, block_id, kind, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, kind, block_id) AS BIGINT) AS position FROM e""")
+def page_elements(t: Tables) -> DataFrame:
+    blocks = t.text_blocks()
+    images = blocks.where("block_id % 4 = 0").select("page", "block_id", "x0", (F.col("y0") + 5).alias("y0"), "x1", "y1")
+    return layout.elements(blocks, images).select("page", "block_id", "kind", F.col("position").cast("long").alias("position"))
+
+
+@query("""WITH f AS (SELECT p_brand, p_type, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1, 2), c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT p_brand AS brand, coalesce((SELECT p_type FROM f WHERE f.p_brand = p.p_brand ORDER BY n DESC, p_type LIMIT 1), 'Arial') AS font, round(avg(p_retailprice), 4) AS size, (SELECT p_size FROM c WHERE c.p_brand = p.p_brand ORDER BY n DESC, p_size LIMIT 1) AS color, 0 AS flags FROM part p GROUP BY p_brand""")
+def font_summary(t: Tables) -> DataFrame:
+    blocks = t.raw("part").select(F.col("p_brand").alias("brand"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("font"), F.col("p_retailprice").alias("size"), F.col("p_size").alias("color"), F.lit(None).cast("int").alias("flags"))
+    return stats.font_summary(blocks, ["brand"]).withColumn("size", F.round("size", 4))

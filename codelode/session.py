@@ -27,10 +27,13 @@ def build(app: str = "codelode", master: str | None = None, **conf: str) -> Spar
 
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, so that plans of repeated steps stay small. It is kept in the session's
-    checkpoint folder; a local one is set only where the session has none."""
+    checkpoint folder. A session of one machine that has none gets a temporary one; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codelode-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codelode-"))
     return df.checkpoint()
 
 

@@ -45,7 +45,7 @@ class GitReader(DataSourceReader):
         if table == "tree":
             out = run_git(path, "ls-tree", "-r", "--name-only", "-z", self.options.get("branch") or "HEAD").split("\0")
         elif table == "status":
-            out = run_git(path, "status", "--porcelain").split("\n")
+            out = run_git(path, "status", "--porcelain", "-u").split("\n")
         else:
             out = sorted({x[2:].strip() for x in run_git(path, "branch", "--list").split("\n") if "->" not in x})
         yield from ((x,) for x in out if x)
@@ -67,10 +67,11 @@ def branches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_status(lines: DataFrame) -> DataFrame:
-    """kind and path of status lines; of the rules renamed, modified, new and deleted the first that fits counts."""
-    code, rest = F.substring("line", 1, 2), F.substring(F.col("line"), F.lit(4), F.lit(1 << 30))
-    has = lambda c: F.contains(code, F.lit(c))
-    kind = F.when(code == "??", "untracked").when(has("R"), "renamed").when(has("M"), "modified").when(has("A"), "new").when(has("D"), "deleted")
+    """kind and path of status lines, by the first column: R renamed (the new path), blank or M modified, A new, D deleted,
+    ?? untracked. So a new file that was changed since (AM) is new, and one that is gone from the tree alone ( D) is
+    modified. Other lines, as those of conflicts, are left out."""
+    code, rest = F.substring("line", 1, 1), F.substring(F.col("line"), F.lit(4), F.lit(1 << 30))
+    kind = F.when(code == "R", "renamed").when(code.isin(" ", "M"), "modified").when(code == "A", "new").when(code == "D", "deleted").when(F.substring("line", 1, 2) == "??", "untracked")
     path = F.when(kind == "renamed", F.element_at(F.split(rest, " -> "), -1)).otherwise(rest)
     return lines.select(kind.alias("kind"), path.alias("path")).where("kind is not null")
 
@@ -95,6 +96,16 @@ def repo_dir(url: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_.-]", "_", last)
 
 
+def clone(url: str, parent: str) -> str:
+    """Clones a repository below a folder and returns where it is."""
+    run_git(parent, "clone", "--quiet", url, repo_dir(url))
+    return f"{parent.rstrip('/')}/{repo_dir(url)}"
+
+
+def fetch(path: str) -> None:
+    run_git(path, "fetch", "--quiet", "--all", "--prune")
+
+
 def checkout(path: str, branch: str) -> None:
     run_git(path, "checkout", branch)
 

@@ -320,7 +320,7 @@ def test_files_and_git(spark, tmp_path):
 
 def test_status_lines(spark):
     lines = spark.createDataFrame([(x,) for x in (" M a", "M  b", "MM c", "A  d", "AM e", " D f", "D  g", "?? h", "R  i -> j", "UU k")], "line string")
-    assert got(git.parse_status(lines), "kind", "path") == [("deleted", "f"), ("deleted", "g"), ("modified", "a"), ("modified", "b"), ("modified", "c"), ("modified", "e"), ("new", "d"), ("renamed", "j"), ("untracked", "h")]
+    assert got(git.parse_status(lines), "kind", "path") == [("deleted", "g"), ("modified", "a"), ("modified", "b"), ("modified", "c"), ("modified", "f"), ("new", "d"), ("new", "e"), ("renamed", "j"), ("untracked", "h")]
 
 
 def test_edits(tmp_path):
@@ -358,3 +358,91 @@ def test_facade(spark, tmp_path):
     assert a.search_code(1, "m", "def unused return", 1).first()["relative_path"] == "b.py"
     assert got(a.list_files_in_repository(1, "m"), "entry") == [("a.py",), ("b.py",)]
     assert a.get_repository_statistics(2, "m").count() == 0
+
+
+def test_a_removed_call_leaves_no_edge(spark, tmp_path):
+    from codelode.facade import Analysis
+
+    folder = tmp_path / "code"
+    folder.mkdir()
+    (folder / "a.py").write_text("def f():\n    return 1\n\n\ndef g():\n    return f()\n")
+    a = Analysis(spark, f"{tmp_path}/store")
+    mine = spark.range(3).cache()
+    a.analyze_branch(str(folder), 1, "main")
+    assert {r.name for r in a.find_dead_code(1, "main").collect()} == {"g"}
+    (folder / "a.py").write_text("def f():\n    return 1\n\n\ndef g():\n    return 2\n")
+    a.analyze_branch(str(folder), 1, "main")
+    assert {r.name for r in a.find_dead_code(1, "main").collect()} == {"f", "g"}
+    assert a.find_symbol_references(1, "main", "f").count() == 0
+    assert mine.is_cached  # others' caches stay
+    (folder / "a.py").unlink()
+    a.analyze_branch(str(folder), 1, "main")
+    assert a.of("files", 1, "main").count() == a.of("nodes", 1, "main").count() == a.of("chunks", 1, "main").count() == 0
+
+
+def test_duplicates_have_paths_and_content(spark, tmp_path):
+    from codelode.facade import Analysis
+
+    folder = tmp_path / "code"
+    folder.mkdir()
+    body = "def total(rows):\n    out = 0\n    for row in rows:\n        out += row\n    return out\n"
+    (folder / "a.py").write_text(body)
+    (folder / "b.py").write_text("# other\n" + body)
+    a = Analysis(spark, f"{tmp_path}/store")
+    a.analyze_branch(str(folder), 1, "main")
+    got = [r for r in a.find_duplicate_code(1, "main").collect() if r.content_a.startswith("def total")]
+    assert got and {got[0].path_a, got[0].path_b} == {"a.py", "b.py"} and got[0].content_b.startswith("def total") and sorted((got[0].start_line_a, got[0].start_line_b)) == [1, 2]
+
+
+def test_repositories_and_tasks(spark, tmp_path):
+    from codelode.facade import Analysis
+
+    a = Analysis(spark, f"{tmp_path}/store")
+    assert a.list_repositories().count() == a.get_tasks().count() == 0
+    one, two = a.add_repository("/src/zebra"), a.add_repository("/src/ant/")
+    assert a.add_repository("/src/zebra") == one != two
+    assert [r.name for r in a.list_repositories().collect()] == ["ant", "zebra"]
+    top = a.start_task(one, "analyse")
+    child = a.start_task(one, "parse", parent_id=top)
+    a.update_task(child, "half", 50.0, {"files": "3"})
+    a.complete_task(child)
+    a.complete_task(top, "broke")
+    state = {r.task_id: r for r in a.get_tasks().collect()}
+    assert (state[child].status, state[child].progress, state[child].details["files"], state[child].log_history) == ("completed", 100.0, "3", ["half"])
+    assert state[top].status == "failed" and state[top].message == "broke"
+    page = a.get_task_history(one).collect()
+    assert [r.task_id for r in page] == [top] and [c.child_id for c in page[0].children] == [child] and a.get_latest_task(one).first().task_id == top
+    assert a.get_database_size().endswith("KB") or a.get_database_size().endswith(" B")
+
+
+def test_short_periods_and_no_limits(spark):
+    rows = spark.sql("SELECT 'k' AS api_key, 'm' AS model_name, timestamp_millis(1700000000000 + x) AS ts FROM VALUES (0), (200), (700), (1300) AS v(x)")
+    hit = ratelimit.violations(rows, spark.createDataFrame([("m", 1, 0.5)], "model_name string, max_requests int, period_seconds double"))
+    assert [r.in_window for r in hit.collect()] == [2]
+    assert ratelimit.violations(rows, spark.createDataFrame([], "model_name string, max_requests int, period_seconds double")).count() == 0
+
+
+def test_replay_keeps_all_limits(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), 1_700_000_000 + rng.random() * 60) for i in range(200)]
+    d = spark.createDataFrame(rows, "request_id long, model_name string, t double").selectExpr("request_id", "model_name", "timestamp_micros(cast(t * 1000000 as bigint)) AS ts")
+    got = ratelimit.replay(d, spark.createDataFrame([("a", 3, 5.0), ("a", 10, 40.0)], "model_name string, max_requests int, period_seconds double"), ["k1", "k2"]).collect()
+    assert len(got) == 200 and {r.api_key for r in got if r.model_name == "b"} == {"k1"}
+    for key in ("k1", "k2"):
+        at = sorted(r.admitted_at for r in got if r.model_name == "a" and r.api_key == key)
+        assert at and all(sum(x - p < y <= x for y in at) <= n for x in at for n, p in ((3, 5.0), (10, 40.0)))
+
+
+def test_deep_trees_and_cycles(spark):
+    rows = [(1, "main", f"n{i}", f"n{i - 1}" if i else None, str(i)) for i in range(30)] + [(1, "main", "x", "y", "x"), (1, "main", "y", "x", "y")]
+    got = {r.node_id: r.level for r in graph.tree_paths(spark.createDataFrame(rows, "repo_id long, branch string, node_id string, parent_id string, name string")).collect()}
+    assert got == {f"n{i}": i for i in range(30)}
+
+
+def test_another_tokenizer_cuts_chunks(spark):
+    files = spark.createDataFrame([(1, "b", "a.txt", "one two\nthree four five\nsix", "h")], "repo_id long, branch string, relative_path string, content string, blob_hash string")
+    nodes = spark.createDataFrame([], "repo_id long, branch string, relative_path string, node_id string, node_type string, name string, docstring string, complexity int, start_char int, end_char int, start_line int, end_line int")
+    got = chunking.chunks(nodes, files, 10, 2, token=r"\S").orderBy("start_char").collect()
+    assert [r.token_count for r in got] == [10, 10, 6] and [(r.start_line, r.end_line) for r in got] == [(1, 2), (2, 2), (2, 3)]
