@@ -464,6 +464,81 @@ def test_small_images_have_points_and_equal_ones_link(spark):
     assert all(got[i].n_points > 0 for i in range(10)) and all(got[i].n_links == 1 for i in (0, 1, 12, 13))
 
 
+def test_images_described_together_are_as_alone():
+    rng = np.random.default_rng(13)
+    images = [picture(i, int(rng.integers(1, 90)), 64).astype(np.float32) for i in range(20)] + [picture(50, 70, 31).astype(np.float32), np.zeros((0, 0))]
+    for (w, p), image in zip(media.describe_all(images), images, strict=True):
+        alone = media.describe(image)
+        assert (w == alone[0]).all() and (p == alone[1]).all()
+    assert sum(len(w) for w, _ in media.describe_all(images)) > 100
+
+
+def test_common_words_hide_no_copies(spark):
+    """Images 50 and 90 share 12 points; each of these is in a smaller image of its own too."""
+    rng = np.random.default_rng(14)
+    word = lambda n: rng.integers(-(2**63), 2**63, (n, 2))
+    shared = word(12)
+    spot = lambda n, d=0: [[0, 0, 20 * i + d, 7 * i + d] for i in range(n)]
+    rows = [(50, np.concatenate([shared, word(5)]), spot(17)), (90, np.concatenate([shared, word(9)]), spot(21, 3))]
+    rows += [(i, np.concatenate([shared[i : i + 1], word(6)]), spot(7)) for i in range(12)]
+    d = spark.createDataFrame([(i, len(w), w.reshape(-1).tolist(), [x for p in q for x in p], None) for i, w, q in rows], media.POINTS)
+    assert [tuple(r) for r in media.links(d).collect()] == [(90, 50)]
+
+
+def test_words_of_many_images_keep_copies_together(spark):
+    rng = np.random.default_rng(15)
+    word = lambda n: rng.integers(-(2**63), 2**63, (n, 2))
+    common, own = word(4), [word(20) for _ in range(30)]
+    spot = lambda n, d: [[0, 0, int(rng.integers(0, 500)) if i < 4 else 20 * i + d, 7 * i + d] for i in range(n)]
+    rows = [(100 * k + i, np.concatenate([common, own[i], word(3)]), spot(27, 5 * k)) for k in (0, 1, 2) for i in range(30)]
+    d = spark.createDataFrame([(i, len(w), w.reshape(-1).tolist(), [x for p in q for x in p], None) for i, w, q in rows], media.POINTS)
+    found = {tuple(r) for r in media.links(d).collect()}
+    assert roots(300, found) == [i % 100 if i % 100 < 30 else i for i in range(300)]
+
+
+def brute_links(images):
+    """Pairs with a consensus, by comparing the descriptors of all pairs."""
+    points = {}
+    for i, x in images:
+        w, p = media.describe(x.astype(np.float32))
+        _, at, times = np.unique(w, axis=0, return_index=True, return_counts=True)
+        keep = np.sort(at[times == 1])
+        points[i] = w[keep], p[keep]
+    return {(a, b) for a in points for b in points if a > b and media.consensus(*points[a], *points[b]) >= media.VOTES}
+
+
+def edits(x, rng):
+    """What is done to a picture, by name."""
+    patched = x.copy()
+    patched[30:80, 30:90] = picture(int(rng.integers(10**6)), 50, 60)
+    return {
+        "crop": x[int(rng.integers(5, 40)) :, int(rng.integers(5, 40)) :], "patch": patched, "brighter": np.clip(x * 0.7 + 40, 0, 255).astype(np.uint8),
+        "noise": np.clip(x + rng.normal(0, 4, x.shape), 0, 255).astype(np.uint8), "line": np.insert(x, 60, picture(int(rng.integers(10**6)), 7, x.shape[1]), axis=0),
+    }
+
+
+def test_recall_by_edit_and_brute_force(spark):
+    rng = np.random.default_rng(16)
+    images, made = [], {}
+    for k in range(25):
+        x = picture(1000 + k)
+        images.append((100 * k, x))
+        for n, (name, y) in enumerate(edits(x, rng).items()):
+            images.append((100 * k + n + 1, y))
+            made[100 * k + n + 1] = name
+    d = spark.createDataFrame([(i, media.encode(x)) for i, x in images], "image_id long, image binary")
+    got = {r.image_id: r.component_id for r in media.copies(d).collect()}
+    exact = brute_links(images)
+    at = {i: n for n, (i, _) in enumerate(images)}
+    want = roots(len(images), [(at[a], at[b]) for a, b in exact])
+    pairs = [(i, images[want[at[i]]][0]) for i, _ in images if want[at[i]] != at[i]]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs) > 60
+    recall = Counter(name for i, name in made.items() if got[i] == i // 100 * 100)
+    print("recall by edit, of 25:", dict(recall))
+    assert all(recall[name] >= 0.9 * 25 for name in made.values())
+    assert all(c // 100 == i // 100 for i, c in got.items())
+
+
 def brute_equal_pages(rows):
     least = {}
     for i, page in sorted(rows):
