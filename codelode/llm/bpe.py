@@ -176,6 +176,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """encode and decode in one pass over the texts: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
+    The pair index is built over the pieces of a block that its worker meets for the first time; others have their ids already.
+
     One row per row of docs, whatever its other columns hold. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)

@@ -8,13 +8,14 @@ appended to the cache. Texts are shuffled only for misses, one per digest and ma
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.common import as_text, prepare
-from codelode.llm.pieces import blocks, worker_table
+from codelode.llm.pieces import Splitter, blocks, worker_table
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
@@ -37,7 +38,7 @@ def stored(spark: SparkSession, cache_path: str) -> DataFrame:
     return spark.createDataFrame([], CACHE)
 
 
-def count_tokens(docs: DataFrame, path: str, cache_path: str, limit: int = 2048, drops_white_space: bool = True) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, cache_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) for every row of docs.
 
     Null texts are empty; empty texts have no tokens. Repeated rows and copies are each counted once
@@ -46,6 +47,8 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str, limit: int = 2048,
     """
     spark = prepare(docs.sparkSession)
     version = tokenizer_version(path)
+    with open(path, encoding="utf-8") as f:
+        drops_white_space = Splitter(json.load(f)).drops_white
     keyed = as_text(docs).withColumn("digest", F.unhex(F.sha2(normalised(F.col("text"), drops_white_space), 256)))
     known = stored(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
     misses = keyed.select("digest", "text").join(known, "digest", "left_anti") if known.head(1) else keyed.select("digest", "text")

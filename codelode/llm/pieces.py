@@ -95,6 +95,7 @@ class Splitter:
         else:
             raise ValueError(f"pre-tokenizer not supported: {parts[0]['type']}")
         self.pattern = usual_pattern(self.source)
+        self.drops_white = not self.pattern.findall("\n ")
 
     @functools.cached_property
     def _library(self):

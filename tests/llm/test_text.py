@@ -228,3 +228,11 @@ def test_conversations_become_logs_with_drafts_and_edits(spark, sf):
     assert kinds["message"] == rows.count() and kinds["edit"] > 0 and kinds["regenerate"] > 0 and kinds["delta"] >= 4 * rows.count()
     want = sorted((r.conv_id, r.turn, r.role, r.text) for r in rows.collect())
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.fold(log).collect()) == want
+
+
+def test_counts_of_a_tokenizer_that_keeps_white_space(spark, both, tmp_path):
+    lib = both[FILES[1]][0]
+    texts = ["word", " word", "word\n", "  word", "word\n\n"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in counts.count_tokens(d, queries.tokenizer(FILES[1]), f"{tmp_path}/c").collect()}
+    assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
