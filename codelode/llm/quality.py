@@ -74,6 +74,21 @@ class Model:
         return sigmoid(g)
 
 
+def cells(x: np.ndarray) -> np.ndarray:
+    """The leading bits of numbers, down to a 256th of their power of two, as whole numbers in the same order."""
+    return np.ascontiguousarray(x, np.float64).view(np.int64) >> 44
+
+
+def edges_of(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """From each number's cells, ascending, and how many texts are in each: the cuts between ranges of equal shares, at ends of cells."""
+    out = []
+    for own, n in found:
+        upto = np.cumsum(n)
+        at = np.searchsorted(upto, np.ceil(upto[-1] * np.arange(1, BINS) / BINS))
+        out.append((own[at].astype(np.int64) << 44).view(np.float64))
+    return np.array(out).T
+
+
 def coded(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The range of each number (columns), counted through all of them."""
     return np.stack([np.searchsorted(edges[:, i], x[:, i], side="right") + i * BINS for i in range(edges.shape[1])], 1) if len(x) else np.zeros((0, edges.shape[1]), np.int64)
@@ -177,7 +192,7 @@ def prior_of(halves: list, reached: np.ndarray, n: int) -> float:
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
     """The model for numbers in memory; fit() does the same over a table. Without a prior it is estimated."""
     k = unlabelled.shape[1]
-    edges = np.quantile(unlabelled, np.arange(1, BINS) / BINS, axis=0, method="inverted_cdf")
+    edges = edges_of([np.unique(c, return_counts=True) for c in cells(unlabelled).T])
     cp, cu = coded(positive, edges), coded(unlabelled, edges)
     if prior is None:
         halves = ranked(cp, np.bincount(cu.reshape(-1), minlength=k * BINS))
@@ -216,12 +231,19 @@ def fit_shapes(shaped: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     own = shaped.join(F.broadcast(known.where("label = 1")), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     x = np.array([r["x"] for r in sorted(own)]).reshape(-1, len(SHAPE))
     k = len(SHAPE)
-    cuts = [i / BINS for i in range(1, BINS)]
-    n, *found = shaped.agg(F.count("*"), *[F.percentile_approx(F.col("x")[i], cuts, 10_000) for i in range(k)]).first()
+    n = shaped.count()
     if not len(x) or not n:
         share = (good + 1) / (n_labels + 2)
         return Model(np.zeros((BINS - 1, k)), np.zeros((k, BINS)), float(np.log(share / (1 - share))), share)
-    edges = np.array(found).T
+
+    def by_cell(x):
+        found = [np.unique(c, return_counts=True) for c in cells(x).T]
+        return [(i, int(c), int(m)) for i, (own, m) in enumerate(found) for c, m in zip(own, m, strict=True)]
+
+    # counts by cell, of which numbers have some thousands
+    met = sorted((r["i"], r["j"], r["v"]) for r in _totals(shaped.select("x"), by_cell, _numbers))
+    met = np.array(met, np.int64)
+    edges = edges_of([(met[met[:, 0] == i, 1], met[met[:, 0] == i, 2]) for i in range(k)])
     codes = _codes(shaped, edges).checkpoint()
     positive = coded(x, edges)
 
@@ -265,19 +287,21 @@ def _codes(shaped: DataFrame, edges: np.ndarray) -> DataFrame:
     return shaped.select("x").mapInArrow(run, "codes binary")
 
 
-def _totals(codes: DataFrame, rows) -> list:
-    """Sums by i and j of the numbers v that rows, a function of codes, gives for each batch."""
-    k = len(SHAPE)
+def _of_codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, len(SHAPE)).astype(np.int64)
+
+
+def _totals(table: DataFrame, rows, of=_of_codes) -> list:
+    """Sums by i and j of the numbers v that rows, a function of what of makes of the one column, gives for each batch."""
 
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
-            c = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, k).astype(np.int64)
-            for i, j, v in rows(c):
+            for i, j, v in rows(of(batch.column(0))):
                 total[i, j] += v
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in total], pa.int32()), pa.array([x[1] for x in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["i", "j", "v"])
 
-    return codes.mapInArrow(run, "i int, j int, v long").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    return table.mapInArrow(run, "i int, j int, v long").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
