@@ -93,15 +93,24 @@ def neighbours(chunks: DataFrame, k: int | None = S.DUPLICATE_TOP_K, least: floa
                 if r.kind == 0:
                     held.append((ids, v))
                     continue
+                # a visitor's k best so far in this group bound what later blocks of it may add
+                top = np.full((len(ids), k or 1), -np.inf)
+                some = []
                 for own, w in held:
                     s = v @ w.T
                     s[ids[:, None] == own[None, :]] = -2
                     ok = s >= least - 1e-12
-                    if k is not None and s.shape[1] > k:
-                        ok &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+                    if k is not None:
+                        both_ = np.concatenate([top, s], 1)
+                        top = np.partition(both_, both_.shape[1] - k, axis=1)[:, both_.shape[1] - k :]
+                        ok &= s >= top.min(1, keepdims=True)
                     i, j = np.nonzero(ok)
-                    if len(i):
-                        yield pd.DataFrame({"id": ids[i], "other": own[j], "score": s[i, j]})
+                    some.append((i, own[j], s[i, j]))
+                if some:
+                    i, other, score = (np.concatenate(x) for x in zip(*some, strict=True))
+                    keep = score >= top.min(1)[i] if k is not None else np.ones(len(i), bool)
+                    if keep.any():
+                        yield pd.DataFrame({"id": ids[i[keep]], "other": other[keep], "score": score[keep]})
 
     found = both.repartition(groups, "grp").sortWithinPartitions("grp", "kind").mapInPandas(compare, "id string, other string, score double").where(F.col("score") >= least)
     if k is None:
