@@ -12,6 +12,7 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -42,9 +43,7 @@ def parse_python(text: str) -> list[Node]:
 
     counted = set(S.COMPLEXITY_TYPES["python"])
     out: list[Node] = []
-
-    def inside(node: ast.AST) -> int:
-        return sum(_PYTHON.get(type(x)) in counted for x in ast.walk(node))
+    branches: list[int] = []  # of each node: those directly in it, then those of all below it
 
     stack: list[tuple[ast.AST, int | None, int]] = [(tree, None, 0)]
     while stack:
@@ -66,9 +65,15 @@ def parse_python(text: str) -> list[Node]:
                 name = ast.unparse(node.func) if isinstance(node.func, ast.Name | ast.Attribute) else None
                 signature = name
             mine = len(out)
-            out.append((kind, name, signature, doc, start, end, parent, depth, 1 + inside(node) if kind != "call" else 1))
+            out.append((kind, name, signature, doc, start, end, parent, depth, 1))
+            branches.append(0)
+        elif kind in counted and parent is not None:
+            branches[parent] += 1
         stack += [(c, mine, depth + 1) for c in reversed(list(ast.iter_child_nodes(node)))]
-    return out
+    for i in reversed(range(len(out))):  # a parent stands before what it holds
+        if out[i][6] is not None:
+            branches[out[i][6]] += branches[i]
+    return [n if n[0] == "call" else (*n[:8], 1 + k) for n, k in zip(out, branches, strict=True)]
 
 
 _BRACES = {
@@ -153,9 +158,8 @@ def nodes_of(path: str, text: str, language: str | None) -> Iterator[tuple]:
         line_of.append(m.end())
     import bisect
 
-    byte = [0]
-    for c in text:
-        byte.append(byte[-1] + len(c.encode("utf-8", "surrogatepass")))
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    byte = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
     ids = [f"{path}:{n[0]}:{byte[n[4]]}-{byte[n[5]]}" for n in found]
     for i, (kind, name, signature, doc, start, end, parent, depth, complexity) in enumerate(found):
         a, b = bisect.bisect_right(line_of, start) - 1, bisect.bisect_right(line_of, max(end - 1, start)) - 1
@@ -180,9 +184,26 @@ def calls_of(nodes: DataFrame) -> DataFrame:
     """Rows of schemas.CALLS: the definition that encloses each call, and the called name."""
     from pyspark.sql import functions as F
 
-    calls = nodes.where(F.col("node_type").isin(*S.CALL_TYPES) & F.col("name").isNotNull())
     key = ["repo_id", "branch", "relative_path"]
-    owner = nodes.where(F.col("node_type").isin(*S.DEFINITION_TYPES)).select(*key, F.col("node_id").alias("caller"), F.col("start_char").alias("s"), F.col("end_char").alias("e"))
-    inside = calls.join(owner, key).where("s <= start_char and end_char <= e")
-    nearest = inside.groupBy("repo_id", "branch", "node_id", "name").agg(F.max_by("caller", "s").alias("caller"))
-    return nearest.select("repo_id", "branch", "caller", F.col("name").alias("called_name"))
+    called = F.col("node_type").isin(*S.CALL_TYPES)
+    some = nodes.where(called & F.col("name").isNotNull() | F.col("node_type").isin(*S.DEFINITION_TYPES))
+    some = some.select(*key, "node_id", called.alias("called"), "name", "start_char", "end_char")
+
+    def run(batches):
+        """Nodes stream by in the order in which they begin; only the definitions that are open are held."""
+        now, opened = None, []
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                if (where := (r.repo_id, r.branch, r.relative_path)) != now:
+                    now, opened = where, []
+                while opened and opened[-1][1] < r.end_char:
+                    opened.pop()
+                if not r.called:
+                    opened.append((r.node_id, r.end_char))
+                elif opened:
+                    rows.append((r.repo_id, r.branch, opened[-1][0], r.name))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in S.CALLS.split(", ")])
+
+    dealt = some.repartition(*key).sortWithinPartitions(*key, "start_char", F.desc("end_char"), "called")
+    return dealt.mapInPandas(run, S.CALLS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,10 @@ def admit(pdf, limits: list[tuple[int, float]], keys: list[str]):
 
     Returns (key, admitted_at) per request. Without limits the first key is always free.
     """
-    used: dict[str, list[float]] = {k: [] for k in keys}
+    if any(most < 1 for most, _ in limits):
+        raise ValueError("a limit must allow a request")
+    # of a key only as many of the latest times matter as the largest limit allows
+    used = {k: deque(maxlen=max([most for most, _ in limits], default=0)) for k in keys}
     current, out, now = 0, [], float("-inf")
     for t in pdf:
         now = max(now, t)
@@ -72,9 +77,8 @@ def admit(pdf, limits: list[tuple[int, float]], keys: list[str]):
                 k = keys[(current + i) % len(keys)] if limits else keys[0]
                 wait = 0.0
                 for most, period in limits:
-                    live = [x for x in used[k] if x > now - period]
-                    if len(live) >= most:
-                        wait = max(wait, live[len(live) - most] + period - now)
+                    if len(used[k]) >= most and used[k][-most] > now - period:
+                        wait = max(wait, used[k][-most] + period - now)
                 if wait <= 0:
                     used[k].append(now)
                     current = (keys.index(k) + 1) % len(keys)

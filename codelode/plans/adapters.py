@@ -118,6 +118,21 @@ class Tables:
         x, y = ((k * 37) % 500).cast("double"), ((k * 53) % 700).cast("double")
         return self.raw("orders").select(F.col("o_custkey").alias("page"), k.alias("block_id"), F.col("o_orderstatus").alias("text"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 10 + k % 3).alias("y1"))
 
+    def grid_blocks(self) -> DataFrame:
+        """Orders as blocks on places of a grid, beside which they lie by less than a unit."""
+        k = F.col("o_orderkey")
+        x, y = (k * 37 % 8 * 30 + k % 2 * 0.5).cast("double"), (F.floor(k / 8) % 5 * 40).cast("double")
+        return self.raw("orders").select(F.pmod("o_custkey", F.lit(50)).alias("page"), k.alias("block_id"), F.concat(F.lit("  "), "o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("text"), x.alias("x0"), y.alias("y0"), (x + 22 + k * 37 % 2 * 2).alias("x1"), (y + 10).alias("y1"))
+
+    def sources(self) -> DataFrame:
+        """Parts as Python files: a class with a method that branches and calls."""
+        p = self.raw("part")
+        k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+        doc = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('        """'), "p_name", F.lit('"""\n'))).otherwise("")
+        more = F.repeat(F.concat(F.lit("        if x:\n            x = lib.g"), size, F.lit("(x)\n")), (F.col("p_size") % 4).cast("int"))
+        text = F.concat(F.lit("# "), "p_type", F.lit("\nclass C"), k, F.lit(":\n    def f"), k, F.lit("(self, x=1):\n"), doc, more, F.lit("        return h"), size, F.lit("(x)\n\nx = 1\n"))
+        return self.keyed(p.select("p_partkey", "p_size", F.concat("p_brand", F.lit("/"), k, F.lit(".py")).alias("relative_path"), text.alias("content"))).withColumn("blob_hash", F.sha2("content", 256))
+
 
 def node(prefix: str, key: str, alias: str = "node_id") -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string")).alias(alias)

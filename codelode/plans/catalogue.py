@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
-from codelode.operators import chunking, graph, layout, partitioning, ratelimit, search, stats, store, tasks
+from codelode.operators import chunking, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks
 from codelode.plans.adapters import Tables, text_path
 from codelode.sources import files as file_source
 from codelode.sources import git
@@ -234,6 +234,48 @@ def chunk_union(t: Tables) -> DataFrame:
     return chunking.chunks(nodes, files, 100, 10).select("chunk_id", F.col("token_count").cast("long").alias("token_count"))
 
 
+@query(rf"""WITH d AS (SELECT {PATH} AS path, regexp_extract_all(text, '[A-Za-z]+') AS t FROM documents), n AS (SELECT *, len(t) AS n FROM d WHERE len(t) > 0),
+w AS (SELECT *, unnest(generate_series(0, CASE WHEN n <= 100 THEN 0 ELSE CAST(ceil((n - 100) / 90) AS BIGINT) END)) AS i FROM n),
+p AS (SELECT *, array_to_string(list_slice(t, 1, i * 90), ' ') AS before, array_to_string(list_slice(t, i * 90 + 1, least(i * 90 + 100, n)), ' ') AS part FROM w)
+SELECT path AS relative_path, i, CASE WHEN i > 0 THEN path || ':STRUCT:' || path || '_0' END AS parent, length(before) + CASE WHEN i > 0 THEN 1 ELSE 0 END AS start_char, sha256(part) AS part,
+  round(CASE WHEN n > 100 THEN 0.4 ELSE 1.0 END * (0.6 + CASE WHEN least(i * 90 + 100, n) - i * 90 < 20 THEN -0.1 ELSE 0 END), 6)::DOUBLE AS importance FROM p""")
+def split_chunks(t: Tables) -> DataFrame:
+    """Words of documents as functions that are cut into windows of 100 words."""
+    files = t.files().withColumn("content", F.array_join(F.regexp_extract_all("content", F.lit("[A-Za-z]+"), F.lit(0)), " ")).where("content <> ''").withColumn("blob_hash", X.content_hash("content"))
+    nodes = files.select(
+        "repo_id", "branch", "relative_path", F.col("relative_path").alias("node_id"), F.lit("function_definition").alias("node_type"), F.lit("f").alias("name"), F.lit(None).cast("string").alias("docstring"),
+        F.lit(1).alias("complexity"), F.lit(0).alias("start_char"), F.length("content").alias("end_char"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+    )
+    found = chunking.chunks(nodes, files, 100, 10).join(files.select("relative_path", "content"), "relative_path")
+    part = F.substring(F.col("content"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    number = F.coalesce(F.regexp_extract("chunk_id", r"\.txt_(\d+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    return found.select("relative_path", number.alias("i"), F.col("parent_chunk_id").alias("parent"), "start_char", X.content_hash(part).alias("part"), F.round("importance", 6).alias("importance"))
+
+
+SOURCES = """WITH p AS (SELECT p_partkey AS k, p_size AS s, p_brand || '/' || p_partkey || '.py' AS path, 'C' || p_partkey AS c, 'f' || p_partkey AS f, length(p_type) + 3 AS head, CASE WHEN p_size % 2 = 0 THEN '\"\"\"' || p_name || '\"\"\"' END AS doc, p_size % 4 AS b FROM part),
+n AS (SELECT *, CASE WHEN doc IS NULL THEN 0 ELSE 1 END AS docs, head + length('class ' || c || ':') + 1 + 4 AS fs, length('def ' || f || '(self, x=1):') + 1 + CASE WHEN doc IS NULL THEN 0 ELSE 8 + length(doc) + 1 END + b * length('        if x:' || '            x = lib.g' || s || '(x)' || '..') + length('        return h' || s || '(x)') AS fl FROM p)"""
+
+
+@query(f"""{SOURCES}, r AS (SELECT path, 'class_definition' AS node_type, c AS name, c AS signature, NULL AS docstring, 2 AS start_line, 4 + docs + 2 * b AS end_line, head AS start_char, fs + fl AS end_char, 1 + b AS complexity, NULL AS parent, s, b, docs FROM n
+UNION ALL SELECT path, 'function_definition', f, f || '(self, x=1)', doc, 3, 4 + docs + 2 * b, fs, fs + fl, 1 + b, c, s, b, docs FROM n)
+SELECT path AS relative_path, node_type, name, signature, docstring, start_line, end_line, start_char, end_char, complexity, parent FROM r
+UNION ALL SELECT path, 'call', 'h' || s, 'h' || s, NULL, 4 + docs + 2 * b, 4 + docs + 2 * b, fs + fl - length('h' || s || '(x)'), fs + fl, 1, f FROM n
+UNION ALL SELECT path, 'call', 'lib.g' || s, 'lib.g' || s, NULL, 5 + docs + 2 * i, 5 + docs + 2 * i, fs + fl - length('        return h' || s || '(x)') - (b - i) * length('        if x:' || '            x = lib.g' || s || '(x)' || '..') + length('        if x:.            x = '), fs + fl - length('        return h' || s || '(x)') - (b - i - 1) * length('        if x:' || '            x = lib.g' || s || '(x)' || '..') - 1, 1, f FROM (SELECT *, unnest(range(b)) AS i FROM n)""")
+def extracted_nodes(t: Tables) -> DataFrame:
+    """Syntax nodes of generated Python files."""
+    n = parse.parse_files(t.sources())
+    above = n.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
+    return n.join(above, "parent_id", "left").select("relative_path", "node_type", "name", "signature", "docstring", "start_line", "end_line", "start_char", "end_char", "complexity", "parent")
+
+
+@query(f"""{SOURCES} SELECT f AS caller, called_name, count(*) AS calls FROM (SELECT f, 'h' || s AS called_name FROM n UNION ALL SELECT f, 'lib.g' || s FROM (SELECT *, unnest(range(b)) FROM n)) GROUP BY 1, 2""")
+def extracted_calls(t: Tables) -> DataFrame:
+    """The method that encloses each call of generated Python files."""
+    n = parse.parse_files(t.sources())
+    calls = parse.calls_of(n).join(n.select(F.col("node_id").alias("caller"), F.col("name").alias("owner")), "caller")
+    return calls.groupBy(F.col("owner").alias("caller"), "called_name").agg(F.count("*").alias("calls"))
+
+
 @query(f"""SELECT l.doc_id, l.quality, l.toxic, round(least(1.0, greatest(0.0, 0.5 + CASE WHEN quality = 1 THEN 0.2 ELSE 0.1 END + CASE WHEN toxic = 1 THEN 0.3 ELSE 0 END + CASE WHEN {LINES} > 5 THEN 0.15 ELSE 0 END + CASE WHEN {TOKENS.format('text')} < 20 THEN -0.1 WHEN {TOKENS.format('text')} > 200 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS importance FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def importance_score(t: Tables) -> DataFrame:
     d = t.raw("documents").select("doc_id", "text").join(t.raw("labels"), "doc_id")
@@ -331,6 +373,12 @@ def partition_thresholds(t: Tables) -> DataFrame:
     return partitioning.thresholds(partitioning.dir_rollup(t.dir_files()))
 
 
+@query(f"""{DIRS}, {CANDIDATES}, {SELECTED}, a AS (SELECT f.relative_path, coalesce((SELECT arg_max(s.dir, s.depth) FROM s WHERE starts_with(f.relative_path, s.dir || '/')), '.') AS dir FROM f)
+SELECT relative_path, CASE WHEN dir = '.' THEN 'repo_0a1b2c3d__root' ELSE substring('repo_0a1b2c3d_' || trim(regexp_replace(replace(lower(dir), '/', '_'), '[^a-z0-9_]+', '_', 'g'), '_'), 1, 63) END AS partition_name FROM a""")
+def partition_map(t: Tables) -> DataFrame:
+    return partitioning.partition_map(t.dir_files(), "0a1b2c3d-4e5f", min_files=5, max_depth=2, target=200)
+
+
 @query("SELECT DISTINCT source || '/' || lang AS dir, substring('repo_0a1b2c3d_' || trim(regexp_replace(replace(lower(source || '/' || lang), '/', '_'), '[^a-z0-9_]+', '_', 'g'), '_'), 1, 63) AS partition_name FROM documents UNION ALL SELECT '.', 'repo_0a1b2c3d__root'")
 def partition_name(t: Tables) -> DataFrame:
     dirs = t.raw("documents").select(F.concat_ws("/", "source", "lang").alias("dir")).distinct().union(t.spark.createDataFrame([(".",)], "dir string"))
@@ -530,6 +578,18 @@ def insert_ignore(t: Tables) -> DataFrame:
     return store.insert_ignore(target, rows, ["blob_hash"], ["relative_path"]).select("blob_hash")
 
 
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'Find Unused Code' WHEN 'click' THEN 'Ingesting Branch: b' || user_id ELSE event_type END AS task, 'f_' || user_id || '_x' AS branch, 'repo_' || user_id || '.x' AS folder,
+CASE WHEN event_type = 'view' THEN true ELSE false END AS playlist, event_type || ' a b' AS safe, user_id % 1000 / 10 AS number FROM events""")
+def names_shown(t: Tables) -> DataFrame:
+    """Names of tasks, branches, folders of repositories and files as they are shown or stored."""
+    user = F.col("user_id").cast("string")
+    task = F.when(F.col("event_type") == "view", "find_dead_code").when(F.col("event_type") == "click", F.concat(F.lit("Ingest Branch: b"), user)).otherwise(F.col("event_type"))
+    link = F.concat(F.lit("https://host/group/repo "), user, F.lit(".x.git//"))
+    page = F.when(F.col("event_type") == "view", "https://host/watch?list=1").otherwise("https://host/watch")
+    percents = F.regexp_extract(X.percent(F.col("user_id") % 1000 / 1000), r"^([\d.]+)%$", 1).cast("double")
+    return t.raw("events").select("event_id", X.task_name(task).alias("task"), X.path_safe(F.concat(F.lit("f/"), user, F.lit("/x"))).alias("branch"), X.repo_dir(link).alias("folder"), X.is_playlist(page).alias("playlist"), X.file_name_safe(F.concat("event_type", F.lit(' <a>  "b" '))).alias("safe"), percents.alias("number"))
+
+
 # --- page layout ----------------------------------------------------------------------------------
 
 BLOCKS = "SELECT o_custkey AS page, o_orderkey AS block_id, CAST(o_orderkey * 37 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 53 % 700 AS DOUBLE) AS y0, CAST(o_orderkey * 53 % 700 + 10 + o_orderkey % 3 AS DOUBLE) AS y1 FROM orders"
@@ -555,6 +615,28 @@ def word_groups(t: Tables) -> DataFrame:
     return layout.word_groups(t.text_blocks()).select("page", "group_no", "text", "x0", "x1", "y0")
 
 
+GRID = "SELECT o_custkey % 50 AS page, o_orderkey AS block_id, '  ' || o_orderstatus || left(o_orderpriority, 1) AS text, o_orderkey * 37 % 8 AS col, o_orderkey // 8 % 5 AS line, CAST(o_orderkey * 37 % 8 * 30 + o_orderkey % 2 * 0.5 AS DOUBLE) AS x0, CAST(o_orderkey // 8 % 5 * 40 AS DOUBLE) AS y0, CAST(o_orderkey * 37 % 8 * 30 + o_orderkey % 2 * 0.5 + 22 + o_orderkey * 37 % 2 * 2 AS DOUBLE) AS x1 FROM orders"
+
+
+@query(f"SELECT page, block_id, text FROM ({GRID}) QUALIFY row_number() OVER (PARTITION BY page, col, line, text ORDER BY block_id) = 1")
+def blocks_without_repeats(t: Tables) -> DataFrame:
+    return layout.without_repeats(t.grid_blocks()).select("page", "block_id", "text")
+
+
+@query(f"SELECT page, min(block_id) AS block_id, string_agg(text, ' ' ORDER BY x0, block_id) AS text, min(x0) AS x0, max(x1) AS x1 FROM ({GRID}) WHERE col % 4 IN (0, 1) GROUP BY page, line, col // 4")
+def merged_blocks(t: Tables) -> DataFrame:
+    """Blocks of neighbouring columns of a grid, whose gaps are under 10."""
+    near = t.grid_blocks().where(F.col("block_id") * 37 % 4 < 2)
+    return layout.merged(near).select("page", "block_id", "text", "x0", "x1")
+
+
+@query(f"""WITH g AS (SELECT page, block_id, line * 8 + col AS cell, count(*) OVER (PARTITION BY page, line, col) AS n, min(block_id) OVER (PARTITION BY page, line, col) AS first FROM ({GRID}))
+SELECT page, block_id, CAST(dense_rank() OVER (PARTITION BY page ORDER BY CASE WHEN n >= 2 THEN 0 ELSE 1 END, first) - 1 AS INTEGER) AS cluster FROM g""")
+def block_clusters(t: Tables) -> DataFrame:
+    """Density clusters on a grid whose places are further apart than blocks of a cluster."""
+    return layout.clusters(t.grid_blocks()).select("page", "block_id", "cluster")
+
+
 @query(f"""WITH e AS (SELECT page, block_id, x0, y0, 'text' AS kind FROM ({BLOCKS}) UNION ALL SELECT page, block_id, x0, y0 + 5, 'image' FROM ({BLOCKS}) WHERE block_id % 4 = 0)
 SELECT page, block_id, kind, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, kind, block_id) AS BIGINT) AS position FROM e""")
 def page_elements(t: Tables) -> DataFrame:
