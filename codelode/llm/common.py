@@ -58,6 +58,18 @@ def within(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MOST_BROADCAST else df
 
 
+def splittable(df: DataFrame, *keys: str) -> DataFrame:
+    """df, which an aggregate by keys (whole numbers, strings or bytes) made, as a side of a join by them.
+
+    Spark splits the partition of a hot key only where both sides are dealt for the join. What an aggregate made
+    is dealt by its keys already and would be joined as it lies; the keys are written anew, with equal values, so
+    that it is dealt once more.
+    """
+    kinds = dict(df.dtypes)
+    anew = {k: F.substring(k, 1, (1 << 31) - 1) if kinds[k] in ("binary", "string") else F.bitwise_not(F.bitwise_not(k)) for k in keys}
+    return df.withColumns(anew)
+
+
 def with_columns_dropped(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that would clash with those an operator adds."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])

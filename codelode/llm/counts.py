@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm.common import as_text, prepare
+from codelode.llm.common import as_text, prepare, splittable
 from codelode.llm.pieces import Splitter, blocks, worker_table
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -63,6 +63,6 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str, limit: int = 2048)
     counts = stored(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return (
         keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-        .join(counts, "digest")
+        .join(splittable(counts, "digest"), "digest")
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import as_text, prepare
+from codelode.llm.common import as_text, prepare, splittable
 from codelode.llm.components import components
 from codelode.llm.pieces import blocks
 
@@ -328,7 +328,7 @@ def labelled(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFr
     """prints (doc_id, node) with component_id and root, from distinct (node, least doc_id) and roots (node, root)."""
     linked = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = linked.join(least, "root").select("node", "root", "component_id")
+    of_node = linked.join(splittable(least, "root"), "root").select("node", "root", "component_id")
     return prints.join(of_node, "node", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
@@ -441,7 +441,7 @@ def confirmed(sets: DataFrame, similarity: float) -> DataFrame:
     neighbouring cells meet in pairs.
     """
     sizes = sets.groupBy("root", "cell").agg(F.ceil(F.sum(8 * F.col("n") + 64) / PART_BYTES).alias("parts"))
-    dealt = sets.join(sizes, ["root", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
+    dealt = sets.join(splittable(sizes, "root", "cell"), ["root", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
     parts = sizes.select("root", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     others = parts.select("root", F.col("cell").alias("cell2"), F.col("part").alias("part2"))
     pairs = parts.join(others, "root").where("cell2 = cell + 1 or cell2 = cell and part2 >= part")

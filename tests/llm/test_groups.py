@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from codelode.llm import components, media, mix, queries, simhash, topk
+from codelode.llm.common import splittable
 
 
 def roots(n, links):
@@ -54,6 +55,24 @@ def brute_groups(docs):
     return sorted(((-1 if i is None else i), f"{x:016x}", (-1 if i is None else least[k])) for (i, _), x, k in zip(docs, p, r, strict=True))
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_joins_with_aggregates_split_hot_keys(spark, kind):
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "10000", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.advisoryPartitionSizeInBytes": "20000"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        key = F.when(F.col("id") % 3 == 0, -7).otherwise(F.col("id")).cast("string")
+        rows = spark.range(60_000, numPartitions=8).select(key.cast(kind).alias("k"), F.col("id").alias("v"))
+        least = rows.groupBy("k").agg(F.min("v").alias("m"))
+        joined = rows.join(splittable(least, "k"), "k").groupBy("m", "v").count()
+        assert {(r.m, r.v) for r in joined.collect()} == {(0 if v % 3 == 0 else v, v) for v in range(60_000)}
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
 def test_simhash_equals_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
