@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import splittable
-
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node reachable) for every node of edges (a long, b long).
 
     Each round replaces edges by as many that lie nearer to the least nodes, so tables never grow;
-    rounds grow with the logarithm of the longest path. A hub's edges are joined, not gathered, by
-    joins that Spark can split. Each round is cut off by checkpoint().
+    rounds grow with the logarithm of the longest path. A hub's edges are joined, not gathered, so
+    a task streams them in bounded memory, but they stay in one task (the least of a neighbourhood is an
+    aggregate by the join's key, beside which Spark splits nothing). Each round is cut off by checkpoint().
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None
@@ -21,10 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(splittable(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its neighbours below it go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(splittable(low, "u"), "u")
+        small = large.join(low, "u")
         e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
