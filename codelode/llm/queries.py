@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import bpe, chat, counts, media, mix, packed, quality, simhash, topk, toxicity
+from codelode.llm import bpe, chat, counts, media, merkle, mix, packed, quality, simhash, topk, toxicity
 from codelode.llm.common import as_text, prepare, scratch, table
 from codelode.llm.labelled import fold
 
@@ -94,14 +94,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("image_id").alias("page_id"), "n_points", "n_links", "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every other document, by its id's hash, the line ends are missing when it is checked; one without an id is never changed."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.col("text").cast("string")
+    found = merkle.manifest(docs, {"text": F.when(hit, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)}, with_proof=False)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, pipeline, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, op11_merkle, pipeline, mix_targets)}
 
+#: crc32 of a whole number's decimal text: its bytes, each followed by eight steps of a bit
+CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({}::VARCHAR, ''), lambda c: list_prepend(ord(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"
 SAID = "<|im_end|><|im_start|>assistant ok"
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": rf"""
@@ -118,6 +129,29 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # leaves; the groups' trees; their roots' tree; each row's way up the first, then up the second
+    "op11_merkle": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, text, coalesce(octet_length(doc_id::VARCHAR::BLOB) || ':' || doc_id, '-') || coalesce(octet_length(source::BLOB) || ':' || source, '-') || coalesce(octet_length(lang::BLOB) || ':' || lang, '-') || coalesce(octet_length(n_chars::VARCHAR::BLOB) || ':' || n_chars, '-') AS head,
+    replace(text, chr(10), '') AS cut FROM documents),
+l AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce('+' || source, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS cut FROM d),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i FROM l),
+t AS (SELECT g, 0 AS level, i, leaf AS h FROM p
+  UNION ALL SELECT g, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM t) WHERE n > 1 GROUP BY g, level, i // 3),
+s AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS k FROM (SELECT g, h FROM t QUALIFY level = max(level) OVER (PARTITION BY g))),
+u AS (SELECT 0 AS level, k AS i, subroot AS h FROM s
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY level, i // 3),
+ts AS MATERIALIZED (SELECT g, level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM (SELECT *, max(level) OVER (PARTITION BY g) AS top FROM t) WHERE level < top WINDOW w AS (PARTITION BY g, level, i // 3 ORDER BY i)),
+us AS MATERIALIZED (SELECT level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM (SELECT *, max(level) OVER () AS top FROM u) WHERE level < top WINDOW w AS (PARTITION BY level, i // 3 ORDER BY i)),
+f AS (SELECT row, g, 0 AS level, i, CASE WHEN {CRC32.format('doc_id')} % 2 = 0 THEN cut ELSE leaf END AS h, '' AS proof FROM p
+  UNION ALL SELECT f.row, f.g, f.level + 1, f.i // 3, sha256(ts.a || f.h || ts.b), f.proof || ts.a || ts.b FROM f JOIN ts ON f.g = ts.g AND f.level = ts.level AND f.i = ts.i),
+fs AS (SELECT row, g, h, proof FROM f QUALIFY level = max(level) OVER (PARTITION BY row)),
+v AS (SELECT fs.row, 0 AS level, s.k AS i, fs.h, fs.proof, s.subroot FROM fs JOIN s ON fs.g = s.g
+  UNION ALL SELECT v.row, v.level + 1, v.i // 3, sha256(us.a || v.h || us.b), v.proof || us.a || us.b, v.subroot FROM v JOIN us ON v.level = us.level AND v.i = us.i),
+vs AS (SELECT * FROM v QUALIFY level = max(level) OVER (PARTITION BY row)),
+r AS (SELECT h AS root FROM u QUALIFY level = max(level) OVER ())
+SELECT l.doc_id, l.leaf, vs.subroot, r.root, sha256(vs.proof) AS proof_sha256, vs.h AS folded_root, vs.h = r.root AS verified FROM l JOIN vs ON l.row = vs.row CROSS JOIN r""",
     "mix_targets": r"""
 WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT *, 3 * source_size AS most, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
