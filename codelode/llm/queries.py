@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import bpe, chat, counts, media, merkle, mix, packed, quality, simhash, topk, toxicity
+from codelode.llm import bpe, chat, counts, media, merkle, mix, packed, periodic, quality, simhash, topk, toxicity
 from codelode.llm.common import as_text, prepare, scratch, table
 from codelode.llm.labelled import fold
 
@@ -103,13 +103,32 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """docs with one text in ten, by its id's hash h, made periodic: with g = h div 10, from word a = g mod n on its words are those of a period p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
+    again = f"""array_join(flatten(transform(array({words}), w -> transform(array(struct(g % size(w) AS a, 1 + (size(w) - g % size(w)) div (3 + g % 8) AS p)),
+        c -> array_join(transform(w, (x, i) -> IF(i < c.a, x, w[cast(c.a + (i - c.a) % c.p AS int)])), ' ')))), '')"""
+    hit = (F.col("h") % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    made = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.expr("h div 10"))
+    return made.select("doc_id", F.when(hit, F.expr(again)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(looped(table(spark, sf_dir, "documents")))
+    best = F.expr("array_sort(runs, (a, b) -> CASE WHEN a.length <> b.length THEN IF(a.length > b.length, -1, 1) WHEN a.start <> b.start THEN IF(a.start < b.start, -1, 1) WHEN a.period <> b.period THEN IF(a.period < b.period, -1, 1) ELSE 0 END)")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    own = [F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")], F.expr("1000 * best.length div best.period").alias("exponent_milli")]
+    return found.withColumn("best", F.get(best, F.lit(0))).select("doc_id", *own, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, op11_merkle, pipeline, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, op11_merkle, op12_periodic, pipeline, mix_targets)}
 
 #: crc32 of a whole number's decimal text: its bytes, each followed by eight steps of a bit
 CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({}::VARCHAR, ''), lambda c: list_prepend(ord(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"
