@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import bpe, chat, counts, media, merkle, mix, packed, periodic, quality, simhash, topk, toxicity
+from codelode.llm import bpe, chat, counts, licences, media, merkle, mix, packed, periodic, quality, simhash, topk, toxicity
 from codelode.llm.common import as_text, prepare, scratch, table
 from codelode.llm.labelled import fold
 
@@ -122,13 +122,27 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("best", F.get(best, F.lit(0))).select("doc_id", *own, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text with a phrase scores 1, else its best notice's share of the template's weight, 0 without one."""
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.index(docs))
+    starts, named = F.transform("base", lambda x: x["start"]), lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda x: x["label"]) for c in columns]))), ",")
+    score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("notices", lambda x: x["share"])), F.lit(0.0)))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), named("base").alias("base_labels"), named("base", "notices").alias("labels"), score.alias("score"))
+
+
+def licence_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op13_licences."""
+    return op13_licences(spark, sf_dir).drop("labels", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, op11_merkle, op12_periodic, pipeline, mix_targets)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_bpe, op3_toxicity, op4_token_counts, op5_simhash, op6_topk, op7_mix, op8_quality, op9_packed_ids, op10_media, op11_merkle, op12_periodic, op13_licences, pipeline, mix_targets, licence_phrases)}
 
 #: crc32 of a whole number's decimal text: its bytes, each followed by eight steps of a bit
 CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({}::VARCHAR, ''), lambda c: list_prepend(ord(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"
@@ -171,6 +185,12 @@ v AS (SELECT fs.row, 0 AS level, s.k AS i, fs.h, fs.proof, s.subroot FROM fs JOI
 vs AS (SELECT * FROM v QUALIFY level = max(level) OVER (PARTITION BY row)),
 r AS (SELECT h AS root FROM u QUALIFY level = max(level) OVER ())
 SELECT l.doc_id, l.leaf, vs.subroot, r.root, sha256(vs.proof) AS proof_sha256, vs.h AS folded_root, vs.h = r.root AS verified FROM l JOIN vs ON l.row = vs.row CROSS JOIN r""",
+    "licence_phrases": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('gnu', 'apache', 'cc', 'mit')) AS at FROM w),
+p AS (SELECT doc_id, len(w) AS n_words, flatten([list_transform(list_filter(at, lambda i: w[i:i + 3] = ['gnu', 'general', 'public', 'license']), lambda i: (i - 1, 'gpl')), list_transform(list_filter(at, lambda i: w[i:i + 1] = ['apache', 'license']), lambda i: (i - 1, 'apache')),
+  list_transform(list_filter(at, lambda i: w[i:i + 1] = ['cc', 'by']), lambda i: (i - 1, 'cc-by')), list_transform(list_filter(at, lambda i: w[i:i + 1] = ['mit', 'license']), lambda i: (i - 1, 'mit'))]) AS base FROM f)
+SELECT doc_id, n_words, len(base) AS n_base, list_min(list_transform(base, lambda x: x[1])) AS first_word, list_max(list_transform(base, lambda x: x[1])) AS last_word, array_to_string(list_sort(list_distinct(list_transform(base, lambda x: x[2]))), ',') AS base_labels FROM p""",
     "mix_targets": r"""
 WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT *, 3 * source_size AS most, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
