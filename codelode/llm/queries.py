@@ -187,9 +187,9 @@ r AS (SELECT h AS root FROM u QUALIFY level = max(level) OVER ())
 SELECT l.doc_id, l.leaf, vs.subroot, r.root, sha256(vs.proof) AS proof_sha256, vs.h AS folded_root, vs.h = r.root AS verified FROM l JOIN vs ON l.row = vs.row CROSS JOIN r""",
     "licence_phrases": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-f AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('gnu', 'apache', 'cc', 'mit')) AS at FROM w),
-p AS (SELECT doc_id, len(w) AS n_words, flatten([list_transform(list_filter(at, lambda i: w[i:i + 3] = ['gnu', 'general', 'public', 'license']), lambda i: (i - 1, 'gpl')), list_transform(list_filter(at, lambda i: w[i:i + 1] = ['apache', 'license']), lambda i: (i - 1, 'apache')),
-  list_transform(list_filter(at, lambda i: w[i:i + 1] = ['cc', 'by']), lambda i: (i - 1, 'cc-by')), list_transform(list_filter(at, lambda i: w[i:i + 1] = ['mit', 'license']), lambda i: (i - 1, 'mit'))]) AS base FROM f)
+f AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] IN ('gnu', 'apache', 'cc', 'mit')) AS seen FROM w),
+p AS (SELECT doc_id, len(w) AS n_words, flatten([list_transform(list_filter(seen, lambda i: w[i:i + 3] = ['gnu', 'general', 'public', 'license']), lambda i: (i - 1, 'gpl')), list_transform(list_filter(seen, lambda i: w[i:i + 1] = ['apache', 'license']), lambda i: (i - 1, 'apache')),
+  list_transform(list_filter(seen, lambda i: w[i:i + 1] = ['cc', 'by']), lambda i: (i - 1, 'cc-by')), list_transform(list_filter(seen, lambda i: w[i:i + 1] = ['mit', 'license']), lambda i: (i - 1, 'mit'))]) AS base FROM f)
 SELECT doc_id, n_words, len(base) AS n_base, list_min(list_transform(base, lambda x: x[1])) AS first_word, list_max(list_transform(base, lambda x: x[1])) AS last_word, array_to_string(list_sort(list_distinct(list_transform(base, lambda x: x[2]))), ',') AS base_labels FROM p""",
     "mix_targets": r"""
 WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
