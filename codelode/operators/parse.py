@@ -9,6 +9,7 @@ no nodes. A file that can't be parsed has none either. Offsets count characters.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -76,72 +77,167 @@ def parse_python(text: str) -> list[Node]:
     return [n if n[0] == "call" else (*n[:8], 1 + k) for n, k in zip(out, branches, strict=True)]
 
 
-_BRACES = {
-    "java": (
-        ("class_declaration", re.compile(r"(?:\b(?:public|protected|private|abstract|final|static)\s+)*\bclass\s+(\w+)[^{;()]*\{")),
-        ("constructor_declaration", re.compile(r"^[ \t]*(?:public|protected|private)\s+([A-Z]\w*)\s*\([^)]*\)[^{;]*\{", re.M)),
-        ("method_declaration", re.compile(r"^[ \t]*(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)*[\w<>\[\], .]+?\s+(\w+)\s*\([^)]*\)\s*(?:throws[\w\s,.]+)?\{", re.M)),
-    ),
-    "javascript": (("class_declaration", re.compile(r"(?:\bexport\s+(?:default\s+)?)?\bclass\s+(\w+)[^{;()]*\{")), ("function_declaration", re.compile(r"(?:\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)\s*\{"))),
+_TYPE_HEADS = {
+    "java": (("class_declaration", re.compile(r"(?:\b(?:public|protected|private|abstract|final|static)\s+)*\bclass\s+(\w+)[^{;()]*\{")),),
+    "javascript": (("class_declaration", re.compile(r"(?:\bexport\s+(?:default\s+)?)?\bclass\s+(\w+)[^{;()]*\{")),),
     "typescript": (
-        ("class_declaration", re.compile(r"\bclass\s+(\w+)[^{;()]*\{")),
-        ("interface_declaration", re.compile(r"\binterface\s+(\w+)[^{;()]*\{")),
-        ("function_declaration", re.compile(r"\bfunction\s*\*?\s*(\w+)\s*(?:<[^>]*>)?\([^)]*\)[^{;]*\{")),
+        ("class_declaration", re.compile(r"(?:\bexport\s+(?:default\s+)?)?(?:\babstract\s+)?\bclass\s+(\w+)[^{;()]*\{")),
+        ("interface_declaration", re.compile(r"(?:\bexport\s+(?:default\s+)?)?\binterface\s+(\w+)[^{;()]*\{")),
     ),
-    "bash": (("function_definition", re.compile(r"^[ \t]*(?:function\s+)?([\w-]+)\s*\(\)\s*\{", re.M)),),
 }
 _CALL = {"java": "method_invocation", "javascript": "call_expression", "typescript": "call_expression"}
-_CALLED = re.compile(r"(?<![\w.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
+#: A name, type arguments, and the bracket that opens its list.
+_LISTED = re.compile(r"(?<![\w.$])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*(?:<[^<>(){};=]*(?:<[^<>(){};=]*>[^<>(){};=]*)*>\s*)?\(")
+#: What may stand between a list and the body of what it declares.
+_BODY = {"java": re.compile(r"\s*(?:throws\s[\w\s,.]+)?\{"), "javascript": re.compile(r"\s*\{"), "typescript": re.compile(r"\s*(?::\s*[\w\[\"'][^{};=]*)?\{")}
+_NO_BODY = {"java": re.compile(r"\s*(?:throws\s[\w\s,.]+)?;"), "typescript": re.compile(r"\s*:\s*[\w\[{(]")}
+_MODIFIERS = re.compile(r"(?:\b(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp|async|readonly|override|declare|get|set)\s+)*[*#]?\s*$")
+_MODIFIED, _SPACE = re.compile(r"^(?:\b(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"), re.compile(r"\s*")
+_FUNCTION = re.compile(r"(?:\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\bfunction\s*\*?\s*$")
+_RESULT = re.compile(r"(?:<[\w<>,\s?&]*>\s*)?[\w$][\w$.]*(?:\s*<[\w<>\[\],.\s?&]*>)?(?:\s*\[\s*\])*\s*$")
+_ARROW = re.compile(r"(?:\bexport\s+)?\b(?:const|let)\s+([\w$]+)\s*(?::[^=;]+(?:=>[^=;]+)?)?=\s*(?:async\s*)?(?:(?:function\b[\s*]*[\w$]*\s*)?(?:<[^<>(){}]*>\s*)?\(|[\w$]+\s*=>)")
 _BRANCH = re.compile(r"\b(?:if|for|while|do|switch|case|catch|throw|assert|await)\b|\?")
-_NOT_CALLS = frozenset(["if", "for", "while", "switch", "catch", "return", "function", "new", "super", "synchronized", "do", "else", "typeof"])
+_NOT_NAMES = frozenset("if for while switch catch return function new super synchronized do else typeof throw case await yield with assert in of instanceof delete void try import this".split())
+_BASH = re.compile(r"^[ \t]*(?:function\s+)?([\w-]+)\s*\(\)\s*\{", re.M)
+
+
+def _blanked(text: str, lang: str) -> tuple[str, list[tuple[int, int]]]:
+    """Comments and strings as blanks of the same length, so that offsets stay, and where block comments are."""
+    if lang == "bash":
+        return re.sub(r"(?m)(?<!\S)#[^\n]*", lambda m: " " * len(m[0]), text), []
+    comments: list[tuple[int, int]] = []
+
+    def blank(m: re.Match) -> str:
+        if m[0].startswith("/*"):
+            comments.append(m.span())
+        return re.sub(r"[^\n]", " ", m[0])
+
+    code = re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", blank, text, flags=re.S)
+    return code, comments
+
+
+def _brackets(code: str) -> dict[int, int]:
+    """For each opening bracket where its pair ends. Round ones that don't match are left out; curly ones must."""
+    ends: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.finditer(r"[(){}]", code):
+        if m[0] in "({":
+            open_.append(m.start())
+            continue
+        want = "(" if m[0] == ")" else "{"
+        while open_ and code[open_[-1]] == "(" != want:
+            open_.pop()
+        if open_ and code[open_[-1]] == want:
+            ends[open_.pop()] = m.end()
+    if any(code[i] == "{" for i in open_):
+        raise SyntaxError("unbalanced braces")
+    return ends
 
 
-def _blanked(text: str) -> str:
-    """Comments and strings as blanks of the same length, so that offsets stay."""
-    return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+def _before(code: str, at: int) -> tuple[int, str]:
+    """Where the statement or member that reaches `at` begins, as far as its line and the signs `{`, `}`, `;`, `,` tell, and its text up to there."""
+    line = code.rfind("\n", 0, at) + 1
+    first = max(line, *(code.rfind(c, line, at) + 1 for c in "{};,"))
+    return first, code[first:at]
 
 
-def parse_braces(text: str, lang: str) -> list[Node]:
-    code = _blanked(text) if lang != "bash" else re.sub(r"(?m)(?<!\S)#[^\n]*", lambda m: " " * len(m[0]), text)
-    closing, stack = {}, []
-    for m in re.finditer(r"[{}]", code):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            closing[stack.pop()] = m.end()
-    if stack:
-        raise SyntaxError("unbalanced braces")
-    found: dict[int, tuple[str, str, int, int]] = {}
-    for kind, pattern in _BRACES[lang]:
+def _expression_end(code: str, at: int, ends: dict[int, int]) -> int:
+    """Where the expression that begins at `at` ends: at a semicolon, a closing bracket or the end of a line, outside of brackets."""
+    while at < len(code):
+        if code[at] in ";)}],\n":
+            return at
+        at = ends.get(at, at + 1)
+    return at
+
+
+def _declared(code: str, lang: str, ends: dict[int, int]) -> tuple[list[tuple[int, int, str, str]], list[tuple[int, int, str, str]]]:
+    """(start, end, kind, name) of declarations, and of calls.
+
+    A name with a list and a body is a declaration, unless it is a keyword: in Java a constructor where no type stands
+    before it, else a method (which may lack a body); in JavaScript and TypeScript a function after that word, else a
+    method. A constant or variable that is bound to a function is a lexical_declaration of its name.
+    """
+    spans = []
+    for kind, pattern in _TYPE_HEADS[lang]:
         for m in pattern.finditer(code):
-            brace = m.end() - 1
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            if brace not in found and m[1] not in _NOT_CALLS:
-                found[brace] = (kind, m[1], start, closing[brace])
-    spans = sorted(((s, e, k, n) for k, n, s, e in found.values()), key=lambda x: (x[0], -x[1]))
-    declared = {s for s, *_ in spans}
-    for m in _CALLED.finditer(code) if lang in _CALL else ():
-        line = code[code.rfind("\n", 0, m.start()) + 1 : m.start()]
-        if m[1] not in _NOT_CALLS and not re.search(r"\b(?:class|interface|function)\s*\*?\s*$", line) and not any(a <= m.start() < code.find("{", a) for a in declared):
-            spans.append((m.start(), m.end(), _CALL[lang], m[1]))
+            spans.append((m.start(), ends[m.end() - 1], kind, m[1]))
+    calls = []
+    for m in _LISTED.finditer(code):
+        name, close = m[1], ends.get(m.end() - 1)
+        if name in _NOT_NAMES or close is None:
+            continue
+        first, head = _before(code, m.start())
+        body = _BODY[lang].match(code, close)
+        bare = head.lstrip()
+        if lang == "java":
+            plain = _MODIFIED.sub("", re.sub(r"@\w+(?:\([^()]*\))?\s*", "", bare))
+            typed = bool(_RESULT.fullmatch(plain)) and re.match(r"\w*", plain)[0] not in _NOT_NAMES - {"void", "synchronized"}
+            end = body or typed and _NO_BODY["java"].match(code, close)
+            if "." not in name and end and (typed or not plain):
+                spans.append((first + len(head) - len(bare), ends[end.end() - 1] if body else end.end(), "method_declaration" if typed else "constructor_declaration", name))
+                continue
+            if re.search(r"\bnew\s+$", head):
+                continue
+        else:
+            if f := _FUNCTION.search(code, max(m.start() - 60, 0), m.start()):
+                if body:
+                    spans.append((f.start(), ends[body.end() - 1], "function_declaration", name))
+                continue
+            if "." not in name and _MODIFIERS.fullmatch(bare):
+                if body:
+                    spans.append((first + len(head) - len(bare), ends[body.end() - 1], "method_definition", name))
+                    continue
+                if lang == "typescript" and _NO_BODY[lang].match(code, close):
+                    continue
+            if re.search(r"\bnew\s+$", head):
+                continue
+        calls.append((m.start(), close, _CALL[lang], name))
+    for m in _ARROW.finditer(code) if lang != "java" else ():
+        at, last = m.end(), m[0][-1]
+        if last == "(":
+            if (at := ends.get(m.end() - 1)) is None:
+                continue
+            if re.search(r"\bfunction\b[\s*]*[\w$]*\s*(?:<[^<>]*>\s*)?\($", m[0]):
+                if not (body := _BODY[lang].match(code, at)):
+                    continue
+                at = body.end() - 1
+            elif arrow := re.compile(r"\s*(?::\s*[^={};]+)?=>").match(code, at):
+                at = arrow.end()
+            else:
+                continue
+        at = _SPACE.match(code, at).end()
+        end = ends[at] if code[at : at + 1] == "{" else _expression_end(code, at, ends)
+        spans.append((m.start(), end, "lexical_declaration", m[1]))
+    return spans, calls
+
+
+def parse_braces(text: str, lang: str) -> list[Node]:
+    code, comments = _blanked(text, lang)
+    ends = _brackets(code)
+    if lang == "bash":
+        spans = [(m.start() + len(m[0]) - len(m[0].lstrip()), ends[m.end() - 1], "function_definition", m[1]) for m in _BASH.finditer(code)]
+    else:
+        spans, calls = _declared(code, lang, ends)
+        spans = spans + calls
     spans.sort(key=lambda x: (x[0], -x[1]))
+    closed = [b for _, b in comments]
     out: list[Node] = []
     open_: list[tuple[int, int]] = []
     for s, e, kind, name in spans:
         while open_ and open_[-1][1] <= s:
             open_.pop()
-        doc = None
-        if m := re.search(r"/\*(?:(?!\*/).)*\*/\s*$", text[:s], re.S):
-            doc = m[0].strip()
-        head = text[s : code.find("{", s)] if "{" in code[s:e] else name
+        last = bisect.bisect_right(closed, s) - 1
+        doc = text[comments[last][0] : comments[last][1]] if last >= 0 and not text[closed[last] : s].strip() else None
         is_call = kind in S.CALL_TYPES
-        out.append((kind, name, name if is_call else " ".join(head.split()), None if is_call else doc, s, e, open_[-1][0] if open_ else None, len(open_), 1 if is_call else 1 + len(_BRANCH.findall(code[s:e]))))
+        brace = code.find("{", s, e)
+        head = text[s : brace if brace >= 0 else e].rstrip(" ;")
+        out.append((kind, name, name if is_call else " ".join(head.split()), None if is_call else doc, s, e, open_[-1][0] if open_ else None, len(open_), 1 if is_call else 1 + len(_BRANCH.findall(code, s, e))))
         if not is_call:
             open_.append((len(out) - 1, e))
     return out
 
 
-PARSERS: dict[str, Callable[[str], list[Node]]] = {"python": parse_python, **{k: (lambda text, k=k: parse_braces(text, k)) for k in _BRACES}}
+PARSERS: dict[str, Callable[[str], list[Node]]] = {"python": parse_python, **{k: (lambda text, k=k: parse_braces(text, k)) for k in (*_TYPE_HEADS, "bash")}}
 
 
 def nodes_of(path: str, text: str, language: str | None) -> Iterator[tuple]:
@@ -156,8 +252,6 @@ def nodes_of(path: str, text: str, language: str | None) -> Iterator[tuple]:
     line_of = [0]
     for m in re.finditer("\n", text):
         line_of.append(m.end())
-    import bisect
-
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     byte = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
     ids = [f"{path}:{n[0]}:{byte[n[4]]}-{byte[n[5]]}" for n in found]

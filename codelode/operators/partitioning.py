@@ -19,9 +19,9 @@ def dir_rollup(files: DataFrame) -> DataFrame:
 
 
 def thresholds(dirs: DataFrame, least_absolute: int = S.LEAST_FILES, ratio: float = S.LEAST_FILES_RATIO, factor: float = S.DEPTH_FACTOR, cap: int = S.MOST_DEPTH) -> DataFrame:
-    """One row, min_files and max_depth, from the number of files and the average depth of all directories."""
+    """One row, min_files (a fraction of the number of files isn't cut off) and max_depth, from the average depth of all directories."""
     total = F.max(F.when(F.col("depth") == 0, F.col("file_count")))
-    return dirs.agg(F.greatest(F.lit(least_absolute), (total * ratio).cast("int")).alias("min_files"), F.least(F.lit(cap), F.ceil(F.avg("depth") * factor)).cast("int").alias("max_depth"))
+    return dirs.agg(F.greatest(F.lit(least_absolute), total * ratio).cast("double").alias("min_files"), F.least(F.lit(cap), F.ceil(F.avg("depth") * factor)).cast("int").alias("max_depth"))
 
 
 def candidates(dirs: DataFrame, min_files: int | None = None, max_depth: int | None = None, target: int = S.TARGET_FILES) -> DataFrame:

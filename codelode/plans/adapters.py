@@ -134,6 +134,17 @@ class Tables:
         return self.keyed(p.select("p_partkey", "p_size", F.concat("p_brand", F.lit("/"), k, F.lit(".py")).alias("relative_path"), text.alias("content"))).withColumn("blob_hash", F.sha2("content", 256))
 
 
+    def brace_sources(self) -> DataFrame:
+        """Parts of even size as JavaScript files, others as Java files: a class with a constructor and a method, and a function or a method without a body."""
+        p = self.raw("part")
+        js = "// @t\n/** @n */\nclass C@k {\n  constructor(x) { this.x = h@s(x); }\n  async m@k(x) {\n    if (x) { return lib.g@s(x); }\n  }\n}\nconst f@k = (x) => { return m@k(x); };\n"
+        java = "// @t\n/** @n */\npublic class C@k {\n  C@k(int x) { this.x = h@s(x); }\n  int m@k(int x) throws E {\n    while (x > 0) { return lib.g@s(x); }\n  }\n  abstract int f@k(int x);\n}\n"
+        text, end = F.when(F.col("p_size") % 2 == 0, js).otherwise(java), F.when(F.col("p_size") % 2 == 0, ".js").otherwise(".java")
+        for sign, value in (("@t", F.col("p_type")), ("@n", F.col("p_name")), ("@k", F.col("p_partkey").cast("string")), ("@s", F.col("p_size").cast("string"))):
+            text = F.replace(text, F.lit(sign), value)
+        return self.keyed(p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), end).alias("relative_path"), text.alias("content")))
+
+
 def node(prefix: str, key: str, alias: str = "node_id") -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string")).alias(alias)
 

@@ -276,6 +276,21 @@ def extracted_calls(t: Tables) -> DataFrame:
     return calls.groupBy(F.col("owner").alias("caller"), "called_name").agg(F.count("*").alias("calls"))
 
 
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS k, p_size::VARCHAR AS s, p_size % 2 = 0 AS js, p_brand || '/' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '.js' ELSE '.java' END AS path, '/** ' || p_name || ' */' AS doc FROM part)
+SELECT path AS relative_path, 'class_declaration' AS node_type, 'C' || k AS name, CASE WHEN js THEN '' ELSE 'public ' END || 'class C' || k AS signature, doc AS docstring, 3 AS start_line, CASE WHEN js THEN 8 ELSE 9 END AS end_line, 2 AS complexity, NULL AS parent FROM p
+UNION ALL SELECT path, CASE WHEN js THEN 'method_definition' ELSE 'constructor_declaration' END, CASE WHEN js THEN 'constructor' ELSE 'C' || k END, CASE WHEN js THEN 'constructor(x)' ELSE 'C' || k || '(int x)' END, NULL, 4, 4, 1, 'C' || k FROM p
+UNION ALL SELECT path, CASE WHEN js THEN 'call_expression' ELSE 'method_invocation' END, 'h' || s, 'h' || s, NULL, 4, 4, 1, CASE WHEN js THEN 'constructor' ELSE 'C' || k END FROM p
+UNION ALL SELECT path, CASE WHEN js THEN 'method_definition' ELSE 'method_declaration' END, 'm' || k, CASE WHEN js THEN 'async m' || k || '(x)' ELSE 'int m' || k || '(int x) throws E' END, NULL, 5, 7, 2, 'C' || k FROM p
+UNION ALL SELECT path, CASE WHEN js THEN 'call_expression' ELSE 'method_invocation' END, 'lib.g' || s, 'lib.g' || s, NULL, 6, 6, 1, 'm' || k FROM p
+UNION ALL SELECT path, CASE WHEN js THEN 'lexical_declaration' ELSE 'method_declaration' END, 'f' || k, CASE WHEN js THEN 'const f' || k || ' = (x) =>' ELSE 'abstract int f' || k || '(int x)' END, NULL, CASE WHEN js THEN 9 ELSE 8 END, CASE WHEN js THEN 9 ELSE 8 END, 1, CASE WHEN js THEN NULL ELSE 'C' || k END FROM p
+UNION ALL SELECT path, 'call_expression', 'm' || k, 'm' || k, NULL, 9, 9, 1, 'f' || k FROM p WHERE js""")
+def extracted_brace_nodes(t: Tables) -> DataFrame:
+    """Syntax nodes of generated JavaScript and Java files."""
+    n = parse.parse_files(t.brace_sources())
+    above = n.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
+    return n.join(above, "parent_id", "left").select("relative_path", "node_type", "name", "signature", "docstring", "start_line", "end_line", "complexity", "parent")
+
+
 @query(f"""SELECT l.doc_id, l.quality, l.toxic, round(least(1.0, greatest(0.0, 0.5 + CASE WHEN quality = 1 THEN 0.2 ELSE 0.1 END + CASE WHEN toxic = 1 THEN 0.3 ELSE 0 END + CASE WHEN {LINES} > 5 THEN 0.15 ELSE 0 END + CASE WHEN {TOKENS.format('text')} < 20 THEN -0.1 WHEN {TOKENS.format('text')} > 200 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS importance FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def importance_score(t: Tables) -> DataFrame:
     d = t.raw("documents").select("doc_id", "text").join(t.raw("labels"), "doc_id")
@@ -368,7 +383,7 @@ def partition_assignment(t: Tables) -> DataFrame:
     return partitioning.assign_partitions(t.dir_files(), partitioning.select_partitions(c))
 
 
-@query(f"{DIRS} SELECT greatest(20, CAST(floor(max(CASE WHEN depth = 0 THEN file_count END) * 0.002::DOUBLE) AS INTEGER)) AS min_files, least(7, CAST(ceil(avg(depth) * 1.5::DOUBLE) AS INTEGER)) AS max_depth FROM d")
+@query(f"{DIRS} SELECT greatest(20, max(CASE WHEN depth = 0 THEN file_count END) * 0.002::DOUBLE)::DOUBLE AS min_files, least(7, CAST(ceil(avg(depth) * 1.5::DOUBLE) AS INTEGER)) AS max_depth FROM d")
 def partition_thresholds(t: Tables) -> DataFrame:
     return partitioning.thresholds(partitioning.dir_rollup(t.dir_files()))
 
@@ -507,9 +522,11 @@ def rate_limit_violations(t: Tables) -> DataFrame:
     return ratelimit.violations(t.requests(), limits).select("event_id", "max_requests", "period_seconds", "in_window")
 
 
-@query("SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000) AS BIGINT) AS batch FROM orders")
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {TS.format('o_orderdate')} AS o_orderdate, o_orderpriority, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000) AS BIGINT) AS batch FROM orders")
 def fixed_batches(t: Tables) -> DataFrame:
-    return file_source.fixed_batches(t.raw("orders").select("o_orderkey"), ["o_orderkey"], 1000).select("o_orderkey", F.col("batch").cast("long").alias("batch"))
+    """Whole orders in batches."""
+    found = file_source.fixed_batches(t.raw("orders"), ["o_orderkey"], 1000)
+    return found.withColumns({"o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "batch": F.col("batch").cast("long")})
 
 
 @query("SELECT event_id, CAST((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 3 AS BIGINT) AS slot FROM events")

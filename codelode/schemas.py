@@ -47,7 +47,7 @@ TEXT_NAMES = ("README", "LICENSE", "Dockerfile", ".gitignore", ".gitattributes")
 
 # --- fixed values: kinds of syntax nodes ----------------------------------------------------------
 
-#: Nodes that count for complexity, by language.
+#: Nodes that count for complexity, by language. Python's operators are left out: they say how long an expression is, not how code branches.
 COMPLEXITY_TYPES = {
     "python": ("if_statement", "for_statement", "while_statement", "with_statement", "except_clause", "assert_statement", "raise_statement", "await"),
     "java": ("if_statement", "for_statement", "while_statement", "do_statement", "switch_expression", "catch_clause", "throw_statement", "assert_statement", "synchronized_statement", "conditional_expression"),
@@ -59,16 +59,17 @@ COMPLEXITY_TYPES = {
 CHUNK_TYPES = {
     "python": ("function_definition", "class_definition"),
     "java": ("class_declaration", "method_declaration", "constructor_declaration"),
-    "javascript": ("function_declaration", "class_declaration"),
-    "typescript": ("function_declaration", "class_declaration", "interface_declaration"),
+    "javascript": ("function_declaration", "class_declaration", "method_definition", "lexical_declaration"),
+    "typescript": ("function_declaration", "class_declaration", "method_definition", "lexical_declaration", "interface_declaration"),
     "bash": ("function_definition",),
 }
 #: Sets that single questions use. DEFINITION_TYPES is their union, and the default everywhere.
-EDGE_TARGET_TYPES = ("function_definition", "class_definition", "method_declaration", "function_declaration")
+#: Methods and bound functions of JavaScript and TypeScript count as definitions that calls lead to.
+EDGE_TARGET_TYPES = ("function_definition", "class_definition", "method_declaration", "function_declaration", "method_definition", "lexical_declaration")
 CALL_TYPES = ("call", "call_expression", "method_invocation")
 FIND_DEFINITION_TYPES = ("function_definition", "class_definition", "method_declaration", "constructor_declaration")
 OUTLINE_TYPES = ("function_definition", "class_definition", "method_declaration")
-DEFINITION_TYPES = ("function_definition", "class_definition", "method_declaration", "function_declaration", "constructor_declaration", "class_declaration", "interface_declaration")
+DEFINITION_TYPES = ("function_definition", "class_definition", "method_declaration", "function_declaration", "constructor_declaration", "class_declaration", "interface_declaration", "method_definition", "lexical_declaration")
 
 # --- fixed values: weights and limits -------------------------------------------------------------
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
+from codelode.session import cut
 
 
 def scan(spark: SparkSession, root: str, repo_id: int, branch: str, supported_only: bool = True) -> DataFrame:
@@ -55,13 +56,16 @@ def json_lists(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 def fixed_batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """rows with batch: the number of the batch of so many rows in the given order.
 
-    Numbers come from counts by range, so rows are sorted in parallel, not in one task.
+    Rows are sorted in parallel, by ranges, and numbered from how many rows the ranges before hold. The ranges are written
+    down first, since a second planning of them would cut elsewhere. Batches of ties are of no certain order.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % F.lit(1 << 33))
-    from pyspark.sql import Window
-
-    before = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_at")) / size)).drop("_part", "_at", "_before")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place))
+    part, at = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(part.alias("_part")).count().withColumn("_before", F.coalesce(F.sum("count").over(upto), F.lit(0))).select("_part", "_before")
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")  # one row a partition
+    return numbered.withColumn("batch", F.floor((F.col("_before") + at) / size)).drop("_part", "_place", "_before")
 
 
 SCHEMAS = {"files": S.FILES, "blobs": S.BLOBS, "nodes": S.NODES, "edges": S.EDGES, "chunks": S.CHUNKS}

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-_TABLES = {"tree": "relative_path string", "status": "line string", "branches": "branch string"}
+_TABLES = {"tree": "relative_path string", "status": "code string, path string", "branches": "branch string"}
 
 
 def run_git(path: str, *args: str) -> str:
@@ -45,7 +46,8 @@ class GitReader(DataSourceReader):
         if table == "tree":
             out = run_git(path, "ls-tree", "-r", "--name-only", "-z", self.options.get("branch") or "HEAD").split("\0")
         elif table == "status":
-            out = run_git(path, "status", "--porcelain", "-u").split("\n")
+            yield from status_entries(run_git(path, "status", "--porcelain", "-z", "-u"))
+            return
         else:
             out = sorted({x[2:].strip() for x in run_git(path, "branch", "--list").split("\n") if "->" not in x})
         yield from ((x,) for x in out if x)
@@ -66,12 +68,26 @@ def branches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("git").option("path", path).option("table", "branches").load()
 
 
+def status_entries(out: str) -> Iterator[tuple[str, str]]:
+    """(two letters, path) of what git says with -z: paths as they are, and after a renamed or copied one the old path."""
+    fields = iter(out.split("\0"))
+    for x in fields:
+        if x:
+            yield x[:2], x[3:]
+            if x[0] in "RC" or x[1] in "RC":
+                next(fields, None)
+
+
+def kind_of(code: Column) -> Column:
+    """The kind of a change by the first of its two letters: R renamed, blank or M modified, A new, D deleted, ?? untracked. So a new
+    file that was changed since (AM) is new, and one that is gone from the tree alone ( D) is modified. Null for others, as conflicts."""
+    first = F.substring(code, 1, 1)
+    return F.when(first == "R", "renamed").when(first.isin(" ", "M"), "modified").when(first == "A", "new").when(first == "D", "deleted").when(code == "??", "untracked")
+
+
 def parse_status(lines: DataFrame) -> DataFrame:
-    """kind and path of status lines, by the first column: R renamed (the new path), blank or M modified, A new, D deleted,
-    ?? untracked. So a new file that was changed since (AM) is new, and one that is gone from the tree alone ( D) is
-    modified. Other lines, as those of conflicts, are left out."""
-    code, rest = F.substring("line", 1, 1), F.substring(F.col("line"), F.lit(4), F.lit(1 << 30))
-    kind = F.when(code == "R", "renamed").when(code.isin(" ", "M"), "modified").when(code == "A", "new").when(code == "D", "deleted").when(F.substring("line", 1, 2) == "??", "untracked")
+    """kind and path (of a renamed file the new one) of status lines as git prints them without -z; other lines are left out."""
+    kind, rest = kind_of(F.substring("line", 1, 2)), F.substring(F.col("line"), F.lit(4), F.lit(1 << 30))
     path = F.when(kind == "renamed", F.element_at(F.split(rest, " -> "), -1)).otherwise(rest)
     return lines.select(kind.alias("kind"), path.alias("path")).where("kind is not null")
 
@@ -79,8 +95,9 @@ def parse_status(lines: DataFrame) -> DataFrame:
 def status(spark: SparkSession, path: str) -> DataFrame:
     """kind and paths of a working tree's changes."""
     register(spark)
-    lines = spark.read.format("git").option("path", path).option("table", "status").load()
-    return parse_status(lines).groupBy("kind").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    entries = spark.read.format("git").option("path", path).option("table", "status").load()
+    kinds = entries.select(kind_of(F.col("code")).alias("kind"), "path").where("kind is not null")
+    return kinds.groupBy("kind").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def diff(path: str, file: str) -> str:

@@ -253,6 +253,72 @@ def test_parse(spark):
     assert (f.node_id, f.node_id) in {(r.caller, r.callee) for r in edges.collect()}
 
 
+SCRIPT = """class A { constructor(a, b = f(1)) { super(a); } async m(a) { if (a) { return h(a); } } static get p() { return 1; } *gen() { yield z(); } }
+function foo(x) { bar(x); }
+const f = (x) => { return foo(x); };
+export const g2 = async x => foo(x)
+let h2 = function (a) { q(a); };
+const n = 5, v = foo(3);
+const o = { run(a) { go(a); }, stop: function () { halt(); } };
+foo(function (e) { w(e); });
+if (foo(x)) { baz(new Thing(1)); }
+"""
+TYPED = """export abstract class A<T> {
+  private x: number = init();
+  m(a: number): number { return k(a); }
+  k(b) { return b }
+  abstract q(a: string): void;
+  async load(id: string): Promise<Array<T>> { await fetch(id); }
+}
+interface I { size(): number; }
+export function make<T>(a: T): T { return wrap<T>(a); }
+export const f = <T>(x: T): T => { return make(x); };
+const t: (x: number) => void = (x) => log(x);
+const y = cond ? make(x) : { a: 1 };
+"""
+JAVAS = """public class A {
+  A(int x) { this.x = x; }
+  public A() { this(1); }
+  @Override
+  public List<String> say(final Map<String, Integer> a) throws IOException, E { out.print(x); return foo(a); }
+  abstract int size();
+  void run() { new Thread(bar()) { public void go() { baz(); } }; if (size()) { x(); } else y(); }
+  static <T> T id(T t) { return t; }
+  int[] arr(int n) { for (int i = 0; i < n(); i++) { f(i); } return null; }
+}
+"""
+
+
+def test_declarations_with_braces_are_not_calls():
+    found = lambda text, lang: [(n[0], n[1]) for n in parse.parse_braces(text, lang)]
+    split = lambda text, lang, call: (sorted(n for n in found(text, lang) if n[0] != call), sorted(n for k, n in found(text, lang) if k == call))
+    declared, called = split(SCRIPT, "javascript", "call_expression")
+    assert declared == [("class_declaration", "A"), ("function_declaration", "foo"), ("lexical_declaration", "f"), ("lexical_declaration", "g2"), ("lexical_declaration", "h2"), *(("method_definition", x) for x in ("constructor", "gen", "m", "p", "run"))]
+    assert called == ["bar", "baz", "f", "foo", "foo", "foo", "foo", "foo", "go", "h", "halt", "q", "w", "z"]
+    declared, called = split(TYPED, "typescript", "call_expression")
+    assert declared == [("class_declaration", "A"), ("function_declaration", "make"), ("interface_declaration", "I"), ("lexical_declaration", "f"), ("lexical_declaration", "t"), *(("method_definition", x) for x in ("k", "load", "m"))]
+    assert called == ["fetch", "init", "k", "log", "make", "make", "wrap"]
+    declared, called = split(JAVAS, "java", "method_invocation")
+    assert declared == [("class_declaration", "A"), ("constructor_declaration", "A"), ("constructor_declaration", "A"), *(("method_declaration", x) for x in ("arr", "go", "id", "run", "say", "size"))]
+    assert called == ["bar", "baz", "f", "foo", "n", "out.print", "size", "x", "y"]
+
+
+def test_methods_of_scripts_resolve_and_are_not_dead(spark):
+    n = parse.parse_files(source(spark, [("a.js", "class A { m(a) { return k(a); } k(b) { return b; } }\nconst go = (x) => { a.m(x); };\n")])).cache()
+    edges = graph.call_edges(parse.calls_of(n), n)
+    name = {r.node_id: r.name for r in n.collect()}
+    assert {(name[r.caller], name[r.callee]) for r in edges.collect()} == {("m", "k"), ("go", "m")}
+    assert {r.name for r in graph.dead_code(n, edges).collect()} == {"A", "go"}
+
+
+def test_braces_in_long_files_take_linear_time():
+    import time
+
+    text = "/** d */\nfunction f(x) { g(x, h(x)); }\nconst a = (x) => { f(x); };\n" * 3000
+    start = time.time()
+    assert len(parse.parse_braces(text, "javascript")) == 15_000 and time.time() - start < 10
+
+
 def test_every_line_is_in_a_chunk(spark):
     long = "def g():\n" + "".join(f"    x{i} = {i} + 1\n" for i in range(400))
     files = source(spark, [("a.py", PYTHON), ("long.py", long), ("t.md", "# T\n\ntext here\n"), ("bad.py", "def (\n")]).cache()
@@ -315,6 +381,11 @@ def test_files_and_git(spark, tmp_path):
     assert got(git.tree(spark, str(repo)), "relative_path") == [("a.py",), ("c.bin",), ("node_modules/b.js",)]
     assert {r.kind: r.paths for r in git.status(spark, str(repo)).collect()} == {"modified": ["a.py"], "untracked": ["new.py"]}
     assert got(git.branches(spark, str(repo)), "branch") == [("main",)]
+    for odd in ("a b.py", "é.py", 'q"t.py', "x -> y.py"):
+        (repo / odd).write_text("z")
+    run("add", "é.py")
+    run("mv", "c.bin", "moved -> c.bin")
+    assert {r.kind: r.paths for r in git.status(spark, str(repo)).collect()} == {"modified": ["a.py"], "new": ["é.py"], "renamed": ["moved -> c.bin"], "untracked": ["a b.py", "new.py", 'q"t.py', "x -> y.py"]}
     assert "+y" in git.diff(str(repo), "a.py") and git.current_branch(str(repo)) == "main"
 
 
@@ -339,6 +410,18 @@ def test_fixed_batches(spark):
     assert got(file_source.fixed_batches(d, ["id"], 100).groupBy("batch").count(), "batch", "count") == [(i, 100) for i in range(10)] + [(10, 50)]
 
 
+def test_fixed_batches_keep_whole_rows(spark):
+    """Rows with further columns, over many ranges that adaptive execution merges."""
+    d = spark.range(60_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("text"), (F.col("id") % 7).alias("k")).repartition(16)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        found = file_source.fixed_batches(d, ["id"], 700)
+        assert found.count() == 60_000 and found.where(F.col("batch") != F.floor(F.col("id") / 700)).isEmpty()
+        assert found.columns == [*d.columns, "batch"] and found.where(F.sha2(F.col("id").cast("string"), 512) != F.col("text")).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_facade(spark, tmp_path):
     from codelode.facade import Analysis
 
