@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,56 +38,95 @@ def round_robin(items: DataFrame, order: list[str], n: int) -> DataFrame:
     return items.withColumn("slot", (F.row_number().over(w) - 1) % n)
 
 
-def replay(requests: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
-    """requests (request_id, model_name, ts) with api_key and admitted_at: the log replayed through the limiter, model by model.
+#: (requests, seconds) of each limit of a model.
+Limits = Sequence[tuple[int, float]]
+#: Microseconds that a request waits beyond the moment at which a key comes free.
+MORE = 10_000
 
-    A model's requests depend on one another, so they are one task's work, in the order of ts and request_id.
-    """
-    import pandas as pd
 
-    of = limits.groupBy("model_name").agg(F.collect_list(F.struct(F.col("max_requests").cast("int").alias("most"), F.col("period_seconds").cast("double").alias("period"))).alias("limits"))
-    rows = requests.select("request_id", "model_name", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")).join(of, "model_name", "left")
+class Rotation:
+    """Keys that take turns under the limits of one model. Times are whole microseconds.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "request_id"])
-        own = pdf["limits"].iloc[0]
-        own = [] if own is None else [(x["most"], x["period"]) for x in own]
-        found = admit(pdf["at"].tolist(), own, keys)
-        return pd.DataFrame({"request_id": pdf["request_id"], "model_name": pdf["model_name"], "api_key": [k for k, _ in found], "admitted_at": [t for _, t in found]})
-
-    kind = dict(requests.dtypes)["request_id"]
-    return rows.groupBy("model_name").applyInPandas(run, f"request_id {kind}, model_name string, api_key string, admitted_at double")
-
-
-def admit(pdf, limits: list[tuple[int, float]], keys: list[str]):
-    """Replays a log (ts in seconds, ascending) through the limiter: each request gets the first key from
-    the current one on that is free; if none is, it waits for the least time plus 0.01 s.
-
-    Returns (key, admitted_at) per request. Without limits the first key is always free.
+    A request gets the first free key from the one after the last that was given; if none is free, it waits for
+    the least time that frees one, and MORE. Requests are served in turn, so later ones wait as well. Once no key
+    has been used for the longest period, turns begin with the first key again. Without limits the first key is always free.
     """
-    if any(most < 1 for most, _ in limits):
-        raise ValueError("a limit must allow a request")
-    # of a key only as many of the latest times matter as the largest limit allows
-    used = {k: deque(maxlen=max([most for most, _ in limits], default=0)) for k in keys}
-    current, out, now = 0, [], float("-inf")
-    for t in pdf:
-        now = max(now, t)
+
+    def __init__(self, limits: Limits, keys: Sequence[str]):
+        if any(most < 1 for most, _ in limits):
+            raise ValueError("a limit must allow a request")
+        self.limits = [(int(most), round(period * 1_000_000)) for most, period in limits]
+        self.keys = list(keys)
+        self.longest = max([p for _, p in self.limits], default=0)
+        # of a key only as many of the latest times matter as the largest limit allows
+        self.most = max([n for n, _ in self.limits], default=0)
+        self.used = [deque(maxlen=self.most) for _ in self.keys]
+        self.turn, self.now = 0, -(1 << 62)
+
+    def state(self) -> tuple[int, int, list[str], list[list[int]]]:
+        """What restore() needs, without times that no longer count."""
+        return self.now, self.turn, self.keys, [[t for t in own if t > self.now - self.longest] for own in self.used]
+
+    def restore(self, now: int, turn: int, keys: Sequence[str], times: Sequence[Sequence[int]]) -> None:
+        """Keys that are no longer there are forgotten; new ones are unused."""
+        known = dict(zip(keys, times, strict=True))
+        self.now, self.turn = now, turn % len(self.keys)
+        self.used = [deque(known.get(k, ()), maxlen=self.most) for k in self.keys]
+
+    def admit(self, t: int) -> tuple[str, int]:
+        """The key of a request that comes at t, which isn't before the one before it, and when it may go."""
+        if not self.limits:
+            self.now = max(self.now, t)
+            return self.keys[0], self.now
+        self.now = now = max(self.now, t)
+        if all(not own or own[-1] <= now - self.longest for own in self.used):
+            self.turn = 0
         while True:
             waits = []
-            for i in range(len(keys)):
-                k = keys[(current + i) % len(keys)] if limits else keys[0]
-                wait = 0.0
-                for most, period in limits:
-                    if len(used[k]) >= most and used[k][-most] > now - period:
-                        wait = max(wait, used[k][-most] + period - now)
+            for i in range(len(self.keys)):
+                k = (self.turn + i) % len(self.keys)
+                own, wait = self.used[k], 0
+                for most, period in self.limits:
+                    if len(own) >= most and own[-most] > now - period:
+                        wait = max(wait, own[-most] + period - now)
                 if wait <= 0:
-                    used[k].append(now)
-                    current = (keys.index(k) + 1) % len(keys)
-                    out.append((k, now))
-                    break
+                    own.append(now)
+                    self.turn, self.now = (k + 1) % len(self.keys), now
+                    return self.keys[k], now
                 waits.append(wait)
-            else:
-                now += min(waits) + 0.01
-                continue
-            break
-    return out
+            now += min(waits) + MORE
+
+
+def replay(requests: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    """requests (request_id, model_name, ts) with api_key and admitted_at (seconds): the log replayed through the limiter, model by model.
+
+    A model's requests depend on one another, so they pass one task in the order of ts and request_id; it streams them and
+    holds no more than each key's last admissions. streaming.limiter does the same for a stream.
+    """
+    import pandas as pd
+
+    rules: dict[str, list[tuple[int, float]]] = {}
+    for r in limits.select("model_name", F.col("max_requests").cast("int"), F.col("period_seconds").cast("double")).collect():  # entries of a configuration
+        rules.setdefault(r[0], []).append((r[1], r[2]))
+    kind = dict(requests.dtypes)["request_id"]
+    rows = requests.select("request_id", "model_name", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us is not null")
+    dealt = rows.repartition("model_name").sortWithinPartitions("model_name", "us", "request_id")
+
+    def run(batches):
+        model, rotation = None, None
+        for pdf in batches:
+            out = []
+            for request_id, name, us in zip(pdf["request_id"], pdf["model_name"], pdf["us"], strict=True):
+                if rotation is None or name != model:
+                    model, rotation = name, Rotation(rules.get(name, ()), keys)
+                out.append((request_id, name, *rotation.admit(int(us))))
+            found = pd.DataFrame(out, columns=["request_id", "model_name", "api_key", "admitted_at"])
+            yield found.assign(admitted_at=found["admitted_at"] / 1e6)
+
+    return dealt.mapInPandas(run, f"request_id {kind}, model_name string, api_key string, admitted_at double")
+
+
+def admit(times: Iterable[float], limits: Limits, keys: Sequence[str]) -> list[tuple[str, float]]:
+    """(key, admitted_at) of requests at the given seconds, ascending, as Rotation deals them."""
+    rotation = Rotation(limits, keys)
+    return [(k, at / 1e6) for k, at in (rotation.admit(round(t * 1_000_000)) for t in times)]

@@ -529,6 +529,20 @@ def fixed_batches(t: Tables) -> DataFrame:
     return found.withColumns({"o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "batch": F.col("batch").cast("long")})
 
 
+@query("""WITH RECURSIVE l(m, limits) AS (VALUES ('view', [{'most': 2, 'period': 7200000000}]), ('click', [{'most': 1, 'period': 600000000}, {'most': 3, 'period': 3600000000}])),
+e AS MATERIALIZED (SELECT event_type AS m, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT DISTINCT m, 0::BIGINT AS n, -1::BIGINT AS event_id, -4611686018427387904 AS a, []::BIGINT[] AS used FROM e
+  UNION ALL SELECT m, n, event_id, now + CASE WHEN wait > 0 THEN wait + 10000 ELSE 0 END, list_append(used, now + CASE WHEN wait > 0 THEN wait + 10000 ELSE 0 END)[-3:]
+  FROM (SELECT *, coalesce(list_max(list_transform(limits, lambda x: CASE WHEN len(used) >= x.most AND used[len(used) - x.most + 1] > now - x.period THEN used[len(used) - x.most + 1] + x.period - now ELSE 0 END)), 0) AS wait
+    FROM (SELECT e.m, e.n, e.event_id, greatest(r.a, e.t) AS now, r.used, l.limits FROM r JOIN e ON e.m = r.m AND e.n = r.n + 1 LEFT JOIN l ON l.m = e.m)))
+SELECT event_id, m AS model_name, 'k' AS api_key, a AS admitted_us FROM r WHERE n > 0""")
+def rate_limit_replay(t: Tables) -> DataFrame:
+    """Events as requests that wait for the one key of their type."""
+    limits = t.spark.createDataFrame([("view", 2, 7200.0), ("click", 1, 600.0), ("click", 3, 3600.0)], S.RATE_LIMITS)
+    found = ratelimit.replay(t.requests().withColumnRenamed("event_id", "request_id"), limits, ["k"])
+    return found.select(F.col("request_id").alias("event_id"), "model_name", "api_key", F.round(F.col("admitted_at") * 1_000_000).cast("long").alias("admitted_us"))
+
+
 @query("SELECT event_id, CAST((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 3 AS BIGINT) AS slot FROM events")
 def key_round_robin(t: Tables) -> DataFrame:
     return ratelimit.round_robin(t.requests(), ["ts", "event_id"], 3).select("event_id", F.col("slot").cast("long").alias("slot"))

@@ -38,12 +38,15 @@ def sessions(events: DataFrame, gap: str, by: list[str], value: str = "value", l
 def rate_limited(requests: DataFrame, limits: list[tuple[int, float]], late: str = "1 hour") -> DataFrame:
     """api_key, model_name, ts, admitted: each request of a stream against sliding windows of its key and model.
 
-    State holds the admitted times within the longest period. A request exactly one period after an
-    admitted one no longer counts that one.
+    State holds the admitted times within the longest period; it goes once the watermark is that far beyond the last of them.
+    A request exactly one period after an admitted one no longer counts that one. Requests that are later than the watermark are dropped.
     """
     longest = max((p for _, p in limits), default=0.0)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(pdfs)).sort_values("ts")
         out = []
@@ -54,10 +57,16 @@ def rate_limited(requests: DataFrame, limits: list[tuple[int, float]], late: str
             if ok:
                 used.append(now)
             out.append(ok)
-        state.update((used,))
+        if used:
+            state.update((used,))
+            state.setTimeoutTimestamp(max(int((used[-1] + longest + 1) * 1000), state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"api_key": key[0], "model_name": key[1], "ts": rows["ts"].to_numpy(), "admitted": out})
 
-    return on_time(requests, late).groupBy("api_key", "model_name").applyInPandasWithState(step, "api_key string, model_name string, ts timestamp, admitted boolean", "used array<double>", "append", GroupStateTimeout.NoTimeout)
+    # the watermark's clock is a second ahead of ts, since what lies at its first value of zero counts as late
+    clocked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_clock", F.col("ts") + F.expr("INTERVAL 1 SECOND")).withWatermark("_clock", late)
+    return clocked.groupBy("api_key", "model_name").applyInPandasWithState(step, "api_key string, model_name string, ts timestamp, admitted boolean", "used array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_state(log: DataFrame) -> DataFrame:
