@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codelode import schemas as S
 from codelode.functions import scalars as X
 from codelode.operators import chunking, graph, parse, partitioning, search, stats, store, tasks
-from codelode.session import cut, importable
+from codelode.session import importable
 from codelode.sources import files as file_source
 from codelode.sources import git
 
@@ -24,43 +24,60 @@ class Analysis:
     # --- ingestion --------------------------------------------------------------------------------
 
     def analyze_branch(self, folder: str, repo_id: int, branch: str, repo_uuid: str = "00000000", incremental: bool = True) -> dict[str, int]:
-        """Reads a working tree into the store's tables and returns how many files were parsed.
+        """Reads a working tree into the store's tables; says how many files were parsed and how many chunks embedded."""
+        return self.ingest(file_source.scan(self.spark, folder, repo_id, branch), repo_id, branch, repo_uuid, incremental)
 
-        With incremental, nodes of files whose content is as known stay as they are.
+    def ingest(self, scanned: DataFrame, repo_id: int, branch: str, repo_uuid: str = "00000000", incremental: bool = True) -> dict[str, int]:
+        """As analyze_branch, for files from anywhere (the columns of files.scan).
+
+        With incremental, only files whose content isn't known at their path are parsed and cut; edges are those before, less
+        those of files that changed, with those that the change brings; a chunk whose stretch of the same content is known, at
+        whatever path, keeps its embedding. All is made and written aside before the first entity is replaced.
         """
-        found = file_source.file_rows(file_source.scan(self.spark, folder, repo_id, branch)).cache()
-        held = [found]
-        try:
-            parts = partitioning.partition_map(found.select("relative_path", "size"), repo_uuid)
-            blobs = file_source.blobs(found)
+        file_key = ["repo_id", "branch", "relative_path"]
+        with self.store.staged() as stage:
+            found = stage.keep("found", file_source.file_rows(scanned))
             known = self._known("files", repo_id, branch) if incremental else None
-            old_nodes = self._known("nodes", repo_id, branch) if known is not None else None
-            fresh = store.changed(found, known) if known is not None else found
-            nodes = parse.parse_files(fresh)
-            if old_nodes is not None:
-                kept = found.join(fresh.select("relative_path"), "relative_path", "left_anti").select("relative_path")
-                nodes = nodes.unionByName(old_nodes.select(*nodes.columns).join(kept, "relative_path", "left_semi"))
-            nodes = cut(nodes)  # what it reads is about to be replaced
-            n = fresh.count()
-            made = chunking.chunks(nodes, found)
-            text = made.join(found.select("repo_id", "branch", "relative_path", "content"), ["repo_id", "branch", "relative_path"])
-            text = text.withColumn("content", X.slice_content("content", "start_char", "end_char"))
-            vectors = search.embed(text, self.embedder, "chunk_id") if self.embedder else search.hashed_embedding(text)
-            chunks = made.join(vectors, "chunk_id", "left").withColumn("metadata", F.lit(None).cast("map<string,string>")).cache()
+            old = {e: self._known(e, repo_id, branch) for e in ("nodes", "chunks", "edges")} if known is not None else {}
+            old = old if all(v is not None for v in old.values()) else {}
+            fresh, same = (store.changed(found, known), found.join(known.select(*file_key, "blob_hash"), [*file_key, "blob_hash"], "left_semi").select(*file_key)) if old else (found, found.select(*file_key).limit(0))
+            fresh, same = stage.keep("fresh", fresh), stage.keep("same", same)
+            new_nodes = stage.keep("new_nodes", parse.parse_files(fresh))
+            new_calls = parse.calls_of(new_nodes)
+            made = chunking.chunks(new_nodes, fresh)
+            if old:
+                kept_nodes = old["nodes"].select(*new_nodes.columns).join(same, file_key, "left_semi")
+                gone = old["nodes"].join(same, file_key, "left_anti")
+                # calls of other files matter where they name what a changed file defines
+                names = graph.definitions(new_nodes).select("repo_id", "branch", F.col("name").alias("_name")).where("_name is not null").distinct()
+                calling = kept_nodes.where(F.col("node_type").isin(*S.CALL_TYPES)).withColumn("_name", X.last_segment("name")).join(names, ["repo_id", "branch", "_name"], "left_semi").select(*file_key).distinct()
+                kept_calls = parse.calls_of(kept_nodes.join(calling, file_key, "left_semi"))
+                edges = graph.edges_after(old["edges"], gone, kept_calls, new_calls, kept_nodes, new_nodes)
+                nodes = kept_nodes.unionByName(new_nodes)
+                made = stage.keep("made", chunking.reused(made, old["chunks"]))
+            else:
+                nodes, edges = new_nodes, graph.call_edges(new_calls, new_nodes)
+                made = stage.keep("made", made.withColumn("embedding", F.lit(None).cast("array<float>")))
+            columns = [c.split()[0] for c in S.CHUNKS.split(", ")]
+            to_embed = made.where("embedding is null").select("chunk_id", *file_key, "start_char", "end_char").join(fresh.select(*file_key, "content"), file_key)
+            text = to_embed.select("chunk_id", X.slice_content("content", "start_char", "end_char").alias("content"))
+            vectors = stage.keep("vectors", search.embed(text, self.embedder, "chunk_id") if self.embedder else search.hashed_embedding(text))
+            made = made.join(vectors.withColumnRenamed("embedding", "_new"), "chunk_id", "left").withColumn("embedding", F.coalesce("embedding", "_new"))
+            chunks = made.withColumn("metadata", F.lit(None).cast("map<string,string>")).select(*columns)
+            if old:
+                chunks = old["chunks"].select(*columns).join(same, file_key, "left_semi").select(*columns).unionByName(chunks)
+            chunks = stage.keep("chunks", chunks)
+            parts = partitioning.partition_map(found.select("relative_path", "size"), repo_uuid)
             counts = chunks.groupBy("relative_path").agg(F.count("*").alias("chunk_count"))
             rows = found.join(parts, "relative_path").join(counts, "relative_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-            calls = parse.calls_of(nodes)
-            edges = graph.call_edges(calls, nodes).cache()
-            rows = rows.select(*[c.split()[0] for c in S.FILES.split(", ")]).cache()
-            held += [chunks, edges, rows]
-            edges.count(), chunks.count(), rows.count()  # what they read is about to be replaced
+            entities = {
+                "blobs": file_source.blobs(found), "chunks": chunks, "edges": stage.keep("edges", edges),
+                "files": stage.keep("files", rows.select(*[c.split()[0] for c in S.FILES.split(", ")])), "nodes": stage.keep("nodes", nodes),
+            }
             # a branch that has lost its last row of an entity must not keep the old ones
-            for entity, frame in (("blobs", blobs), ("chunks", chunks), ("edges", edges), ("files", rows), ("nodes", nodes)):
+            for entity, frame in entities.items():
                 self.store.replace(entity, frame, repo_id, branch)
-            return {"files_parsed": n}
-        finally:
-            for frame in held:
-                frame.unpersist()
+            return {"files_parsed": fresh.count(), "chunks_embedded": vectors.count()}
 
     # --- repositories, tasks and usage ------------------------------------------------------------
 

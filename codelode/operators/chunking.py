@@ -131,3 +131,10 @@ def chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK_TOKENS, o
     token is the pattern of a token, whose matches are counted and cut at.
     """
     return structural_chunks(nodes, files, size, overlap, token).unionByName(remainder_chunks(nodes, files, size, overlap, token))
+
+
+def reused(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """fresh chunks (of the columns of chunks()) with the embedding that a known chunk of the same stretch of the same content has, else null."""
+    key = ["blob_hash", "start_char", "end_char"]
+    had = known.where("embedding is not null").groupBy(*key).agg(F.first("embedding").alias("embedding"))
+    return fresh.join(had, key, "left")

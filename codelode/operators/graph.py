@@ -32,6 +32,21 @@ def call_edges(calls: DataFrame, nodes: DataFrame, types: Sequence[str] = S.EDGE
     return called.join(named, [*KEY, "name"]).select(*KEY, "caller", "callee").distinct()
 
 
+def edges_after(edges: DataFrame, gone: DataFrame, kept_calls: DataFrame, new_calls: DataFrame, kept_nodes: DataFrame, new_nodes: DataFrame, types: Sequence[str] = S.EDGE_TARGET_TYPES) -> DataFrame:
+    """What call_edges gives after some files have changed, from the edges before.
+
+    gone are the nodes that those files had, new_nodes and new_calls what they have now; kept_calls and kept_nodes are those of
+    all other files. Edges of nodes that are gone go; calls that are new are resolved against all names,
+    and those that stayed against new definitions only.
+    """
+    ids = gone.select(*KEY, F.col("node_id").alias("caller"))
+    stay = edges.select(*KEY, "caller", "callee").join(ids, [*KEY, "caller"], "left_anti").join(ids.withColumnRenamed("caller", "callee"), [*KEY, "callee"], "left_anti")
+    columns = [*KEY, "node_id", "node_type", "name"]
+    now = kept_nodes.select(*columns).unionByName(new_nodes.select(*columns))
+    made = call_edges(new_calls, now, types).unionByName(call_edges(kept_calls, new_nodes, types))
+    return stay.select(*KEY, "caller", "callee").unionByName(made).distinct()
+
+
 def dead_code(nodes: DataFrame, edges: DataFrame, types: Sequence[str] = S.DEFINITION_TYPES) -> DataFrame:
     """Definitions that nothing calls, with the reason."""
     callees = edges.select(*KEY, F.col("callee").alias("node_id"))

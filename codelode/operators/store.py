@@ -41,6 +41,11 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(entity)}/repo_id={repo_id}" + (f"/branch={branch}" if branch else ""))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def staged(self) -> Stage:
+        """A place for what an ingest makes before any entity is replaced; as a context, it is gone at its end."""
+        import uuid
+
+        return Stage(self.spark, f"{self.root}/_staged/{uuid.uuid4().hex}")
 
     def append(self, entity: str, rows: DataFrame) -> None:
         """Adds rows of a table that isn't partitioned, such as logs."""
@@ -53,6 +58,25 @@ class Store:
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
+class Stage:
+    """Tables below a folder that goes when the context ends."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def keep(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, written down: what is read later depends neither on their plan nor on the tables that it reads."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}")
+
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The rows to append: of each new key the first by order."""
     from pyspark.sql import Window

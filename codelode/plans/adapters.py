@@ -53,6 +53,11 @@ class Tables:
         called = self.returned().join(self.raw("part").select("p_partkey", part_name().alias("n")), F.col("l_partkey") == F.col("p_partkey"))
         return self.keyed(called.select(node("o", "l_orderkey", "caller"), F.concat(F.lit("pkg.mod."), F.col("n")).alias("called_name")))
 
+    def recent_calls(self) -> DataFrame:
+        """Calls by items shipped from 1998 on."""
+        called = self.returned().where("l_shipdate >= '1998-01-01'").join(self.raw("part").select("p_partkey", part_name().alias("n")), F.col("l_partkey") == F.col("p_partkey"))
+        return self.keyed(called.select(node("o", "l_orderkey", "caller"), F.concat(F.lit("pkg.mod."), F.col("n")).alias("called_name")))
+
     def edges(self) -> DataFrame:
         return self.keyed(self.returned().select(node("o", "l_orderkey", "caller"), node("p", "l_partkey", "callee")).distinct())
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
-from codelode.operators import chunking, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks
+from codelode.operators import chunking, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks
 from codelode.plans.adapters import Tables, text_path
 from codelode.sources import files as file_source
 from codelode.sources import git
@@ -314,6 +314,49 @@ def call_edges(t: Tables) -> DataFrame:
     return graph.call_edges(t.calls(), t.definitions()).select("caller", "callee")
 
 
+CALLED = "c AS (SELECT DISTINCT 'o' || l_orderkey AS caller, p_name || ' ' || p_brand || ' ' || p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_shipdate >= '1998-01-01'), d AS (SELECT 'p' || p_partkey AS callee, p_name || ' ' || p_brand || ' ' || p_type AS name, p_brand AS file FROM part)"
+
+
+@query("SELECT DISTINCT 'o' || l_orderkey AS caller, 'p' || d.p_partkey AS callee FROM lineitem JOIN part c ON l_partkey = c.p_partkey JOIN part d ON d.p_name = c.p_name AND d.p_brand = c.p_brand AND d.p_type = c.p_type WHERE l_returnflag = 'R'")
+def edges_after_change(t: Tables) -> DataFrame:
+    """Edges of all returned items, from those before every seventh order and the parts of two brands were changed."""
+    changed_caller, changed_file = F.substring("caller", 2, 20).cast("long") % 7 == 0, F.col("relative_path").isin("Brand#17", "Brand#23")
+    calls, definitions = t.calls(), t.definitions()
+    kept, new = definitions.where(~changed_file), definitions.where(changed_file)
+    before = kept.unionByName(new.withColumn("name", F.concat("name", F.lit(" old"))))
+    others = calls.where(changed_caller).withColumn("called_name", F.when(F.hash("called_name") % 2 == 0, F.col("called_name")).otherwise(F.concat("called_name", F.lit(" old"))))
+    edges = graph.call_edges(calls.where(~changed_caller).unionByName(others), before)
+    callers = calls.where(changed_caller).select("repo_id", "branch", F.col("caller").alias("node_id")).distinct()
+    gone = callers.unionByName(new.select("repo_id", "branch", "node_id"))
+    return graph.edges_after(edges, gone, calls.where(~changed_caller), calls.where(changed_caller), kept, new).select("caller", "callee")
+
+
+@query(f"WITH {CALLED} SELECT 'p' || p_partkey AS node_id, p_brand AS relative_path FROM part WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.name = p_name || ' ' || p_brand || ' ' || p_type)")
+def factored_dead_code(t: Tables) -> DataFrame:
+    return factored.call_graph(t.recent_calls(), t.definitions()).dead_code(t.nodes()).select("node_id", "relative_path")
+
+
+@query(f"WITH {CALLED} SELECT callee AS node_id, count(caller) AS calls_in FROM d LEFT JOIN c USING (name) GROUP BY callee ORDER BY calls_in DESC, node_id LIMIT 5")
+def factored_central_nodes(t: Tables) -> DataFrame:
+    return factored.call_graph(t.recent_calls(), t.definitions()).central_nodes(t.definitions()).select("node_id", "calls_in")
+
+
+@query("WITH c AS (SELECT DISTINCT l_orderkey, p_name || ' ' || p_brand || ' ' || p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') SELECT 'o' || o_orderkey AS node_id, o_orderpriority AS relative_path FROM orders JOIN c ON l_orderkey = o_orderkey WHERE name = 'red widget Brand#17 ECONOMY'")
+def factored_references(t: Tables) -> DataFrame:
+    return factored.call_graph(t.calls(), t.definitions()).references(t.nodes(), "red widget Brand#17 ECONOMY").select("node_id", "relative_path")
+
+
+@query(f"WITH {CALLED} SELECT count(*) AS edges FROM c JOIN d USING (name)")
+def expanded_edges(t: Tables) -> DataFrame:
+    """How many edges the graph stands for."""
+    return factored.call_graph(t.recent_calls(), t.definitions()).edge_count().select("edges")
+
+
+@query(f"WITH {CALLED}, f AS (SELECT 'o' || o_orderkey AS caller, o_orderpriority AS file FROM orders) SELECT f.file AS from_file, d.file AS to_file, count(*) AS calls FROM c JOIN f USING (caller) JOIN d USING (name) WHERE f.file <> d.file GROUP BY 1, 2")
+def factored_file_dependencies(t: Tables) -> DataFrame:
+    return factored.call_graph(t.recent_calls(), t.definitions()).file_dependencies(t.nodes()).select("from_file", "to_file", "calls")
+
+
 @query("SELECT 'p' || p_partkey AS node_id, p_brand AS relative_path, 'No incoming calls found' AS analysis_reason FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_shipdate >= '1998-01-01')")
 def dead_code(t: Tables) -> DataFrame:
     return graph.dead_code(t.nodes(), t.recent_edges()).select("node_id", "relative_path", "analysis_reason")

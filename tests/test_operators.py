@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode import schemas as S
-from codelode.operators import chunking, editing, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks
+from codelode.operators import chunking, editing, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks
 from codelode.sources import files as file_source
 from codelode.sources import git
 
@@ -463,6 +463,94 @@ def test_a_removed_call_leaves_no_edge(spark, tmp_path):
     assert a.of("files", 1, "main").count() == a.of("nodes", 1, "main").count() == a.of("chunks", 1, "main").count() == 0
 
 
+def test_an_edited_file_is_all_that_is_made_anew(spark, tmp_path):
+    """Edges equal a rebuild; only chunks of new content are embedded, not those of unchanged, moved or copied files."""
+    from codelode.facade import Analysis
+
+    folder, log = tmp_path / "code", tmp_path / "log"
+    folder.mkdir()
+    log.mkdir()
+
+    def embedder(texts, log=str(log)):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\0".join(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def embedded():
+        out = [x for f in log.iterdir() for x in f.read_text().split("\0")]
+        for f in log.iterdir():
+            f.unlink()
+        return sorted(out)
+
+    text = {"a.py": "def f():\n    return g()\n", "b.py": "def g():\n    return h()\n", "c.py": "def k():\n    return f() + g()\n", "d.js": "class A { m(x) { return g(x); } }\n"}
+    for name, own in text.items():
+        (folder / name).write_text(own)
+    a, fresh = Analysis(spark, f"{tmp_path}/store", embedder), 0
+
+    def check():
+        nonlocal fresh
+        fresh += 1
+        whole = Analysis(spark, f"{tmp_path}/whole{fresh}")
+        whole.analyze_branch(str(folder), 1, "m")
+        edges = lambda x: got(x.of("edges", 1, "m"), "caller", "callee")
+        assert edges(a) == edges(whole)
+        nodes = [c for c in whole.of("nodes", 1, "m").columns]
+        assert got(a.of("nodes", 1, "m").na.fill(""), *nodes) == got(whole.of("nodes", 1, "m").na.fill(""), *nodes)
+        own = ["chunk_id", "relative_path", "blob_hash", "start_line", "end_line", "token_count"]
+        assert got(a.of("chunks", 1, "m"), *own) == got(whole.of("chunks", 1, "m"), *own)
+        assert a.of("chunks", 1, "m").where("embedding is null").isEmpty()
+        assert got(a.of("files", 1, "m"), "relative_path", "chunk_count") == got(whole.of("files", 1, "m"), "relative_path", "chunk_count")
+
+    a.analyze_branch(str(folder), 1, "m")
+    assert len(embedded()) == 5
+    (folder / "b.py").write_text("def g():\n    return 1\n\n\ndef h():\n    return f()\n")
+    assert a.analyze_branch(str(folder), 1, "m") == {"files_parsed": 1, "chunks_embedded": 2}
+    assert embedded() == ["def g():\n    return 1", "def h():\n    return f()"]
+    check()
+    (folder / "a.py").rename(folder / "moved.py")
+    (folder / "copy.py").write_text(text["c.py"])
+    (folder / "d.js").unlink()
+    assert a.analyze_branch(str(folder), 1, "m") == {"files_parsed": 2, "chunks_embedded": 0}
+    check()
+    assert a.analyze_branch(str(folder), 1, "m") == {"files_parsed": 0, "chunks_embedded": 0}
+    check()
+    assert embedded() == [] and not list((tmp_path / "store" / "_staged").iterdir())
+
+
+def test_factored_graph_equals_its_edges(spark):
+    rng = random.Random(2)
+    rows = [("main", f"f{i % 5}", f"n{i}", rng.choice(["function_definition", "class_definition", "module"]), rng.choice("abcde") if i % 9 else None) for i in range(60)] + [("x", "f", "n0", "function_definition", "a")]
+    n = nodes(spark, rows)
+    calls = spark.createDataFrame([(1, rng.choice(["main", "main", "x"]), f"n{rng.randrange(60)}", rng.choice(["p.", ""]) + rng.choice("abcdez")) for _ in range(70)], S.CALLS)
+    edges, g = graph.call_edges(calls, n).cache(), factored.call_graph(calls, n)
+    assert got(g.edges(), "branch", "caller", "callee") == got(edges, "branch", "caller", "callee")
+    assert got(g.edge_count(), "branch", "edges") == got(edges.groupBy("branch").count(), "branch", "count")
+    assert got(g.incoming(n), "branch", "node_id", "calls_in") == got(graph.incoming(n, edges), "branch", "node_id", "calls_in")
+    assert got(g.outgoing(), "branch", "node_id", "calls_out") == got(edges.groupBy("branch", "caller").count(), "branch", "caller", "count")
+    assert got(g.central_nodes(n), "node_id", "calls_in") == got(graph.central_nodes(n, edges), "node_id", "calls_in")
+    assert got(g.dead_code(n), "branch", "node_id") == got(graph.dead_code(n, edges), "branch", "node_id")
+    assert got(g.references(n, "a"), "branch", "node_id") == got(graph.symbol_references(n, edges, "a"), "branch", "node_id")
+    assert got(g.file_dependencies(n), "branch", "from_file", "to_file", "calls") == got(graph.file_dependencies(n, edges), "branch", "from_file", "to_file", "calls")
+    roots = n.where("node_id in ('n1', 'n7', 'n30')")
+    for back in (False, True):
+        for depth in (1, 3, 60):
+            assert got(g.hierarchy(roots, depth, back), "branch", "root", "node_id", "level") == got(graph.call_hierarchy(edges, roots, depth, back), "branch", "root", "node_id", "level")
+    assert g.hierarchy(roots, None).count() == g.hierarchy(roots, 60).count()
+
+
+def test_a_name_of_many_callers_and_definitions(spark):
+    """Ten thousand definitions and a hundred thousand callers of one name: a billion edges, never made."""
+    n = spark.range(10_000).select(F.lit(1).cast("long").alias("repo_id"), F.lit("m").alias("branch"), F.concat(F.lit("d"), "id").alias("node_id"), F.lit("function_definition").alias("node_type"), F.lit("get").alias("name"))
+    calls = spark.range(100_000).select(F.lit(1).cast("long").alias("repo_id"), F.lit("m").alias("branch"), F.concat(F.lit("c"), "id").alias("caller"), F.lit("x.get").alias("called_name"))
+    g = factored.call_graph(calls, n)
+    assert g.edge_count().first().edges == 1_000_000_000 and g.dead_code(n).isEmpty()
+    assert got(g.central_nodes(n, 2), "node_id", "calls_in") == [("d0", 100_000), ("d1", 100_000)]
+    root = spark.createDataFrame([(1, "m", "c5")], "repo_id long, branch string, node_id string")
+    assert g.hierarchy(root, None).count() == 10_001
+
+
 def test_duplicates_have_paths_and_content(spark, tmp_path):
     from codelode.facade import Analysis
 
