@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
-from codelode.operators import chunking, graph, parse, partitioning, search, stats, store, tasks
+from codelode.operators import chunking, graph, parse, partitioning, search, stats, store, tasks, textindex
 from codelode.session import importable
 from codelode.sources import files as file_source
 from codelode.sources import git
@@ -186,6 +186,19 @@ class Analysis:
         f = self.of("files", repo_id, branch).where(F.col("relative_path") == path)
         return f.join(self.of("blobs", repo_id, branch), ["repo_id", "branch", "blob_hash"]).select("relative_path", "content")
 
+    def text_index(self) -> textindex.TextIndex:
+        return textindex.TextIndex(self.spark, self.store.path("text_index"))
+
+    def index_text(self, repo_id: int, branch: str) -> None:
+        """Adds a branch's contents to the text index; those that it knows are left alone."""
+        self.text_index().update(self.of("blobs", repo_id, branch))
+
+    def search_indexed_text(self, repo_id: int, branch: str, words: Sequence[str]) -> DataFrame:
+        """As search_files_for_text, by the text index; only contents that it doesn't know yet are all read."""
+        index, files = self.text_index(), self.of("files", repo_id, branch)
+        rest = files.join(index.known(), "blob_hash", "left_anti").join(self.of("blobs", repo_id, branch), ["repo_id", "branch", "blob_hash"])
+        return textindex.fulltext(index, files, words).unionByName(search.fulltext(rest, words)).orderBy("relative_path")
+
     def search_files_for_text(self, repo_id: int, branch: str, words: Sequence[str]) -> DataFrame:
         text = self.of("files", repo_id, branch).join(self.of("blobs", repo_id, branch), ["repo_id", "branch", "blob_hash"])
         return search.fulltext(text, words).orderBy("relative_path")

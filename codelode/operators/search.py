@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
+from codelode.session import cut
 
 #: Vectors of a block; blocks are compared as matrices.
 BLOCK = 2048
-#: Vectors of a group, which a task holds.
-GROUP_ROWS = 16_384
+#: Vectors of a part of a cell, which a task holds; pivots at most.
+GROUP_ROWS, MOST_PIVOTS = 16_384, 2048
 
 
 def fulltext(files: DataFrame, words: Sequence[str], text: str = "content") -> DataFrame:
@@ -54,33 +56,126 @@ def vector_topk(chunks: DataFrame, query: Sequence[float], k: int = S.SEARCH_TOP
     return scored.where(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def _blocked(chunks: DataFrame) -> DataFrame:
-    """blk, ids, vectors: unit vectors in packed blocks."""
-    units = chunks.where("embedding is not null").select(F.col("chunk_id").cast("string").alias("id"), X.unit(X.without_nan("embedding")).alias("v")).where("v is not null")
+def _units(chunks: DataFrame) -> DataFrame:
+    """id and v: unit vectors; NaN counts as 0, null and zero vectors are left out."""
+    return chunks.where("embedding is not null").select(F.col("chunk_id").cast("string").alias("id"), X.unit(X.without_nan("embedding")).alias("v")).where("v is not null")
 
-    def pack(batches):
-        import uuid
+
+def pivots(units: DataFrame, n: int, least: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """ids and vectors of a sample of n rows (those with the least hash of their id), and the pivots chosen among them.
+
+    Each pivot is the vector that is farthest from those before it, as long as that is farther than a bound by the angle of
+    the least cosine can tell apart. So there are as many as the vectors have separate directions, at most the
+    square root of the rows; without a cosine above 0.5, which tells little apart, a pivot for each 4,096 rows.
+    """
+    apart, most = (2 * math.sqrt(1 - min(least, 1) ** 2), math.isqrt(n)) if least > 0.5 else (0.0, n // 4096)
+    most = min(most, MOST_PIVOTS)
+    if most < 2:
+        return [], np.zeros((0, 1)), np.zeros((1, 1))
+    found = units.orderBy(F.xxhash64("id"), "id").limit(min(n, 2 * MOST_PIVOTS)).collect()  # megabytes at most
+    v = np.array([r["v"] for r in found])
+    chosen, away = [0], np.sqrt(np.maximum(2 - 2 * v @ v[0], 0))
+    while len(chosen) < most and away.max() > max(apart, 1e-6):
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, np.sqrt(np.maximum(2 - 2 * v @ v[chosen[-1]], 0)))
+    return [r["id"] for r in found], v, v[chosen]
+
+
+class Cells:
+    """Vectors by the nearest of some pivots, and which other cells can hold a neighbour of a vector.
+
+    Let u be the direction from pivot j to a vector's own pivot i. What lies in cell j is not nearer to i than to j, so its
+    product with u is not above 0. A vector whose product with u is over sin t is more than the angle t away from all of
+    these, by the triangle inequality, and need not go there. t is the angle of the least cosine that is asked
+    for or, if k nearest are, of the k-th best vector of the sample that the pivots are from.
+    """
+
+    def __init__(self, ids: list[str], sample: np.ndarray, vectors: np.ndarray, k: int | None, least: float):
+        self.ids, self.sample, self.vectors, self.k, self.least = np.array(ids, dtype=object), sample, vectors, k, least
+        self.apart = np.sqrt(np.maximum(2 - 2 * vectors @ vectors.T, 0))
+
+    def own(self, v: np.ndarray) -> np.ndarray:
+        return (v @ self.vectors.T).argmax(1) if len(self.vectors) > 1 else np.zeros(len(v), int)
+
+    def reached(self, ids: np.ndarray, v: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For each vector and cell whether it has to go there; its own always."""
+        if len(self.vectors) < 2:
+            return np.ones((len(v), 1), bool)
+        bound = np.full(len(v), self.least)
+        if self.k is not None and self.k < len(self.sample):
+            s = v @ self.sample.T
+            s[ids[:, None] == self.ids[None, :]] = -np.inf
+            bound = np.maximum(bound, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
+        sine = np.where(bound > 0, np.sqrt(np.maximum(1 - bound**2, 0)), np.inf)
+        s = v @ self.vectors.T
+        margin = s[np.arange(len(v)), own][:, None] - s
+        return margin <= np.minimum(sine[:, None], 2) * self.apart[own] + 1e-9
+
+
+def placed(units: DataFrame, cells: Cells, parts: dict[int, int]) -> DataFrame:
+    """grp, kind, ids, vectors: packed blocks of unit vectors, kind 0 in one part of their cell and kind 1 in all parts of those that they reach.
+
+    parts says how many parts a cell has, one if it isn't named.
+    """
+    n = len(cells.vectors)
+    most = max(parts.values(), default=1)
+
+    def run(batches):
+        import zlib
 
         for pdf in batches:
-            for i in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[i : i + BLOCK]
-                yield pd.DataFrame({"blk": [uuid.uuid5(uuid.NAMESPACE_OID, "\0".join(part["id"])).hex], "ids": [part["id"].tolist()], "vectors": [np.stack(part["v"]).astype("<f8").tobytes()]})
+            ids, v = pdf["id"].to_numpy(dtype=object), np.stack(pdf["v"]).astype("<f8") if len(pdf) else np.zeros((0, 1))
+            own = cells.own(v)
+            # bounded, however many cells there are
+            step = max(1, (1 << 21) // max(n, len(cells.sample), 1))
+            for a in range(0, len(ids), step):
+                part = slice(a, a + step)
+                to = cells.reached(ids[part], v[part], own[part])
+                rows = []
+                for c in np.flatnonzero(to.any(0)).tolist():
+                    mine = np.flatnonzero(own[part] == c) + a
+                    for i in range(0, len(mine), BLOCK):
+                        w = mine[i : i + BLOCK]
+                        which = zlib.crc32("\0".join(ids[w]).encode()) % parts.get(c, 1)
+                        rows.append((c * most + which, 0, ids[w].tolist(), v[w].tobytes()))
+                    visit = np.flatnonzero(to[:, c]) + a
+                    for i in range(0, len(visit), BLOCK):
+                        w = visit[i : i + BLOCK]
+                        for p in range(parts.get(c, 1)):
+                            rows.append((c * most + p, 1, ids[w].tolist(), v[w].tobytes()))
+                    if len(rows) >= 64:
+                        yield pd.DataFrame(rows, columns=["grp", "kind", "ids", "vectors"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["grp", "kind", "ids", "vectors"])
+
+    return units.mapInPandas(run, "grp long, kind int, ids array<string>, vectors binary")
+
+
+def cells_of(units: DataFrame, k: int | None, least: float) -> tuple[Cells, dict[int, int]]:
+    """Cells for a table of unit vectors, and the parts of those that hold more than a task is to hold."""
+    n = units.count()
+    cells, rows = Cells(*pivots(units, n, least), k, least), min(max(n // 8, 1024), GROUP_ROWS)
+
+    def count(batches):
+        for pdf in batches:
+            if len(pdf):
+                c, m = np.unique(cells.own(np.stack(pdf["v"])), return_counts=True)
+                yield pd.DataFrame({"cell": c, "n": m})
 
-    return units.mapInPandas(pack, "blk string, ids array<string>, vectors binary")
+    sizes = units.mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > rows)
+    return cells, {r["cell"]: -(-r["n"] // rows) for r in sizes.collect()}  # at most one row a pivot
 
 
-def neighbours(chunks: DataFrame, k: int | None = S.DUPLICATE_TOP_K, least: float = -1.0, groups: int | None = None) -> DataFrame:
-    """id, other, score: each vector's k nearest others with at least this cosine; all such if k is None.
+def neighbours(chunks: DataFrame, k: int | None = S.DUPLICATE_TOP_K, least: float = -1.0) -> DataFrame:
+    """id, other, score: each vector's k nearest others with at least this cosine, ties by other; all such if k is None.
 
-    Exact. Blocks of vectors travel to each of the groups into which the blocks are dealt, and are
-    compared there by matrix products; a task holds one group and a block that visits. There are as
-    many groups as keep each at about GROUP_ROWS vectors.
+    Exact. Packed blocks of vectors travel to the cells that can hold a neighbour (Cells) and are compared there by
+    matrix products. A task holds one part of a cell, GROUP_ROWS vectors or so, and a block that visits. How
+    many cells a vector visits follows from how the vectors lie and from the bound, not from how many there are.
     """
-    groups = groups or max(8, -(-chunks.count() // GROUP_ROWS))
-    blocks = _blocked(chunks)
-    home = blocks.withColumn("grp", F.pmod(F.xxhash64("blk"), F.lit(groups)).cast("int"))
-    guest = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = home.select("grp", F.lit(0).alias("kind"), "ids", "vectors").union(guest.select("grp", F.lit(1).alias("kind"), "ids", "vectors"))
+    units = cut(_units(chunks))
+    blocks = placed(units, *cells_of(units, k, least))
 
     def compare(batches):
         now, held = None, []
@@ -97,7 +192,7 @@ def neighbours(chunks: DataFrame, k: int | None = S.DUPLICATE_TOP_K, least: floa
                 top = np.full((len(ids), k or 1), -np.inf)
                 some = []
                 for own, w in held:
-                    s = v @ w.T
+                    s = np.round(v @ w.T, 12)  # so that equal vectors tie, whatever block they are in
                     s[ids[:, None] == own[None, :]] = -2
                     ok = s >= least - 1e-12
                     if k is not None:
@@ -108,11 +203,19 @@ def neighbours(chunks: DataFrame, k: int | None = S.DUPLICATE_TOP_K, least: floa
                     some.append((i, own[j], s[i, j]))
                 if some:
                     i, other, score = (np.concatenate(x) for x in zip(*some, strict=True))
-                    keep = score >= top.min(1)[i] if k is not None else np.ones(len(i), bool)
+                    keep = np.ones(len(i), bool)
+                    if k is not None:
+                        keep = score >= top.min(1)[i]
+                        i, other, score = i[keep], other[keep], score[keep]
+                        # of ties at the bound those that come first are enough
+                        order = np.lexsort((other, -score, i))
+                        i, other, score = i[order], other[order], score[order]
+                        first = np.searchsorted(i, i)
+                        keep = np.arange(len(i)) - first < k
                     if keep.any():
                         yield pd.DataFrame({"id": ids[i[keep]], "other": other[keep], "score": score[keep]})
 
-    found = both.repartition(groups, "grp").sortWithinPartitions("grp", "kind").mapInPandas(compare, "id string, other string, score double").where(F.col("score") >= least)
+    found = blocks.repartition("grp").sortWithinPartitions("grp", "kind").mapInPandas(compare, "id string, other string, score double").where(F.col("score") >= least)
     if k is None:
         return found
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
@@ -140,7 +243,7 @@ def duplicate_pairs_lsh(chunks: DataFrame, least: float = S.DUPLICATE_SIMILARITY
     """
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, bits, dim))
-    units = chunks.where("embedding is not null").select(F.col("chunk_id").cast("string").alias("id"), X.unit(X.without_nan("embedding")).alias("v")).where("v is not null")
+    units = _units(chunks)
 
     @F.pandas_udf("array<bigint>")
     def buckets(v: "pd.Series") -> "pd.Series":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
-from codelode.operators import chunking, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks
+from codelode.operators import chunking, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks, textindex
 from codelode.plans.adapters import Tables, text_path
+from codelode.session import shared
 from codelode.sources import files as file_source
 from codelode.sources import git
 from codelode.streaming import usage
@@ -154,6 +156,17 @@ def fulltext_any(t: Tables) -> DataFrame:
     return search.fulltext(t.files(), ["the", " License "])
 
 
+@query(f"SELECT {PATH} AS relative_path FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'public license') OR contains(lower(text), 'ñg')")
+def fulltext_indexed(t: Tables) -> DataFrame:
+    """An index of all documents is built in two steps, then asked; a word of two letters leaves all of them to be read."""
+    files = t.files().withColumn("blob_hash", X.content_hash("content"))
+    index = textindex.TextIndex(t.spark, f"{shared(t.spark)}/text-{uuid.uuid4().hex}")
+    index.update(files.where("doc_id % 3 = 0").select("blob_hash", "content"))
+    index.update(files.select("blob_hash", "content"))
+    long = textindex.fulltext(index, files, ["idiot", " Public License "])
+    return long.union(textindex.fulltext(index, files, ["ÑG"])).distinct()
+
+
 @query(f"SELECT {PATH} AS relative_path FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'license') OR contains(lower(text), 'copyright')")
 def fulltext_automaton(t: Tables) -> DataFrame:
     return search.fulltext_many(t.files(), ["idiot", "LICENSE", "copyright", " "])

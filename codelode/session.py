@@ -25,15 +25,21 @@ def build(app: str = "codelode", master: str | None = None, **conf: str) -> Spar
     return SparkSession.builder.appName(app).master(master or f"local[{cores}]").config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, so that plans of repeated steps stay small. It is kept in the session's
-    checkpoint folder. A session of one machine that has none gets a temporary one; on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder. A session of one machine that has none gets a
+    temporary one; on a cluster that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codelode-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, so that plans of repeated steps stay small; it is kept in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

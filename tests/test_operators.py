@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codelode import schemas as S
-from codelode.operators import chunking, editing, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks
+from codelode.operators import chunking, editing, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks, textindex
 from codelode.sources import files as file_source
 from codelode.sources import git
 
@@ -123,6 +124,93 @@ def test_vector_search_and_duplicates(spark):
     assert search.neighbours(c.limit(0), 1).collect() == []
 
 
+def vectors(spark, m, ids=None):
+    return spark.createDataFrame([(str(i), v.tolist()) for i, v in zip(ids or range(len(m)), m, strict=True)], "chunk_id string, embedding array<double>").repartition(5)
+
+
+def nearest(m, k, least):
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    ids, out = [str(i) for i in range(len(m))], set()
+    for i in range(len(m)):
+        own = sorted(((-s[i, j], ids[j]) for j in range(len(m)) if j != i and s[i, j] >= least))
+        out |= {(ids[i], other) for _, other in own[:k]}
+    return out
+
+
+@pytest.mark.parametrize(("k", "least"), [(5, -1.0), (3, 0.9), (None, 0.8), (None, 0.98), (1, 0.2)])
+def test_neighbours_equal_brute_force(spark, k, least):
+    """Clusters, lone vectors, opposite ones and copies, of which there are more than k."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16))
+    m = np.concatenate([centres[rng.integers(0, 12, 250)] + rng.standard_normal((250, 16)) * rng.choice([0.02, 0.2, 1], (250, 1)), rng.standard_normal((60, 16))])
+    m = np.concatenate([m, m[:40], -m[:20], np.repeat(m[5:6], 12, 0)])
+    assert set(got(search.neighbours(vectors(spark, m), k, least), "id", "other")) == nearest(m, k, least)
+
+
+def test_parts_of_large_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = np.concatenate([np.ones((150, 8)) + rng.standard_normal((150, 8)) * 0.01, rng.standard_normal((50, 8))])
+    monkeypatch.setattr(search, "BLOCK", 8)
+    real = search.cells_of
+    monkeypatch.setattr(search, "cells_of", lambda *x: (real(*x)[0], {c: 3 for c in range(50)}))
+    for least in (0.5, 0.9):
+        assert set(got(search.neighbours(vectors(spark, m), 4, least), "id", "other")) == nearest(m, 4, least)
+
+
+def test_visits_do_not_grow_with_the_table(spark):
+    """At 0.98 a vector visits as few cells among 25,000 as among 2,500, and the pairs that are compared are few of all."""
+    rng, seen = np.random.default_rng(1), {}
+    centres = rng.standard_normal((60, 24))
+    for n in (2_500, 25_000):
+        m = centres[rng.integers(0, 60, n)] + rng.standard_normal((n, 24)) * 0.15
+        units = search._units(vectors(spark, m)).cache()
+        blocks = search.placed(units, *search.cells_of(units, None, 0.98)).groupBy("grp", "kind").agg(F.sum(F.size("ids")).alias("n")).groupBy("grp").pivot("kind", [0, 1]).sum("n").na.fill(0)
+        visits, compared = blocks.agg(F.sum("1"), F.sum(F.col("0") * F.col("1"))).first()
+        seen[n] = visits / n, compared / n**2
+        units.unpersist()
+    assert seen[25_000][0] <= 1.1 * seen[2_500][0] < 3 and max(x[1] for x in seen.values()) < 0.1, seen
+
+
+def test_text_index(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcé İ1") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(80)] + ["", "ab", None, "ABC abc", "x" * 5000]
+    f = spark.createDataFrame([(f"{i}.md" if i % 7 else f"{i}.bin", t) for i, t in enumerate(texts)], "relative_path string, content string").withColumn("blob_hash", F.sha2("content", 256))
+    index = textindex.TextIndex(spark, f"{tmp_path}/index")
+    assert index.holding(["abc"]).collect() == []
+    index.update(f.limit(30))
+    index.update(f)
+    index.update(f)
+    assert index.known().count() == index.texts().count() == f.where("content is not null").select("content").distinct().count()
+    for asked in ([w] for w in [*words, " ABC ", "zzzz", "", "é", "x" * 40]):
+        assert got(textindex.fulltext(index, f, asked), "relative_path") == got(search.fulltext(f, asked), "relative_path"), asked
+    asked = ["abc", "x1", ""]
+    assert got(textindex.fulltext(index, f, asked), "relative_path") == got(search.fulltext(f, asked), "relative_path")
+
+
+def test_the_index_reads_few_contents(spark, tmp_path):
+    from codelode.facade import Analysis
+
+    folder = tmp_path / "code"
+    folder.mkdir()
+    for i in range(60):
+        (folder / f"f{i}.py").write_text(f"def function_{i}():\n    return {i}\n")
+    a = Analysis(spark, f"{tmp_path}/store")
+    a.analyze_branch(str(folder), 1, "m")
+    a.index_text(1, "m")
+    (folder / "f60.py").write_text("def later():\n    return FUNCTION_7()\n")
+    a.analyze_branch(str(folder), 1, "m")
+    assert got(a.search_indexed_text(1, "m", ["Function_7("]), "relative_path") == got(a.search_files_for_text(1, "m", ["Function_7("]), "relative_path") == [("f60.py",), ("f7.py",)]
+    assert a.text_index().candidates(["function_7("]).count() == 1
+    read = a.text_index().holding(["function_7("])
+    read.collect()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "shard#" in plan.split("PartitionFilters")[1][:60]
+    a.index_text(1, "m")
+    assert a.text_index().known().count() == 61
+
+
 def test_fulltext(spark):
     f = spark.createDataFrame([("a.md", "The Cat"), ("b.bin", "the cat"), ("c.py", "dog"), ("README", None)], "relative_path string, content string")
     for fn in (search.fulltext, search.fulltext_many):
