@@ -30,10 +30,12 @@ PACK = "grp int, kind int, seq long, n int, ids binary, vectors binary, longest
 
 
 def usable(df: DataFrame, scale: float) -> DataFrame:
-    """vec_id, embedding and length of the rows that take part: no null, none null or non-finite inside."""
+    """vec_id, embedding and length (near enough to order by) of the rows that take part: no null, none null or non-finite inside, scaled or not."""
     v = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     v = v.where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * scale).cast("double"), 2.0))
+    v = v.where(F.forall("embedding", lambda x: F.abs(x * scale) < F.lit(float("inf"))))
+    # whole numbers of a double; floor() of Spark would be a long
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.rint(x * scale), 2.0))
     return v.withColumn("length", F.sqrt(square))
 
 
@@ -45,12 +47,58 @@ def whole(vectors: list, width: int, scale: float) -> np.ndarray:
     return np.floor(out * scale)
 
 
+#: Components from which products may leave the range of a double; bounds are then kept in longer numbers.
+WIDE = 2.0**400
+
+
+def roomy(rows: np.ndarray) -> np.ndarray:
+    """rows, in numbers of a wider range where they need it."""
+    return rows.astype(np.longdouble) if rows.size and np.abs(rows).max() >= WIDE else rows
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    rows = roomy(rows)
+    return np.sqrt((rows * rows).sum(1))
+
+
+def limbs(rows: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Whole numbers as parts of so many bits, the least first: rows = sum of part i times 2^(i * bits). All steps are exact."""
+    out = []
+    while rows.any():
+        low = np.fmod(rows, 2.0**bits)
+        out.append(low)
+        rows = (rows - low) * 2.0**-bits
+    return out or [rows]
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of whole numbers; as int64, or as Python's integers where doubles are too short."""
-    if a.size and b.size and np.sqrt((a * a).sum(1).max() * (b * b).sum(1).max() * a.shape[1]) >= 2**52:
-        own, other = ([[int(x) for x in row] for row in m] for m in (a, b))
-        return np.array([[sum(x * y for x, y in zip(p, q, strict=True)) for q in other] for p in own], dtype=object)
-    return np.rint(a @ b.T).astype(np.int64)
+    """Exact inner products of rows of whole numbers; as int64, or as Python's integers where some may not fit.
+
+    Numbers too large for sums of doubles are split into parts whose products are exact. Scores that fit a long are put
+    together in wrapping integers; pairs of vectors so long that a score may not are done with Python's integers.
+    """
+    la, lb = lengths(a), lengths(b)
+    if not a.size or not b.size or la.max() * lb.max() < 2**52:
+        return np.rint(a @ b.T).astype(np.int64)
+    bits = (52 - a.shape[1].bit_length()) // 2
+    fit_a, fit_b = la * lb.min() < 2**62, lb * la.min() < 2**62  # others fit with no row of the other side
+    own, other = (limbs(np.where(fit[:, None], m, 0), bits) for fit, m in ((fit_a, a), (fit_b, b)))
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i, p in enumerate(own):
+        for j, q in enumerate(other):
+            if (i + j) * bits < 64:
+                out += (p @ q.T).astype(np.int64) << ((i + j) * bits)
+    large = la[:, None] * lb[None, :] >= 2**62
+    if not large.any():
+        return out
+    out = out.astype(object)
+    r, c = np.flatnonzero(large.any(1)), np.flatnonzero(large.any(0))
+    own, other = ([[int(x) for x in row] for row in m] for m in (a[r], b[c]))
+    for i, p in zip(r.tolist(), own, strict=True):
+        for j, q in zip(c.tolist(), other, strict=True):
+            if large[i, j]:
+                out[i, j] = sum(x * y for x, y in zip(p, q, strict=True))
+    return out
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -68,12 +116,17 @@ LOW, HIGH = -(2**63), 2**63 - 1
 
 def beyond(score: int) -> bytes | None:
     """What orders scores that lie outside the range of a long, or at its ends; None for others."""
-    return (int(score) + 2**512).to_bytes(66, "big") if not LOW < score < HIGH else None
+    return (int(score) + 2**2303).to_bytes(288, "big") if not LOW < score < HIGH else None
+
+
+def as_bound(score) -> np.longdouble:
+    """A score as a number that bounds are compared with."""
+    return np.longdouble(score) if LOW < score < HIGH else np.longdouble(str(score))
 
 
 def slack(length: np.ndarray, longest: float) -> np.ndarray:
     """How far rounding may have put a product of vectors of these lengths."""
-    return 1e-9 * length * longest + 1e-6
+    return length * longest * 1e-9 + 1e-6
 
 
 class Group:
@@ -82,7 +135,7 @@ class Group:
     def __init__(self, packs: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray):
         ids = np.concatenate([p[0] for p in packs])
         rows = np.concatenate([p[1] for p in packs])
-        length = np.sqrt((rows * rows).sum(1))
+        length = lengths(rows)
         order = np.argsort(-length, kind="stable")
         self.chunks = []
         for i in range(0, len(order), CHUNK_ROWS):
@@ -93,9 +146,9 @@ class Group:
     def search(self, ids: np.ndarray, rows: np.ndarray, least: np.ndarray, k: int, basis: np.ndarray):
         """(query, candidate, score) of each query's k best here, of those that reach least."""
         lead, rest = rotated(rows, basis)
-        length = np.sqrt((rows * rows).sum(1))
+        length = lengths(rows)
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-        least = least.copy()
+        least = least.astype(np.longdouble)
         open_ = np.arange(len(ids))
         for cids, crows, longest, clead, crest in self.chunks:
             spare = slack(length, longest)
@@ -112,14 +165,16 @@ class Group:
             exact = products(rows[open_[some]], crows[cols])
             for i, row in zip(some.tolist(), exact, strict=True):
                 q = open_[i]
-                mine = near[i, cols] & (cids[cols] != ids[q]) & (row >= least[q])
+                mine = near[i, cols] & (cids[cols] != ids[q])
+                if row.dtype != object:
+                    mine &= row >= least[q]
                 if mine.any():
                     c = np.concatenate([found[q][0], cids[cols][mine]])
                     s = np.concatenate([found[q][1], row[mine]])
                     at = best(c, s, k)
                     found[q] = (c[at], s[at])
                     if len(at) == k:
-                        least[q] = max(least[q], float(s[at[-1]]))
+                        least[q] = max(least[q], as_bound(s[at[-1]]))
         for q, (c, s) in enumerate(found):
             for x, y in zip(c.tolist(), s.tolist(), strict=True):
                 yield int(ids[q]), x, y
@@ -127,6 +182,7 @@ class Group:
 
 def rotated(rows: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The leading rotated coordinates, and the length of what is left."""
+    rows = roomy(rows)
     lead = rows @ basis[:, :LEADING]
     return lead, np.sqrt(np.maximum((rows * rows).sum(1) - (lead * lead).sum(1), 0))
 
@@ -136,7 +192,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> D
 
     Vectors hold floor(scale * x) for each component x. Queries are the vec_ids of rows for which
     queries is true; rows with a query's own vec_id are no candidates for it. Rows whose vec_id or
-    embedding is null, or whose embedding holds a null or non-finite number, take no part. Shorter
+    embedding is null, or whose embedding holds a null or a number that is not finite, or not when scaled, take no part. Shorter
     vectors count as padded with zeros. Of a query's repeated rows the least vector counts; repeated
     candidates are each ranked. Products are exact and ranked as they are, however large; a score outside the
     range of a long is given as the end of that range. An empty table gives an empty result; other columns
@@ -151,9 +207,8 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> D
     width = max(width, 1)
     sample = lowest(vectors.select("vec_id", "embedding"), SAMPLE_ROWS, "vec_id").select("embedding").collect()
     own = whole([r[0] for r in sample], width, scale)
+    own /= max(np.abs(own).max(initial=0), 1.0)  # so that no square leaves the range of a double
     basis = np.linalg.svd(own.T @ own)[0]
-    if not np.isfinite(basis).all():
-        basis = np.eye(width)
 
     def pack(batches):
         task = TaskContext.get().partitionId()
@@ -176,9 +231,10 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> D
         numbers, reach, head = bounds.value
         task, seq = TaskContext.get().partitionId(), 0
         for ids, rows in _packed(batches, width, scale):
-            least, length = first_least(ids, rows, head, k), np.sqrt((rows * rows).sum(1))
+            least, length = first_least(ids, rows, head, k), lengths(rows)
             for group, longest in zip(numbers.tolist(), reach.tolist(), strict=True):
-                near = length * longest + slack(length, longest) >= least
+                # a product of nothing and a length beyond all doubles counts as one that reaches
+                near = ~(length * longest + slack(length, longest) < least)
                 if not near.any():
                     break
                 yield _pack(group, 1, (task << 20) + seq, ids[near], rows[near])
@@ -218,17 +274,18 @@ def _packed(batches, width: int, scale: float):
 
 
 def _pack(group: int, kind: int, seq: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    values = [group, kind, seq, len(ids), ids.astype("<i8").tobytes(), rows.astype("<f8").tobytes(), float(np.sqrt((rows * rows).sum(1).max()))]
+    values = [group, kind, seq, len(ids), ids.astype("<i8").tobytes(), rows.astype("<f8").tobytes(), float(lengths(rows).max())]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS, strict=True)], _NAMES)
 
 
 def first_least(ids: np.ndarray, rows: np.ndarray, head: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
-    """For each query, the k-th highest product with the longest vectors; minus infinity if there are fewer."""
-    scores = products(rows, head[1]).astype(float)
+    """For each query, what the k-th highest product with the longest vectors surely reaches; minus infinity if there are fewer."""
+    scores = roomy(rows) @ roomy(head[1]).T
     scores[ids[:, None] == head[0][None, :]] = -np.inf
     if scores.shape[1] < k:
         return np.full(len(ids), -np.inf)
-    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return least - slack(lengths(rows), lengths(head[1]).max())
 
 
 def unpacked(row, width: int) -> tuple[np.ndarray, np.ndarray]:

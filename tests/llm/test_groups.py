@@ -241,6 +241,43 @@ def test_topk_with_values_beyond_a_long(spark):
     assert sorted(tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0, k=9).collect()) == want
 
 
+def exact_topk(rows, k):
+    """As brute_topk, with Python's integers."""
+    whole = lambda v: [int(np.floor(np.float64(x) * 256)) for x in v]
+    ok = [(i, whole(v)) for i, v in rows if all(np.isfinite(np.float64(x) * 256) for x in v)]
+    out = set()
+    for q, v in ok:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, u, strict=True)), i) for i, u in ok if i != q)[:k]
+            out |= {(q, n + 1, i, min(max(-x, -(2**63)), 2**63 - 1)) for n, (x, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("top", [1e9, 1e14, 1e80, 1e200, 1.7e308])
+def test_topk_with_numbers_of_any_size(spark, top):
+    """Few or many numbers up to the largest of a double, beside small ones, zeros and ties."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(300)]
+    for i in range(0, 300, 7):
+        rows[i][1][rng.integers(0, 6)] *= top / 4
+    rows += [(1000 + i, [top * s, 1.0, 0.0, 0.0, 0.0, top]) for i, s in enumerate((1, -1, 1, 0.5, 1 / 512))] + [(1050, [0.0] * 6), (1100, [0.1] * 6), (1150, [top / 512] * 6)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(d, F.col("vec_id") % 50 == 0).collect()]
+    assert set(got) == exact_topk(rows, 5) and len(got) == len(set(got))
+
+
+def test_products_of_large_numbers_take_little_longer():
+    import time
+
+    rng = np.random.default_rng(2)
+    a = np.floor(rng.standard_normal((256, 64)) * 256)
+    a[3, 5] = 1e14 * 256
+    start = time.time()
+    got = topk.products(a, a[:250])
+    assert time.time() - start < 0.2
+    assert all(got[i, j] == sum(int(x) * int(y) for x, y in zip(a[i], a[j], strict=True)) for i in (0, 3, 200) for j in (0, 3, 249))
+
+
 def test_queries_reach_only_groups_that_matter(spark, monkeypatch):
     monkeypatch.setattr(topk, "GROUP_ROWS", 300)
     rng = np.random.default_rng(8)
