@@ -43,7 +43,8 @@ def as_events(conversations: DataFrame, pieces: int = 4) -> DataFrame:
     nothing = F.array().cast("array<struct<kind:string,text:string>>")
     log = F.concat(F.array(event("message", none)), F.when(way == 1, draft).otherwise(nothing), deltas, F.when(way == 2, late).otherwise(nothing))
     rows = own.withColumn("nth", nth).select("conv_id", "turn", "role", "nth", F.posexplode(log).alias("i", "event"))
-    seq = F.shiftleft(F.coalesce("turn", F.lit(-1)), 24) + F.col("nth") * 16 + F.col("i")
+    # a row has six events at most besides its deltas
+    seq = F.shiftleft(F.coalesce("turn", F.lit(-1)), 24) + F.col("nth") * max(16, pieces + 6) + F.col("i")
     return rows.select("conv_id", seq.alias("seq"), "event.kind", "turn", "role", "event.text")
 
 

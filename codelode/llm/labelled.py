@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,28 +50,65 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_logistic(index: np.ndarray, counts: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and intercept for rows of binary features, each multiplied by its scale.
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penalty: float = 1e-3, passes: int = 10, near: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on rows of binary features, each multiplied by its scale.
 
-    index holds the features of all rows end to end, counts how many each row has. Full-batch
-    gradient steps with momentum, from zero, so reruns agree.
+    Least is mean log loss plus penalty / 2 times the squares of the weights (of the intercept too, as of a feature of scale
+    0.3). Found by steps on the dual, row by row: a step solves for one row's own weight by Newton's method, so it costs
+    the features of a row, however many features there are. Passes go over the rows in an order drawn from a
+    fixed seed, until no row's slope is over near. Reruns agree.
     """
-    row = np.repeat(np.arange(len(counts)), counts)
-    value, k = scale[index], len(scale)
-    w, b = np.zeros(k), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    ahead_w, ahead_b = w.copy(), b
-    # the largest curvature, by a few power iterations
-    v = np.ones(k)
-    for _ in range(8):
-        v /= np.linalg.norm(v) or 1
-        v = np.bincount(index, value * np.bincount(row, value * v[index], len(counts))[row], k)
-    rate = 1 / (0.25 * (np.linalg.norm(v) / max(len(y), 1) + 1) + penalty)
-    for i in range(steps):
-        p = sigmoid(np.bincount(row, value * ahead_w[index], len(counts)) + ahead_b)
-        g = (p - y) / len(y)
-        new_w = ahead_w - rate * (np.bincount(index, value * g[row], k) + penalty * ahead_w)
-        new_b = ahead_b - rate * g.sum()
-        m = i / (i + 3)
-        ahead_w, ahead_b = new_w + m * (new_w - w), new_b + m * (new_b - b)
-        w, b = new_w, new_b
-    return w, b
+    n, one = len(rows), 0.3
+    sign = np.where(np.asarray(y) > 0, 1.0, -1.0).tolist()
+    most = 1 / (penalty * max(n, 1))
+    value = [scale[r] for r in rows]
+    square = [float(v @ v) + one**2 for v in value]
+    own = [most * 1e-3] * n
+    w, b = np.zeros(len(scale)), 0.0
+    for r, v, a, s in zip(rows, value, own, sign, strict=True):
+        w[r] += a * s * v
+        b += a * s * one
+    rng = np.random.default_rng(0)
+    for _ in range(passes):
+        steepest = 0.0
+        for i in rng.permutation(n).tolist():
+            r, v, s, q, was = rows[i], value[i], sign[i], square[i], own[i]
+            margin = s * (float(w[r] @ v) + b * one)
+            # the least of q / 2 (x - was)^2 + margin (x - was) + x log x + (most - x) log(most - x) over 0 < x < most
+            x = was
+            for step in range(50):
+                slope = q * (x - was) + margin + math.log(x / (most - x))
+                if step == 0:
+                    steepest = max(steepest, abs(slope) * min(was, most - was) / most)
+                if abs(slope) < near / 50:
+                    break
+                to = x - slope / (q + most / (x * (most - x)))
+                x = to if 0 < to < most else x / 10 if to <= 0 else most - (most - x) / 10
+                x = min(max(x, most * 1e-13), most * (1 - 1e-13))
+            if x != was:
+                w[r] += (x - was) * s * v
+                b += (x - was) * s * one
+                own[i] = x
+        if steepest < near:
+            break
+    return w, b * one
+
+
+#: How many rows' worth the slope and intercept of a calibration hold on to 1 and 0.
+FIRM = 10.0
+
+
+def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn margins into log odds: of least log loss plus FIRM / 2 times the squares of how far they are from 1 and 0, so that few rows change little."""
+    x, a = np.stack([margin, np.ones(len(margin))], 1), np.array([1.0, 0.0])
+    loss = lambda a: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ a)).sum() + FIRM * ((a - [1, 0]) ** 2).sum() / 2
+    for _ in range(50):
+        p = sigmoid(x @ a)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + FIRM * np.eye(2), x.T @ (p - y) + FIRM * (a - [1, 0]))
+        size = 1.0
+        while size > 1e-6 and loss(a - size * step) > loss(a):
+            size /= 2
+        a = a - size * step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a[0]), float(a[1])

@@ -2,8 +2,9 @@
 
 Features are whether a text holds an n-gram of 3 to 5 characters of its lower-case form, hashed into
 2^18 buckets. A bucket's scale is the log ratio of its smoothed shares in toxic and other labelled
-texts; the buckets whose ratio is most certain are kept, and a logistic regression is fitted on the
-scaled features. Scores are its probabilities.
+texts, the smaller the less certain it is. A logistic regression is fitted on the scaled features of all buckets that were met; its penalty
+keeps those small that say little. So many features know their own rows by heart, so probabilities come
+from margins of rows that a fit hasn't seen: the same is fitted without each third of the rows in turn.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.common import as_text, prepare
-from codelode.llm.labelled import MOST_LABELLED, fit_logistic, sample, sigmoid
+from codelode.llm.labelled import calibrated, fit_logistic, sample, sigmoid
 from codelode.llm.pieces import blocks
 
 ORDERS, BITS = (3, 4, 5), 18
-#: Buckets that the regression uses at most, rows that a bucket must be in, and the smoothing of shares.
-MOST_FEATURES, LEAST_ROWS, SMOOTHING = 2048, 5, 1.0
+#: Labelled rows that the model is fitted on at most, features of all of them at most, the smoothing of shares, and the
+#: square of a ratio over its error at which a scale is half of it.
+MOST_ROWS, MOST_ENTRIES, SMOOTHING, CERTAIN = 4_000, 1 << 25, 1.0, 16.0
+#: Parts of the rows that are left out in turn.
+PARTS = 3
 #: Characters that are hashed at once (a longer text is hashed whole).
 CHARS = 400_000
 
@@ -43,89 +47,93 @@ def hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (mixed >> np.uint64(64 - BITS)).astype(np.int32)[inside], of[: len(h)][inside]
 
 
-def present(texts: list[str], number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, text) pairs without repeats, by text. number maps buckets to features, or to -1."""
-    found = []
-    for bucket, of in hashed(texts):
-        feature = bucket if number is None else number[bucket]
-        if number is not None:
-            keep = feature >= 0
-            feature, of = feature[keep], of[keep]
-        found.append(np.unique((of.astype(np.int64) << 32) | feature.astype(np.int64)))
-    both = np.unique(np.concatenate(found))
-    return (both & 0xFFFFFFFF).astype(np.int32), (both >> 32).astype(np.int64)
+class Present:
+    """Finds the buckets of a text's n-grams, each once, without sorting: of those that write their place into a bucket's field, the last one stays."""
+
+    def __init__(self):
+        self.place = np.zeros(1 << BITS, np.int32)
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        found = list(hashed(texts))
+        cuts = [np.searchsorted(of, np.arange(len(texts) + 1)) for _, of in found]
+        for i in range(len(texts)):
+            own = np.concatenate([bucket[c[i] : c[i + 1]] for (bucket, _), c in zip(found, cuts, strict=True)])
+            at = np.arange(len(own), dtype=np.int32)
+            self.place[own] = at
+            yield own[self.place[own] == at]
 
 
 @dataclass
 class Model:
-    """number: the feature of each bucket, or -1. weights: regression weight times scale, by feature."""
+    """weights: regression weight times scale, by bucket; 0 for buckets that weren't met."""
 
-    number: np.ndarray
     weights: np.ndarray
     intercept: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if not len(self.weights):
-            return np.full(len(texts), sigmoid(np.array(self.intercept)))
-        feature, of = present(texts, self.number)
-        return sigmoid(np.bincount(of, self.weights[feature], len(texts)) + self.intercept)
+        present = Present()
+        return sigmoid(np.array([self.weights[own].sum() for own in present(texts)]) + self.intercept)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """The model for labels (doc_id, toxic) of docs (doc_id, text), fitted on at most so many labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
+    """The model for labels (doc_id, toxic) of docs (doc_id, text), fitted on at most so many labelled rows, those with the
+    smallest hash of doc_id, and on no more of them than have MOST_ENTRIES features together.
 
-    Labels of ids that docs lacks are ignored. Without any usable label, or with one class alone, all
-    scores are the smoothed share of toxic labels, 0.25 if there are none.
+    Labels of ids that docs lacks are ignored; of rows that share id and label one counts. Without any usable label, or
+    with one class alone, all scores are the smoothed share of toxic labels, 0.25 if there are none.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = as_text(docs).join(F.broadcast(sample(labels, "toxic", most)), "doc_id")
-    rows = known.select("label", "text")
 
-    def count(batches):
-        total = np.zeros((2, 1 << BITS), np.int64)
-        n = np.zeros(2, np.int64)
+    def select(batches):
+        present = Present()
         for part, texts in blocks(batches, chars=CHARS):
-            y = np.asarray(part.column(0)).astype(np.int64)
-            feature, of = present(texts)
-            for k in (0, 1):
-                total[k] += np.bincount(feature[y[of] == k], minlength=1 << BITS)
-                n[k] += (y == k).sum()
-        seen = np.flatnonzero(total.sum(0))
-        bucket = np.concatenate([[-1], seen]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.concatenate([n[:1], total[0, seen]])), pa.array(np.concatenate([n[1:], total[1, seen]]))], ["bucket", "n0", "n1"])
-
-    # a row per bucket at most
-    sums = rows.mapInArrow(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = sums.where((F.col("n0") + F.col("n1") >= LEAST_ROWS) | (F.col("bucket") < 0)).toPandas().sort_values("bucket")
-    number = np.full(1 << BITS, -1, np.int32)
-    whole = table[table["bucket"] < 0]
-    n0, n1 = (int(whole[k].iloc[0]) if len(whole) else 0 for k in ("n0", "n1"))
-    table = table[table["bucket"] >= 0]
-    if not n0 or not n1 or not len(table):
+            own = [np.sort(x).astype("<i4") for x in present(texts)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "label", "n", "features"])
+
+    chosen = known.select("doc_id", "label", "text").mapInArrow(select, "doc_id long, label int, n long, features binary")
+    one = chosen.groupBy("doc_id", "label").agg(F.min(F.struct("n", "features")).alias("x")).select("doc_id", "label", "x.*").checkpoint()
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")
+    # numbers of at most `most` rows
+    upto = one.select("doc_id", "label", F.sum("n").over(Window.orderBy(*order)).alias("upto"))
+    rows = one.join(F.broadcast(upto.where(F.col("upto") <= MOST_ENTRIES)), ["doc_id", "label"]).orderBy(*order).select("label", "features").collect()
+    y, own = np.array([r[0] for r in rows], np.int64), [np.frombuffer(r[1], "<i4") for r in rows]
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+    if not n0 or not n1:
         share = (n1 + 0.5) / (n0 + n1 + 2)
-        return Model(number, np.zeros(0), float(np.log(share / (1 - share))))
-    p, q = table["n1"].to_numpy() + SMOOTHING, table["n0"].to_numpy() + SMOOTHING
+        return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
+    weights, intercept = fit_scaled(own, y)
+    part = np.empty(len(y), np.int64)
+    part[np.argsort(y, kind="stable")] = np.arange(len(y)) % PARTS  # in each as many toxic ones
+    margin = np.full(len(y), np.nan)
+    for k in range(PARTS):
+        rest = np.flatnonzero(part != k)
+        if 0 < y[rest].sum() < len(rest):
+            w, b = fit_scaled([own[i] for i in rest], y[rest])
+            for i in np.flatnonzero(part == k).tolist():
+                margin[i] = w[own[i]].sum() + b
+    seen = np.isfinite(margin)
+    slope, shift = calibrated(margin[seen], y[seen])
+    return Model(slope * weights, slope * intercept + shift)
+
+
+def log_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """By bucket, the log ratio of its smoothed shares in rows of label 1 and 0, times z / (z + CERTAIN) for z its square over its variance; 0 for buckets that weren't met."""
+    p, q = (np.bincount(np.concatenate([x for x, k in zip(rows, y, strict=True) if k == label]), minlength=1 << BITS).astype(float) for label in (1, 0))
+    met = np.flatnonzero(p + q)
+    p, q = p[met] + SMOOTHING, q[met] + SMOOTHING
+    out = np.zeros(1 << BITS)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    kept = np.sort(np.argsort(-certain, kind="stable")[:MOST_FEATURES])
-    scale = ratio[kept]
-    number[table["bucket"].to_numpy()[kept]] = np.arange(len(kept))
-    to_feature = spark.sparkContext.broadcast(number)
+    z = ratio**2 / (1 / p + 1 / q)
+    out[met] = ratio * z / (z + CERTAIN)
+    return out
 
-    def select(batches):
-        for part, texts in blocks(batches, chars=CHARS):
-            feature, of = present(texts, to_feature.value)
-            ends = np.cumsum(np.bincount(of, minlength=len(texts)))
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))], ["doc_id", "label", "features"])
-
-    # of rows that repeat an id one counts, so there are at most MOST_LABELLED rows of at most MOST_FEATURES
-    # numbers; they are put in a fixed order, so that reruns agree
-    chosen = known.select("doc_id", "label", "text").mapInArrow(select, "doc_id long, label int, features array<int>")
-    got = sorted((r[0], r[1]) for r in chosen.groupBy("doc_id", "label").agg(F.min("features").alias("features")).select("label", "features").collect())
-    index = np.array([f for _, own in got for f in own], np.int64)
-    weights, intercept = fit_logistic(index, np.array([len(own) for _, own in got]), np.array([y for y, _ in got], float), scale)
-    return Model(number, weights * scale, intercept)
+
+def fit_scaled(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by bucket, times the buckets' scales, and intercept."""
+    scale = log_ratios(rows, y)
+    w, intercept = fit_logistic(rows, y, scale)
+    return w * scale, intercept
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -66,12 +66,10 @@ def test_quality_on_odd_rows(spark):
 
 def test_hashed_ngrams_equal_brute_force():
     texts = ["Hello", "", "ab", "hellohello", "ÄÖ" * 20]
-    feature, of = toxicity.present(texts)
-    alone = [set(toxicity.present([t])[0].tolist()) for t in texts]
-    assert [set(feature[of == i].tolist()) for i in range(len(texts))] == alone
-    assert alone[0] < alone[3] and not alone[1] and not alone[2]
-    grams = {t[i : i + n] for t in ["äö" * 20] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
-    assert len(alone[4]) == len(grams)
+    found = [x.tolist() for x in toxicity.Present()(texts)]
+    alone = [next(toxicity.Present()([t])).tolist() for t in texts]
+    assert [sorted(x) for x in found] == [sorted(x) for x in alone] == [sorted(brute_grams(t)) for t in texts]
+    assert set(found[0]) < set(found[3]) and not found[1] and not found[2]
 
 
 def test_risk_is_never_negative_and_learns():
@@ -82,11 +80,23 @@ def test_risk_is_never_negative_and_learns():
 
 
 def test_logistic_regression():
-    index, counts, y = np.array([0, 0, 1, 1]), np.array([1, 1, 1, 1]), np.array([1.0, 1, 0, 0])
-    w, b = labelled.fit_logistic(index, counts, y, np.ones(2))
+    rows, y = [np.array([0]), np.array([0]), np.array([1]), np.array([1])], np.array([1, 1, 0, 0])
+    w, b = labelled.fit_logistic(rows, y, np.ones(2))
     assert w[0] + b > 1 and w[1] + b < -1
 
 
+def test_logistic_regression_is_the_least():
+    """The slope of loss and penalty is near zero, and no small step does better; also without features, and with equal rows."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(30) < 0.3) for _ in range(80)] + [np.zeros(0, np.int64)] * 3
+    y, scale = (rng.random(83) < 0.4).astype(int), rng.normal(0, 1, 30)
+    w, b = labelled.fit_logistic(rows, y, scale, 1e-2, 500, 1e-4)
+    x = np.array([[scale[k] * (k in set(r)) for k in range(30)] for r in rows])
+    off = labelled.sigmoid(x @ w + b) - y
+    assert np.abs(x.T @ off / 83 + 1e-2 * w).max() < 1e-3 and abs(0.3 * off.mean() + 1e-2 * b / 0.3) < 1e-3
+    assert labelled.calibrated(np.array([3.0, 5, -1, -4]), np.array([1, 1, 0, 0]))[0] > 0.9
+
+
 def test_the_sample_counts_keys_not_rows(spark):
     d = spark.createDataFrame([(7, 1)] * 1990 + [(i, i) for i in range(100, 110)], "doc_id long, x long")
     assert {tuple(r) for r in labelled.lowest(d, 20, "doc_id").collect()} == {(7, 1), *((i, i) for i in range(100, 110))}
@@ -139,23 +149,56 @@ def brute_grams(text):
 
 
 def test_toxicity_equals_brute_force(spark):
-    """Counts, ratios and the choice of features from sets of n-grams; the regression by its slope, which is near zero."""
+    """Counts and ratios from sets of n-grams, all of them; the fit by its slope; probabilities from rows left out; scores word for word."""
     d, labels = small(spark)
     m = toxicity.fit(d, labels)
     label = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None}
-    rows = [(brute_grams(r.text or ""), label[r.doc_id]) for r in d.collect() if r.doc_id in label]
-    n = {b: [sum(b in g for g, y in rows if y == k) for k in (0, 1)] for b in set().union(*(g for g, _ in rows))}
-    n = {b: c for b, c in n.items() if sum(c) >= toxicity.LEAST_ROWS}
-    p, q = (sum(c[k] + 1 for c in n.values()) for k in (1, 0))
-    ratio = {b: np.log((c[1] + 1) / p) - np.log((c[0] + 1) / q) for b, c in n.items()}
-    assert len(n) <= toxicity.MOST_FEATURES and {b for b in range(1 << toxicity.BITS) if m.number[b] >= 0} == set(n)
-    x = np.array([[ratio[b] * (b in g) for b in sorted(n)] for g, _ in rows])
-    scale = np.array([ratio[b] for b in sorted(n)])
-    w = np.divide(m.weights, scale, out=np.zeros_like(scale), where=scale != 0)
-    y = np.array([k for _, k in rows])
-    off = labelled.sigmoid(x @ w + m.intercept) - y
-    assert np.abs(x.T @ off / len(y) + 1e-3 * w).max() < 5e-3 and abs(off.mean()) < 0.02  # the intercept settles last
+    by_id = {r.doc_id: brute_grams(r.text or "") for r in d.collect() if r.doc_id in label}
+    ids = [r[0] for r in spark.createDataFrame([(i,) for i in by_id], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows, y = [by_id[i] for i in ids], np.array([label[i] for i in ids])
+
+    def fitted(rows, y):
+        n = {b: [sum(b in g for g, k in zip(rows, y, strict=True) if k == label) for label in (0, 1)] for b in set().union(*rows)}
+        p, q = (sum(c[k] + 1 for c in n.values()) for k in (1, 0))
+        ratio = {b: np.log((c[1] + 1) / p) - np.log((c[0] + 1) / q) for b, c in n.items()}
+        sure = {b: ratio[b] ** 2 / (1 / (c[1] + 1) + 1 / (c[0] + 1)) for b, c in n.items()}
+        ratio = {b: r * sure[b] / (sure[b] + toxicity.CERTAIN) for b, r in ratio.items()}
+        weights, b = toxicity.fit_scaled([np.array(sorted(g), np.int64) for g in rows], y)
+        names = sorted(ratio)
+        scale = np.array([ratio[x] for x in names])
+        w = np.divide(weights[names], scale, out=np.zeros_like(scale), where=scale != 0)
+        x = np.array([[ratio[k] * (k in g) for k in names] for g in rows])
+        off = labelled.sigmoid(x @ w + b) - y
+        assert np.abs(x.T @ off / len(y) + 1e-3 * w).max() < 2e-2 and not weights[[k for k in range(0, 1 << toxicity.BITS, 997) if k not in ratio]].any()
+        return weights, b
+
+    weights, b = fitted(rows, y)
+    order = np.argsort(y, kind="stable")
+    margins, seen = np.zeros(len(y)), []
+    for k in range(toxicity.PARTS):
+        out = order[k :: toxicity.PARTS].tolist()
+        rest = [i for i in range(len(y)) if i not in set(out)]
+        w, c = fitted([rows[i] for i in rest], y[rest])
+        margins[out] = [sum(w[g] for g in sorted(rows[i])) + c for i in out]
+        seen += out
+    slope, shift = labelled.calibrated(margins, y)
     got = {r.doc_id: r.score for r in toxicity.score(d, m).collect() if r.doc_id is not None}
     for r in d.where("doc_id > 1").collect():
-        want = m.intercept + sum(w[i] * ratio[b] for i, b in enumerate(sorted(n)) if b in brute_grams(r.text or ""))
-        assert got[r.doc_id] == pytest.approx(labelled.sigmoid(np.array(want)), abs=1e-9)
+        want = slope * (b + sum(weights[g] for g in brute_grams(r.text or ""))) + shift
+        assert got[r.doc_id] == pytest.approx(labelled.sigmoid(np.array(want)), abs=1e-6)
+
+
+def test_a_few_labelled_rows_are_enough(spark):
+    """Two rows of each kind give a model; one of each still ranks what it has seen."""
+    d = spark.createDataFrame([(1, "you vile idiot"), (2, "what a vile idiot you are"), (3, "a quiet walk"), (4, "quiet rain on a walk"), (5, "vile idiot"), (6, "quiet walk")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    for some in (labels, labels.where("doc_id in (1, 3)")):
+        got = {r.doc_id: r.score for r in toxicity.score(d, toxicity.fit(d, some)).collect()}
+        assert got[5] > got[6] + 1e-3 and got[1] > got[3] + 1e-3 and len({round(x, 6) for x in got.values()}) > 3, got
+
+
+def test_the_bound_of_entries_takes_rows_in_order(spark, monkeypatch):
+    d, labels = small(spark)
+    monkeypatch.setattr(toxicity, "MOST_ENTRIES", 300)
+    m = toxicity.fit(d, labels)
+    assert 0 < np.count_nonzero(m.weights) <= 300

@@ -236,3 +236,12 @@ def test_counts_of_a_tokenizer_that_keeps_white_space(spark, both, tmp_path):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in counts.count_tokens(d, queries.tokenizer(FILES[1]), f"{tmp_path}/c").collect()}
     assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_logs_of_many_pieces_come_back_whole(spark):
+    """Rows of one turn don't mix, however many deltas a row streams in."""
+    rows = [(1, 0, "user", f"text number {i} " * (i + 3)) for i in range(8)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for pieces in (1, 4, 20, 100):
+        got = sorted(r.text for r in chat.fold(chat.as_events(d, pieces)).collect())
+        assert got == sorted(r[3] for r in rows), pieces
