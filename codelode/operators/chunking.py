@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.functions import scalars as X
+from codelode.session import cut
 
 KEY = ["repo_id", "branch", "relative_path"]
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\x0B]"
@@ -73,23 +74,52 @@ def structural_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUN
     named = nodes.where(F.col("node_type").isin(*kinds) & F.col("name").isNotNull())
     pieces = named.join(broken(files), KEY)
     pieces = pieces.select(*KEY, "blob_hash", "node_id", "node_type", "docstring", "complexity", X.slice_content("content", "start_char", "end_char").alias("text"), F.col("start_char").alias("start"), "breaks").where("text is not null")
-    cut = _cut(pieces, size, overlap, token)
+    windows_ = _cut(pieces, size, overlap, token)
     base = F.concat(F.col("relative_path"), F.lit(":STRUCT:"), F.col("node_id"))
     score = X.importance("node_type", F.col("docstring").isNotNull(), "complexity", "token_count")
     return _chunk_rows(
-        cut.withColumn("chunk_id", F.when(F.col("is_split"), F.concat(base, F.lit("_"), F.col("i").cast("string"))).otherwise(base))
+        windows_.withColumn("chunk_id", F.when(F.col("is_split"), F.concat(base, F.lit("_"), F.col("i").cast("string"))).otherwise(base))
         .withColumn("parent_chunk_id", F.when(F.col("is_split") & (F.col("i") > 0), F.concat(base, F.lit("_0"))))
         .withColumn("ast_node_ids", F.array("node_id"))
         .withColumn("importance", F.when(F.col("is_split"), score * S.IMPORTANCE["split"]).otherwise(score))
     )
 
 
+def spans(ranges: DataFrame, key: list[str], first: str = "first_line", last: str = "last_line") -> DataFrame:
+    """key, first and last of the stretches that ranges of whole numbers cover together; ranges that touch are one stretch.
+
+    A range begins a stretch where it lies beyond the farthest end of those before it. Rows are ranges, not the numbers in them.
+    Ranges that end before they begin, or have a null, cover nothing.
+    """
+    some = ranges.where(F.col(first) <= F.col(last))
+    w = Window.partitionBy(*key).orderBy(first, last)
+    far = F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col(first) <= far + 1, 0).otherwise(1)
+    numbered = some.withColumn("_begins", begins).withColumn("_n", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*key, "_n").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_n")
+
+
+def gaps(whole: DataFrame, covered: DataFrame, key: list[str], first: str = "first_line", last: str = "last_line") -> DataFrame:
+    """key, first and last of what spans() of covered leave of whole, which has one range for each key."""
+    w = Window.partitionBy(*key).orderBy("_at")
+    # before the first stretch, between two, and behind the last: from the end of one to the begin of the next
+    ends = spans(covered, key, first, last).select(*key, (F.col(first) - 1).alias("_to"), (F.col(last) + 1).alias("_from"), F.col(first).alias("_at"))
+    edges = whole.select(*key, (F.col(first) - 1).alias("_to"), F.col(first).alias("_from"), F.lit(None).cast("long").alias("_at"), F.col(last).alias("_last"))
+    both = edges.unionByName(ends.join(whole.select(*key), key, "left_semi"), allowMissingColumns=True)
+    next_ = both.withColumn("_next", F.lead("_to").over(w)).withColumn("_end", F.max("_last").over(Window.partitionBy(*key))).withColumn("_low", F.max(F.when(F.col("_last").isNotNull(), F.col("_from"))).over(Window.partitionBy(*key)))
+    return next_.select(*key, F.greatest("_from", "_low").alias(first), F.least(F.coalesce("_next", "_end"), "_end").alias(last)).where(F.col(first) <= F.col(last))
+
+
 def uncovered_blocks(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """repo_id, branch, relative_path, first_line, last_line: runs of lines that no chunked definition covers and that aren't all blank."""
     kinds = sorted({k for v in S.CHUNK_TYPES.values() for k in v})
-    lines = files.select(*KEY, F.posexplode(F.split("content", "\n")).alias("_i", "line")).withColumn("line_no", F.col("_i") + 1)
-    covered = nodes.where(F.col("node_type").isin(*kinds) & F.col("name").isNotNull()).select(*KEY, F.explode(F.sequence("start_line", "end_line")).alias("line_no")).distinct()
-    return islands(lines.join(covered, [*KEY, "line_no"], "left_anti").select(*KEY, "line_no", "line"), KEY)
+    lines = files.where("content is not null").select(*KEY, F.lit(1).alias("first_line"), (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1).alias("last_line"), "content")
+    covered = nodes.where(F.col("node_type").isin(*kinds) & F.col("name").isNotNull()).select(*KEY, F.col("start_line").alias("first_line"), F.col("end_line").alias("last_line"))
+    left = gaps(lines.select(*KEY, "first_line", "last_line"), covered, KEY).join(broken(files).drop("blob_hash"), KEY)
+    start = F.when(F.col("first_line") > 1, F.get("breaks", F.col("first_line") - 2) + 1).otherwise(0)
+    end = F.coalesce(F.get("breaks", F.col("last_line") - 1), F.length("content"))
+    text = F.substring(F.col("content"), start + 1, end - start)
+    return left.where(F.btrim(text, F.lit(" \t\r\n\f\x0b")) != "").select(*KEY, F.col("first_line").cast("int").alias("first_line"), F.col("last_line").cast("int").alias("last_line"))
 
 
 def islands(lines: DataFrame, key: list[str]) -> DataFrame:
@@ -116,9 +146,9 @@ def remainder_chunks(nodes: DataFrame, files: DataFrame, size: int = S.MAX_CHUNK
     )
 
 
-def _chunk_rows(cut: DataFrame) -> DataFrame:
+def _chunk_rows(windows_: DataFrame) -> DataFrame:
     line = lambda at: F.size(F.filter("breaks", lambda b: b < at)) + 1
-    return cut.select(
+    return windows_.select(
         *KEY, "chunk_id", "blob_hash", F.col("part_start").cast("int").alias("start_char"), F.col("part_end").cast("int").alias("end_char"),
         line(F.col("part_start")).cast("int").alias("start_line"), line(F.greatest(F.col("part_end") - 1, F.col("part_start"))).cast("int").alias("end_line"),
         X.language_of("relative_path").alias("language"), F.col("token_count").cast("int").alias("token_count"), "parent_chunk_id", "ast_node_ids", "importance",
@@ -138,3 +168,28 @@ def reused(fresh: DataFrame, known: DataFrame) -> DataFrame:
     key = ["blob_hash", "start_char", "end_char"]
     had = known.where("embedding is not null").groupBy(*key).agg(F.first("embedding").alias("embedding"))
     return fresh.join(had, key, "left")
+
+
+def parent_chunks(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """repo_id, branch, node_id, parent_node_id, parent_chunk_id: for each node the nearest node above it that owns a chunk, and the chunk.
+
+    nodes has node_id and parent_id, chunks (chunk_id, node_id) one chunk of a node at most. Pointers to parents are doubled: each round
+    a node that hasn't met an owner takes over where its pointer points, so rounds grow with the logarithm of the
+    depth. Nodes without such an ancestor, or on a cycle without an owner, have nulls.
+    """
+    key = ["repo_id", "branch"]
+    own = chunks.select(*key, F.col("node_id").alias("_id"), F.lit(True).alias("_owns")).distinct()
+    known = nodes.select(*key, F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"))
+    at = known.join(own, [*key, "_id"], "left").select(*key, "_id", "_up", F.coalesce("_owns", F.lit(False)).alias("_owns"))
+    # pointer: the parent; done where it owns a chunk or there is nothing above
+    state = at.select(*key, "_id", F.col("_up").alias("_to")).join(at.select(*key, F.col("_id").alias("_to"), "_owns"), [*key, "_to"], "left")
+    state = cut(state.select(*key, "_id", F.when(F.col("_owns").isNotNull(), F.col("_to")).alias("_to"), (F.col("_owns").isNull() | F.col("_owns")).alias("_done")))
+    rounds, most = 0, max(1, state.count().bit_length() + 1)
+    while rounds < most and not state.where(~F.col("_done")).isEmpty():
+        above = state.select(*key, F.col("_id").alias("_to"), F.col("_to").alias("_next"), F.col("_done").alias("_over"))
+        moved = state.where(~F.col("_done")).join(above, [*key, "_to"]).select(*key, "_id", F.col("_next").alias("_to"), F.col("_over").alias("_done"))
+        state = cut(state.where("_done").unionByName(moved))
+        rounds += 1
+    # what has not ended after as many rounds as the longest path can need is on a cycle, or leads into one
+    found = state.select(*key, F.col("_id").alias("node_id"), F.when(F.col("_done"), F.col("_to")).alias("parent_node_id"))
+    return found.join(chunks.select(*key, F.col("node_id").alias("parent_node_id"), F.col("chunk_id").alias("parent_chunk_id")), [*key, "parent_node_id"], "left").select(*key, "node_id", "parent_node_id", "parent_chunk_id")

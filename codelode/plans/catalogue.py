@@ -319,6 +319,35 @@ def complexity_score(t: Tables) -> DataFrame:
     return types.select("conv_id", X.complexity("types", F.lit("python")).cast("long").alias("complexity"))
 
 
+@query("""WITH t AS (SELECT 'r' || r_regionkey AS id, NULL AS up, r_regionkey % 2 = 0 AS owns FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey % 3 = 0 FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, false FROM customer)
+SELECT a.id AS node_id, CASE WHEN b.owns THEN b.id WHEN c.owns THEN c.id END AS parent_node_id, CASE WHEN b.owns THEN 'chunk ' || b.id WHEN c.owns THEN 'chunk ' || c.id END AS parent_chunk_id FROM t a LEFT JOIN t b ON a.up = b.id LEFT JOIN t c ON b.up = c.id""")
+def parent_chunks(t: Tables) -> DataFrame:
+    """Customers, nations and regions, of which some nations and regions own chunks."""
+    key = F.substring("node_id", 2, 20).cast("long")
+    owners = t.tree_nodes().where((F.startswith("node_id", F.lit("r")) & (key % 2 == 0)) | (F.startswith("node_id", F.lit("n")) & (key % 3 == 0)))
+    chunks = owners.select("repo_id", "branch", "node_id", F.concat(F.lit("chunk "), "node_id").alias("chunk_id"))
+    return chunking.parent_chunks(t.tree_nodes(), chunks).select("node_id", "parent_node_id", "parent_chunk_id")
+
+
+RANGES = "r AS (SELECT l_suppkey AS k, l_partkey AS a, l_partkey + l_quantity::BIGINT AS b FROM lineitem), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM r), n AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m), s AS (SELECT k, min(a) AS a, max(b) AS b FROM n GROUP BY k, g)"
+
+
+@query(f"WITH {RANGES} SELECT k AS l_suppkey, a AS first_line, b AS last_line FROM s")
+def covered_spans(t: Tables) -> DataFrame:
+    """Items as ranges of parts that their supplier covers."""
+    r = t.raw("lineitem").select("l_suppkey", F.col("l_partkey").alias("first_line"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("last_line"))
+    return chunking.spans(r, ["l_suppkey"])
+
+
+@query(f"""WITH {RANGES}, e AS (SELECT k, b + 1 AS a, lead(a) OVER (PARTITION BY k ORDER BY a) - 1 AS b FROM s UNION ALL SELECT s_suppkey, 100, coalesce((SELECT min(a) - 1 FROM s WHERE k = s_suppkey), 1000) FROM supplier)
+SELECT k AS l_suppkey, greatest(a, 100)::BIGINT AS first_line, least(coalesce(b, 1000), 1000)::BIGINT AS last_line FROM e WHERE greatest(a, 100) <= least(coalesce(b, 1000), 1000)""")
+def uncovered_spans(t: Tables) -> DataFrame:
+    """What the ranges of a supplier's items leave of the parts 100 to 1000."""
+    r = t.raw("lineitem").select("l_suppkey", F.col("l_partkey").alias("first_line"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("last_line"))
+    whole = t.raw("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(100).cast("long").alias("first_line"), F.lit(1000).cast("long").alias("last_line"))
+    return chunking.gaps(whole, r, ["l_suppkey"])
+
+
 # --- graph ----------------------------------------------------------------------------------------
 
 
@@ -724,6 +753,14 @@ def block_clusters(t: Tables) -> DataFrame:
     return layout.clusters(t.grid_blocks()).select("page", "block_id", "cluster")
 
 
+@query(f"""WITH b AS ({BLOCKS}), v AS (SELECT page, y0 AS at, 1 AS d FROM b UNION ALL SELECT page, y1, -1 FROM b), s AS (SELECT page, at AS p, sum(d) AS d FROM v GROUP BY page, at HAVING sum(d) <> 0),
+n AS (SELECT *, lead(p) OVER w AS q, lead(d) OVER w AS up FROM s WINDOW w AS (PARTITION BY page ORDER BY p)), c AS (SELECT page, (p + q) / 2 AS first FROM n WHERE d < 0 AND up > 0 UNION ALL SELECT page, min(y0) FROM b GROUP BY page)
+SELECT page, CAST(row_number() OVER w - 1 AS BIGINT) AS band_no, first, coalesce(lead(first) OVER w, (SELECT max(y1) FROM b WHERE b.page = c.page)) AS last FROM c WINDOW w AS (PARTITION BY page ORDER BY first)""".replace(" AS at,", ' AS "at",').replace(", at AS p", ', "at" AS p').replace("BY page, at ", 'BY page, "at" '))
+def page_bands(t: Tables) -> DataFrame:
+    """Bands of pages between the valleys of their profile."""
+    return layout.valleys(t.text_blocks()).select("page", F.col("band_no").cast("long").alias("band_no"), "first", "last")
+
+
 @query(f"""WITH e AS (SELECT page, block_id, x0, y0, 'text' AS kind FROM ({BLOCKS}) UNION ALL SELECT page, block_id, x0, y0 + 5, 'image' FROM ({BLOCKS}) WHERE block_id % 4 = 0)
 SELECT page, block_id, kind, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, kind, block_id) AS BIGINT) AS position FROM e""")
 def page_elements(t: Tables) -> DataFrame:

@@ -705,3 +705,80 @@ def test_another_tokenizer_cuts_chunks(spark):
     nodes = spark.createDataFrame([], "repo_id long, branch string, relative_path string, node_id string, node_type string, name string, docstring string, complexity int, start_char int, end_char int, start_line int, end_line int")
     got = chunking.chunks(nodes, files, 10, 2, token=r"\S").orderBy("start_char").collect()
     assert [r.token_count for r in got] == [10, 10, 6] and [(r.start_line, r.end_line) for r in got] == [(1, 2), (2, 2), (2, 3)]
+
+
+def test_parent_chunks_of_deep_trees_and_cycles(spark):
+    """A chain of 10,000 whose owners are far apart, an orphan, and a cycle with and one without an owner."""
+    rows = [(1, "m", f"n{i}", f"n{i - 1}" if i else None) for i in range(10_000)] + [(1, "m", "o", "nowhere"), (1, "m", "x", "y"), (1, "m", "y", "x"), (1, "m", "p", "q"), (1, "m", "q", "p"), (1, "m", "z", "x"), (1, "b", "n5", "n4")]
+    owners = ["n0", "n17", "n9000", "p"]
+    chunks = spark.createDataFrame([(1, "m", x, f"c{x}") for x in owners], "repo_id long, branch string, node_id string, chunk_id string")
+    got = {(r.branch, r.node_id): r.parent_chunk_id for r in chunking.parent_chunks(spark.createDataFrame(rows, "repo_id long, branch string, node_id string, parent_id string"), chunks).collect()}
+    want = lambda i: None if i == 0 else "cn0" if i <= 17 else "cn17" if i <= 9000 else "cn9000"
+    assert all(got["m", f"n{i}"] == want(i) for i in range(10_000)) and len(got) == len(rows)
+    assert got["m", "o"] is got["m", "x"] is got["m", "z"] is got["b", "n5"] is None and got["m", "q"] == got["m", "p"] == "cp"
+
+
+def test_spans_and_gaps(spark):
+    rng = random.Random(4)
+    ranges = [(k, a, a + rng.randrange(-1, 6)) for k in range(8) for a in (rng.randrange(-3, 45) for _ in range(rng.randrange(9)))] + [(3, None, 4), (9, 1, 5)]
+    r = spark.createDataFrame(ranges, "k int, first_line long, last_line long")
+    whole = spark.createDataFrame([(k, 1, 40) for k in range(9)], "k int, first_line long, last_line long")
+    covered = lambda k: {x for c, a, b in ranges if c == k and a is not None for x in range(a, b + 1)}
+    spelt = lambda rows, k: sorted(x for c, a, b in rows if c == k for x in range(a, b + 1))
+    spans, gaps = got(chunking.spans(r, ["k"]), "k", "first_line", "last_line"), got(chunking.gaps(whole, r, ["k"]), "k", "first_line", "last_line")
+    for k in range(10):
+        assert spelt(spans, k) == sorted(covered(k)) and spelt(gaps, k) == [x for x in range(1, 41) if k < 9 and x not in covered(k)]
+    for rows in (spans, gaps):
+        assert all(x[0] != y[0] or y[1] > x[2] + 1 for x, y in zip(rows, rows[1:], strict=False))
+
+
+def brute_clusters(points, eps, least):
+    """Labels in the order of blocks: clusters by their first core block, then lone blocks."""
+    n = len(points)
+    near = [[j for j in range(n) if (points[i][0] - points[j][0]) ** 2 + (points[i][1] - points[j][1]) ** 2 <= eps**2] for i in range(n)]
+    core, out, c = [len(x) >= least for x in near], [None] * n, 0
+    for i in range(n):
+        if core[i] and out[i] is None:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if out[j] is None:
+                    out[j] = c
+                    todo += [k for k in near[j] if core[k] and out[k] is None] if core[j] else []
+            c += 1
+    first = [min((out[k] for k in near[i] if core[k]), default=None) if not core[i] else out[i] for i in range(n)]
+    for i in range(n):
+        if first[i] is None:
+            first[i], c = c, c + 1
+    return first
+
+
+@pytest.mark.parametrize(("least", "eps"), [(1, 5.0), (2, 6.0), (4, 9.0), (7, 12.0)])
+def test_clusters_equal_brute_force(spark, least, eps):
+    rng, rows = random.Random(least), []
+    for page in (1, 2, None):
+        spots = [(rng.uniform(0, 120), rng.uniform(0, 90)) for _ in range(70)]
+        spots += [(x + rng.choice([0, 3, 6, 9, 12]), y) for x, y in spots[:30]] + spots[:6]
+        rows += [(page, i, x - 1, y - 1, x + 1, y + 1) for i, (x, y) in enumerate(spots)]
+    b = spark.createDataFrame(rows, "page int, block_id long, x0 double, y0 double, x1 double, y1 double")
+    found = {(r.page, r.block_id): r.cluster for r in layout.clusters(b, eps=eps, least=least).collect()}
+    for page in (1, 2, None):
+        own = [r for r in rows if r[0] == page]
+        assert [found[page, r[1]] for r in own] == brute_clusters([((r[2] + r[4]) / 2, (r[3] + r[5]) / 2) for r in own], eps, least)
+
+
+def test_a_page_of_many_blocks(spark):
+    """200,000 blocks on one page, most of them in long rows, some copies of one."""
+    n = 200_000
+    b = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("block_id"), F.when(F.col("id") % 10 == 0, 5.0).otherwise((F.col("id") % 1000) * 4.0).alias("x0"), F.when(F.col("id") % 10 == 0, -500.0).otherwise(F.floor(F.col("id") / 1000) * 30.0).alias("y0"))
+    b = b.withColumn("x1", F.col("x0") + 2).withColumn("y1", F.col("y0") + 2)
+    found = layout.clusters(b, eps=8.5, least=2)
+    assert found.agg(F.count("*"), F.count_distinct("cluster")).first() == (n, 201)
+
+
+def test_valleys_and_bands(spark):
+    rows = [(1, 0, 0.0, 10.0), (1, 1, 2.0, 12.0), (1, 2, 20.0, 30.0), (1, 3, 11.0, 21.0), (1, 4, 40.0, 50.0), (1, 5, 35.0, 35.0), (1, 6, None, 4.0), (2, 0, 1.0, 2.0), (2, 1, 2.0, 3.0)]
+    b = spark.createDataFrame(rows, "page int, block_id long, y0 double, y1 double")
+    assert got(layout.valleys(b), "page", "band_no", "first", "last") == [(1, 0, 0.0, 10.5), (1, 1, 10.5, 16.0), (1, 2, 16.0, 35.0), (1, 3, 35.0, 50.0), (2, 0, 1.0, 3.0)]
+    assert got(layout.valleys(b, most=0), "page", "band_no", "first", "last") == [(1, 0, 0.0, 35.0), (1, 1, 35.0, 50.0), (2, 0, 1.0, 3.0)]
+    assert {(r.page, r.block_id): r.band_no for r in layout.banded(b).collect()} == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (1, 3): 1, (1, 4): 3, (1, 5): None, (1, 6): None, (2, 0): 0, (2, 1): 0}
