@@ -61,18 +61,18 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, penal
     n, one = len(rows), 0.3
     sign = np.where(np.asarray(y) > 0, 1.0, -1.0).tolist()
     most = 1 / (penalty * max(n, 1))
-    value = [scale[r] for r in rows]
-    square = [float(v @ v) + one**2 for v in value]
+    square = [float((scale[r] ** 2).sum()) + one**2 for r in rows]
     own = [most * 1e-3] * n
     w, b = np.zeros(len(scale)), 0.0
-    for r, v, a, s in zip(rows, value, own, sign, strict=True):
-        w[r] += a * s * v
+    for r, a, s in zip(rows, own, sign, strict=True):
+        w[r] += a * s * scale[r]
         b += a * s * one
     rng = np.random.default_rng(0)
     for _ in range(passes):
         steepest = 0.0
         for i in rng.permutation(n).tolist():
-            r, v, s, q, was = rows[i], value[i], sign[i], square[i], own[i]
+            r, s, q, was = rows[i], sign[i], square[i], own[i]
+            v = scale[r]  # not kept, which would take more memory than the rows
             margin = s * (float(w[r] @ v) + b * one)
             # the least of q / 2 (x - was)^2 + margin (x - was) + x log x + (most - x) log(most - x) over 0 < x < most
             x = was

@@ -119,7 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
 
 def log_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """By bucket, the log ratio of its smoothed shares in rows of label 1 and 0, times z / (z + CERTAIN) for z its square over its variance; 0 for buckets that weren't met."""
-    p, q = (np.bincount(np.concatenate([x for x, k in zip(rows, y, strict=True) if k == label]), minlength=1 << BITS).astype(float) for label in (1, 0))
+    q, p = np.zeros((2, 1 << BITS))
+    for own, label in zip(rows, y.tolist(), strict=True):
+        (p if label else q)[own] += 1
     met = np.flatnonzero(p + q)
     p, q = p[met] + SMOOTHING, q[met] + SMOOTHING
     out = np.zeros(1 << BITS)
