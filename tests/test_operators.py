@@ -768,12 +768,11 @@ def test_clusters_equal_brute_force(spark, least, eps):
 
 
 def test_a_page_of_many_blocks(spark):
-    """200,000 blocks on one page, most of them in long rows, some copies of one."""
-    n = 200_000
-    b = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("block_id"), F.when(F.col("id") % 10 == 0, 5.0).otherwise((F.col("id") % 1000) * 4.0).alias("x0"), F.when(F.col("id") % 10 == 0, -500.0).otherwise(F.floor(F.col("id") / 1000) * 30.0).alias("y0"))
+    """20,000 blocks on one page, in rows of 100 that each are one cluster, and 2,000 copies of one block."""
+    n = 20_000
+    b = spark.range(n).select(F.lit(1).alias("page"), F.col("id").alias("block_id"), F.when(F.col("id") % 10 == 0, 5.0).otherwise((F.col("id") % 100) * 4.0).alias("x0"), F.when(F.col("id") % 10 == 0, -500.0).otherwise(F.floor(F.col("id") / 100) * 30.0).alias("y0"))
     b = b.withColumn("x1", F.col("x0") + 2).withColumn("y1", F.col("y0") + 2)
-    found = layout.clusters(b, eps=8.5, least=2)
-    assert found.agg(F.count("*"), F.count_distinct("cluster")).first() == (n, 201)
+    assert layout.clusters(b, eps=8.5, least=2).agg(F.count("*"), F.count_distinct("cluster")).first() == (n, 201)
 
 
 def test_valleys_and_bands(spark):
