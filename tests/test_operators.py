@@ -1,6 +1,7 @@
 """Operators on small hand-made frames, and properties against plain Python."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -781,3 +782,27 @@ def test_valleys_and_bands(spark):
     assert got(layout.valleys(b), "page", "band_no", "first", "last") == [(1, 0, 0.0, 10.5), (1, 1, 10.5, 16.0), (1, 2, 16.0, 35.0), (1, 3, 35.0, 50.0), (2, 0, 1.0, 3.0)]
     assert got(layout.valleys(b, most=0), "page", "band_no", "first", "last") == [(1, 0, 0.0, 35.0), (1, 1, 35.0, 50.0), (2, 0, 1.0, 3.0)]
     assert {(r.page, r.block_id): r.band_no for r in layout.banded(b).collect()} == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (1, 3): 1, (1, 4): 3, (1, 5): None, (1, 6): None, (2, 0): 0, (2, 1): 0}
+
+
+def dealt_after(df, join):
+    """Shuffles of the plan as it was run that have a join, named by the begin of its key, below them."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+    deep = [re.search(r"[A-Za-z*]|$", x).start() for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        if " Exchange " in x:
+            end = next((j for j in range(i + 1, len(lines)) if deep[j] <= deep[i]), len(lines))
+            out += [x] if any(re.search(rf"Join \[[^\]]*{join}", y) for y in lines[i:end]) else []
+    return out
+
+
+def test_edges_are_not_dealt_to_be_made_distinct(spark):
+    calls = spark.createDataFrame([(1, "m", f"c{i % 40}", "x.f") for i in range(80)] + [(1, "m", "c0", "g"), (1, "m", "c0", "h")], "repo_id long, branch string, caller string, called_name string")
+    single = spark.createDataFrame([(1, "m", f"d{i}", "function_definition", "f") for i in range(30)], "repo_id long, branch string, node_id string, node_type string, name string")
+    edges = graph.call_edges(calls, single)
+    assert not dealt_after(edges, "name#") and edges.count() == edges.distinct().count() == 40 * 30
+    # a node of two names, both of which a caller calls, is one edge
+    both = single.unionByName(spark.createDataFrame([(1, "m", "e", "function_definition", "g"), (1, "m", "e", "function_definition", "h")], single.schema))
+    edges = graph.call_edges(calls, both)
+    assert edges.count() == edges.distinct().count() == 40 * 30 + 1
