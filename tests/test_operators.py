@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode import schemas as S
 from codelode.operators import chunking, editing, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks, textindex
+from codelode.plans import catalogue
 from codelode.sources import files as file_source
 from codelode.sources import git
 
@@ -797,7 +798,7 @@ def dealt_after(df, join):
     return out
 
 
-def test_edges_are_not_dealt_to_be_made_distinct(spark):
+def test_edges_are_not_dealt_to_be_made_distinct(spark, sf):
     calls = spark.createDataFrame([(1, "m", f"c{i % 40}", "x.f") for i in range(80)] + [(1, "m", "c0", "g"), (1, "m", "c0", "h")], "repo_id long, branch string, caller string, called_name string")
     single = spark.createDataFrame([(1, "m", f"d{i}", "function_definition", "f") for i in range(30)], "repo_id long, branch string, node_id string, node_type string, name string")
     edges = graph.call_edges(calls, single)
@@ -806,3 +807,4 @@ def test_edges_are_not_dealt_to_be_made_distinct(spark):
     both = single.unionByName(spark.createDataFrame([(1, "m", "e", "function_definition", "g"), (1, "m", "e", "function_definition", "h")], single.schema))
     edges = graph.call_edges(calls, both)
     assert edges.count() == edges.distinct().count() == 40 * 30 + 1
+    assert not dealt_after(catalogue.QUERIES["edges_after_change"](spark, sf), "name#")
