@@ -80,11 +80,15 @@ def font_summary(blocks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def throughput(marks: DataFrame, by: list[str]) -> DataFrame:
-    """For each mark (ts, total so far): the rate since the mark before, and since the first."""
+    """For each mark (ts, total so far): the rate since the mark before, and since the first.
+
+    Marks of one time follow by their total; the rate of such a step is infinite, or NaN where nothing was added.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*by).orderBy("ts")
+    w = Window.partitionBy(*by).orderBy("ts", "total")
     s = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     now, before, first = s(F.col("ts")), s(F.lag("ts").over(w)), s(F.first("ts").over(w))
+    added, took = (F.col("total") - F.lag("total").over(w)).cast("double"), now - before
     start = F.first("total").over(w)
-    return marks.withColumn("interval_rate", (F.col("total") - F.lag("total").over(w)) / (now - before)).withColumn("mean_rate", F.when(now > first, (F.col("total") - start) / (now - first)))
+    return marks.withColumn("interval_rate", F.when(took == 0, added * float("inf")).otherwise(added / F.nullif(took, F.lit(0.0)))).withColumn("mean_rate", F.when(now > first, (F.col("total") - start) / (now - first)))

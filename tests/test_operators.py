@@ -820,3 +820,11 @@ def test_parents_and_owners_come_with_the_parse(spark, sf):
     for name in ("extracted_nodes", "extracted_brace_nodes", "extracted_calls"):
         p = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in p and p.count("MapInPandas") == 1 and "REPARTITION_BY_NUM" in p
+
+
+def test_throughput_of_marks_of_one_time(spark):
+    rows = [(1, "a", 10, 1), (2, "a", 10, 2), (3, "a", 10, 2), (4, "a", 12, 6)]
+    marks = spark.createDataFrame(rows, "event_id int, k string, t long, total long").selectExpr("event_id", "k", "timestamp_seconds(t) AS ts", "total")
+    got = {r.event_id: (r.interval_rate, r.mean_rate) for r in stats.throughput(marks, ["k"]).collect()}
+    assert got[1] == (None, None) and got[2] == (float("inf"), None) or got[3] == (float("inf"), None)
+    assert sorted(str(got[i][0]) for i in (2, 3)) == ["inf", "nan"] and got[4] == (2.0, 2.5)
