@@ -98,7 +98,8 @@ class Rotation:
 
 
 def replay(requests: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
-    """requests (request_id, model_name, ts) with api_key and admitted_at (seconds): the log replayed through the limiter, model by model.
+    """requests (request_id, model_name, ts) with api_key, admitted_at (seconds) and admitted_us (whole microseconds, which seconds in
+    a double no longer tell some decades ahead): the log replayed through the limiter, model by model.
 
     A model's requests depend on one another, so they pass one task in the order of ts and request_id; it streams them and
     holds no more than each key's last admissions. streaming.limiter does the same for a stream.
@@ -120,10 +121,10 @@ def replay(requests: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame
                 if rotation is None or name != model:
                     model, rotation = name, Rotation(rules.get(name, ()), keys)
                 out.append((request_id, name, *rotation.admit(int(us))))
-            found = pd.DataFrame(out, columns=["request_id", "model_name", "api_key", "admitted_at"])
-            yield found.assign(admitted_at=found["admitted_at"] / 1e6)
+            found = pd.DataFrame(out, columns=["request_id", "model_name", "api_key", "admitted_us"])
+            yield found.assign(admitted_at=found["admitted_us"] / 1e6)
 
-    return dealt.mapInPandas(run, f"request_id {kind}, model_name string, api_key string, admitted_at double")
+    return dealt.mapInPandas(run, f"request_id {kind}, model_name string, api_key string, admitted_at double, admitted_us long")
 
 
 def admit(times: Iterable[float], limits: Limits, keys: Sequence[str]) -> list[tuple[str, float]]:

@@ -828,3 +828,14 @@ def test_throughput_of_marks_of_one_time(spark):
     got = {r.event_id: (r.interval_rate, r.mean_rate) for r in stats.throughput(marks, ["k"]).collect()}
     assert got[1] == (None, None) and got[2] == (float("inf"), None) or got[3] == (float("inf"), None)
     assert sorted(str(got[i][0]) for i in (2, 3)) == ["inf", "nan"] and got[4] == (2.0, 2.5)
+
+
+def test_replay_keeps_microseconds_of_far_times(spark):
+    """A backlog of a million requests ends after 2^32 seconds, where those in a double, turned back, miss some microseconds."""
+    us = [4_294_969_000_000_001 + 7 * i for i in range(200)]
+    d = spark.createDataFrame([(i, "a", t) for i, t in enumerate(us)], "request_id long, model_name string, t long").selectExpr("request_id", "model_name", "timestamp_micros(t) AS ts")
+    got = ratelimit.replay(d, spark.createDataFrame([("a", 1, 3600.000001)], "model_name string, max_requests int, period_seconds double"), ["k"])
+    rotation = ratelimit.Rotation([(1, 3600.000001)], ["k"])
+    want = [rotation.admit(t)[1] for t in us]
+    rows = got.withColumn("turned", F.round(F.col("admitted_at") * 1_000_000).cast("long")).orderBy("request_id").collect()
+    assert [r.admitted_us for r in rows] == want and any(r.turned != x for r, x in zip(rows, want, strict=True))
