@@ -45,6 +45,13 @@ def with_children(tasks: DataFrame, parents: DataFrame) -> DataFrame:
     return parents.join(kids, "task_id", "left")
 
 
+def with_child_totals(tasks: DataFrame, parents: DataFrame) -> DataFrame:
+    """parents with n_children and first_child, when the first of their tasks began: what with_children lists, summed up. No list is made."""
+    kids = tasks.where("parent_id is not null").groupBy(F.col("parent_id").alias("task_id")).agg(F.count("*").alias("_n"), F.min("started_at").alias("_first"))
+    joined = parents.join(kids, "task_id", "left")
+    return joined.withColumn("n_children", F.coalesce("_n", F.lit(0))).withColumnRenamed("_first", "first_child").drop("_n")
+
+
 def with_grandchildren(tasks: DataFrame, parents: DataFrame) -> DataFrame:
     """parents with children, each of which has its own, both by when they began."""
     kids = tasks.where("parent_id is not null").select("task_id", "parent_id", "name", "status", "started_at")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codelode import schemas as S
 from codelode.operators import chunking, editing, factored, graph, layout, parse, partitioning, ratelimit, search, stats, store, tasks, textindex
 from codelode.plans import catalogue
+from codelode.plans.adapters import Tables
 from codelode.sources import files as file_source
 from codelode.sources import git
 
@@ -852,3 +853,11 @@ def test_spans_and_gaps_equal_plain_sets_and_sort_once(spark):
     assert got(chunking.gaps(whole, r, ["k"]), "k", "first_line", "last_line") == sorted((k, int(a), int(b)) for k, v in lines.items() for a, b in runs(set(range(10, 41)) - v))
     # stretches are found by the sort alone: no table of groups is held by a task
     assert "Aggregate" not in chunking.spans(r, ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_child_totals_are_those_of_the_lists(spark, sf):
+    t = Tables(spark, sf)
+    parents = t.tasks().where("parent_id is null")
+    lists = tasks.with_children(t.tasks(), parents).select("task_id", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("n_children"), F.col("children")[0]["started_at"].alias("first_child"))
+    assert {tuple(r) for r in lists.collect()} == {tuple(r) for r in tasks.with_child_totals(t.child_tasks(), parents).select("task_id", "n_children", "first_child").collect()}
+    assert "collect_list" not in catalogue.QUERIES["task_history"](spark, sf)._jdf.queryExecution().executedPlan().toString()
