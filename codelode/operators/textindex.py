@@ -2,7 +2,8 @@
 
 A content that holds a word holds all sequences of three characters of it, so the posting lists of these, intersected,
 leave few contents to be read and searched. The index is keyed by the hash of a content: known ones are never
-indexed again, and branches, copies and moved files share their entries.
+indexed again, and branches, copies and moved files share their entries. Posting lists name a content by four bytes of a hash of
+its hash: two that share them are candidates together, and what is searched is the content, so the answer is exact.
 """
 
 from __future__ import annotations
@@ -10,46 +11,58 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as X
 
 #: Characters of a sequence; folders of the posting lists. Contents lie in a folder for each first two digits of their hash.
 GRAM, BUCKETS = 3, 64
-GRAMS = "blob_hash string, gram string"
+GRAMS = "gram string, ids array<int>"
+#: Contents whose posting lists are made at once.
+CONTENTS = 2048
 
 
 def grams_of(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
+def short(blob_hash: str) -> Column:
+    """The four bytes that name a content in posting lists."""
+    return F.hash(blob_hash)
+
+
 def postings(blobs: DataFrame) -> DataFrame:
-    """blob_hash and gram, each sequence of a content (blob_hash, content) once, in lower case; contents of less than GRAM characters have none."""
+    """gram and ids: of some contents (blob_hash, content) at a time those that hold a sequence, in lower case, each once; contents of less than GRAM characters have none."""
 
     def run(batches):
         for batch in batches:
-            for hash_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted(grams_of(text))
-                yield pa.RecordBatch.from_arrays([pa.array([hash_] * len(found), pa.string()), pa.array(found, pa.string())], ["blob_hash", "gram"])
+            for i in range(0, batch.num_rows, CONTENTS):
+                lists: dict[str, list[int]] = {}
+                part = batch.slice(i, CONTENTS)
+                for id_, text in sorted(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                    for g in grams_of(text):
+                        lists.setdefault(g, []).append(id_)
+                yield pa.RecordBatch.from_arrays([pa.array(list(lists), pa.string()), pa.array(list(lists.values()), pa.list_(pa.int32()))], ["gram", "ids"])
 
-    return blobs.select("blob_hash", F.lower("content").alias("text")).where("blob_hash is not null and text is not null").mapInArrow(run, GRAMS)
+    return blobs.where("blob_hash is not null and content is not null").select(short("blob_hash").alias("id"), F.lower("content").alias("text")).mapInArrow(run, GRAMS)
 
 
 def matches(grams: DataFrame, words: Sequence[str]) -> DataFrame:
-    """blob_hash of the contents that hold all sequences of one of the words, each of at least GRAM characters, in lower case."""
+    """id of the contents that hold all sequences of one of the words, each of at least GRAM characters, in lower case."""
     wanted = [(w, g, len(grams_of(w))) for w in sorted(set(words)) for g in sorted(grams_of(w))]
     of = grams.sparkSession.createDataFrame(wanted, "word string, gram string, n int")
-    some = grams.where(F.col("gram").isin(*{g for _, g, _ in wanted}))
-    hits = some.join(F.broadcast(of), "gram").groupBy("blob_hash", "word").agg((F.count_distinct("gram") == F.first("n")).alias("all"))  # a row for each gram of the question
-    return hits.where("all").select("blob_hash").distinct()
+    some = grams.where(F.col("gram").isin(*{g for _, g, _ in wanted})).select("gram", F.explode("ids").alias("id"))
+    hits = some.join(F.broadcast(of), "gram").groupBy("id", "word").agg((F.count_distinct("gram") == F.first("n")).alias("all"))  # a row for each gram of the question
+    return hits.where("all").select("id").distinct()
 
 
 class TextIndex:
     """The index below a folder: grams by bucket, texts by the first digits of their hash, and which hashes are known."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        # an index of the form before lay in the folder itself; it is made anew
+        self.spark, self.root = spark, f"{root.rstrip('/')}/lists"
 
     def _read(self, name: str, schema: str) -> DataFrame:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -79,7 +92,8 @@ class TextIndex:
         if not wanted:
             return self.known().limit(0)
         used = [r[0] for r in self.spark.createDataFrame([(g,) for w in wanted for g in grams_of(w)], "gram string").select(F.pmod(F.hash("gram"), F.lit(BUCKETS))).distinct().collect()]
-        return matches(self._read("grams", f"{GRAMS}, bucket int").where(F.col("bucket").isin(*used)), wanted)
+        found = matches(self._read("grams", f"{GRAMS}, bucket int").where(F.col("bucket").isin(*used)), wanted)
+        return self.known().distinct().join(found, short("blob_hash") == found["id"], "left_semi")
 
     def holding(self, words: Sequence[str]) -> DataFrame:
         """blob_hash of the known contents that hold one of the words, whatever their case; only folders with candidates are read."""

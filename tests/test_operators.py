@@ -861,3 +861,10 @@ def test_child_totals_are_those_of_the_lists(spark, sf):
     lists = tasks.with_children(t.tasks(), parents).select("task_id", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("n_children"), F.col("children")[0]["started_at"].alias("first_child"))
     assert {tuple(r) for r in lists.collect()} == {tuple(r) for r in tasks.with_child_totals(t.child_tasks(), parents).select("task_id", "n_children", "first_child").collect()}
     assert "collect_list" not in catalogue.QUERIES["task_history"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_posting_lists_name_contents_by_four_bytes(spark):
+    blobs = spark.createDataFrame([(f"{i:064x}", "abcd" if i % 2 else "ABC") for i in range(10)], "blob_hash string, content string")
+    rows = textindex.postings(blobs.coalesce(1)).collect()
+    assert {r.gram: len(r.ids) for r in rows} == {"abc": 10, "bcd": 5} and len(rows) == 2
+    assert textindex.matches(textindex.postings(blobs), ["abcd"]).count() == 5
