@@ -552,6 +552,46 @@ def test_words_of_many_images_keep_copies_together(spark):
     assert roots(300, found) == [i % 100 if i % 100 < 30 else i for i in range(300)]
 
 
+def brute_votes(rows):
+    """Pairs whose points agree, by votes of all holders of each word and by descriptors."""
+    found = set()
+    for n, (i, w, q) in enumerate(rows):
+        for j, v, r in rows[:n]:
+            here, there = set(), media.packed_place(*np.array(r).T)
+            bits = lambda x: [(lambda y: [y & (2**43 - 1), y >> 43 & (2**43 - 1), y >> 86])(int(a) % 2**64 + (int(b) % 2**64 << 64)) for a, b in x]
+            for x, p in zip(bits(w), media.packed_place(*np.array(q).T), strict=True):
+                for y, at in zip(bits(v), there, strict=True):
+                    if any(s == t for s, t in zip(x, y, strict=True)):
+                        here.add((int(p), *(int(z[0]) for z in media.shifted(np.array([p]), np.array([at])))))
+            votes = max(Counter((m, x + a, y + b) for _, m, x, y in here for a in (0, 1) for b in (0, 1)).values(), default=0)
+            if votes >= media.VOTES or votes >= media.FEW and media.consensus(w, np.array(q), v, np.array(r)) >= media.VOTES:
+                found.add((i, j))
+    return found
+
+
+@pytest.mark.parametrize("side", [1024, 3])
+def test_all_holders_of_common_words_are_heard(spark, monkeypatch, side):
+    """12 points that each of 40 images holds, at places of its own but for a few images, whose places agree; and two that share 4
+    of the points and 5 that differ by some bits."""
+    monkeypatch.setattr(media, "SIDE", side)
+    rng = np.random.default_rng(17)
+    word = lambda n: rng.integers(-(2**63), 2**63, (n, 2))
+    common, near = word(12), word(5)
+    rows = []
+    for i in range(40):
+        kept = rng.permutation(12)[:9] if i % 5 else np.arange(12)
+        spots = [[0, 0, 40 * int(k) + 5 * i, 9 * int(k)] if i in (7, 18, 25, 31, 33) else [0, 0, int(rng.integers(0, 2000)), int(rng.integers(0, 2000))] for k in kept]
+        rows.append((i + 1, np.concatenate([common[kept], word(3)]), spots + [[0, 0, 3000 + i, 3000]] * 3))
+    flip = np.array([[1 << 5 | 1 << 50, 1 << 3 | 1 << 40]] * 5)
+    for i, other in ((50, near), (51, near ^ flip)):
+        rows.append((i, np.concatenate([common[:4], other]), [[0, 0, 30 * k + i, 11 * k] for k in range(9)]))
+    d = spark.createDataFrame([(i, len(w), w.reshape(-1).tolist(), [int(x) for p in q for x in p], None) for i, w, q in rows], media.POINTS)
+    want = brute_votes(rows)
+    assert len(want) >= 11 and (51, 50) in want
+    found = {tuple(r) for r in media.links(d).collect()}
+    assert found <= want and roots(60, found) == roots(60, want)
+
+
 def brute_links(images):
     """Pairs with a consensus, by comparing the descriptors of all pairs."""
     points = {}
