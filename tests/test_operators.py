@@ -175,6 +175,31 @@ def test_visits_do_not_grow_with_the_table(spark):
     assert seen[25_000][0] <= 1.1 * seen[2_500][0] < 3 and max(x[1] for x in seen.values()) < 0.1, seen
 
 
+def test_blocks_of_a_table_that_no_bound_tells_apart(spark):
+    """They are large, and a vector travels a bounded number of times."""
+    units = search._units(vectors(spark, np.random.default_rng(2).standard_normal((20_000, 32)))).cache()
+    blocks = search.placed(units, *search.cells_of(units, 5, -1.0)).select("kind", F.size("ids").alias("n"))
+    rows, size = blocks.agg(F.sum("n"), F.avg("n")).first()
+    units.unpersist()
+    assert rows <= 2 * 8 * 20_000 and size > 512
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_neighbours_among_copies_and_repeated_ids(spark, k):
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((30, 8))
+    m = m[np.concatenate([np.arange(30), np.repeat(0, 40), np.repeat([1, 2], 9)])]
+    ids = [str(i) for i in [*range(60), *rng.integers(0, 25, len(m) - 60)]]
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    want = []
+    for x in set(ids):
+        best = sorted((-s[i, j], ids[j]) for i in range(len(m)) if ids[i] == x for j in range(len(m)) if ids[j] != x)
+        want += [(x, other) for _, other in best[:k]]
+    odd = spark.createDataFrame([("inf", [float("inf")] * 8), ("none", [None] * 8), ("empty", []), ("null", None), ("zero", [0.0] * 8)], "chunk_id string, embedding array<double>")
+    assert got(search.neighbours(vectors(spark, m, ids).union(odd), k), "id", "other") == sorted(want)
+
+
 def test_text_index(spark, tmp_path):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcé İ1") for _ in range(rng.randint(1, 6))) for _ in range(40)]
