@@ -38,6 +38,22 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_components_deal_edges_twice(spark, monkeypatch):
+    """With many partitions and few edges the files and tasks of exchanges are most of the cost."""
+    kind = type(spark.range(1))
+    plans, kept = [], kind.checkpoint
+
+    def checkpoint(self, *more):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return kept(self, *more)
+
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    edges = [(i, i // 3) for i in range(1, 90)] * 2
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(90), 0)
+    assert 2 <= len(plans) <= 6 and all(p.count("Exchange hashpartitioning") <= 2 and "Join" not in p for p in plans)
+
+
 def print64(text, words=4):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else []

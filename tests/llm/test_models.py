@@ -202,3 +202,11 @@ def test_the_bound_of_entries_takes_rows_in_order(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_ENTRIES", 300)
     m = toxicity.fit(d, labels)
     assert 0 < np.count_nonzero(m.weights) <= 300
+
+
+def test_features_reach_the_driver_packed():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3000):
+        own = rng.permutation(1 << toxicity.BITS)[:n].astype(np.int32)
+        data = toxicity.packed(own)
+        assert np.array_equal(toxicity.unpacked(data), np.sort(own)) and len(data) <= max(16, 2 * n)  # four bytes a number before
