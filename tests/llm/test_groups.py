@@ -608,6 +608,21 @@ def test_all_holders_of_common_words_are_heard(spark, monkeypatch, side):
     assert found <= want and roots(60, found) == roots(60, want)
 
 
+def test_only_pairs_that_agree_leave_the_count_of_common_words(spark, monkeypatch):
+    """30 images hold 8 points at places of their own: votes of all pairs, of which one pair's agree, make one row."""
+    rng = np.random.default_rng(23)
+    common, rows = rng.integers(-(2**63), 2**63, (8, 2)), []
+    for i in range(30):
+        spots = [[0, 0, (1 << 19) + 90 * k + i, 11 * k] if i in (11, 27) else [0, 0, *rng.integers(0, 1 << 19, 2).tolist()] for k in range(8)]
+        rows.append((i, common.reshape(-1).tolist(), [x for q in spots for x in q]))
+    made, kept = [], media.crossing
+    monkeypatch.setattr(media, "crossing", lambda *x: made.append(kept(*x)) or made[0])
+    monkeypatch.setattr(media, "CLOSE", 0)
+    found = media.links(spark.createDataFrame([(i, 8, w, q, None) for i, w, q in rows], media.POINTS)).collect()
+    assert {tuple(r) for r in found} == {(27, 11)}
+    assert made[0].count() == 1
+
+
 def brute_links(images):
     """Pairs with a consensus, by comparing the descriptors of all pairs."""
     points = {}
