@@ -241,6 +241,15 @@ def two_places(x: Column) -> Column:
     return F.replace(F.format_number(x, 2), F.lit(","), F.lit(""))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """x, a double, to some places as SQL does it: scaled, to the nearest whole number (halves away from zero), and back.
+
+    Spark's own round goes by the shortest decimal: 0.071875 is 0.07188 there, and 0.07187 here since it scales to 7187.499999999999.
+    """
+    scaled = col(x) * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**places).otherwise(col(x))
+
+
 def percent(x: Column | str) -> Column:
     return F.concat(two_places(col(x) * 100), F.lit("%"))
 

@@ -83,10 +83,11 @@ def throughput(marks: DataFrame, by: list[str]) -> DataFrame:
     """For each mark (ts, total so far): the rate since the mark before, and since the first.
 
     Marks of one time follow by their total; the rate of such a step is infinite, or NaN where nothing was added.
+    Marks without a time come last and have no rates.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*by).orderBy("ts", "total")
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("ts"), "total")
     s = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     now, before, first = s(F.col("ts")), s(F.lag("ts").over(w)), s(F.first("ts").over(w))
     added, took = (F.col("total") - F.lag("total").over(w)).cast("double"), now - before

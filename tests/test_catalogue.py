@@ -45,3 +45,14 @@ def test_columns_are_pruned_and_filters_pushed(spark, sf):
     p = plan(Tables(spark, sf).returned().select("l_partkey"))
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in p and "ReadSchema: struct<l_partkey:bigint,l_returnflag:string>" in p
     assert "content" not in plan(search.exact_copies(Tables(spark, sf).files()).select("n")).split("ReadSchema")[1].replace("text", "")
+
+
+def test_throughput_rates_of_whole_seconds_and_without_times(spark, tmp_path):
+    """Rates that end in a half at the sixth place, marks of one time, and marks without a time or a type."""
+    d = duckdb.connect()
+    times = "[0, 320, 640, 640, 13120, 20800, 20800, 92480, NULL, NULL]"
+    d.sql(f"CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(CASE WHEN i < 1000 THEN 320 * i ELSE {times}[i - 999] END) AS ts, 1::BIGINT AS user_id, CASE WHEN i < 500 THEN 'a' WHEN i < 1005 THEN 'b' END AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM range(1010) r(i)")
+    d.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    df = catalogue.QUERIES["throughput_rates"](spark, str(tmp_path))
+    want = d.sql(catalogue.ORACLE_SQL["throughput_rates"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
