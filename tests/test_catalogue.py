@@ -56,3 +56,14 @@ def test_throughput_rates_of_whole_seconds_and_without_times(spark, tmp_path):
     df = catalogue.QUERIES["throughput_rates"](spark, str(tmp_path))
     want = d.sql(catalogue.ORACLE_SQL["throughput_rates"])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_task_history_of_items_without_a_date(spark, tmp_path):
+    d = duckdb.connect()
+    d.sql("CREATE TABLE orders AS SELECT i AS o_orderkey, i % 2 AS o_custkey, 'F' AS o_orderstatus, 1.0::DOUBLE AS o_totalprice, TIMESTAMP '2024-01-01' AS o_orderdate, 'p' AS o_orderpriority FROM range(4) r(i)")
+    d.sql("CREATE TABLE lineitem AS SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 'O', NULL::TIMESTAMP), (0, 1, 'O', TIMESTAMP '2024-02-01'), (0, 1, 'O', TIMESTAMP '2024-02-01'), (1, 2, 'O', NULL), (9, 3, 'O', NULL), (NULL, 3, 'O', NULL)) v(l_orderkey, l_partkey, l_linestatus, l_shipdate)")
+    for t in ("orders", "lineitem"):
+        d.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    df = catalogue.QUERIES["task_history"](spark, str(tmp_path))
+    want = d.sql(catalogue.ORACLE_SQL["task_history"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())

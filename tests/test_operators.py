@@ -888,6 +888,19 @@ def test_child_totals_are_those_of_the_lists(spark, sf):
     assert "collect_list" not in catalogue.QUERIES["task_history"](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_task_history_lists_children(spark, sf):
+    rows = [(1, None, "r", "running", 5), (2, None, "r", "failed", 6), (3, 1, "b", "x", 9), (4, 1, "a", "x", 7), (4, 1, "a", "x", 7), (5, 1, "a", "x", 7), (6, 1, None, None, None), (7, 99, "lost", "x", 1)]
+    t = spark.createDataFrame(rows, "task_id long, parent_id long, name string, status string, started_at long")
+    parents = t.where("parent_id is null").select("task_id")
+    want = {r.task_id: r.children for r in tasks.with_children(t, parents).collect()}
+    made = tasks.with_placed_children(t, parents)
+    assert {r.task_id: r.children for r in made.collect()} == want and made.schema["children"].dataType == tasks.with_children(t, parents).schema["children"].dataType
+    assert [r.child_id for r in want[1]] == [6, 4, 4, 5, 3] and want[2] is None
+    # the query makes the lists and doesn't only count
+    p = catalogue.QUERIES["task_history"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set(struct(_place" in p and "child_id" in p
+
+
 def test_posting_lists_name_contents_by_four_bytes(spark):
     blobs = spark.createDataFrame([(f"{i:064x}", "abcd" if i % 2 else "ABC") for i in range(10)], "blob_hash string, content string")
     rows = textindex.postings(blobs.coalesce(1)).collect()
