@@ -836,6 +836,18 @@ def test_edges_are_not_dealt_to_be_made_distinct(spark, sf):
     assert not dealt_after(catalogue.QUERIES["edges_after_change"](spark, sf), "name#")
 
 
+def test_edges_are_made_by_many_tasks_and_merged(spark, sf):
+    """Tasks aren't merged by what they read, which is far less than the edges that they make, and no side is held as a hash table."""
+    calls = spark.createDataFrame([(b, x, f"c{i % 40}", f"x.f{i % 7}") for b in (1, 2) for x in "mn" for i in range(400)], "repo_id long, branch string, caller string, called_name string")
+    some = spark.createDataFrame([(b, x, f"d{i}", "function_definition", f"f{i % 9}") for b in (1, 2) for x in "mn" for i in range(90)], "repo_id long, branch string, node_id string, node_type string, name string")
+    want = {(b, x, f"c{i % 40}", f"d{j}") for b in (1, 2) for x in "mn" for i in range(400) for j in range(90) if i % 7 == j % 9}
+    assert got(graph.call_edges(calls, some), "repo_id", "branch", "caller", "callee") == sorted(want)
+    tasks = graph.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    p = catalogue.QUERIES["call_edges"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [name#" in p and p.count(f", {tasks}), REPARTITION_BY_NUM") >= 2
+    assert catalogue.QUERIES["call_edges"](spark, sf).rdd.getNumPartitions() >= tasks
+
+
 def test_parents_and_owners_come_with_the_parse(spark, sf):
     files = source(spark, [("a.py", PYTHON), ("Hello.java", JAVA), ("s.js", SCRIPT), ("t.ts", TYPED), ("A.java", JAVAS), ("bad.py", "def ("), ("n.py", None)])
     n = parse.parse_files(files).cache()
