@@ -848,6 +848,13 @@ def test_edges_are_made_by_many_tasks_and_merged(spark, sf):
     assert catalogue.QUERIES["call_edges"](spark, sf).rdd.getNumPartitions() >= tasks
 
 
+def test_edges_after_a_change_are_made_by_many_tasks(spark, sf):
+    """Edges that stay, those of new calls and those of new definitions: each product is dealt by name to all of its tasks."""
+    edges = catalogue.QUERIES["edges_after_change"](spark, sf)
+    assert edges.rdd.getNumPartitions() >= 3 * graph.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert edges._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("SortMergeJoin [name#") >= 3
+
+
 def test_parents_and_owners_come_with_the_parse(spark, sf):
     files = source(spark, [("a.py", PYTHON), ("Hello.java", JAVA), ("s.js", SCRIPT), ("t.ts", TYPED), ("A.java", JAVAS), ("bad.py", "def ("), ("n.py", None)])
     n = parse.parse_files(files).cache()
